@@ -24,6 +24,21 @@ def is_object(value: Column) -> Column:
     return F.coalesce(variant_kind(value).startswith("OBJECT"), F.lit(False))
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing after it.
+
+    Spark's parsers stop behind the first value. Putting the text inside an object, before a key
+    it cannot foresee, makes anything left over show.
+    """
+    end = F.sha2(text, 256)
+    wrapped = F.concat(F.lit('{"v":'), text, F.lit(',"'), end, F.lit('":0}'))
+    return F.coalesce(F.json_object_keys(wrapped) == F.array(F.lit("v"), end), F.lit(False))
+
+
+def is_json_object(text: Column) -> Column:
+    return is_json(text) & text.rlike(r"^\s*\{")
+
+
 def type_rank(value: Column) -> Column:
     """Position in TYPE_ORDER. Null, boolean, string and nested values are text."""
     kind = variant_kind(value)

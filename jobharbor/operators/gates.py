@@ -27,8 +27,8 @@ def glob_regex(patterns: Sequence[str]) -> str | None:
 
 def path_selected(path: Column, include: Column, exclude: Column) -> Column:
     """No include pattern admits everything; an exclude match wins."""
-    admitted = F.coalesce(path.rlike(include), F.lit(True))
-    return admitted & ~F.coalesce(path.rlike(exclude), F.lit(False))
+    admitted = F.coalesce(F.rlike(path, include), F.lit(True))
+    return admitted & ~F.coalesce(F.rlike(path, exclude), F.lit(False))
 
 
 def matches_patterns(path: Column, include: Sequence[str], exclude: Sequence[str]) -> Column:

@@ -29,42 +29,44 @@ def listed_columns(rows: DataFrame, groups: Sequence[str], columns: Sequence[str
     shapes = rows.select(*groups, "fields").distinct()
     carried = shapes.select(*groups, F.explode("fields").alias("_name")).groupBy(*groups)
     names = carried.agg(F.collect_set("_name").alias("_names"))  # at most one entry per column
-    flags = F.array(*[F.array_contains("_names", c) for c in columns])
+    known = ", ".join(f"'{c}'" for c in columns)
+    flags = F.expr(f"transform(array({known}), c -> array_contains(_names, c))")
     return names.select(*groups, flags.alias("listed"))
 
 
 def batch_statement(
     rows: DataFrame, key: str, groups: Sequence[str], columns: Sequence[str], order: Sequence[Column]
 ) -> DataFrame:
-    """One row per key and group with the flags of the columns its group lists."""
-    single = latest_per_key(rows, [*groups, key], order).drop("fields")
-    return single.join(listed_columns(rows, groups, columns), list(groups))
+    """One row per key and group: key, groups, the record in ``row``, the flags in ``listed``."""
+    single = latest_per_key(rows, [*groups, key], order)
+    with_flags = single.join(listed_columns(rows, groups, columns), list(groups))
+    return with_flags.select(key, *groups, "row", "listed")
 
 
-def fold_statements(rows: DataFrame, key: str, columns: Sequence[str], order: Column) -> DataFrame:
+def fold_statements(
+    rows: DataFrame, key: str, columns: Sequence[str], order: Sequence[str]
+) -> DataFrame:
     """Several statements on one key reduced to one with the same effect, oldest first.
 
-    After ``batch_statement`` a key occurs once per fetch, so a key's window holds no more rows
-    than the batch holds fetches.
+    After ``batch_statement`` a key occurs once per fetch, so no key gathers more rows than the
+    batch holds fetches.
     """
-    by_key = Window.partitionBy(key).orderBy(order)
-    so_far = by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    folded = rows.withColumn("_last", F.lead(F.lit(False), 1, True).over(by_key))
-    flags = [
-        F.max(F.element_at("listed", i + 1)).over(so_far).alias(f"_listed_{c}")
-        for i, c in enumerate(columns)
-    ]
-    values = [
-        F.last(F.when(F.element_at("listed", i + 1), F.struct(F.col(c).alias("value"))), True)
-        .over(so_far)
-        .getField("value")
-        .alias(c)
+
+    row = ", ".join(
+        f"'{c}', if(later.listed[{i}], later.row.`{c}`, earlier.row.`{c}`)"
         for i, c in enumerate(columns)
-    ]
-    kept = [c for c in rows.columns if c not in (*columns, "listed")]
-    done = folded.select(*kept, "_last", *values, *flags).where("_last").drop("_last")
-    listed = F.array(*[F.col(f"_listed_{c}") for c in columns]).alias("listed")
-    return done.select(*kept, *columns, listed)
+    )
+    kept = ", ".join(f"'{c}', later.`{c}`" for c in order)
+    either = "zip_with(earlier.listed, later.listed, (a, b) -> a OR b)"
+    then = f"(earlier, later) -> named_struct({kept}, 'row', named_struct({row}), 'listed', {either})"
+
+    steps = rows.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct(*order, "row", "listed"))).alias("_steps")
+    )
+    folded = F.expr(
+        f"if(size(_steps) = 1, _steps[0], aggregate(slice(_steps, 2, size(_steps)), _steps[0], {then}))"
+    )
+    return steps.select(key, folded.alias("_s")).select(key, "_s.*")
 
 
 def upsert_partial(
@@ -72,20 +74,20 @@ def upsert_partial(
 ) -> DataFrame:
     """Insert new keys; on existing ones replace the listed columns and ``always``.
 
-    ``statement`` has one row per key and ``listed`` flags for ``columns``. A column the batch
-    did not list keeps its old value; a listed one takes the new value even if that is null.
+    ``statement`` has one row per key with its record in ``row`` and one flag per column in
+    ``listed``. A column the batch did not list keeps its old value; a listed one takes the new
+    value even if that is null.
     """
-    old, new = target.alias("old"), statement.alias("new")
-    matched = F.col(f"new.{key}").isNotNull()
-    merged = old.join(new, F.col(f"old.{key}") == F.col(f"new.{key}"), "full_outer")
-    picks = {key: F.coalesce(f"new.{key}", f"old.{key}")}
-    for i, c in enumerate(columns):
-        if c != key:
-            take = matched & F.element_at("new.listed", i + 1)
-            picks[c] = F.when(take, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}"))
-    for c in always:
-        picks[c] = F.when(matched, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}"))
-    return merged.select(*[picks[c].alias(c) for c in target.columns])
+    merged = target.alias("old").join(
+        statement.alias("new"), F.col(f"old.{key}") == F.col(f"new.{key}"), "full_outer"
+    )
+    matched = f"new.`{key}` IS NOT NULL"
+    picks = {
+        c: f"if({matched} AND new.listed[{i}], new.row.`{c}`, old.`{c}`)" for i, c in enumerate(columns)
+    }
+    picks |= {c: f"if({matched}, new.`{c}`, old.`{c}`)" for c in always}
+    picks[key] = f"coalesce(new.`{key}`, old.`{key}`)"
+    return merged.selectExpr(*[f"{picks[c]} AS `{c}`" for c in target.columns])
 
 
 def replace_groups(

@@ -21,15 +21,13 @@ FETCH = ["_queue", "_fetched_utc"]
 
 def job_order():
     """Which of several rows with one id counts: the latest change, then the first position."""
-    return [F.desc_nulls_last("modificationtime"), F.asc("position")]
+    return [F.desc_nulls_last("row.modificationtime"), F.asc("position")]
 
 
 def job_statement(rows: DataFrame) -> DataFrame:
     """A batch of job rows reduced to one row per id with its listed columns."""
     per_fetch = merge.batch_statement(rows, "pandaid", FETCH, COLUMNS, job_order())
-    return merge.fold_statements(
-        per_fetch.drop("position"), "pandaid", COLUMNS, F.struct("_fetched_utc", "_queue")
-    )
+    return merge.fold_statements(per_fetch, "pandaid", COLUMNS, ["_fetched_utc", "_queue"])
 
 
 def upsert_jobs(target: DataFrame, rows: DataFrame) -> DataFrame:
@@ -42,8 +40,8 @@ def newest_fetch(parsed: DataFrame) -> DataFrame:
     return merge.latest_per_key(good, ["_queue"], [F.desc("_fetched_utc")])
 
 
-def drop_faulty_fetches(parsed: DataFrame, quarantine: DataFrame) -> DataFrame:
-    return parsed.join(quarantine.select(*FETCH).distinct(), FETCH, "left_anti")
+def drop_faulty_fetches(rows: DataFrame, quarantine: DataFrame) -> DataFrame:
+    return rows.join(quarantine.select(*FETCH).distinct(), FETCH, "left_anti")
 
 
 def run_cycle(
@@ -59,16 +57,18 @@ def run_cycle(
     ``strict`` such a record holds back the whole response it came in.
     """
     parsed = landing.parse_payloads(payloads).persist(StorageLevel.DISK_ONLY)
+    typed = landing.type_jobs(parsed).persist(StorageLevel.DISK_ONLY)
     try:
-        typed = landing.type_jobs(parsed)
         faults = (
             landing.bad_payloads(parsed)
             .unionByName(landing.bad_jobs(typed))
             .unionByName(landing.bad_errors(parsed))
         )
-        accepted = drop_faulty_fetches(parsed, faults) if strict else parsed
-        rows = landing.job_rows(landing.type_jobs(accepted))
-        newest = newest_fetch(accepted)
+        rows = landing.job_rows(typed)
+        newest = newest_fetch(parsed)
+        if strict:
+            rows = drop_faulty_fetches(rows, faults)
+            newest = newest_fetch(drop_faulty_fetches(parsed, faults))
 
         part = range_part(F.col("pandaid"), jobs_per_part)
         ranges = [r[0] for r in rows.select(part).distinct().collect()]
@@ -97,4 +97,5 @@ def run_cycle(
         ]
         return store.publish(run_id, changes)
     finally:
+        typed.unpersist()
         parsed.unpersist()

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from jobharbor import schemas
 from jobharbor.functions import text as X
-from jobharbor.functions.json_values import is_object
+from jobharbor.functions.json_values import is_json, is_json_object, is_object
 
 SUMMARY_ITEM = "struct<field string, list string, stats string>"
 ERROR_ITEM = (
@@ -41,7 +41,7 @@ def as_snapshots(files: DataFrame) -> DataFrame:
     return files.withColumns(
         {
             "content_hash": X.content_hash(F.col("content")),
-            "raw": F.try_parse_json("content"),
+            "raw": F.when(is_json(F.col("content")), F.try_parse_json("content")),
         }
     )
 
@@ -78,7 +78,7 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
         F.col("queue").alias("_queue"),
         F.date_trunc("second", "fetched_utc").cast("timestamp_ntz").alias("_fetched_utc"),
         "payload",
-        F.when(is_object(F.try_parse_json("payload")), body).alias("body"),
+        F.when(is_json_object(F.col("payload")), body).alias("body"),
     )
 
 
@@ -100,25 +100,33 @@ def _items(parsed: DataFrame, name: str) -> DataFrame:
     )
 
 
-def typed(text: Column, type_: T.DataType) -> Column:
-    """Text to a column type, null where it does not fit. Whole types accept rounded decimals."""
+def typed(text: str, type_: T.DataType) -> str:
+    """SQL for text as a column type, null where it does not fit; whole types accept decimals.
+
+    Wide records are built from SQL text, one parse instead of a thousand column objects.
+    """
     name = type_.simpleString()
     if name == "string":
         return text
-    value = text.try_cast(name)
     if name in ("bigint", "int"):
-        value = F.coalesce(value, F.rint(text.try_cast("double")).try_cast(name))
-    return value
+        return f"coalesce(try_cast({text} AS {name}), try_cast(rint(try_cast({text} AS double)) AS {name}))"
+    return f"try_cast({text} AS {name})"
+
+
+def typed_row(columns: list[T.StructField]) -> Column:
+    return F.expr(
+        "named_struct(" + ", ".join(f"'{f.name}', {typed(f'raw.`{f.name}`', f.dataType)}" for f in columns) + ")"
+    )
 
 
 def _misfits(columns: list[T.StructField]) -> Column:
     """Names of the fields that carry a value which does not fit its column."""
     checks = [
-        F.when(F.col(f"raw.{f.name}").isNotNull() & F.col(f"row.{f.name}").isNull(), F.lit(f.name))
+        f"if(raw.`{f.name}` IS NOT NULL AND row.`{f.name}` IS NULL, '{f.name}', NULL)"
         for f in columns
         if not isinstance(f.dataType, T.StringType)
     ]
-    return F.array_compact(F.array(*checks))
+    return F.expr(f"array_compact(array({', '.join(checks)}))")
 
 
 def type_jobs(parsed: DataFrame) -> DataFrame:
@@ -127,11 +135,8 @@ def type_jobs(parsed: DataFrame) -> DataFrame:
     items = _items(parsed, "jobs").withColumns(
         {"raw": F.from_json("item", raw_schema), "keys": F.json_object_keys("item")}
     )
-    row = F.struct(
-        *[typed(F.col(f"raw.{f.name}"), f.dataType).alias(f.name) for f in schemas.JOB_PAYLOAD]
-    )
-    known = F.array(*[F.lit(f.name) for f in schemas.JOB_PAYLOAD])
-    return items.withColumn("row", row).select(
+    known = F.expr("array(" + ", ".join(f"'{f.name}'" for f in schemas.JOB_PAYLOAD) + ")")
+    return items.withColumn("row", typed_row(list(schemas.JOB_PAYLOAD))).select(
         "_queue",
         "_fetched_utc",
         "position",
@@ -143,12 +148,17 @@ def type_jobs(parsed: DataFrame) -> DataFrame:
 
 
 def job_rows(typed_jobs: DataFrame) -> DataFrame:
-    """Loadable job rows with their bookkeeping columns, position and field names."""
+    """Loadable records: id, bookkeeping, position, carried field names, and the record itself."""
     return typed_jobs.where("size(misfits) = 0 and row.pandaid is not null").select(
-        "row.*", "_queue", "_fetched_utc", "position", "fields"
+        "row.pandaid", "_queue", "_fetched_utc", "position", "fields", "row"
     )
 
 
+def job_table(rows: DataFrame) -> DataFrame:
+    """Records in the layout of the jobs table."""
+    return rows.select("row.*", "_queue", "_fetched_utc")
+
+
 def bad_jobs(typed_jobs: DataFrame) -> DataFrame:
     return typed_jobs.where("size(misfits) > 0 or row.pandaid is null").select(
         F.lit("jobs").alias("kind"),
@@ -202,13 +212,12 @@ def facet_stats(summary: DataFrame) -> DataFrame:
 
 def _typed_errors(parsed: DataFrame) -> DataFrame:
     whole = {f.name: f for f in schemas.ERRORS_BY_COUNT}
-    names = ("codeval", "example_pandaid", "count")
-    row = F.struct(*[typed(F.col(f"raw.{n}"), whole[n].dataType).alias(n) for n in names])
+    numbers = [whole[n] for n in ("codeval", "example_pandaid", "count")]
     return (
         _items(parsed, "errsByCount")
         .withColumn("raw", F.from_json("item", ERROR_ITEM))
-        .withColumn("row", row)
-        .withColumn("misfits", _misfits([whole[n] for n in names]))
+        .withColumn("row", typed_row(numbers))
+        .withColumn("misfits", _misfits(numbers))
     )
 
 

@@ -229,7 +229,7 @@ def test_queries_over_loaded_tables(spark, folder):
 
 def test_error_analysis(spark):
     parsed = landing.parse_payloads(landed(spark, ("A", T1, PAYLOAD)))
-    rows = landing.job_rows(landing.type_jobs(parsed))
+    rows = landing.job_table(landing.job_rows(landing.type_jobs(parsed)))
     found = analytics.error_occurrences(rows, schemas.ERROR_COMPONENTS, ["_queue", "pandaid"])
     ranked = analytics.errors_by_count(found).collect()
     assert [(r["error"], r["codeval"], r["count"], r["example_pandaid"], r["id"]) for r in ranked] == [
