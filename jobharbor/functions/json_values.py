@@ -30,7 +30,7 @@ def is_json(text: Column) -> Column:
     Spark's parsers stop behind the first value. Putting the text inside an object, before a key
     it cannot foresee, makes anything left over show.
     """
-    end = F.sha2(text, 256)
+    end = F.hex(F.xxhash64(text))
     wrapped = F.concat(F.lit('{"v":'), text, F.lit(',"'), end, F.lit('":0}'))
     return F.coalesce(F.json_object_keys(wrapped) == F.array(F.lit("v"), end), F.lit(False))
 

@@ -114,7 +114,11 @@ def strip_index(text: Column, threshold: int = 5) -> Column:
 
     def cut(lines: Column) -> Column:
         flags = F.array_join(
-            F.transform(lines, lambda line: F.when(line.rlike(INDEX_LINE), "1").otherwise("0")), ""
+            F.transform(
+                lines,
+                lambda line: F.when(line.contains("(") & line.rlike(INDEX_LINE), "1").otherwise("0"),
+            ),
+            "",
         )
         return let(
             F.instr(flags, "1" * threshold),
@@ -171,7 +175,7 @@ def _line_class(line: Column, following: Column) -> Column:
             F.when(indented, F.translate(first, UNDERLINE_CHARS, "".join("PQRSTU"[n] for n in levels)))
             .otherwise(F.translate(first, UNDERLINE_CHARS, "".join("ABCDEF"[n] for n in levels))),
         )
-        .when(line.rlike(rf"^\.\.[{WS}]+code-block::"), "c")
+        .when(line.startswith("..") & line.rlike(rf"^\.\.[{WS}]+code-block::"), "c")
         .when(indented, "i")
         .otherwise("n")
     )
@@ -210,7 +214,7 @@ def _emit(line: Column, role: Column) -> Column:
     links = F.regexp_replace(line, rf":ref:`([^`<]+)[{WS}]+<([^>]+)>`", "[$1]($2)")
     links = F.regexp_replace(links, rf"`([^`]+)[{WS}]+<([^>]+)>`_", "[$1]($2)")
     text = F.when(
-        line.rlike(note),
+        line.startswith("..") & line.rlike(note),
         F.concat(
             F.lit("> **"), F.initcap(F.regexp_extract(line, note, 1)),
             F.lit(":** "), strip(F.regexp_extract(line, note, 2)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobharbor.functions import json_values as J
+from jobharbor.functions.frames import once
 
 # The id column and the fields that are never loaded.
 ID_COLUMN = "queue"
@@ -56,7 +57,7 @@ def wide_rows(entries: DataFrame, fields: list[tuple[str, str]], *keep: str) ->
     Every entry is one value, so its columns are picked out of it in place: no pivot, no shuffle.
     An absent field is null; a payload field named like the id column takes its place.
     """
-    opened = entries.select(*keep, "name", fields_of(F.col("payload")).alias("fields"))
+    opened = once(entries.select(*keep, "name", "payload"), fields=fields_of(F.col("payload")))
     own_id = J.cell_text(F.col("fields")[ID_COLUMN])
     queue = F.when(F.map_contains_key("fields", ID_COLUMN), own_id).otherwise(F.col("name"))
     columns = [

@@ -20,24 +20,36 @@ def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]
     return rows.withColumn("_rank", F.row_number().over(window)).where("_rank = 1").drop("_rank")
 
 
+WORD = 64  # column flags per number
+
+
+def is_listed(flags: str, position: int) -> str:
+    """SQL: whether the column at ``position`` is flagged."""
+    return f"getbit({flags}[{position // WORD}], {position % WORD}) = 1"
+
+
 def listed_columns(rows: DataFrame, groups: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Which of ``columns`` any row of a group carried, as one flag per column in that order.
+    """Which of ``columns`` any row of a group carried, as bits in the array ``listed``.
 
-    ``rows`` has the carried names in ``fields``. Equal name lists collapse before the shuffle and
-    before anything is exploded, so the cost follows the number of distinct record shapes.
+    ``rows`` has the carried names in ``fields``. Equal name lists collapse before the shuffle, so
+    the cost follows the number of distinct record shapes; the union of a group is a bitwise or.
     """
-    shapes = rows.select(*groups, "fields").distinct()
-    carried = shapes.select(*groups, F.explode("fields").alias("_name")).groupBy(*groups)
-    names = carried.agg(F.collect_set("_name").alias("_names"))  # at most one entry per column
     known = ", ".join(f"'{c}'" for c in columns)
-    flags = F.expr(f"transform(array({known}), c -> array_contains(_names, c))")
-    return names.select(*groups, flags.alias("listed"))
+    at = f"transform(fields, n -> int(array_position(array({known}), n) - 1))"
+    words = [
+        F.expr(f"aggregate({at}, 0L, (m, p) -> m | if(p >= 0 AND p div {WORD} = {w}, shiftleft(1L, p % {WORD}), 0L))")
+        for w in range(-(-len(columns) // WORD))
+    ]
+    shapes = rows.select(*groups, "fields").distinct()
+    bits = shapes.select(*groups, *[word.alias(f"_w{i}") for i, word in enumerate(words)])
+    union = bits.groupBy(*groups).agg(*[F.bit_or(f"_w{i}").alias(f"_w{i}") for i in range(len(words))])
+    return union.select(*groups, F.array(*[f"_w{i}" for i in range(len(words))]).alias("listed"))
 
 
 def batch_statement(
     rows: DataFrame, key: str, groups: Sequence[str], columns: Sequence[str], order: Sequence[Column]
 ) -> DataFrame:
-    """One row per key and group: key, groups, the record in ``row``, the flags in ``listed``."""
+    """One row per key and group: key, groups, the record in ``row``, the column flags in ``listed``."""
     single = latest_per_key(rows, [*groups, key], order)
     with_flags = single.join(listed_columns(rows, groups, columns), list(groups))
     return with_flags.select(key, *groups, "row", "listed")
@@ -53,11 +65,11 @@ def fold_statements(
     """
 
     row = ", ".join(
-        f"'{c}', if(later.listed[{i}], later.row.`{c}`, earlier.row.`{c}`)"
+        f"'{c}', if({is_listed('later.listed', i)}, later.row.`{c}`, earlier.row.`{c}`)"
         for i, c in enumerate(columns)
     )
     kept = ", ".join(f"'{c}', later.`{c}`" for c in order)
-    either = "zip_with(earlier.listed, later.listed, (a, b) -> a OR b)"
+    either = "zip_with(earlier.listed, later.listed, (a, b) -> a | b)"
     then = f"(earlier, later) -> named_struct({kept}, 'row', named_struct({row}), 'listed', {either})"
 
     steps = rows.groupBy(key).agg(
@@ -74,7 +86,7 @@ def upsert_partial(
 ) -> DataFrame:
     """Insert new keys; on existing ones replace the listed columns and ``always``.
 
-    ``statement`` has one row per key with its record in ``row`` and one flag per column in
+    ``statement`` has one row per key with its record in ``row`` and its column flags in
     ``listed``. A column the batch did not list keeps its old value; a listed one takes the new
     value even if that is null.
     """
@@ -83,7 +95,8 @@ def upsert_partial(
     )
     matched = f"new.`{key}` IS NOT NULL"
     picks = {
-        c: f"if({matched} AND new.listed[{i}], new.row.`{c}`, old.`{c}`)" for i, c in enumerate(columns)
+        c: f"if({matched} AND {is_listed('new.listed', i)}, new.row.`{c}`, old.`{c}`)"
+        for i, c in enumerate(columns)
     }
     picks |= {c: f"if({matched}, new.`{c}`, old.`{c}`)" for c in always}
     picks[key] = f"coalesce(new.`{key}`, old.`{key}`)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,28 +22,31 @@ def refresh(store: VersionedTables, snapshots: DataFrame, run_id: str, fetched)
     it is.
     """
     loads = store.read("catalogue_loads", schemas.SNAPSHOTS)
-    fresh = gates.unseen_snapshots(snapshots, loads)
-    good, _ = landing.split_by_shape(fresh)
-    entries = infer.catalogue_entries(good)
-    fields = infer.field_list(infer.infer_types(infer.catalogue_cells(entries)))
-    if not fields:
-        return None
-    log = good.select(
-        F.concat_ws("/", F.lit(run_id), "source").alias("snapshot_id"),
-        "source",
-        fetched.cast("timestamp_ntz").alias("fetched_utc"),
-        "content_hash",
-        F.lit(True).alias("ok"),
-        F.lit(None).cast("string").alias("error"),
-    )
-    return store.publish(
-        run_id,
-        [
-            Change("queuedata", infer.wide_rows(entries, fields)),
-            Change("queuedata_fields", store.spark.createDataFrame(fields, FIELDS)),
-            Change("catalogue_loads", log, append=True),
-        ],
-    )
+    good, _ = landing.split_by_shape(gates.unseen_snapshots(snapshots, loads))
+    good = good.persist(StorageLevel.DISK_ONLY)  # parsed once for both passes
+    try:
+        entries = infer.catalogue_entries(good)
+        fields = infer.field_list(infer.infer_types(infer.catalogue_cells(entries)))
+        if not fields:
+            return None
+        log = good.select(
+            F.concat_ws("/", F.lit(run_id), "source").alias("snapshot_id"),
+            "source",
+            fetched.cast("timestamp_ntz").alias("fetched_utc"),
+            "content_hash",
+            F.lit(True).alias("ok"),
+            F.lit(None).cast("string").alias("error"),
+        )
+        return store.publish(
+            run_id,
+            [
+                Change("queuedata", infer.wide_rows(entries, fields)),
+                Change("queuedata_fields", store.spark.createDataFrame(fields, FIELDS)),
+                Change("catalogue_loads", log, append=True),
+            ],
+        )
+    finally:
+        good.unpersist()
 
 
 def queuedata(store: VersionedTables) -> DataFrame:

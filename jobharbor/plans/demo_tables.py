@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobharbor.functions import text as X
+from jobharbor.functions.frames import spread
 from jobharbor.operators import merge
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -75,7 +76,7 @@ def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(facet).alias("selectionsummary"),
         F.when(kind == "error", F.array(error)).alias("errsByCount"),
     )
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         F.concat(F.lit("site_"), "user_id").alias("queue"),
         F.col("ts").alias("fetched_utc"),
         # purchases answer with something that is no payload
@@ -88,7 +89,7 @@ def two_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The second one lists the status only, so the other columns must keep their values.
     """
-    events = table(spark, sf_dir, "events")
+    events = spread(table(spark, sf_dir, "events"))
     code = F.get_json_object("props", "$.k").cast("int")
     full = F.struct(
         F.col("event_id").alias("pandaid"),
@@ -145,7 +146,7 @@ def customer_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     A balance that is whole in some rows and not in others, an explicit null, an absent field, a
     nested list and object, a dropped field and, for one segment, an entry that is no object.
     """
-    customer = table(spark, sf_dir, "customer")
+    customer = spread(table(spark, sf_dir, "customer"))
     fields = F.struct(
         F.col("c_nationkey").alias("corecount"),
         F.col("c_acctbal").alias("corepower"),
@@ -197,7 +198,7 @@ def with_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source"), F.lit(".run() (pkg."), F.col("lang"), F.lit(" method), "), F.col("n_chars"), F.lit("\n")
     )
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.concat("text", F.lit("\n"), F.repeat(entry, F.least(breaks, F.lit(7))), F.lit("end")).alias("text"),
     )
@@ -211,4 +212,4 @@ def rst_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         replace(text, '\n', '\n   '), '\n\nSee `', source, ' <', lang, '>`_ and :ref:`', lang,
         ' <', source, '>`.\n\n', text, '\n\nEnd\n---\nshort\n--\n.. TIP:: done')"""
     )
-    return table(spark, sf_dir, "documents").select("doc_id", body.alias("text"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", body.alias("text"))

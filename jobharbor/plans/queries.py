@@ -296,7 +296,8 @@ def payload_fields(spark, sf):
     """Which known columns the jobs of a fetch carried."""
     rows = landing.job_rows(landing.type_jobs(_parsed(spark, sf)))
     flags = merge.listed_columns(rows, ["_queue"], jobs_plan.COLUMNS)
-    return flags.select("_queue", F.size(F.filter("listed", lambda x: x)).alias("n_listed"))
+    count = F.aggregate("listed", F.lit(0), lambda n, word: n + F.bit_count(word))
+    return flags.select("_queue", count.alias("n_listed"))
 
 
 @query

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from jobharbor import schemas
 from jobharbor.functions import text as X
+from jobharbor.functions.frames import once
 from jobharbor.functions.json_values import is_json, is_json_object, is_object
 
 SUMMARY_ITEM = "struct<field string, list string, stats string>"
@@ -38,11 +39,10 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
 
 
 def as_snapshots(files: DataFrame) -> DataFrame:
-    return files.withColumns(
-        {
-            "content_hash": X.content_hash(F.col("content")),
-            "raw": F.when(is_json(F.col("content")), F.try_parse_json("content")),
-        }
+    return once(
+        files,
+        content_hash=X.content_hash(F.col("content")),
+        raw=F.when(is_json(F.col("content")), F.try_parse_json("content")),
     )
 
 
@@ -73,13 +73,13 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_payloads(payloads: DataFrame) -> DataFrame:
     """Open each payload into arrays of item texts; ``body`` is null where it is no object."""
-    body = F.from_json("payload", PAYLOAD_BODY)
-    return payloads.select(
+    stamped = payloads.select(
         F.col("queue").alias("_queue"),
         F.date_trunc("second", "fetched_utc").cast("timestamp_ntz").alias("_fetched_utc"),
         "payload",
-        F.when(is_json_object(F.col("payload")), body).alias("body"),
     )
+    body = F.when(is_json_object(F.col("payload")), F.from_json("payload", PAYLOAD_BODY))
+    return once(stamped, body=body)
 
 
 def bad_payloads(parsed: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def bad_payloads(parsed: DataFrame) -> DataFrame:
 
 def _items(parsed: DataFrame, name: str) -> DataFrame:
     """One row per array element with its 0-based position; a missing array is empty."""
-    return parsed.where("body is not null").select(
+    return parsed.select(
         "_queue", "_fetched_utc", F.posexplode(f"body.{name}").alias("position", "item")
     )
 
@@ -119,32 +119,26 @@ def typed_row(columns: list[T.StructField]) -> Column:
     )
 
 
-def _misfits(columns: list[T.StructField]) -> Column:
+def misfits(columns: list[T.StructField]) -> Column:
     """Names of the fields that carry a value which does not fit its column."""
-    checks = [
-        f"if(raw.`{f.name}` IS NOT NULL AND row.`{f.name}` IS NULL, '{f.name}', NULL)"
-        for f in columns
-        if not isinstance(f.dataType, T.StringType)
-    ]
+    checks = []
+    for f in columns:
+        if not isinstance(f.dataType, T.StringType):
+            text = f"raw.`{f.name}`"
+            bad = f"{text} IS NOT NULL AND {typed(text, f.dataType)} IS NULL"
+            checks.append(f"if({bad}, '{f.name}', NULL)")
     return F.expr(f"array_compact(array({', '.join(checks)}))")
 
 
 def type_jobs(parsed: DataFrame) -> DataFrame:
     """Typed job records: known fields only, with the names each record carried and its misfits."""
     raw_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schemas.JOB_PAYLOAD])
-    items = _items(parsed, "jobs").withColumns(
-        {"raw": F.from_json("item", raw_schema), "keys": F.json_object_keys("item")}
-    )
-    known = F.expr("array(" + ", ".join(f"'{f.name}'" for f in schemas.JOB_PAYLOAD) + ")")
-    return items.withColumn("row", typed_row(list(schemas.JOB_PAYLOAD))).select(
-        "_queue",
-        "_fetched_utc",
-        "position",
-        "item",
-        F.array_sort(F.array_intersect("keys", known)).alias("fields"),
-        _misfits(list(schemas.JOB_PAYLOAD)).alias("misfits"),
-        "row",
+    carried = F.array_sort(
+        F.filter(F.json_object_keys("item"), lambda k: k.isin(*schemas.JOB_PAYLOAD.names))
     )
+    items = once(_items(parsed, "jobs"), raw=F.from_json("item", raw_schema), fields=carried)
+    columns = list(schemas.JOB_PAYLOAD)
+    return once(items, row=typed_row(columns), misfits=misfits(columns)).drop("raw")
 
 
 def job_rows(typed_jobs: DataFrame) -> DataFrame:
@@ -174,8 +168,10 @@ def bad_jobs(typed_jobs: DataFrame) -> DataFrame:
 
 def summary_rows(parsed: DataFrame) -> DataFrame:
     """Facet rows; the position in the response is the id."""
-    items = _items(parsed, "selectionsummary").withColumns(
-        {"raw": F.from_json("item", SUMMARY_ITEM), "keys": F.json_object_keys("item")}
+    items = once(
+        _items(parsed, "selectionsummary"),
+        raw=F.from_json("item", SUMMARY_ITEM),
+        keys=F.json_object_keys("item"),
     )
     # present but null is the JSON text null; an absent list is empty, absent stats are no value
     as_text = lambda name, absent: F.when(
@@ -213,12 +209,8 @@ def facet_stats(summary: DataFrame) -> DataFrame:
 def _typed_errors(parsed: DataFrame) -> DataFrame:
     whole = {f.name: f for f in schemas.ERRORS_BY_COUNT}
     numbers = [whole[n] for n in ("codeval", "example_pandaid", "count")]
-    return (
-        _items(parsed, "errsByCount")
-        .withColumn("raw", F.from_json("item", ERROR_ITEM))
-        .withColumn("row", typed_row(numbers))
-        .withColumn("misfits", _misfits(numbers))
-    )
+    items = once(_items(parsed, "errsByCount"), raw=F.from_json("item", ERROR_ITEM))
+    return once(items, row=typed_row(numbers), misfits=misfits(numbers))
 
 
 def error_rows(parsed: DataFrame) -> DataFrame:
