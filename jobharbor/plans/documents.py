@@ -136,8 +136,10 @@ def sync_repos(
 
 def documents_of(repo_docs: DataFrame) -> DataFrame:
     """Synced documents as input of ``run_cycle``: the normalised text where there is one."""
-    raw = X.strip_index(landing.decode_lenient(F.col("content")))
-    return repo_docs.select(
+    decoded = repo_docs.select(
         F.concat_ws("/", "repo", "source_path").alias("path"),
-        F.coalesce("normalized", raw).alias("text"),
+        "normalized",
+        landing.decode_lenient(F.col("content")).alias("raw"),
     )
+    text = F.coalesce("normalized", X.strip_index(F.col("raw")))
+    return decoded.select("path", text.alias("text"))

@@ -288,15 +288,16 @@ def extract_text(
     empty text, so they are skipped like any file that yields none.
     """
     suffix = X.suffix(F.col("path"))
-    decoded = decode_lenient(F.col("content"))
-    decoded = F.when(suffix.isin("txt", "md"), X.universal_newlines(decoded)).otherwise(decoded)
-    text = X.strip_index(decoded, threshold)
+    decoded = files.select("path", "content", suffix.alias("suffix"), decode_lenient(F.col("content")).alias("text"))
+    plain = F.when(F.col("suffix").isin("txt", "md"), X.universal_newlines(F.col("text")))
+    text = X.strip_index(F.coalesce(plain, F.col("text")), threshold)
     for name in {"pdf", "docx"} - set(extractors or {}):
-        text = F.when(suffix == name, F.lit("")).otherwise(text)
+        text = F.when(F.col("suffix") == name, F.lit("")).otherwise(text)
     for name, parse in (extractors or {}).items():
-        parsed = _extractor(parse)(F.when(suffix == name, F.col("content")))
-        text = F.when(suffix == name, parsed).otherwise(text)
-    return files.select("path", text.alias("text"))
+        own = F.col("suffix") == name
+        decoded = decoded.withColumn(f"text_{name}", _extractor(parse)(F.when(own, F.col("content"))))
+        text = F.when(own, F.col(f"text_{name}")).otherwise(text)
+    return decoded.select("path", text.alias("text"))
 
 
 def _extractor(parse: Callable[[bytes], str]):
