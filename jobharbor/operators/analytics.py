@@ -168,7 +168,8 @@ def companion_listing(rows: DataFrame) -> DataFrame:
 
 
 def snapshot_listing(snapshots: DataFrame) -> DataFrame:
-    return snapshots.orderBy(F.desc("fetched_utc"))
+    """Newest first. The id breaks ties, so one busy second does not fill a single sort range."""
+    return snapshots.orderBy(F.desc("fetched_utc"), "snapshot_id")
 
 
 def endpoints(queuedata: DataFrame, column: str = "queues") -> DataFrame:

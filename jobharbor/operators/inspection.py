@@ -18,7 +18,7 @@ ORDER = {
     "jobs": lambda: [F.desc("_fetched_utc"), F.desc("pandaid")],
     "selectionsummary": lambda: [F.col("_queue"), F.col("id")],
     "errors_by_count": lambda: [F.col("_queue"), F.col("id")],
-    "snapshots": lambda: [F.desc("fetched_utc")],
+    "snapshots": lambda: [F.desc("fetched_utc"), F.col("snapshot_id")],
 }
 
 

@@ -23,7 +23,7 @@ def refresh(store: VersionedTables, snapshots: DataFrame, run_id: str, fetched)
     """
     loads = store.read("catalogue_loads", schemas.SNAPSHOTS)
     good, _ = landing.split_by_shape(gates.unseen_snapshots(snapshots, loads))
-    good = good.persist(StorageLevel.DISK_ONLY)  # parsed once for both passes
+    good = good.persist(StorageLevel.MEMORY_AND_DISK)  # parsed once for both passes
     try:
         entries = infer.catalogue_entries(good)
         fields = infer.field_list(infer.infer_types(infer.catalogue_cells(entries)))

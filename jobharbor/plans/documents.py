@@ -51,7 +51,7 @@ def run_cycle(
     """
     X.check_chunking(size, overlap)
     checkpoint = store.read("checkpoint", schemas.CHECKPOINT)
-    changes = gates.document_changes(documents, checkpoint).persist(StorageLevel.DISK_ONLY)
+    changes = gates.document_changes(documents, checkpoint).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stats = run_stats(changes).first().asDict()
         if not stats["processed"]:
@@ -111,7 +111,7 @@ def sync_repos(
     Files that vanished upstream stay. The state of a repository is renewed with its documents.
     """
     state = store.read("repo_state", schemas.REPO_STATE)
-    decided = gates.gate_repos(commits, state, config, now).persist(StorageLevel.DISK_ONLY)
+    decided = gates.gate_repos(commits, state, config, now).persist(StorageLevel.MEMORY_AND_DISK)
     repos = [r[0] for r in decided.where("decision = 'sync'").select(group_part(F.col("repo"))).collect()]
     if repos:
         docs = normalized_files(select_files(files, decided))
@@ -141,5 +141,4 @@ def documents_of(repo_docs: DataFrame) -> DataFrame:
         "normalized",
         landing.decode_lenient(F.col("content")).alias("raw"),
     )
-    text = F.coalesce("normalized", X.strip_index(F.col("raw")))
-    return decoded.select("path", text.alias("text"))
+    return decoded.select("path", X.strip_index(F.coalesce("normalized", "raw")).alias("text"))

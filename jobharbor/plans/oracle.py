@@ -239,7 +239,7 @@ ORACLE: dict[str, str] = {
     "recent_jobs_of_queue": f"""SELECT pandaid, jobstatus, durationsec FROM {JOBS} WHERE _queue = 'site_8'
         ORDER BY day DESC, pandaid DESC LIMIT 20""",
     "companion_listing": f"SELECT _queue, id, error, codeval, count FROM {ERRORS} ORDER BY _queue, id",
-    "snapshot_listing": f"SELECT pandaid, CAST(epoch_us(day) AS BIGINT) AS fetched FROM {JOBS} ORDER BY day DESC",
+    "snapshot_listing": f"SELECT pandaid AS snapshot_id, CAST(epoch_us(day) AS BIGINT) AS fetched FROM {JOBS} ORDER BY day DESC, pandaid",
     # --- inspection
     "export_json": """SELECT '{"event_id":' || event_id || ',"event_type":"' || event_type || '","value":' ||
         CASE WHEN event_type = 'error' THEN 'null' ELSE CAST(value AS VARCHAR) END || ',"props_json":' ||

@@ -343,7 +343,7 @@ def _loaded(spark, sf):
     base = shared_dir(spark, "stream")
     D.two_cycles(spark, sf).write.json(f"{base}/landing")
     store = VersionedTables(spark, f"{base}/store")
-    run = ingest.stream_jobs(spark, f"{base}/landing", store, f"{base}/progress")
+    run = ingest.stream_jobs(spark, f"{base}/landing", store, f"{base}/progress", jobs_per_part=20_000)
     run.awaitTermination()
     return store
 
@@ -621,8 +621,10 @@ def companion_listing(spark, sf):
 
 @query
 def snapshot_listing(spark, sf):
-    rows = D.event_jobs(spark, sf).select("pandaid", F.col("_fetched_utc").alias("fetched_utc"))
-    return analytics.snapshot_listing(rows).select("pandaid", micros("fetched_utc").alias("fetched"))
+    rows = D.event_jobs(spark, sf).select(
+        F.col("pandaid").alias("snapshot_id"), F.col("_fetched_utc").alias("fetched_utc")
+    )
+    return analytics.snapshot_listing(rows).select("snapshot_id", micros("fetched_utc").alias("fetched"))
 
 
 # --- inspection -------------------------------------------------------------------------------

@@ -73,11 +73,16 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_payloads(payloads: DataFrame) -> DataFrame:
     """Open each payload into arrays of item texts; ``body`` is null where it is no object."""
-    stamped = payloads.select(
-        F.col("queue").alias("_queue"),
-        F.date_trunc("second", "fetched_utc").cast("timestamp_ntz").alias("_fetched_utc"),
-        "payload",
+    return open_payloads(
+        payloads.select(
+            F.col("queue").alias("_queue"),
+            F.date_trunc("second", "fetched_utc").cast("timestamp_ntz").alias("_fetched_utc"),
+            "payload",
+        )
     )
+
+
+def open_payloads(stamped: DataFrame) -> DataFrame:
     body = F.when(is_json_object(F.col("payload")), F.from_json("payload", PAYLOAD_BODY))
     return once(stamped, body=body)
 

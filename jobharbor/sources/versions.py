@@ -76,6 +76,10 @@ class VersionedTables:
     def last_run(self) -> str | None:
         return next((e.run_id for e in self._entries()), None)
 
+    def tables(self) -> list[str]:
+        """Names of the tables that hold rows."""
+        return sorted({e.table_name for e in self._entries() if e.location})
+
     def read(
         self, table: str, schema: T.StructType, parts: Iterable[str] | None = None
     ) -> DataFrame:
