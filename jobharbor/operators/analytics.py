@@ -108,7 +108,6 @@ def errors_by_count(occurrences: DataFrame, queue: str = "_queue", job: str = "p
     counts = occurrences.groupBy(queue, "error", "codeval").agg(
         F.count("*").alias("count"),
         F.min(job).alias(f"example_{job}"),
-        F.min("diag").alias("diag"),
     )
     by_rank = Window.partitionBy(queue).orderBy(F.desc("count"), "error", "codeval")
     return counts.withColumn("id", (F.row_number().over(by_rank) - 1))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobharbor import schemas
+from jobharbor.descriptions import default_descriptions
 from jobharbor.functions import json_values as J
 from jobharbor.operators import analytics
 
@@ -65,16 +66,15 @@ def vertical(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def dictionary(spark: SparkSession, descriptions: DataFrame | None = None) -> DataFrame:
     """table_name, position, column_name, column_type, description of the known tables.
 
-    Descriptions come from a table (table_name, column_name, description) supplied by the user.
+    Descriptions come from a table (table_name, column_name, description), or short ones of ours.
     """
     layouts = [
         describe(spark, schema).select(F.lit(name).alias("table_name"), "*")
         for name, schema in schemas.TABLES.items()
     ]
     columns = reduce(DataFrame.unionByName, layouts)
-    if descriptions is None:
-        return columns.withColumn("description", F.lit(""))
-    return columns.join(descriptions, ["table_name", "column_name"], "left").withColumn(
+    texts = default_descriptions(spark) if descriptions is None else descriptions
+    return columns.join(texts, ["table_name", "column_name"], "left").withColumn(
         "description", F.coalesce("description", F.lit(""))
     )
 

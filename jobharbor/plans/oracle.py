@@ -33,7 +33,7 @@ JOBS = """(SELECT event_id AS pandaid, 'site_' || user_id AS _queue, date_trunc(
 OCCURRENCES = f"""(SELECT _queue, pandaid, 'pilot' AS error, piloterrorcode AS codeval, piloterrordiag AS diag FROM {JOBS}
     UNION ALL SELECT _queue, pandaid, 'ddm', ddmerrorcode, 'storage' FROM {JOBS})"""
 ERRORS = f"""(SELECT *, CAST(row_number() OVER (PARTITION BY _queue ORDER BY count DESC, error, codeval) - 1 AS INT) AS id
-    FROM (SELECT _queue, error, codeval, count(*) AS count, min(pandaid) AS example_pandaid, min(diag) AS diag
+    FROM (SELECT _queue, error, codeval, count(*) AS count, min(pandaid) AS example_pandaid
         FROM {OCCURRENCES} WHERE codeval <> 0 GROUP BY _queue, error, codeval))"""
 
 CATALOGUE = """(SELECT *, 'catalogue/' || c_custkey AS source, '{"' || c_name || '":' || CASE
@@ -229,7 +229,7 @@ ORACLE: dict[str, str] = {
         SELECT _queue, field, kname, count(*) AS kvalue,
         CAST(sum(count(*)) OVER (PARTITION BY _queue, field) AS BIGINT) AS sum FROM v GROUP BY _queue, field, kname""",
     "errors_ranked": f"SELECT * FROM {ERRORS}",
-    "top_errors": f"SELECT _queue, error, codeval, count, diag FROM {ERRORS} ORDER BY count DESC, _queue, id",
+    "top_errors": f"SELECT _queue, error, codeval, count FROM {ERRORS} ORDER BY count DESC, _queue, id",
     "error_members": f"SELECT _queue, error, codeval, pandaid FROM {OCCURRENCES} WHERE codeval <> 0",
     "error_example_jobs": f"""SELECT e._queue, error, codeval, example_pandaid, jobstatus, durationsec
         FROM {ERRORS} e JOIN {JOBS} j ON e.example_pandaid = j.pandaid""",
@@ -258,3 +258,4 @@ ORACLE: dict[str, str] = {
         '  ' || n || repeat(' ', greatest(30 - length(n), 0)) || '  ' || t || repeat(' ', greatest(10 - length(t), 0)) || '  ' || d || '.' AS line
         FROM e""",
 }
+ORACLE["job_upsert"] = ORACLE["stream_ingest"]

@@ -362,6 +362,16 @@ def stream_audit(spark, sf):
     return log.select("source", "ok", micros("fetched_utc").alias("fetched"))
 
 
+@query
+def job_upsert(spark, sf):
+    """The jobs part of a cycle alone: parse, type, fold and merge, without publishing."""
+    typed = landing.type_jobs(landing.parse_payloads(D.two_cycles(spark, sf)))
+    jobs = jobs_plan.upsert_jobs(schemas.empty(spark, schemas.JOBS), landing.job_rows(typed))
+    return jobs.select(
+        "pandaid", "jobstatus", "durationsec", "piloterrorcode", "_queue", micros("_fetched_utc").alias("fetched")
+    )
+
+
 # --- merges -----------------------------------------------------------------------------------
 
 
@@ -576,7 +586,7 @@ def errors_ranked(spark, sf):
 @query
 def top_errors(spark, sf):
     errors = analytics.errors_by_count(_occurrences(spark, sf))
-    return analytics.top_errors(errors).select("_queue", "error", "codeval", "count", "diag")
+    return analytics.top_errors(errors).select("_queue", "error", "codeval", "count")
 
 
 @query

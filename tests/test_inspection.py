@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from jobharbor import schemas
-from jobharbor.operators import inspection, merge
+from jobharbor.operators import analytics, inspection, merge
 
 
 def test_layouts(spark):
@@ -47,7 +47,9 @@ def test_context(spark):
     assert f"  {'count':<30} {'INTEGER':<10}  Jobs with it. More." in lines
     short = inspection.schema_context(entries, ["errors_by_count"], short=True)
     assert f"  {'count':<30}  {'INTEGER':<10}  Jobs with it." in short
-    assert inspection.schema_context(inspection.dictionary(spark)).count("Table: ") == 3
+    whole = inspection.schema_context(inspection.dictionary(spark))
+    assert whole.count("Table: ") == 3
+    assert f"  {'maxrss':<30} {'BIGINT':<10}  Highest resident memory in kB." in whole.split("\n")
 
 
 def test_audit_keeps_newest_entry(spark):
@@ -56,3 +58,16 @@ def test_audit_keeps_newest_entry(spark):
     rows = rows.withColumn("fetched_utc", F.col("fetched_utc").cast("timestamp_ntz"))
     log = merge.record_snapshots(schemas.empty(spark, schemas.SNAPSHOTS), rows).collect()
     assert [(r["snapshot_id"], r["ok"]) for r in log] == [("s1", False)]
+
+
+def test_queue_filter_reaches_the_scan(spark, folder):
+    rows = spark.createDataFrame([(1, "A"), (2, "B")], "pandaid long, _queue string")
+    rows.write.parquet(f"{folder}/t")
+    picked = analytics.of_queue(spark.read.parquet(f"{folder}/t"), "A").select("pandaid")
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(_queue,A)" in plan
+
+
+def test_snapshots_have_no_queue(spark):
+    rows = schemas.empty(spark, schemas.SNAPSHOTS)
+    assert analytics.of_queue(rows, "A") is rows
