@@ -66,6 +66,7 @@ def run_cycle(
         faults = (
             landing.bad_payloads(parsed)
             .unionByName(landing.bad_jobs(typed))
+            .unionByName(landing.bad_summaries(parsed))
             .unionByName(landing.bad_errors(parsed))
         )
         rows = landing.job_rows(typed)
@@ -81,7 +82,7 @@ def run_cycle(
         jobs = store.read("jobs", schemas.JOBS, ranges)
         audit = parsed.groupBy("_queue").agg(
             F.max("_fetched_utc").alias("fetched_utc"),
-            F.max(F.when(F.col("body").isNull(), "payload is not a JSON object")).alias("error"),
+            F.max(F.when(F.col("body").isNull(), "payload is not an object of lists")).alias("error"),
             F.max(F.struct("_fetched_utc", F.sha2("payload", 256).alias("hash")))["hash"].alias("content_hash"),
         )
         audit = audit.select(

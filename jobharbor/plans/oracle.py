@@ -132,7 +132,7 @@ ORACLE: dict[str, str] = {
         'site_' || user_id AS _queue, fetched FROM {GOOD} WHERE event_type <> 'signup'""",
     "payload_fields": f"SELECT DISTINCT 'site_' || user_id AS _queue, CAST(5 AS INT) AS n_listed FROM {GOOD} WHERE event_type <> 'signup'",
     "payload_quarantine": """SELECT CASE event_type WHEN 'signup' THEN 'jobs' ELSE 'payload' END AS kind,
-        CASE event_type WHEN 'signup' THEN 'does not fit: taskid' ELSE 'payload is not a JSON object' END AS reason,
+        CASE event_type WHEN 'signup' THEN 'does not fit: taskid' ELSE 'payload is not an object of lists' END AS reason,
         'site_' || user_id AS _queue, count(*) AS n_rows FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY ALL""",
     "payload_summary": f"""SELECT CAST(0 AS INT) AS id, 'jobstatus' AS field,
         '[{{"kname":"' || event_type || '","kvalue":1}}]' AS list_json,

@@ -23,7 +23,10 @@ ERROR_ITEM = (
     "struct<error string, codename string, codeval string, diag string, desc string, "
     "example_pandaid string, count string, pandalist string>"
 )
-PAYLOAD_BODY = "struct<jobs array<string>, selectionsummary array<string>, errsByCount array<string>>"
+PAYLOAD_BODY = (
+    "struct<jobs array<string>, selectionsummary array<string>, errsByCount array<string>, "
+    "misshapen string>"
+)
 
 
 # --- whole JSON files -------------------------------------------------------------------------
@@ -83,15 +86,18 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
 
 
 def open_payloads(stamped: DataFrame) -> DataFrame:
-    body = F.when(is_json_object(F.col("payload")), F.from_json("payload", PAYLOAD_BODY))
-    return once(stamped, body=body)
+    """``misshapen`` is filled where one of the three lists is something else."""
+    marked = {"columnNameOfCorruptRecord": "misshapen"}
+    body = F.from_json("payload", PAYLOAD_BODY, marked)
+    opened = once(stamped, body=F.when(is_json_object(F.col("payload")), body))
+    return opened.withColumn("body", F.when(F.col("body.misshapen").isNull(), F.col("body")))
 
 
 def bad_payloads(parsed: DataFrame) -> DataFrame:
     return parsed.where("body is null").select(
         F.lit("payload").alias("kind"),
         F.lit(None).cast("int").alias("position"),
-        F.lit("payload is not a JSON object").alias("reason"),
+        F.lit("payload is not an object of lists").alias("reason"),
         F.col("payload").alias("content"),
         "_queue",
         "_fetched_utc",
@@ -171,13 +177,32 @@ def bad_jobs(typed_jobs: DataFrame) -> DataFrame:
     )
 
 
-def summary_rows(parsed: DataFrame) -> DataFrame:
-    """Facet rows; the position in the response is the id."""
-    items = once(
+def _summaries(parsed: DataFrame) -> DataFrame:
+    return once(
         _items(parsed, "selectionsummary"),
         raw=F.from_json("item", SUMMARY_ITEM),
         keys=F.json_object_keys("item"),
     )
+
+
+def bad_items(items: DataFrame, kind: str) -> DataFrame:
+    return items.where("keys is null").select(
+        F.lit(kind).alias("kind"),
+        "position",
+        F.lit("not an object").alias("reason"),
+        F.col("item").alias("content"),
+        "_queue",
+        "_fetched_utc",
+    )
+
+
+def bad_summaries(parsed: DataFrame) -> DataFrame:
+    return bad_items(_summaries(parsed), "selectionsummary")
+
+
+def summary_rows(parsed: DataFrame) -> DataFrame:
+    """Facet rows; the position in the response is the id."""
+    items = _summaries(parsed).where("keys is not null")
     # present but null is the JSON text null; an absent list is empty, absent stats are no value
     as_text = lambda name, absent: F.when(
         F.array_contains("keys", name), F.coalesce(F.col(f"raw.{name}"), F.lit("null"))
@@ -214,7 +239,11 @@ def facet_stats(summary: DataFrame) -> DataFrame:
 def _typed_errors(parsed: DataFrame) -> DataFrame:
     whole = {f.name: f for f in schemas.ERRORS_BY_COUNT}
     numbers = [whole[n] for n in ("codeval", "example_pandaid", "count")]
-    items = once(_items(parsed, "errsByCount"), raw=F.from_json("item", ERROR_ITEM))
+    items = once(
+        _items(parsed, "errsByCount"),
+        raw=F.from_json("item", ERROR_ITEM),
+        keys=F.json_object_keys("item"),
+    )
     return once(items, row=typed_row(numbers), misfits=misfits(numbers))
 
 
@@ -222,7 +251,7 @@ def error_rows(parsed: DataFrame) -> DataFrame:
     """Ranked error rows; the position in the response is the id."""
     return (
         _typed_errors(parsed)
-        .where("size(misfits) = 0")
+        .where("size(misfits) = 0 and keys is not null")
         .select(
             F.col("position").alias("id"),
             "raw.error",
@@ -240,18 +269,16 @@ def error_rows(parsed: DataFrame) -> DataFrame:
 
 
 def bad_errors(parsed: DataFrame) -> DataFrame:
-    return (
-        _typed_errors(parsed)
-        .where("size(misfits) > 0")
-        .select(
-            F.lit("errors_by_count").alias("kind"),
-            "position",
-            F.concat(F.lit("does not fit: "), F.concat_ws(",", "misfits")).alias("reason"),
-            F.col("item").alias("content"),
-            "_queue",
-            "_fetched_utc",
-        )
+    errors = _typed_errors(parsed)
+    unfit = errors.where("size(misfits) > 0").select(
+        F.lit("errors_by_count").alias("kind"),
+        "position",
+        F.concat(F.lit("does not fit: "), F.concat_ws(",", "misfits")).alias("reason"),
+        F.col("item").alias("content"),
+        "_queue",
+        "_fetched_utc",
     )
+    return unfit.unionByName(bad_items(errors, "errors_by_count"))
 
 
 # --- documents --------------------------------------------------------------------------------

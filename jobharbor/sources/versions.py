@@ -12,8 +12,10 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,8 +102,7 @@ class VersionedTables:
         attempt = f"{run_id}-{uuid.uuid4().hex[:8]}"  # a retried run starts in folders of its own
         version = max((e.version for e in entries), default=0) + 1
         state = {(e.table_name, e.part, e.location) for e in entries if e.location}
-        for change in changes:
-            written = self._write(change, f"{self.base}/data/{change.table}/{attempt}")
+        for change, written in self._write_all(list(changes), attempt):
             if not change.append:
                 gone = None if change.parts is None else set(change.parts)
                 state = {
@@ -111,6 +112,14 @@ class VersionedTables:
         self._commit(version, run_id, state)
         return version
 
+    def _write_all(self, changes: list[Change], attempt: str):
+        """The tables are independent jobs, so the small ones run beside the large one."""
+        write = inheritable_thread_target(self.spark)(
+            lambda change: self._write(change, f"{self.base}/data/{change.table}/{attempt}")
+        )
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            return list(zip(changes, pool.map(write, changes)))
+
     def _write(self, change: Change, place: str) -> list[tuple[str, str]]:
         if change.rows is None:
             return []

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from jobharbor import schemas
 from jobharbor.functions import vectors as V
 from jobharbor.operators import gates
-from jobharbor.plans import documents
+from jobharbor.plans import catalogue, documents
 from jobharbor.sources import landing
 from jobharbor.sources.versions import VersionedTables
 from jobharbor.streaming import ingest
@@ -64,6 +65,33 @@ def test_directory_cycle(spark, folder):
     assert sorted(marks) == ["a.txt", "b.md", "bad.bin"]
 
 
+def test_watching(spark, folder):
+    """A file edited in place between two passes is picked up; the catalogue beside it as well."""
+    docs, store = f"{folder}/docs", VersionedTables(spark, f"{folder}/store")
+    other = VersionedTables(spark, f"{folder}/other")
+    write(docs, "a.txt", "one")
+    write(folder, "cat/c.json", '{"A": {"x": 1}}')
+    watched = ingest.watch_documents(spark, docs, store, lengths(), f"{folder}/c1", every="1 second", buckets=1)
+    refreshed = ingest.watch_catalogue(spark, f"{folder}/cat", other, f"{folder}/c2", every="1 second")
+    text = lambda: [r["chunk"] for r in store.read("chunks", schemas.CHUNKS).collect()]
+    try:
+        wait(lambda: text() == ["one"])
+        write(docs, "a.txt", "two!")
+        wait(lambda: text() == ["two!"])
+        wait(lambda: other.version() == 1)
+    finally:
+        watched.stop()
+        refreshed.stop()
+    assert [r["x"] for r in catalogue.queuedata(other).collect()] == [1]
+
+
+def wait(done, seconds=90):
+    end = time.time() + seconds
+    while not done():
+        assert time.time() < end
+        time.sleep(0.5)
+
+
 def test_vanished_files_keep_their_chunks(spark, folder):
     store = VersionedTables(spark, folder)
     pair = spark.createDataFrame([("a", "one"), ("b", "two")], "path string, text string")

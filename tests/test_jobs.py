@@ -125,20 +125,23 @@ def test_several_fetches_in_one_batch_apply_in_order(spark, folder):
 
 
 BAD = {"jobs": [{"pandaid": 1, "taskid": "seven"}, {"pandaid": 2, "taskid": 3.0}, {"jobstatus": "x"}],
-       "errsByCount": [{"count": "many"}, {"count": 2}]}
+       "selectionsummary": [7], "errsByCount": [{"count": "many"}, {"count": 2}, "x"]}
 
 
 def test_misfits_are_quarantined(spark, folder):
     store = VersionedTables(spark, folder)
-    jobs.run_cycle(store, landed(spark, ("A", T1, BAD), ("B", T1, "[1]"), ("C", T1, "{oops")), "r1")
+    jobs.run_cycle(store, landed(spark, ("A", T1, BAD), ("B", T1, "[1]"), ("C", T1, "{oops"), ("D", T1, '{"jobs": {"pandaid": 5}}')), "r1")
     assert {k: r["taskid"] for k, r in jobs_of(store).items()} == {2: 3}
     reasons = table(store, "quarantine", schemas.QUARANTINE, "_queue", "kind", "position")
     assert [(r["_queue"], r["kind"], r["reason"]) for r in reasons] == [
         ("A", "errors_by_count", "does not fit: count"),
+        ("A", "errors_by_count", "not an object"),
         ("A", "jobs", "does not fit: taskid"),
         ("A", "jobs", "no key"),
-        ("B", "payload", "payload is not a JSON object"),
-        ("C", "payload", "payload is not a JSON object"),
+        ("A", "selectionsummary", "not an object"),
+        ("B", "payload", "payload is not an object of lists"),
+        ("C", "payload", "payload is not an object of lists"),
+        ("D", "payload", "payload is not an object of lists"),
     ]
     assert [e["id"] for e in table(store, "errors_by_count", schemas.ERRORS_BY_COUNT, "id")] == [1]
 
