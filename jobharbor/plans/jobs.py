@@ -39,7 +39,7 @@ def newest_fetch(parsed: DataFrame) -> DataFrame:
 
     The few that remain are opened again, which is cheaper than sorting opened ones.
     """
-    good = parsed.where("body is not null").select(*FETCH, "payload")
+    good = parsed.where(landing.READABLE).select(*FETCH, "payload")
     last = merge.latest_per_key(good, ["_queue"], [F.desc("_fetched_utc"), F.desc("payload")])
     return landing.open_payloads(last)
 
@@ -82,7 +82,7 @@ def run_cycle(
         jobs = store.read("jobs", schemas.JOBS, ranges)
         audit = parsed.groupBy("_queue").agg(
             F.max("_fetched_utc").alias("fetched_utc"),
-            F.max(F.when(F.col("body").isNull(), "payload is not an object of lists")).alias("error"),
+            F.max(F.when(~F.expr(landing.READABLE), "payload is not an object of lists")).alias("error"),
             F.max(F.struct("_fetched_utc", F.sha2("payload", 256).alias("hash")))["hash"].alias("content_hash"),
         )
         audit = audit.select(

@@ -75,7 +75,7 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_payloads(payloads: DataFrame) -> DataFrame:
-    """Open each payload into arrays of item texts; ``body`` is null where it is no object."""
+    """Open each payload into arrays of item texts; READABLE tells the usable ones."""
     return open_payloads(
         payloads.select(
             F.col("queue").alias("_queue"),
@@ -89,12 +89,14 @@ def open_payloads(stamped: DataFrame) -> DataFrame:
     """``misshapen`` is filled where one of the three lists is something else."""
     marked = {"columnNameOfCorruptRecord": "misshapen"}
     body = F.from_json("payload", PAYLOAD_BODY, marked)
-    opened = once(stamped, body=F.when(is_json_object(F.col("payload")), body))
-    return opened.withColumn("body", F.when(F.col("body.misshapen").isNull(), F.col("body")))
+    return once(stamped, body=F.when(is_json_object(F.col("payload")), body))
+
+
+READABLE = "(body IS NOT NULL AND body.misshapen IS NULL)"
 
 
 def bad_payloads(parsed: DataFrame) -> DataFrame:
-    return parsed.where("body is null").select(
+    return parsed.where(f"NOT {READABLE}").select(
         F.lit("payload").alias("kind"),
         F.lit(None).cast("int").alias("position"),
         F.lit("payload is not an object of lists").alias("reason"),
@@ -106,7 +108,7 @@ def bad_payloads(parsed: DataFrame) -> DataFrame:
 
 def _items(parsed: DataFrame, name: str) -> DataFrame:
     """One row per array element with its 0-based position; a missing array is empty."""
-    return parsed.select(
+    return parsed.where(READABLE).select(
         "_queue", "_fetched_utc", F.posexplode(f"body.{name}").alias("position", "item")
     )
 
