@@ -85,8 +85,8 @@ def test_generic_source(spark, folder):
     assert "\r" not in row["content"] and len(row["content_hash"]) == 64
     store = VersionedTables(spark, f"{folder}/store")
     both = files.unionByName(snapshots(spark, "{broken", source="b.json"))
-    catalogue.ingest_source(store, "cric", both, "r1", at())
-    history = store.read("cric_history", schemas.HISTORY).collect()
+    catalogue.ingest_source(store, "catalog", both, "r1", at())
+    history = store.read("catalog_history", schemas.HISTORY).collect()
     assert [json.loads(h["data"])["payload"] for h in history] == [{"queues": [{"name": "q1", "site": "S1"}]}]
     audit = store.read("snapshots", schemas.SNAPSHOTS).orderBy("ok").collect()
     assert [(a["ok"], a["content_hash"] is None, a["error"] is None) for a in audit] == [(False, True, False), (True, False, True)]
