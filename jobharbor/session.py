@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -28,14 +27,13 @@ def build_session(app: str = "jobharbor", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder every executor can reach.
+    """A fresh folder every executor can reach; it goes when the session's JVM ends.
 
-    The cluster names the root in ``spark.checkpoint.dir``. Only a local session without that
-    setting falls back to a temporary folder of this machine.
+    The cluster names the root in ``spark.checkpoint.dir``. Where that is unset, as in tests, the
+    folder lies in the warehouse, which all executors share too.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="jobharbor-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
+    folder = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
