@@ -38,7 +38,7 @@ def exact_dedup(rows: DataFrame, id: str = "doc_id", text: str = "text", keep: s
     odd = stored(_unequal(whole, groups), "exact-collisions")
     by_hash = digests.join(groups, "hash")
     if not odd.isEmpty():
-        by_hash = _regrouped(whole, digests, by_hash, odd, pick)
+        by_hash = _regrouped(whole, digests, by_hash, odd.distinct(), pick)
     copy = F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy")
     return by_hash.select("*", copy).select(
         F.col("id").alias(id),
@@ -50,13 +50,16 @@ def exact_dedup(rows: DataFrame, id: str = "doc_id", text: str = "text", keep: s
 
 
 def _unequal(whole: DataFrame, groups: DataFrame) -> DataFrame:
-    """Hashes of groups in which some text differs from that of the row to keep."""
+    """Hash of every row whose text differs from that of the row to keep.
+
+    No aggregate follows the join, so adaptive execution may split a large group.
+    """
     repeated = groups.where("group_size > 1").select("hash", "keep_id")
     bits = membership(repeated.select(F.xxhash64("hash").alias("key")), "key")
     moved = may_hold(whole, F.xxhash64("hash"), bits, "_moves").where("_moves").drop("_moves")
     members = stored(moved.join(repeated, "hash"), "exact-members")
     kept = members.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("hash").agg(F.max("text").alias("kept_text"))
-    return members.join(kept, "hash").where("text <> kept_text").select("hash").distinct()
+    return members.join(kept, "hash").where("text <> kept_text").select("hash")
 
 
 def _regrouped(whole: DataFrame, digests: DataFrame, by_hash: DataFrame, odd: DataFrame, pick) -> DataFrame:
