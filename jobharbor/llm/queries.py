@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobharbor.llm import bpe, exact, language, packing, secrets, sharding, toxicity
+from jobharbor.llm import bpe, exact, language, ngram_join, packing, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -82,3 +82,8 @@ def op10_language(spark, sf_dir):
     model = language.fit(documents.where(~test))
     found = language.predict_language(documents.select("doc_id", "text"), model)
     return found.select("doc_id", test.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
