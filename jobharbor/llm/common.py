@@ -34,13 +34,13 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
-def slices(texts: list[str | None]) -> Iterator[list[str]]:
+def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[list[str]]:
     """Nulls as empty texts, in runs of bounded size; a single longer text is a run of its own."""
     part: list[str] = []
     held = 0
     for text in texts:
         text = text or ""
-        if part and (len(part) == SLICE_ROWS or held + len(text) > SLICE_CHARS):
+        if part and (len(part) == SLICE_ROWS or held + len(text) > chars):
             yield part
             part, held = [], 0
         part.append(text)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobharbor.llm import bpe, exact, language, ngram_join, packing, secrets, sharding, toxicity
+from jobharbor.llm import bpe, exact, language, ngram_join, packing, repeats, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -87,3 +87,9 @@ def op10_language(spark, sf_dir):
 @query
 def op3_ngram_join(spark, sf_dir):
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_repeats(spark, sf_dir):
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
