@@ -97,5 +97,14 @@ def may_hold(rows: DataFrame, key: Column, bits: DataFrame, flag: str) -> DataFr
     bit = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     held = (F.floor(byte / F.pow(F.lit(2.0), bit % 8)) % 2) == 1
-    joined = rows.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "_bucket", "left")
-    return joined.withColumn(flag, F.coalesce(held, F.lit(False))).select(*rows.columns, flag)
+    joined = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("_bucket"), "left")
+    return joined.select(*rows.columns, F.coalesce(held, F.lit(False)).alias(flag))
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not in ``gone``; rows with a null key stay. Rows the filter clears don't move."""
+    name, flag = fresh("_gone", rows.columns), fresh("_may", rows.columns)
+    gone = gone.select(F.col(key).alias(name)).distinct()
+    flagged = may_hold(rows, F.xxhash64(key), membership(gone.select(F.xxhash64(name).alias("_key")), "_key"), flag)
+    left = flagged.where(flag).join(gone, F.col(key) == F.col(name), "left_anti")
+    return flagged.where(~F.col(flag)).unionByName(left).drop(flag)

@@ -7,7 +7,7 @@ A group that holds a third of all rows is counted before the shuffle and its joi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobharbor.llm.common import may_hold, membership, stored
@@ -74,17 +74,19 @@ def _regrouped(whole: DataFrame, digests: DataFrame, by_hash: DataFrame, odd: Da
 def keep_first(rows: DataFrame, id: str = "doc_id", text: str = "text", keep: str = "min", hashed=content_hash) -> DataFrame:
     """The rows that stay, with all their columns; of rows that repeat id and text one stays.
 
-    The digest of the text joins along with the id, so that equal ids with different texts stay apart.
+    Rows of groups of one stay where they are; the others join the verdict by id and digest, so that equal ids with
+    different texts stay apart.
     """
-    verdict = exact_dedup(rows, id, text, keep, hashed).where("kept").select(F.col(id).alias("_id"), F.col("text_sha256").alias("_sha"))
-    row = rows.select(F.struct(*rows.columns).alias("_row"))
+    verdict = stored(exact_dedup(rows, id, text, keep, hashed).where("group_size > 1"), "exact-verdict")
     sha = F.sha2(F.coalesce(F.col("_row")[text], F.lit("")), 256)
-    found = row.withColumn("_own", sha).join(verdict, F.col("_row")[id].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")))
-    repeated = F.row_number().over(_by_row(id))
-    return found.withColumn("_n", repeated).where("_n = 1").select("_row.*")
-
-
-def _by_row(id: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy("_id", "_sha").orderBy("_own")
+    nested = rows.select(F.struct(*rows.columns).alias("_row")).withColumn("_own", sha)
+    bits = membership(verdict.select(F.xxhash64("text_sha256").alias("_key")), "_key")
+    flagged = may_hold(nested, F.xxhash64("_own"), bits, "_may")
+    groups = verdict.select("text_sha256").distinct()
+    kept = verdict.where("kept").select(F.col(id).alias("_id"), F.col("text_sha256").alias("_sha"))
+    moved = flagged.where("_may")
+    alone = moved.join(groups, F.col("_own") == F.col("text_sha256"), "left_anti")
+    found = moved.join(kept, F.col("_row")[id].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")))
+    one = found.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_sha").orderBy("_own"))).where("_n = 1")
+    rest = flagged.where("not _may").select("_row").unionByName(alone.select("_row"))
+    return rest.unionByName(one.select("_row")).select("_row.*")

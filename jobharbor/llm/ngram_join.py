@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobharbor.llm.common import fresh, may_hold, membership, per_text, stored
+from jobharbor.llm.common import may_hold, membership, per_text, stored, without
 from jobharbor.llm.graphs import components
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
@@ -232,6 +232,4 @@ def ngram_jaccard_join(
 def keep_one(rows: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows that stay when one document of each class does, the one with the smallest id; rows with a null id stay."""
     verdict = ngram_jaccard_join(rows, id, text, **how)
-    name = fresh("_id", rows.columns)
-    gone = verdict.where(F.col("class_id") != F.col(id)).select(F.col(id).alias(name)).distinct()
-    return rows.join(gone, F.col(id) == F.col(name), "left_anti")
+    return without(rows, stored(verdict.where(F.col("class_id") != F.col(id)).select(id), "join-gone"), id)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobharbor.llm import bpe, exact, language, ngram_join, packing, repeats, secrets, sharding, toxicity
+from jobharbor.llm import bpe, exact, language, neighbours, ngram_join, packing, repeats, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -93,3 +93,9 @@ def op3_ngram_join(spark, sf_dir):
 def op5_repeats(spark, sf_dir):
     found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op2_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"))

@@ -172,7 +172,7 @@ def scan_secrets(rows: DataFrame, text: str = "text", into: str = "secrets", dro
 def redact(rows: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same columns, with every span of a secret replaced; overlapping spans become one mark. Null stays null."""
     found = scan_secrets(rows, text)
-    spans = found.columns[-1]
+    spans, names = found.columns[-1], rows.columns
 
     def run(batches):
         import pyarrow as pa
@@ -180,8 +180,8 @@ def redact(rows: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
         for batch in batches:
             texts = batch.column(text).to_pylist()
             made = [_redacted(t, s, mark) if s else t for t, s in zip(texts, batch.column(spans).to_pylist(), strict=True)]
-            columns = [pa.array(made, type=pa.string()) if c == text else batch.column(c) for c in rows.columns]
-            yield pa.RecordBatch.from_arrays(columns, names=rows.columns)
+            columns = [pa.array(made, type=pa.string()) if c == text else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return found.mapInArrow(run, rows.schema)
 

@@ -200,3 +200,9 @@ def score_toxicity(rows: DataFrame, model: Model, text: str = "text", drop_text:
         return run
 
     return per_text(rows, text, f"`{score}` double, `{offending}` array<struct<start: int, end: int, score: double>>", maker, drop_text)
+
+
+def keep_clean(rows: DataFrame, model: Model, text: str = "text", reject: float = REJECT) -> DataFrame:
+    """The rows that score less than ``reject``, with the same columns."""
+    scored = score_toxicity(rows, model, text, drop_text=False)
+    return scored.where(F.col(scored.columns[-2]) < reject).select(*rows.columns)
