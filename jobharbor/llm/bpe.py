@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 import unicodedata
 
 import ahocorasick
@@ -66,7 +67,7 @@ class _Runs(dict):
         self.encode = encode
 
     def __missing__(self, run: str) -> bytes:
-        ids = np.array(self.encode(run), dtype="<u4").tobytes()
+        ids = self.encode(run)
         if len(run) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -107,21 +108,27 @@ class WordBpe:
         self.spelt = [symbols(n) for n in names]
         self.by_spelling = {s: i for i, s in enumerate(self.spelt)}
         self.ids = [vocabulary[n] for n in names]
+        self.sizes = [len(s) for s in self.spelt]
+        # only tokens that the merges make of their own spelling can ever be part of a result; parts come before wholes
+        self.whole: list[bool] = []
+        for token, (left, right) in enumerate(self.parts):
+            self.whole.append(left == token or self.whole[left] and self.whole[right] and self._apart(left, right, token))
         self.found = ahocorasick.Automaton()
         for i, s in enumerate(self.spelt):
-            self.found.add_word(s, (i, len(s)))
+            if self.whole[i]:
+                self.found.add_word(s, (i, len(s) - 1))
         self.found.make_automaton()
-        self.whole: dict[int, bool] = {}
         self.shorter: dict[int, int] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special_first = {t[0] for t in self.added}
         self.special = re.compile("(" + "|".join(sorted(map(re.escape, self.added), key=len, reverse=True)) + ")")
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern.replace("\\s", SPACES))
         self.spaces = re.compile(f"[{SPACES}]+")
         self.runs = _Runs(self._run)
-        self.word_ids: dict[str, list[int]] = {}
+        self.word_ids: dict[str, bytes] = {}
 
         size = max(*self.ids, *self.added.values()) + 1
         shown = [b""] * size
@@ -136,23 +143,23 @@ class WordBpe:
         cut = self.spaces.split(text) if any(c in text for c in SEPARATORS) else text.split()
         return np.frombuffer(b"".join(map(self.runs.__getitem__, cut)), dtype="<u4")
 
-    def _run(self, run: str) -> list[int]:
-        ids: list[int] = []
-        for piece in self.special.split(run):
-            if piece in self.added:
-                ids.append(self.added[piece])
-            elif piece:
-                # lower case of each character on its own, whatever stands beside it
-                plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-                for word in self.words.findall(plain):
-                    ids.extend(self._word(word))
-        return ids
+    def _run(self, run: str) -> bytes:
+        if self.special_first.isdisjoint(run):
+            return self._piece(run)
+        pieces = (p for p in self.special.split(run) if p)
+        return b"".join(struct.pack("<I", self.added[p]) if p in self.added else self._piece(p) for p in pieces)
+
+    def _piece(self, piece: str) -> bytes:
+        # lower case of each character on its own, whatever stands beside it
+        plain = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+        return b"".join(map(self._word, self.words.findall(plain)))
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         known = self.word_ids.get(word)
         if known is None:
-            spelt = word.encode().decode("latin-1")
-            known = [self.ids[t] for t in self._tokens(spelt[:-1] + chr(256 + ord(spelt[-1])))]
+            spelt = word if word.isascii() else word.encode().decode("latin-1")
+            tokens = self._tokens(spelt[:-1] + chr(256 + ord(spelt[-1])))
+            known = struct.pack(f"<{len(tokens)}I", *[self.ids[t] for t in tokens])
             if len(word) <= LONGEST:
                 if len(self.word_ids) >= REMEMBERED:
                     self.word_ids.clear()
@@ -161,31 +168,36 @@ class WordBpe:
 
     def _tokens(self, spelt: str) -> list[int]:
         whole = self.by_spelling.get(spelt)
-        if whole is not None and self._stands(whole):
+        if whole is not None and self.whole[whole]:
             return [whole]
         n = len(spelt)
         longest = [-1] * n
-        for end, (token, length) in self.found.iter(spelt):
-            if self._stands(token):
-                longest[end - length + 1] = token  # ends come in order, so the last is the longest
+        for end, (token, before) in self.found.iter(spelt):
+            longest[end - before] = token  # ends come in order, so the last is the longest
+        sizes, fits = self.sizes, self.pairs
         taken: list[int] = []
         dead = bytearray(n + 1)
-        at, token = 0, longest[0]
+        at, token, last = 0, longest[0], -1
         while at < n:
-            last = taken[-1] if taken else -1
-            while True:
-                end = at + len(self.spelt[token])
-                if not dead[end] and (last < 0 or self._fit(last, token)):
+            end = at + sizes[token]
+            if not dead[end]:
+                fit = last < 0 or fits.get((last, token))
+                if fit is None:
+                    fit = self._fit(last, token)
+                if fit:
                     taken.append(token)
-                    at = end
-                    token = longest[at] if at < n else -1
-                    break
+                    last, at = token, end
+                    if at < n:
+                        token = longest[at]
+                    continue
+            token = self._next_shorter(token)
+            while token < 0:
+                # nothing fits here: the last token gives way to a shorter one
+                dead[at] = 1
+                token = taken.pop()
+                at -= sizes[token]
+                last = taken[-1] if taken else -1
                 token = self._next_shorter(token)
-                if token < 0:
-                    dead[at] = 1
-                    token = taken.pop()
-                    at -= len(self.spelt[token])
-                    break
         return taken
 
     def _next_shorter(self, token: int) -> int:
@@ -193,23 +205,13 @@ class WordBpe:
         if (known := self.shorter.get(token)) is None:
             spelt = self.spelt[token]
             prefixes = (self.by_spelling.get(spelt[:k], -1) for k in range(len(spelt) - 1, 0, -1))
-            known = self.shorter[token] = next((p for p in prefixes if p >= 0 and self._stands(p)), -1)
-        return known
-
-    def _stands(self, token: int) -> bool:
-        """Whether the merges make this token of its own spelling."""
-        if (known := self.whole.get(token)) is None:
-            left, right = self.parts[token]
-            known = left == token or left != token and self._stands(left) and self._stands(right) and self._apart(left, right, token)
-            self.whole[token] = known
+            known = self.shorter[token] = next((p for p in prefixes if p >= 0 and self.whole[p]), -1)
         return known
 
     def _fit(self, left: int, right: int) -> bool:
-        pair = (left, right)
-        if (known := self.pairs.get(pair)) is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[pair] = self._apart(left, right, len(self.parts))
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        known = self.pairs[left, right] = self._apart(left, right, len(self.parts))
         return known
 
     def _apart(self, left: int, right: int, limit: int) -> bool:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -85,19 +85,23 @@ def _counts(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         words: dict[str, Counter] = {}
-        tally: Counter = Counter()
+        tallies: dict[str, dict[str, int]] = {}
 
         def fold():
             for lang, counts in words.items():
+                tally = tallies.setdefault(lang, defaultdict(int))
                 for word, n in counts.items():
                     for gram in grams(word):
-                        tally[lang, gram] += n
+                        tally[gram] += n
             words.clear()
 
         def out():
-            made = [(lang, gram, n) for (lang, gram), n in tally.items()]
-            tally.clear()
-            return pa.RecordBatch.from_pylist([{"lang": a, "gram": b, "n": n} for a, b, n in made], schema=schema)
+            for lang, tally in tallies.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(tally), type=pa.string()), pa.array(list(tally), type=pa.string()), pa.array(list(tally.values()), type=pa.int64())],
+                    schema=schema,
+                )
+            tallies.clear()
 
         schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
         for batch in batches:
@@ -108,34 +112,45 @@ def _counts(rows: DataFrame) -> DataFrame:
                 at += len(part)
                 if sum(map(len, words.values())) > REMEMBERED:
                     fold()
-                if len(tally) > REMEMBERED:
-                    yield out()
+                if sum(map(len, tallies.values())) > REMEMBERED:
+                    yield from out()
         fold()
-        if tally:
-            yield out()
+        yield from out()
 
     return rows.mapInArrow(run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-class _Words(dict):
-    """Counts of a word's n-grams side by side in one number: lane 0 for all, lane l + 1 for those of language l."""
+class _Grams(dict):
+    """Counts of one n-gram side by side in one number: 1 in lane 0, and in lane l + 1 if it is in the filter of language l."""
 
     def __init__(self, table: np.ndarray, languages: int):
         self.slots = len(table)
         self.rows = [sum(int(x) << (64 * i) for i, x in enumerate(row)) for row in table.tolist()]
         self.spread = [1 << (LANE * (i + 1)) for i in range(languages)]
 
+    def __missing__(self, gram: str) -> int:
+        mask = -1
+        for place in places(gram, self.slots):
+            mask &= self.rows[place]
+        value = 1
+        while mask:
+            low = mask & -mask
+            value += self.spread[low.bit_length() - 1]
+            mask ^= low
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[gram] = value
+        return value
+
+
+class _Words(dict):
+    """The sum over a word's n-grams."""
+
+    def __init__(self, table: np.ndarray, languages: int):
+        self.grams = _Grams(table, languages)
+
     def __missing__(self, word: str) -> int:
-        found = grams(word)
-        value = len(found)
-        for gram in found:
-            mask = -1
-            for place in places(gram, self.slots):
-                mask &= self.rows[place]
-            while mask:
-                low = mask & -mask
-                value += self.spread[low.bit_length() - 1]
-                mask ^= low
+        value = sum(map(self.grams.__getitem__, grams(word)))
         if len(word) <= 64:
             if len(self) >= REMEMBERED:
                 self.clear()
