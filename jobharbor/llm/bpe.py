@@ -9,6 +9,9 @@ compatible is the one that the merges produce.
 Neither a token nor a normalisation reaches across white space, so the ids of a run without white space are remembered
 whole. The memory of a worker is bounded; runs forgotten are encoded again.
 
+Text is normalised by Python's Unicode tables. The tokenizers order combining marks by an older version, so where a mark that is newer than
+theirs stands next to another mark the ids can differ.
+
 Vocabulary files are those of word-level BPE with ends of words: read from a path that every executor has.
 """
 
@@ -32,7 +35,19 @@ REMEMBERED, LONGEST = 400_000, 48
 PAIRS = 2_000_000
 #: Python counts these as white space when it splits, Unicode doesn't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
-SPACES = "\t\n\v\f\r \x85\xa0  -     　"
+#: Capitals that Unicode got after the version Python knows, with their small letters: first, last, distance.
+LATE_CAPITALS = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1),
+                 (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B))
+#: Letters and numbers of that version (16.0), first and last. What neither version has is no letter to the tokenizers.
+LATE_WORDS = ((0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85),
+              (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7),
+              (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA),
+              (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C), (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9),
+              (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA))
+LATE = {c: c + by for first, last, by in LATE_CAPITALS for c in range(first, last + 1)}
+#: Stands for a character that Unicode has not assigned: neither letter nor number nor space.
+UNASSIGNED = "\ue000"
+SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_characters() -> list[str]:
@@ -42,6 +57,10 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(256 + others.index(b)) for b in range(256)]
 
 
+def _late(code: int) -> bool:
+    return any(first <= code <= last for first, last in LATE_WORDS)
+
+
 class OffsetTable:
     """Strings laid end to end; looking up many numbers is one gather."""
 
@@ -151,8 +170,13 @@ class WordBpe:
 
     def _piece(self, piece: str) -> bytes:
         # lower case of each character on its own, whatever stands beside it
-        plain = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-        return b"".join(map(self._word, self.words.findall(plain)))
+        if piece.isascii():
+            return b"".join(map(self._word, self.words.findall(piece.lower())))
+        plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+        # the pattern's library knows later versions of Unicode than the tokenizers do
+        classed = "".join(UNASSIGNED if unicodedata.category(c) == "Cn" and not _late(ord(c)) else c for c in plain)
+        spelt = plain.translate(LATE)
+        return b"".join(self._word(spelt[m.start() : m.end()]) for m in self.words.finditer(classed))
 
     def _word(self, word: str) -> bytes:
         known = self.word_ids.get(word)

@@ -145,7 +145,7 @@ def _fit(bags: list[tuple], vocabulary: dict[str, int]) -> Model:
         total = empty * np.logaddexp(0, values[k]) + np.bincount(bag_of, np.logaddexp(0, z), minlength=len(bags))
         slope = share * np.where(y == 1, 1 / np.expm1(np.clip(total, 1e-12, 50)), -1.0)
         of_z = slope[bag_of] / (1 + np.exp(-z))
-        gradient = np.bincount(feature, of_z[sentence_of], minlength=k + 1)
+        gradient = np.bincount(feature, of_z[sentence_of], minlength=k + 1).astype(float)
         gradient[k] = of_z.sum() + (slope * empty).sum() / (1 + math.exp(-values[k]))
         gradient[:k] -= PENALTY * values[:k]
         mean = 0.9 * mean + 0.1 * gradient
