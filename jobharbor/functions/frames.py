@@ -15,13 +15,3 @@ def once(rows: DataFrame, **columns: Column) -> DataFrame:
     """
     made = F.struct(*[value.alias(name) for name, value in columns.items()])
     return rows.select("*", made.alias("_once")).select(*rows.columns, F.inline(F.array("_once")))
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Use every core on input that arrives in fewer pieces than there are cores.
-
-    Meant for a few small files ahead of heavy parsing. Large input has more splits than cores
-    and passes through untouched, so nothing is shuffled at scale.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -42,10 +42,10 @@ def current_snapshot(
 ) -> DataFrame:
     """Rows of each queue's newest fetch.
 
-    The newest fetch is one row per queue, so it is normally broadcast at run time by its measured
-    size and the large side is not shuffled; otherwise skewed queues are split.
+    Each task keeps the rows of the newest fetch it has seen of a queue before anything is shuffled.
     """
-    return rows.join(latest_fetch(rows, queue, fetched), [queue, fetched])
+    rank = F.rank().over(Window.partitionBy(queue).orderBy(F.desc(fetched)))
+    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
 def current_snapshot_of(

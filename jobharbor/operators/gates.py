@@ -119,16 +119,16 @@ def with_text(documents: DataFrame) -> DataFrame:
 
 
 def document_changes(documents: DataFrame, checkpoint: DataFrame) -> DataFrame:
-    """Documents (path, text) with their hash, status and previously stored chunk ids.
+    """path, content_hash, status, previous_hash and previous_chunks of documents (path, text).
 
-    Files without text are left out. Files that disappeared are not visited, so they keep their
-    chunks.
+    Texts are hashed where they are read; only paths and hashes are joined. Files without text are left out. Files that
+    disappeared are not visited, so they keep their chunks.
     """
-    hashed = with_text(documents).withColumn("content_hash", X.content_hash(F.col("text")))
+    hashed = with_text(documents).select("path", X.content_hash(F.col("text")).alias("content_hash"))
     before = checkpoint.select(
         "path",
         F.col("content_hash").alias("previous_hash"),
-        F.col("chunk_ids").alias("previous_ids"),
+        F.col("chunks").alias("previous_chunks"),
     )
     status = (
         F.when(F.col("previous_hash").isNull(), "new")
@@ -138,8 +138,10 @@ def document_changes(documents: DataFrame, checkpoint: DataFrame) -> DataFrame:
     return hashed.join(before, "path", "left").withColumn("status", status)
 
 
-def to_process(changes: DataFrame) -> DataFrame:
-    return changes.where("status <> 'unchanged'")
+def to_process(changes: DataFrame, documents: DataFrame) -> DataFrame:
+    """The documents (path, text) that are new or changed, with their hash."""
+    wanted = changes.where("status <> 'unchanged'").select("path", "content_hash")
+    return with_text(documents).select("path", "text").join(wanted, "path")
 
 
 def is_processed(documents: DataFrame, checkpoint: DataFrame) -> DataFrame:

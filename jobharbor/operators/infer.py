@@ -16,11 +16,19 @@ VALUE_COLUMN = "data"
 
 
 def catalogue_entries(snapshots: DataFrame, *keep: str) -> DataFrame:
-    """One row per top-level key of each landed object: its key and its payload."""
-    exploded = snapshots.lateralJoin(
-        snapshots.sparkSession.tvf.variant_explode(F.col("raw").outer())
-    )
-    return exploded.select(*keep, F.col("key").alias("name"), F.col("value").alias("payload"))
+    """One row per top-level key of each landed object: its key and its payload.
+
+    Entries are parsed one by one and spread over tasks again, so one large file is neither one value nor one
+    task. Of a repeated key the last entry counts.
+    """
+    opened = snapshots.select(*keep, F.from_json("content", "map<string, variant>").alias("_map"))
+    entries = once(opened, _keys=F.map_keys("_map"))
+    repeats = F.size(F.array_distinct("_keys")) < F.size("_keys")
+    single = entries.where(~repeats).select(*keep, F.explode("_map").alias("name", "payload"))
+    tagged = entries.where(repeats).select("*", F.xxhash64("_keys", *keep).alias("_file"))
+    placed = tagged.select("_file", *keep, F.posexplode("_map").alias("_at", "name", "payload"))
+    last = placed.groupBy("_file", *keep, "name").agg(F.max_by("payload", "_at").alias("payload"))
+    return single.unionByName(last.drop("_file")).hint("rebalance")
 
 
 def fields_of(payload: Column) -> Column:
@@ -43,12 +51,9 @@ def infer_types(cells: DataFrame) -> DataFrame:
     return ranked.select("field", J.type_name(widest).alias("type"))
 
 
-def field_list(types: DataFrame, limit: int = 10_000) -> list[tuple[str, str]]:
-    """The inferred columns on the driver; refuses input too irregular to be a table."""
-    rows = types.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} fields: this is not a table of records")
-    return sorted((r["field"], r["type"]) for r in rows)
+def field_list(types: DataFrame) -> list[tuple[str, str]]:
+    """The inferred columns: the layout of the wide table, which the driver must plan with."""
+    return sorted((r["field"], r["type"]) for r in types.collect())
 
 
 def wide_rows(entries: DataFrame, fields: list[tuple[str, str]], *keep: str) -> DataFrame:

@@ -82,18 +82,26 @@ def fold_statements(
 
 
 def upsert_partial(
-    target: DataFrame, statement: DataFrame, key: str, columns: Sequence[str], always: Sequence[str]
+    target: DataFrame,
+    statement: DataFrame,
+    key: str,
+    columns: Sequence[str],
+    always: Sequence[str],
+    newer: str | None = None,
 ) -> DataFrame:
     """Insert new keys; on existing ones replace the listed columns and ``always``.
 
     ``statement`` has one row per key with its record in ``row`` and its column flags in
     ``listed``. A column the batch did not list keeps its old value; a listed one takes the new
-    value even if that is null.
+    value even if that is null. With ``newer``, one of ``always``, a stored row changes only if the statement's value
+    is not smaller.
     """
     merged = target.alias("old").join(
         statement.alias("new"), F.col(f"old.{key}") == F.col(f"new.{key}"), "full_outer"
     )
     matched = f"new.`{key}` IS NOT NULL"
+    if newer:
+        matched = f"({matched} AND (old.`{newer}` IS NULL OR new.`{newer}` >= old.`{newer}`))"
     picks = {
         c: f"if({matched} AND {is_listed('new.listed', i)}, new.row.`{c}`, old.`{c}`)"
         for i, c in enumerate(columns)
@@ -144,10 +152,10 @@ def build_chunks(documents: DataFrame, size: int, overlap: int, processed_ts: Co
     )
 
 
-def replace_chunks(live: DataFrame, previous: DataFrame, new: DataFrame) -> DataFrame:
-    """Remove the chunk ids recorded in ``previous`` checkpoints, then add the new chunks."""
-    stale = previous.select(F.explode("chunk_ids").alias("id"))
-    return live.join(stale, "id", "left_anti").unionByName(new.select(*live.columns))
+def replace_chunks(live: DataFrame, changed: DataFrame, new: DataFrame) -> DataFrame:
+    """Remove the chunks of the files in ``changed`` (path), then add the new ones."""
+    stale = changed.select(F.col("path").alias("source_file")).distinct()
+    return live.join(stale, "source_file", "left_anti").select(*live.columns).unionByName(new.select(*live.columns))
 
 
 def chunk_count(text: Column, size: int, overlap: int) -> Column:

@@ -16,37 +16,58 @@ FIELDS = schemas.layout("field STRING, type STRING")
 
 
 def refresh(store: VersionedTables, snapshots: DataFrame, run_id: str, fetched) -> int | None:
-    """Replace ``queuedata`` when the catalogue's content has changed; the version, or None.
+    """Bring ``queuedata`` up to date with the sources whose content has changed; the version, or None.
 
-    Unchanged content, a top level that is no object, and an empty object all leave the table as
-    it is.
+    The entries of a changed source replace its own; other sources keep theirs. Unchanged content, a top level that is no
+    object, and an empty object leave the table as it is. What is refused goes to quarantine and audit, once.
     """
     loads = store.read("catalogue_loads", schemas.SNAPSHOTS)
-    good, _ = landing.split_by_shape(gates.unseen_snapshots(snapshots, loads))
-    good = good.persist(StorageLevel.MEMORY_AND_DISK)  # parsed once for both passes
+    unseen = gates.unseen_snapshots(snapshots, loads).persist(StorageLevel.MEMORY_AND_DISK)
+    good, refused = landing.split_by_shape(unseen)
+    refused = refused.join(loads.where("not ok").select("source", "content_hash"), ["source", "content_hash"], "left_anti")
+    new = infer.catalogue_entries(good, "source").select("source", "name", F.to_json("payload").alias("payload"))
+    new = new.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        entries = infer.catalogue_entries(good)
-        fields = infer.field_list(infer.infer_types(infer.catalogue_cells(entries)))
-        if not fields:
-            return None
-        log = good.select(
+        moment = fetched.cast("timestamp_ntz")
+        changed = new.select("source").distinct()
+        noted = good.join(changed, "source").select("source", "content_hash", F.lit(None).cast("string").alias("error"))
+        noted = noted.unionByName(refused.select("source", "content_hash", F.col("reason").alias("error")))
+        log = noted.select(
             F.concat_ws("/", F.lit(run_id), "source").alias("snapshot_id"),
             "source",
-            fetched.cast("timestamp_ntz").alias("fetched_utc"),
+            moment.alias("fetched_utc"),
             "content_hash",
-            F.lit(True).alias("ok"),
-            F.lit(None).cast("string").alias("error"),
+            F.col("error").isNull().alias("ok"),
+            "error",
         )
-        return store.publish(
-            run_id,
-            [
-                Change("queuedata", infer.wide_rows(entries, fields)),
-                Change("queuedata_fields", store.spark.createDataFrame(fields, FIELDS)),
-                Change("catalogue_loads", log, append=True),
-            ],
+        faults = refused.select(
+            F.lit("catalogue").alias("kind"),
+            F.lit(None).cast("int").alias("position"),
+            "reason",
+            "content",
+            F.col("source").alias("_queue"),
+            moment.alias("_fetched_utc"),
         )
+        changes = [Change("catalogue_loads", log, append=True), Change("quarantine", faults, append=True)]
+        if new.isEmpty():
+            if not refused.isEmpty():
+                store.publish(run_id, changes)
+            return None
+        known = store.read("catalogue_entries", schemas.CATALOGUE_ENTRIES)
+        entries = known.join(changed, "source", "left_anti").unionByName(new)
+        parsed = entries.select("source", "name", F.parse_json("payload").alias("payload"))
+        fields = infer.field_list(infer.infer_types(infer.catalogue_cells(parsed)))
+        if not fields:
+            return None
+        tables = [
+            Change("queuedata", infer.wide_rows(parsed, fields)),
+            Change("queuedata_fields", store.spark.createDataFrame(fields, FIELDS)),
+            Change("catalogue_entries", entries),
+        ]
+        return store.publish(run_id, [*tables, *changes])
     finally:
-        good.unpersist()
+        new.unpersist()
+        unseen.unpersist()
 
 
 def queuedata(store: VersionedTables) -> DataFrame:
@@ -59,12 +80,10 @@ def ingest_source(
 ) -> int:
     """A generic landed source: every readable file to ``<name>_history``, every file to the audit."""
     when = fetched.cast("timestamp_ntz")
-    readable = snapshots.where("raw is not null")
-    rows = readable.select(
-        F.col("raw").alias("payload"), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("fetched_utc")
-    )
-    data = F.to_json(F.struct("payload", "fetched_utc"), {"ignoreNullFields": "false"})
-    ok = F.col("raw").isNotNull()
+    rows = snapshots.where("is_json")
+    stamp = F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    data = F.concat(F.lit('{"payload":'), "content", F.lit(',"fetched_utc":"'), stamp, F.lit('"}'))
+    ok = F.col("is_json")
     audit = snapshots.select(
         F.concat_ws("/", F.lit(run_id), "source").alias("snapshot_id"),
         F.lit(name).alias("source"),

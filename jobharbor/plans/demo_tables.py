@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobharbor.functions import text as X
-from jobharbor.functions.frames import spread
 from jobharbor.operators import merge
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -76,7 +75,7 @@ def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(facet).alias("selectionsummary"),
         F.when(kind == "error", F.array(error)).alias("errsByCount"),
     )
-    return spread(table(spark, sf_dir, "events")).select(
+    return table(spark, sf_dir, "events").select(
         F.concat(F.lit("site_"), "user_id").alias("queue"),
         F.col("ts").alias("fetched_utc"),
         # purchases answer with something that is no payload
@@ -84,12 +83,30 @@ def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a landed response of one job; some lack their queue, some their time, some carry no payload."""
+    kind = F.col("event_type")
+    job = F.struct(F.col("event_id").alias("pandaid"), kind.alias("jobstatus"))
+    body = F.to_json(F.struct(F.array(job).alias("jobs")))
+    return table(spark, sf_dir, "events").select(
+        F.when(kind != "signup", F.concat(F.lit("site_"), "user_id")).alias("queue"),
+        F.when(kind != "click", F.col("ts")).alias("fetched_utc"),
+        F.when(kind == "purchase", F.to_json(F.array("event_id"))).otherwise(body).alias("payload"),
+    )
+
+
+def late_cycles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``two_cycles`` in the wrong order: what came last for a job lands first."""
+    both, bought = two_cycles(spark, sf_dir), F.col("payload").contains('"purchase"')
+    return both.where(~bought), both.where(bought)
+
+
 def two_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a response, and a month later a second response closing the purchases.
 
     The second one lists the status only, so the other columns must keep their values.
     """
-    events = spread(table(spark, sf_dir, "events"))
+    events = table(spark, sf_dir, "events")
     code = F.get_json_object("props", "$.k").cast("int")
     full = F.struct(
         F.col("event_id").alias("pandaid"),
@@ -146,7 +163,7 @@ def customer_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     A balance that is whole in some rows and not in others, an explicit null, an absent field, a
     nested list and object, a dropped field and, for one segment, an entry that is no object.
     """
-    customer = spread(table(spark, sf_dir, "customer"))
+    customer = table(spark, sf_dir, "customer")
     fields = F.struct(
         F.col("c_nationkey").alias("corecount"),
         F.col("c_acctbal").alias("corepower"),
@@ -170,6 +187,21 @@ def customer_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nation_catalogue(spark: SparkSession, sf_dir: str, later: bool) -> DataFrame:
+    """Customers as landed files of many entries, a file for each nation and block of keys.
+
+    Later the poor of the nations 0 to 4 have another status, and the files of nation 7 break off.
+    """
+    customer = table(spark, sf_dir, "customer")
+    status = F.when(F.col("c_acctbal") < 0, "gone" if later else "poor").otherwise("rich")
+    status = F.when((F.col("c_nationkey") < 5) | (not later), status).otherwise(F.when(F.col("c_acctbal") < 0, "poor").otherwise("rich"))
+    entry = F.concat(F.lit('"'), "c_name", F.lit('":{"status":"'), status, F.lit('","nodes":'), "c_custkey", F.lit("}"))
+    source = F.concat(F.lit("nation/"), "c_nationkey", F.lit("/"), F.floor(F.col("c_custkey") / 10_000))
+    files = customer.groupBy(source.alias("source"), "c_nationkey").agg(F.array_join(F.sort_array(F.collect_list(entry)), ",").alias("body"))
+    closed = F.when((F.col("c_nationkey") == 7) & later, "").otherwise("}")
+    return files.select("source", F.concat(F.lit("{"), "body", closed).alias("content"))
+
+
 # --- documents --------------------------------------------------------------------------------
 
 
@@ -193,14 +225,14 @@ def hashed(documents: DataFrame) -> DataFrame:
 
 
 def with_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents followed by index lines, as many as they have line breaks but at most seven."""
+    """Documents followed by index lines, as many as they have line breaks."""
     entry = F.concat(
         F.col("source"), F.lit(".run() (pkg."), F.col("lang"), F.lit(" method), "), F.col("n_chars"), F.lit("\n")
     )
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    return spread(table(spark, sf_dir, "documents")).select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id",
-        F.concat("text", F.lit("\n"), F.repeat(entry, F.least(breaks, F.lit(7))), F.lit("end")).alias("text"),
+        F.concat("text", F.lit("\n"), F.repeat(entry, breaks), F.lit("end")).alias("text"),
     )
 
 
@@ -212,4 +244,4 @@ def rst_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         replace(text, '\n', '\n   '), '\n\nSee `', source, ' <', lang, '>`_ and :ref:`', lang,
         ' <', source, '>`.\n\n', text, '\n\nEnd\n---\nshort\n--\n.. TIP:: done')"""
     )
-    return spread(table(spark, sf_dir, "documents")).select("doc_id", body.alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", body.alias("text"))

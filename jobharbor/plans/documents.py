@@ -56,18 +56,18 @@ def run_cycle(
         stats = run_stats(changes).first().asDict()
         if not stats["processed"]:
             return stats
-        todo = gates.to_process(changes)
+        todo = gates.to_process(changes, documents)
+        paths = changes.where("status <> 'unchanged'").select("path")
         at = F.lit(processed_ts)
-        parts = [r[0] for r in todo.select(bucket(F.col("path"), buckets)).distinct().collect()]
+        parts = [r[0] for r in paths.select(bucket(F.col("path"), buckets)).distinct().collect()]
         new = merge.build_chunks(todo, size, overlap, at).withColumn("embedding", embed(F.col("chunk")))
-        previous = todo.select(F.col("previous_ids").alias("chunk_ids"))
         live = store.read("chunks", schemas.CHUNKS, parts)
         marks = merge.checkpoint_rows(todo, size, overlap, at)
         known = store.read("checkpoint", schemas.CHECKPOINT, parts)
         store.publish(
             run_id,
             [
-                Change("chunks", merge.replace_chunks(live, previous, new), bucket(F.col("source_file"), buckets), parts),
+                Change("chunks", merge.replace_chunks(live, paths, new), bucket(F.col("source_file"), buckets), parts),
                 Change("checkpoint", merge.merge_by_key(known, marks, "path"), bucket(F.col("path"), buckets), parts),
             ],
         )

@@ -31,17 +31,20 @@ def job_statement(rows: DataFrame) -> DataFrame:
 
 
 def upsert_jobs(target: DataFrame, rows: DataFrame) -> DataFrame:
-    return merge.upsert_partial(target, job_statement(rows), "pandaid", COLUMNS, FETCH)
+    """An older fetch that lands late changes no job that a newer one has written."""
+    return merge.upsert_partial(target, job_statement(rows), "pandaid", COLUMNS, FETCH, newer="_fetched_utc")
 
 
 def newest_fetch(parsed: DataFrame) -> DataFrame:
     """The last response of each queue in the batch.
 
-    The few that remain are opened again, which is cheaper than sorting opened ones.
+    Found from narrow rows, ties by the hash of the payload; the few that remain join their payload and are
+    opened again, which is cheaper than sorting opened ones.
     """
-    good = parsed.where(landing.READABLE).select(*FETCH, "payload")
-    last = merge.latest_per_key(good, ["_queue"], [F.desc("_fetched_utc"), F.desc("payload")])
-    return landing.open_payloads(last)
+    good = parsed.where(landing.READABLE).select(*FETCH, "payload", "broken", F.sha2("payload", 256).alias("_hash"))
+    last = merge.latest_per_key(good.select(*FETCH, "_hash"), ["_queue"], [F.desc("_fetched_utc"), F.desc("_hash")])
+    found = good.join(last, [*FETCH, "_hash"]).dropDuplicates([*FETCH, "_hash"])
+    return landing.open_payloads(found.drop("_hash"))
 
 
 def drop_faulty_fetches(rows: DataFrame, quarantine: DataFrame) -> DataFrame:
@@ -62,6 +65,7 @@ def run_cycle(
     """
     parsed = landing.parse_payloads(payloads).persist(StorageLevel.MEMORY_AND_DISK)
     typed = landing.type_jobs(parsed).persist(StorageLevel.MEMORY_AND_DISK)
+    newest = parsed
     try:
         faults = (
             landing.bad_payloads(parsed)
@@ -75,6 +79,11 @@ def run_cycle(
             rows = drop_faulty_fetches(rows, faults)
             newest = newest_fetch(drop_faulty_fetches(parsed, faults))
 
+        # a response that lands after a newer one of its queue was loaded replaces nothing
+        state = store.read("queue_state", schemas.QUEUE_STATE)
+        loaded = state.select("_queue", F.col("_fetched_utc").alias("_loaded"))
+        newest = newest.join(loaded, "_queue", "left").where("_loaded is null or _fetched_utc >= _loaded").drop("_loaded")
+        newest = newest.persist(StorageLevel.MEMORY_AND_DISK)
         part = range_part(F.col("pandaid"), jobs_per_part)
         ranges = [r[0] for r in rows.select(part).distinct().collect()]
         queues = [r[0] for r in newest.select(group_part(F.col("_queue"))).collect()]
@@ -82,11 +91,11 @@ def run_cycle(
         jobs = store.read("jobs", schemas.JOBS, ranges)
         audit = parsed.groupBy("_queue").agg(
             F.max("_fetched_utc").alias("fetched_utc"),
-            F.max(F.when(~F.expr(landing.READABLE), "payload is not an object of lists")).alias("error"),
+            F.max(F.when(~F.expr(landing.READABLE), landing.fault())).alias("error"),
             F.max(F.struct("_fetched_utc", F.sha2("payload", 256).alias("hash")))["hash"].alias("content_hash"),
         )
         audit = audit.select(
-            F.concat(F.lit(run_id + "/"), F.col("_queue")).alias("snapshot_id"),
+            F.concat(F.lit(run_id + "/"), F.coalesce("_queue", F.lit("?"))).alias("snapshot_id"),
             F.col("_queue").alias("source"),
             "fetched_utc",
             "content_hash",
@@ -97,10 +106,12 @@ def run_cycle(
             Change("jobs", upsert_jobs(jobs, rows) if ranges else None, part, ranges),
             Change("selectionsummary", landing.summary_rows(newest), by_queue, queues),
             Change("errors_by_count", landing.error_rows(newest), by_queue, queues),
+            Change("queue_state", merge.merge_by_key(state, newest.select(*FETCH), "_queue")),
             Change("quarantine", faults, append=True),
             Change("snapshots", audit, append=True),
         ]
         return store.publish(run_id, changes)
     finally:
+        newest.unpersist()
         typed.unpersist()
         parsed.unpersist()

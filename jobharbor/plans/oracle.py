@@ -53,7 +53,24 @@ LAST_ORDER = """(SELECT o.*, c.*, c_mktsegment || '/' || c_name AS repo FROM (SE
     (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) o
     JOIN customer c ON o_custkey = c_custkey WHERE rn = 1)"""
 
+LATE = "ts >= TIMESTAMP '2024-01-30' AND event_type IN ('signup', 'error')"
+
 ORACLE: dict[str, str] = {
+    # --- responses and catalogues that cannot all be loaded
+    "bad_envelopes": """SELECT event_id AS pandaid, CASE event_type WHEN 'signup' THEN 'no queue' WHEN 'click' THEN 'no fetch time'
+        WHEN 'purchase' THEN 'payload is not an object of lists' ELSE 'loaded' END AS outcome FROM events""",
+    "stream_failures": """SELECT CASE event_type WHEN 'signup' THEN '?' ELSE 'site_' || user_id END AS source,
+        bool_and(event_type NOT IN ('signup', 'click', 'purchase')) AS ok,
+        max(CASE event_type WHEN 'signup' THEN 'no queue' WHEN 'click' THEN 'no fetch time'
+            WHEN 'purchase' THEN 'payload is not an object of lists' END) AS error
+        FROM events GROUP BY ALL""",
+    "late_landing": """SELECT event_id AS pandaid, CASE event_type WHEN 'purchase' THEN 'closed' ELSE event_type END AS jobstatus,
+        CASE WHEN event_type <> 'purchase' THEN value END AS durationsec, 'site_' || user_id AS _queue,
+        CAST(epoch_us(date_trunc('second', ts) + CASE WHEN event_type = 'purchase' THEN INTERVAL 31 DAYS ELSE INTERVAL 0 DAYS END) AS BIGINT) AS fetched
+        FROM events""",
+    "catalogue_refresh": """SELECT c_name AS queue, CASE WHEN c_acctbal >= 0 THEN 'rich' WHEN c_nationkey < 5 THEN 'gone' ELSE 'poor' END AS status,
+        CAST(c_custkey AS BIGINT) AS nodes FROM customer
+        UNION ALL SELECT DISTINCT 'nation/7/' || (c_custkey // 10000), 'not JSON', CAST(-1 AS BIGINT) FROM customer WHERE c_nationkey = 7""",
     # --- documents
     "content_hashes": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
     "chunks": chunk_rows(DOCS),
@@ -71,12 +88,12 @@ ORACLE: dict[str, str] = {
     "checkpoint_merge": f"""SELECT d.path, sha256(d.text) AS content_hash,
         CASE WHEN e.text = d.text THEN 'earlier' ELSE 'now' END AS processed_ts,
         CAST(ceil(length(d.text) / 2700) AS INT) AS chunks,
-        'doc:' || sha256(d.path || '||' || ((length(d.text) - 1) // 2700)) AS last_id
+        array_to_string(list_transform(range(0, length(d.text), 2700), lambda s: 'doc:' || sha256(d.path || '||' || (s // 2700))), ',') AS ids
         FROM {DOCS} d LEFT JOIN {EARLIER} e USING (path)""",
     "replace_chunks": REPLACED,
     "document_cycle": f"SELECT *, CAST(8 AS INT) AS dim FROM ({REPLACED})",
     "strip_index": rf"""WITH d AS (SELECT doc_id, string_split(text || {NL} || repeat(source || '.run() (pkg.' || lang ||
-            ' method), ' || n_chars || {NL}, least(length(text) - length(replace(text, {NL}, '')), 7)) || 'end', {NL}) AS l
+            ' method), ' || n_chars || {NL}, length(text) - length(replace(text, {NL}, ''))) || 'end', {NL}) AS l
             FROM documents),
         f AS (SELECT doc_id, pos, sum(CAST(regexp_full_match(l[pos],
                 '\s*[\w.() \t]+\([\w. \t]+(attribute|method|class|function|module|exception)\)\s*,\s*\d+\s*') AS INT))
@@ -174,10 +191,9 @@ ORACLE: dict[str, str] = {
             CASE WHEN s.status IS NOT NULL THEN s.status.v ELSE t.o_orderstatus END AS o_orderstatus,
             coalesce(s.o_orderpriority, t.o_orderpriority) AS o_orderpriority
         FROM target t FULL JOIN statement s ON t.o_custkey = s.o_custkey""",
-    "replace_per_group": """WITH late AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-30')
-        SELECT event_id, user_id, event_type, value FROM events WHERE ts < TIMESTAMP '2024-01-30'
-            AND user_id NOT IN (SELECT user_id FROM late WHERE event_type IN ('signup', 'error'))
-        UNION ALL SELECT event_id, user_id, event_type, value FROM late WHERE event_type = 'error'""",
+    "replace_per_group": f"""SELECT event_id, user_id, event_type, value FROM events WHERE NOT ({LATE})
+            AND user_id NOT IN (SELECT user_id FROM events WHERE {LATE})
+        UNION ALL SELECT event_id, user_id, event_type, value FROM events WHERE {LATE} AND event_type = 'error'""",
     "audit_log": """SELECT 's' || user_id AS snapshot_id, event_type AS source, CAST(epoch_us(ts) AS BIGINT) AS fetched,
         sha256(props) AS content_hash, event_type <> 'error' AS ok, CASE WHEN event_type = 'error' THEN props END AS error
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, (event_type <> 'error') DESC) AS rn FROM events)
@@ -234,7 +250,7 @@ ORACLE: dict[str, str] = {
     "error_example_jobs": f"""SELECT e._queue, error, codeval, example_pandaid, jobstatus, durationsec
         FROM {ERRORS} e JOIN {JOBS} j ON e.example_pandaid = j.pandaid""",
     "job_queue_metadata": """SELECT o_orderkey AS pandaid, 'C' || o_custkey AS computingsite,
-        CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS cloud FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
+        c_mktsegment AS cloud FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
     "newest_jobs": f"SELECT pandaid, _queue, jobstatus, durationsec FROM {JOBS} ORDER BY day DESC, pandaid DESC LIMIT 25",
     "recent_jobs_of_queue": f"""SELECT pandaid, jobstatus, durationsec FROM {JOBS} WHERE _queue = 'site_8'
         ORDER BY day DESC, pandaid DESC LIMIT 20""",

@@ -70,7 +70,7 @@ def _changes(spark, sf):
 def document_changes(spark, sf):
     changes, _ = _changes(spark, sf)
     return changes.select(
-        "path", "status", "content_hash", "previous_hash", F.coalesce(F.size("previous_ids"), F.lit(0)).alias("n_previous")
+        "path", "status", "content_hash", "previous_hash", F.coalesce("previous_chunks", F.lit(0)).alias("n_previous")
     )
 
 
@@ -88,22 +88,20 @@ def cycle_statistics(spark, sf):
 @query
 def checkpoint_merge(spark, sf):
     changes, checkpoint = _changes(spark, sf)
-    marks = merge.checkpoint_rows(gates.to_process(changes), SIZE, OVERLAP, F.lit("now"))
+    marks = merge.checkpoint_rows(gates.to_process(changes, D.corpus(spark, sf)), SIZE, OVERLAP, F.lit("now"))
     merged = merge.merge_by_key(checkpoint, marks, "path")
     return merged.select(
-        "path", "content_hash", "processed_ts", "chunks",
-        F.coalesce(F.try_element_at("chunk_ids", F.lit(-1)), F.lit("")).alias("last_id"),
+        "path", "content_hash", "processed_ts", "chunks", F.array_join("chunk_ids", ",").alias("ids"),
     )
 
 
 @query
 def replace_chunks(spark, sf):
     changes, _ = _changes(spark, sf)
-    todo = gates.to_process(changes)
+    todo = gates.to_process(changes, D.corpus(spark, sf))
     live = merge.build_chunks(D.hashed(D.earlier_corpus(spark, sf)), SIZE, OVERLAP, F.lit("earlier"))
     new = merge.build_chunks(todo, SIZE, OVERLAP, F.lit("now"))
-    previous = todo.select(F.col("previous_ids").alias("chunk_ids"))
-    return merge.replace_chunks(live, previous, new)
+    return merge.replace_chunks(live, changes.where("status <> 'unchanged'"), new)
 
 
 @query
@@ -362,6 +360,35 @@ def stream_audit(spark, sf):
     return log.select("source", "ok", micros("fetched_utc").alias("fetched"))
 
 
+@query
+def stream_failures(spark, sf):
+    """The audit of queues whose responses could not all be loaded."""
+    base = shared_dir(spark, "envelopes")
+    D.envelopes(spark, sf).write.json(f"{base}/landing")
+    store = VersionedTables(spark, f"{base}/store")
+    ingest.stream_jobs(spark, f"{base}/landing", store, f"{base}/progress").awaitTermination()
+    return store.read("snapshots", schemas.SNAPSHOTS).select(F.coalesce("source", F.lit("?")).alias("source"), "ok", "error")
+
+
+@query
+def bad_envelopes(spark, sf):
+    """Where each response has gone: its job, or the reason it is in quarantine."""
+    parsed = landing.parse_payloads(D.envelopes(spark, sf))
+    loaded = landing.job_rows(landing.type_jobs(parsed)).select("pandaid", F.lit("loaded").alias("outcome"))
+    content = F.coalesce(F.get_json_object("content", "$.jobs[0].pandaid"), F.get_json_object("content", "$[0]"))
+    return loaded.unionByName(landing.bad_payloads(parsed).select(content.cast("bigint").alias("pandaid"), F.col("reason").alias("outcome")))
+
+
+@query
+def late_landing(spark, sf):
+    """Two published cycles, the older fetches landing second: they change no job that newer ones have written."""
+    store = VersionedTables(spark, shared_dir(spark, "late"))
+    for number, landed in enumerate(D.late_cycles(spark, sf)):
+        jobs_plan.run_cycle(store, landed, f"r{number}", jobs_per_part=20_000)
+    jobs = store.read("jobs", schemas.JOBS)
+    return jobs.select("pandaid", "jobstatus", "durationsec", "_queue", micros("_fetched_utc").alias("fetched"))
+
+
 @query
 def job_upsert(spark, sf):
     """The jobs part of a cycle alone: parse, type, fold and merge, without publishing."""
@@ -400,9 +427,9 @@ def replace_per_group(spark, sf):
     """Users seen late get their earlier events replaced; late sign-ups only clear them."""
     events = D.table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "ts")
     late = F.col("ts") >= F.lit("2024-01-30").cast("timestamp_ntz")
-    groups = events.where(late & F.col("event_type").isin("signup", "error"))
+    answers = late & F.col("event_type").isin("signup", "error")
     batch = events.where(late & (F.col("event_type") == "error"))
-    return merge.replace_groups(events.where(~late), batch, groups, ["user_id"]).drop("ts")
+    return merge.replace_groups(events.where(~answers), batch, events.where(answers), ["user_id"]).drop("ts")
 
 
 @query
@@ -444,7 +471,7 @@ def _entries(spark, sf):
 
 @query
 def raw_snapshots(spark, sf):
-    return _snapshots(spark, sf).select("source", "content_hash", J.is_object(F.col("raw")).alias("is_object"))
+    return _snapshots(spark, sf).select("source", "content_hash", "is_object")
 
 
 @query
@@ -465,6 +492,18 @@ def wide_catalogue(spark, sf):
     return wide.select("queue", "corecount", "corepower", "nodes", "status", "is_cvmfs", "hc_suite", "copytools", "data")
 
 
+@query
+def catalogue_refresh(spark, sf):
+    """Two refreshes of files with many entries: changed sources replace their own, the broken ones are listed."""
+    store = VersionedTables(spark, shared_dir(spark, "refresh"))
+    for run, later in (("r1", False), ("r2", True)):
+        files = D.nation_catalogue(spark, sf, later).transform(landing.as_snapshots)
+        catalogue_plan.refresh(store, files, run, F.lit(f"2024-02-0{run[1]}T00:00:00"))
+    rows = catalogue_plan.queuedata(store).select("queue", "status", "nodes")
+    refused = store.read("quarantine", schemas.QUARANTINE)
+    return rows.unionByName(refused.select(F.col("_queue").alias("queue"), F.col("reason").alias("status"), F.lit(-1).cast("bigint").alias("nodes")))
+
+
 @query
 def shape_check(spark, sf):
     customer = D.customer_catalogue(spark, sf)
@@ -606,7 +645,7 @@ def job_queue_metadata(spark, sf):
     jobs = D.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("pandaid"), F.concat(F.lit("C"), "o_custkey").alias("computingsite")
     )
-    queuedata = D.table(spark, sf, "customer").where("c_acctbal > 0").select(
+    queuedata = D.table(spark, sf, "customer").select(
         F.concat(F.lit("C"), "c_custkey").alias("queue"), F.col("c_mktsegment").alias("cloud")
     )
     return analytics.with_queue_metadata(jobs, queuedata).select("pandaid", "computingsite", "cloud")

@@ -104,6 +104,11 @@ QUARANTINE = layout(
 )
 # One landed response per row.
 PAYLOADS = layout("queue STRING, fetched_utc TIMESTAMP_NTZ, payload STRING")
+# The same with the text of a line that cannot be read.
+LANDED = layout("queue STRING, fetched_utc TIMESTAMP_NTZ, payload STRING, broken STRING")
+# The newest fetch loaded, one row per queue.
+QUEUE_STATE = layout("_queue STRING, _fetched_utc TIMESTAMP_NTZ")
+CATALOGUE_ENTRIES = layout("source STRING, name STRING, payload STRING")
 
 TABLES = {"jobs": JOBS, "selectionsummary": SELECTION_SUMMARY, "errors_by_count": ERRORS_BY_COUNT}
 INSPECTED = ("jobs", "selectionsummary", "errors_by_count", "snapshots")

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from jobharbor import schemas
 from jobharbor.functions import text as X
 from jobharbor.functions.frames import once
-from jobharbor.functions.json_values import is_json, is_json_object, is_object
+from jobharbor.functions.json_values import is_json, is_json_object
 
 SUMMARY_ITEM = "struct<field string, list string, stats string>"
 ERROR_ITEM = (
@@ -33,7 +33,7 @@ PAYLOAD_BODY = (
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """One row per JSON file: source, text, SHA-256 of the text, parsed value (null if not JSON)."""
+    """One row per JSON file: source, text, SHA-256 of the text, and whether it is JSON and an object."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return files.select(
         F.col("_metadata.file_path").alias("source"),
@@ -42,25 +42,25 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
 
 
 def as_snapshots(files: DataFrame) -> DataFrame:
+    """Told from the text alone: a whole file is never held as one parsed value, whose size is limited."""
     return once(
         files,
         content_hash=X.content_hash(F.col("content")),
-        raw=F.when(is_json(F.col("content")), F.try_parse_json("content")),
+        is_json=F.coalesce(is_json(F.col("content")), F.lit(False)),
+        is_object=F.coalesce(is_json_object(F.col("content")), F.lit(False)),
     )
 
 
 def split_by_shape(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Snapshots whose top level is an object, and the refused rest."""
-    shaped = snapshots.withColumn("is_object", is_object(F.col("raw")))
-    good = shaped.where("is_object").drop("is_object")
-    refused = shaped.where("not is_object").select(
+    shape = F.coalesce(F.schema_of_variant(F.try_parse_json("content")), F.lit("no object"))
+    refused = snapshots.where("not is_object").select(
         "source",
         "content_hash",
-        F.when(F.col("raw").isNull(), "not JSON")
-        .otherwise(F.concat(F.lit("top level is "), F.schema_of_variant("raw")))
-        .alias("reason"),
+        F.when(~F.col("is_json"), "not JSON").otherwise(F.concat(F.lit("top level is "), shape)).alias("reason"),
+        "content",
     )
-    return good, refused
+    return snapshots.where("is_object"), refused
 
 
 # --- job payloads -----------------------------------------------------------------------------
@@ -69,18 +69,20 @@ def split_by_shape(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """Landed responses, one JSON object {queue, fetched_utc, payload} per line.
 
-    ``payload`` may be the response itself or its text.
+    ``payload`` may be the response itself or its text. A line that is broken keeps its text.
     """
-    return spark.read.schema(schemas.PAYLOADS).json(path)
+    return spark.read.schema(schemas.LANDED).option("columnNameOfCorruptRecord", "broken").json(path)
 
 
 def parse_payloads(payloads: DataFrame) -> DataFrame:
     """Open each payload into arrays of item texts; READABLE tells the usable ones."""
+    broken = F.col("broken") if "broken" in payloads.columns else F.lit(None).cast("string")
     return open_payloads(
         payloads.select(
             F.col("queue").alias("_queue"),
             F.date_trunc("second", "fetched_utc").cast("timestamp_ntz").alias("_fetched_utc"),
             "payload",
+            broken.alias("broken"),
         )
     )
 
@@ -92,15 +94,24 @@ def open_payloads(stamped: DataFrame) -> DataFrame:
     return once(stamped, body=F.when(is_json_object(F.col("payload")), body))
 
 
-READABLE = "(body IS NOT NULL AND body.misshapen IS NULL)"
+READABLE = "(_queue IS NOT NULL AND _fetched_utc IS NOT NULL AND body IS NOT NULL AND body.misshapen IS NULL)"
+
+
+def fault() -> Column:
+    """Why a response is not readable."""
+    return F.expr(
+        "CASE WHEN _queue IS NULL AND broken IS NOT NULL THEN 'broken line' WHEN _queue IS NULL THEN 'no queue' "
+        "WHEN _fetched_utc IS NULL THEN 'no fetch time' ELSE 'payload is not an object of lists' END"
+    )
 
 
 def bad_payloads(parsed: DataFrame) -> DataFrame:
+    """Each unreadable response with its text as it was landed."""
     return parsed.where(f"NOT {READABLE}").select(
         F.lit("payload").alias("kind"),
         F.lit(None).cast("int").alias("position"),
-        F.lit("payload is not an object of lists").alias("reason"),
-        F.col("payload").alias("content"),
+        fault().alias("reason"),
+        F.coalesce("broken", "payload").alias("content"),
         "_queue",
         "_fetched_utc",
     )
@@ -286,17 +297,18 @@ def bad_errors(parsed: DataFrame) -> DataFrame:
 # --- documents --------------------------------------------------------------------------------
 
 
-@F.pandas_udf(T.StringType())
-def _decode_dropping(content: pd.Series) -> pd.Series:
-    return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", errors="ignore"))
+# The well-formed sequences of UTF-8, as bytes seen as Latin-1 characters.
+WELL_FORMED = (
+    r"([\x00-\x7F]+|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]"
+    r"|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2})|[\x80-\xFF]"
+)
 
 
 def decode_lenient(content: Column) -> Column:
-    """UTF-8 text without its invalid bytes. Only damaged cells are sent to Python."""
-    valid = F.is_valid_utf8(content.cast("string"))
-    return F.when(valid, content.cast("string")).otherwise(
-        _decode_dropping(F.when(~valid, content))
-    )
+    """UTF-8 text without its invalid bytes; a damaged cell keeps its well-formed sequences."""
+    plain = content.cast("string")
+    kept = F.regexp_replace(F.decode(content, "ISO-8859-1"), WELL_FORMED, "$1")
+    return F.when(F.is_valid_utf8(plain), plain).otherwise(F.encode(kept, "ISO-8859-1").cast("string"))
 
 
 def decode_strict(content: Column) -> Column:

@@ -78,6 +78,10 @@ class VersionedTables:
     def last_run(self) -> str | None:
         return next((e.run_id for e in self._entries()), None)
 
+    def has_run(self, run_id: str) -> bool:
+        """Whether files that this run appended are in force."""
+        return any(f"/{run_id}-" in (e.location or "") for e in self._entries())
+
     def tables(self) -> list[str]:
         """Names of the tables that hold rows."""
         return sorted({e.table_name for e in self._entries() if e.location})
@@ -127,11 +131,11 @@ class VersionedTables:
         rows = change.rows.withColumn("_part", change.part).hint("rebalance", "_part")
         rows.write.partitionBy("_part").mode("error").parquet(place)
         schema = T.StructType([T.StructField("_part", T.StringType())])
-        try:
-            made = self.spark.read.schema(schema).parquet(place).select("_part").distinct().collect()
-        except AnalysisException:
-            made = []
-        return [(r[0], f"{place}/_part={r[0]}") for r in made]
+        # a write without rows leaves an empty folder, which reads as no parts; any failure to read is one
+        made = [r[0] for r in self.spark.read.schema(schema).parquet(place).select("_part").distinct().collect()]
+        if None in made or "__HIVE_DEFAULT_PARTITION__" in made:
+            raise ValueError(f"{change.table}: rows without a part")
+        return [(part, f"{place}/_part={part}") for part in made]
 
     def _commit(self, version: int, run_id: str, state: set[tuple[str, str, str]]) -> None:
         rows = [(version, run_id, *s) for s in sorted(state)] or [(version, run_id, "", "", "")]

@@ -1,4 +1,4 @@
-"""Continuous ingestion: the same cycles, driven by Structured Streaming triggers."""
+"""Continuous ingestion: the job cycle under Structured Streaming triggers, and a document pass for a scheduler to call."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from jobharbor import schemas
-from jobharbor.plans import catalogue, documents, jobs
+from jobharbor.plans import documents, jobs
 from jobharbor.sources import landing
 from jobharbor.sources.versions import Change, VersionedTables
 
@@ -48,18 +48,15 @@ def stream_jobs(
     def cycle_of(batch: DataFrame, number: int) -> None:
         run_id = f"{name}-{number}"
         own = VersionedTables(batch.sparkSession, store.base)
-        done = own.read("snapshots", schemas.SNAPSHOTS).where(
-            F.col("snapshot_id").startswith(run_id + "/")
-        )
-        if batch.isEmpty() or not done.isEmpty():
+        if own.has_run(run_id) or batch.isEmpty():
             return
         try:
             jobs.run_cycle(own, batch, run_id, **cycle)
         except Exception as failure:
-            own.publish(f"{run_id}-failed", [note_run(own, run_id, False, str(failure)[:2000])])
+            own.publish(f"{run_id}-failed", [note_run(own, run_id, False, str(failure))])
             raise
 
-    reader = spark.readStream.schema(schemas.PAYLOADS)
+    reader = spark.readStream.schema(schemas.LANDED).option("columnNameOfCorruptRecord", "broken")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (
@@ -88,60 +85,3 @@ def tick_documents(
     """
     texts = landing.extract_text(landing.list_files(spark, directory))
     return documents.run_cycle(store, texts, embed, run_id, processed_ts, **cycle)
-
-
-def repeat(
-    spark: SparkSession,
-    action: Callable[[str, str], object],
-    checkpoint_dir: str,
-    name: str,
-    every: str,
-) -> StreamingQuery:
-    """Run ``action(run_id, time)`` at every trigger, for inputs that change in place.
-
-    The rows of the rate source only mark the passage of time; the action reads its own input.
-    """
-
-    def tick(batch: DataFrame, number: int) -> None:
-        moment = batch.sparkSession.range(1).select(F.current_timestamp().cast("string")).first()[0]
-        action(f"{name}-{number}", moment)
-
-    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    return (
-        clock.writeStream.foreachBatch(tick)
-        .queryName(name)
-        .option("checkpointLocation", checkpoint_dir)
-        .trigger(processingTime=every)
-        .start()
-    )
-
-
-def watch_documents(
-    spark: SparkSession,
-    directory: str,
-    store: VersionedTables,
-    embed: Callable[[Column], Column],
-    checkpoint_dir: str,
-    name: str = "documents",
-    every: str = "10 seconds",
-    **cycle,
-) -> StreamingQuery:
-    def tick(run_id: str, moment: str) -> None:
-        tick_documents(spark, directory, store, embed, run_id, moment, **cycle)
-
-    return repeat(spark, tick, checkpoint_dir, name, every)
-
-
-def watch_catalogue(
-    spark: SparkSession,
-    path: str,
-    store: VersionedTables,
-    checkpoint_dir: str,
-    name: str = "catalogue",
-    every: str = "10 minutes",
-) -> StreamingQuery:
-    def tick(run_id: str, moment: str) -> None:
-        at = F.lit(moment).cast("timestamp_ntz")
-        catalogue.refresh(store, landing.read_snapshots(spark, path), run_id, at)
-
-    return repeat(spark, tick, checkpoint_dir, name, every)

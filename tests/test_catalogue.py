@@ -51,7 +51,7 @@ def test_refresh(spark, folder):
     assert catalogue.queuedata(store).count() == 3
     catalogue.refresh(store, snapshots(spark, {"A": {"corecount": 8}, "Z": {"queue": "renamed"}}), "r5", at())
     assert {r["queue"]: r["corecount"] for r in catalogue.queuedata(store).collect()} == {"A": 8, "renamed": None}
-    assert catalogue.refresh(store, snapshots(spark, first), "r6", at()) == 3  # differs from the latest load
+    assert catalogue.refresh(store, snapshots(spark, first), "r6", at()) == 4  # differs from the latest load; the refusal was noted as well
 
 
 def test_failed_refresh_keeps_table(spark, folder, monkeypatch):
@@ -63,12 +63,6 @@ def test_failed_refresh_keeps_table(spark, folder, monkeypatch):
     assert sorted(r["queue"] for r in catalogue.queuedata(store).collect()) == ["A", "B"]
 
 
-def test_too_many_fields_are_refused(spark):
-    types = spark.range(20).select(F.concat(F.lit("f"), "id").alias("field"), F.lit("TEXT").alias("type"))
-    with pytest.raises(ValueError):
-        infer.field_list(types, limit=10)
-
-
 def test_shape(spark):
     texts = ['{"a": 1}', "[1]", '"s"', "5", "", '{"a": 1} x', '{"a": 1}, {"b": 2}', '{"a": 1}]', '{"a": 1']
     good, refused = landing.split_by_shape(snapshots(spark, *texts))
@@ -138,3 +132,37 @@ def test_export(spark):
     line = rows.select(J.json_line(rows.schema)).first()[0]
     assert json.loads(line) == {"i": None, "n": None, "d": 1.5, "a_json": {"a": [1]}, "b_json": "no json",
                                 "s": None, "t": "2026-01-01 00:00:00.120000"}
+
+
+def test_sources_are_replaced_one_by_one_and_refusals_are_noted(spark, folder):
+    store = VersionedTables(spark, folder)
+    both = lambda a, b: snapshots(spark, a, source="a").unionByName(snapshots(spark, b, source="b"))
+    catalogue.refresh(store, both({"A": {"x": 1}}, {"B": {"x": 2}}), "r1", at())
+    catalogue.refresh(store, both({"A": {"x": 5.5}}, {"B": {"x": 2}}), "r2", at())
+    assert {r["queue"]: r["x"] for r in catalogue.queuedata(store).collect()} == {"A": 5.5, "B": 2.0}
+    for run in ("r3", "r4"):
+        assert catalogue.refresh(store, both("[1]", "{"), run, at()) is None
+    assert catalogue.queuedata(store).count() == 2
+    refused = store.read("quarantine", schemas.QUARANTINE).collect()
+    assert sorted((r["_queue"], r["reason"], r["content"]) for r in refused) == [("a", "top level is ARRAY<BIGINT>", "[1]"), ("b", "not JSON", "{")]
+    assert store.read("catalogue_loads", schemas.SNAPSHOTS).where("not ok").count() == 2
+
+
+def test_repeated_keys_and_odd_entries(spark):
+    text = '{"A": {"x": 1}, "B": "s", "A": {"x": 2}, "C": null, "D": [1, 2]}'
+    rows = infer.catalogue_entries(snapshots(spark, text, '{"A": 5}')).select("name", F.to_json("payload").alias("p")).collect()
+    assert sorted((r["name"], r["p"]) for r in rows) == [("A", "5"), ("A", '{"x":2}'), ("B", '"s"'), ("C", "null"), ("D", "[1,2]")]
+
+
+def test_a_file_larger_than_one_parsed_value(spark, folder):
+    """Beyond the size limit of a variant; entries are parsed one by one."""
+    with open(f"{folder}/big.json", "w") as out:
+        out.write("{")
+        for k in range(140):
+            out.write((", " if k else "") + f'"Q{k}": {{"x": {k}, "text": "{"y" * (1 << 20)}"}}')
+        out.write("}")
+    files = landing.read_snapshots(spark, f"{folder}/big.json")
+    good, refused = landing.split_by_shape(files)
+    assert refused.count() == 0
+    entries = infer.catalogue_entries(good).select("name", F.try_variant_get("payload", "$.x", "bigint").alias("x"))
+    assert {r["name"]: r["x"] for r in entries.collect()} == {f"Q{k}": k for k in range(140)}

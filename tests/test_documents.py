@@ -1,5 +1,4 @@
 import datetime as dt
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,31 +64,22 @@ def test_directory_cycle(spark, folder):
     assert sorted(marks) == ["a.txt", "b.md", "bad.bin"]
 
 
-def test_watching(spark, folder):
-    """A file edited in place between two passes is picked up; the catalogue beside it as well."""
-    docs, store = f"{folder}/docs", VersionedTables(spark, f"{folder}/store")
-    other = VersionedTables(spark, f"{folder}/other")
-    write(docs, "a.txt", "one")
-    write(folder, "cat/c.json", '{"A": {"x": 1}}')
-    watched = ingest.watch_documents(spark, docs, store, lengths(), f"{folder}/c1", every="1 second", buckets=1)
-    refreshed = ingest.watch_catalogue(spark, f"{folder}/cat", other, f"{folder}/c2", every="1 second")
-    text = lambda: [r["chunk"] for r in store.read("chunks", schemas.CHUNKS).collect()]
+def test_unchanged_text_is_not_shuffled(spark, folder):
+    """Below the join that finds the changes only paths and hashes move."""
+    write(folder, "a.txt", "one")
+    texts = landing.extract_text(landing.list_files(spark, folder))
+    checkpoint = spark.createDataFrame([("x", "h", "t", 1, ["i"])], schemas.CHECKPOINT)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        wait(lambda: text() == ["one"])
-        write(docs, "a.txt", "two!")
-        wait(lambda: text() == ["two!"])
-        wait(lambda: other.version() == 1)
+        changes = gates.document_changes(texts, checkpoint)
+        plan = changes._jdf.queryExecution().executedPlan().toString()
     finally:
-        watched.stop()
-        refreshed.stop()
-    assert [r["x"] for r in catalogue.queuedata(other).collect()] == [1]
-
-
-def wait(done, seconds=90):
-    end = time.time() + seconds
-    while not done():
-        assert time.time() < end
-        time.sleep(0.5)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" in plan
+    assert set(changes.columns) == {"path", "content_hash", "status", "previous_hash", "previous_chunks"}
+    for line in plan.splitlines():
+        if "Exchange hashpartitioning" in line:
+            assert "hashpartitioning(path" in line
 
 
 def test_vanished_files_keep_their_chunks(spark, folder):
@@ -233,3 +223,14 @@ def test_commit_time(spark):
     row = spark.createDataFrame([("2026-01-09T22:00:00Z", "2026-01-10T01:00:00+02:00", "bad")], "a string, b string, c string")
     hours = row.select(*[gates.age_hours(now(), gates.commit_time(F.col(c))) for c in "abc"]).first()
     assert tuple(hours) == (2.0, 1.0, None)
+
+
+def test_lenient_decoding_equals_python(spark):
+    import random
+
+    r = random.Random(1)
+    parts = [b"a", b"\n", "é".encode(), "日".encode(), "👍".encode(), b"\xff", b"\xc3", b"\x80", b"\xed\xa0\x80", b"\xf0\x9f", b"\xe2\x82", b"\xc0\xaf", b"\xf4\x90\x80\x80", b"$1"]
+    cells = [b"".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(400)] + [None, b""]
+    rows = spark.createDataFrame([(k, None if c is None else bytearray(c)) for k, c in enumerate(cells)], "k int, c binary")
+    got = {x["k"]: x["t"] for x in rows.select("k", landing.decode_lenient(F.col("c")).alias("t")).collect()}
+    assert got == {k: None if c is None else c.decode("utf-8", errors="ignore") for k, c in enumerate(cells)}

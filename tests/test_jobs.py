@@ -245,3 +245,50 @@ def test_error_analysis(spark):
     facets = landing.summary_rows(parsed)
     assert [(r["kname"], r["kvalue"]) for r in landing.facet_values(facets).collect()] == [("finished", "1"), ("failed", "1")]
     assert [(r["stat"], r["value"]) for r in landing.facet_stats(facets).collect()] == [("sum", 2.0)]
+
+
+def test_unreadable_envelopes_are_kept_and_stop_nothing(spark, folder):
+    store = VersionedTables(spark, f"{folder}/store")
+    good = json.dumps({"queue": "A", "fetched_utc": "2026-01-01T10:00:00", "payload": PAYLOAD})
+    lines = [good, json.dumps({"fetched_utc": "2026-01-01T10:00:00", "payload": {"jobs": [{"pandaid": 5}]}}),
+             json.dumps({"queue": "B", "payload": {"jobs": [{"pandaid": 6}], "selectionsummary": [{"field": "x"}]}}),
+             json.dumps({"queue": "C", "fetched_utc": "yesterday", "payload": {"jobs": [{"pandaid": 7}]}}), '{"queue": "D", ']
+    import os
+
+    os.makedirs(f"{folder}/landing")
+    with open(f"{folder}/landing/a.json", "w") as out:
+        out.write("\n".join(lines))
+    run = lambda ckpt: ingest.stream_jobs(spark, f"{folder}/landing", store, f"{folder}/{ckpt}").awaitTermination()
+    run("c1")
+    assert set(jobs_of(store)) == {12345, 12346}
+    faults = {r["reason"]: r["content"] for r in store.read("quarantine", schemas.QUARANTINE).collect()}
+    assert set(faults) == {"no queue", "no fetch time", "broken line"} and faults["broken line"] == lines[-1]
+    assert store.read("quarantine", schemas.QUARANTINE).count() == 4
+    audit = {r["source"]: (r["ok"], r["error"]) for r in store.read("snapshots", schemas.SNAPSHOTS).collect()}
+    assert audit["A"] == (True, None) and audit["B"] == (False, "no fetch time") and not audit[None][0]
+    assert {r["_queue"] for r in store.read("selectionsummary", schemas.SELECTION_SUMMARY).collect()} == {"A"}
+    version = store.version()
+    run("c2")  # the same batch once more
+    assert store.version() == version
+
+
+def test_an_older_fetch_that_lands_late_changes_nothing(spark, folder):
+    store = VersionedTables(spark, folder)
+    older, newer = {"jobs": [{"pandaid": 1, "jobstatus": "running", "taskid": 5}], "selectionsummary": [{"field": "old"}]}, {"jobs": [{"pandaid": 1, "jobstatus": "finished"}]}
+    jobs.run_cycle(store, landed(spark, ("A", T2, newer)), "r1")
+    jobs.run_cycle(store, landed(spark, ("A", T1, older)), "r2")
+    row = jobs_of(store)[1]
+    assert row["jobstatus"] == "finished" and row["taskid"] is None
+    assert store.read("selectionsummary", schemas.SELECTION_SUMMARY).count() == 0
+    jobs.run_cycle(store, landed(spark, ("A", T2, older)), "r3")  # the same moment again
+    assert jobs_of(store)[1]["jobstatus"] == "running" and store.read("selectionsummary", schemas.SELECTION_SUMMARY).count() == 1
+
+
+def test_rows_without_a_part_are_refused(spark, folder):
+    from jobharbor.sources.versions import Change
+
+    store = VersionedTables(spark, folder)
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "x int, p string")
+    with pytest.raises(ValueError):
+        store.publish("r1", [Change("t", rows, F.col("p"))])
+    assert store.version() == 0
