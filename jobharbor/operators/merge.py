@@ -60,9 +60,10 @@ def fold_statements(
 ) -> DataFrame:
     """Several statements on one key reduced to one with the same effect, oldest first.
 
-    After ``batch_statement`` a key occurs once per fetch, so no key gathers more rows than the
-    batch holds fetches.
+    Of statements on a key that list the same columns only the last has an effect, so a key gathers no more rows
+    than there are different sets of columns, however often it was fetched.
     """
+    rows = latest_per_key(rows, [key, "listed"], [F.desc(c) for c in order])
 
     row = ", ".join(
         f"'{c}', if({is_listed('later.listed', i)}, later.row.`{c}`, earlier.row.`{c}`)"

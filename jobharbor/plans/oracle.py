@@ -55,7 +55,17 @@ LAST_ORDER = """(SELECT o.*, c.*, c_mktsegment || '/' || c_name AS repo FROM (SE
 
 LATE = "ts >= TIMESTAMP '2024-01-30' AND event_type IN ('signup', 'error')"
 
+LINES = f"""(SELECT lang, source, CAST(doc_id // 1000 AS VARCHAR) AS block,
+    string_agg(doc_id || '|' || replace(text, {NL}, ' ') || {NL}, '' ORDER BY doc_id) AS text FROM documents GROUP BY ALL)"""
+
 ORACLE: dict[str, str] = {
+    # --- landed files
+    "landed_documents": f"""SELECT lang, source, block, sha256(text) AS text_hash, CAST(length(text) AS INT) AS n_chars FROM {LINES}""",
+    "landed_repositories": f"""SELECT repo, block, sha256(repo) AS commit_sha, sha256(text) AS content_hash
+        FROM (SELECT 'lang=' || lang || '/source=' || source AS repo, block, text FROM {LINES} WHERE lang <> 'fr')""",
+    "landed_catalogue": """SELECT c_name AS name, CASE WHEN c_acctbal < 0 THEN 'poor' ELSE 'rich' END AS status,
+        CAST(c_custkey AS BIGINT) AS nodes FROM customer""",
+    "selected_rows": f"SELECT pandaid, jobstatus, _queue FROM {JOBS} WHERE _queue = 'site_8'",
     # --- responses and catalogues that cannot all be loaded
     "bad_envelopes": """SELECT event_id AS pandaid, CASE event_type WHEN 'signup' THEN 'no queue' WHEN 'click' THEN 'no fetch time'
         WHEN 'purchase' THEN 'payload is not an object of lists' ELSE 'loaded' END AS outcome FROM events""",

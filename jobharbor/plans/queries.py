@@ -273,6 +273,58 @@ def collection_counts(spark, sf):
     return V.collection_counts(parts)
 
 
+# --- landed files ------------------------------------------------------------------------------
+
+
+def _landed_text(spark, sf, label):
+    """Documents as text files below folders of language and source, a file for a block of ids."""
+    folder = shared_dir(spark, label)
+    documents = D.table(spark, sf, "documents").select("lang", "source", F.floor(F.col("doc_id") / 1000).alias("block"), "doc_id", "text")
+    keys = ["lang", "source", "block"]
+    ordered = documents.repartition(*keys).sortWithinPartitions(*keys, "doc_id")
+    ordered.select(*keys, F.concat_ws("|", "doc_id", F.replace("text", F.lit("\n"), F.lit(" "))).alias("line")).write.partitionBy(*keys).text(folder)
+    return folder
+
+
+def _folder(column: str, name: str):
+    return F.regexp_extract(column, f"{name}=([^/]+)", 1)
+
+
+@query
+def landed_documents(spark, sf):
+    """Text files listed and read back."""
+    texts = landing.extract_text(landing.list_files(spark, _landed_text(spark, sf, "landed")))
+    return texts.select(
+        *[_folder("path", k).alias(k) for k in ("lang", "source", "block")], F.sha2("text", 256).alias("text_hash"), F.length("text").alias("n_chars")
+    )
+
+
+@query
+def landed_repositories(spark, sf):
+    """The same folders as repository trees joined to their commits; those without a commit are left out."""
+    root = _landed_text(spark, sf, "trees")
+    repos = D.table(spark, sf, "documents").where("lang <> 'fr'").select(F.format_string("lang=%s/source=%s", "lang", "source").alias("repo")).distinct()
+    commits = repos.select("repo", F.sha2("repo", 256).alias("commit_sha"), F.lit("2024-01-01").cast("timestamp_ntz").alias("commit_ts"))
+    files = landing.read_repo_files(spark, root, commits)
+    return files.select("repo", _folder("source_path", "block").alias("block"), "commit_sha", F.sha2("content", 256).alias("content_hash"))
+
+
+@query
+def landed_catalogue(spark, sf):
+    """Catalogue files of many entries, landed as files and read back whole."""
+    folder = shared_dir(spark, "catalogue-files")
+    D.nation_catalogue(spark, sf, False).select(F.sha1("source").alias("file"), "content").write.partitionBy("file").text(folder)
+    entries = infer.catalogue_entries(landing.split_by_shape(landing.read_snapshots(spark, folder))[0])
+    return entries.select("name", F.try_variant_get("payload", "$.status", "string").alias("status"), F.try_variant_get("payload", "$.nodes", "bigint").alias("nodes"))
+
+
+@query
+def selected_rows(spark, sf):
+    """All jobs of a queue in the order the inspector shows them."""
+    rows = inspection.select_rows("jobs", D.event_jobs(spark, sf), "site_8", 0)
+    return rows.select("pandaid", "jobstatus", "_queue")
+
+
 # --- payloads ---------------------------------------------------------------------------------
 
 
