@@ -15,7 +15,7 @@ from jobharbor.session import shared_dir
 #: Bits of the membership filter that is broadcast: 8 MiB, whatever the size of the data.
 FILTER_BITS = 1 << 26
 #: Texts handled at once in a Python worker: so many, or so many characters.
-SLICE_ROWS, SLICE_CHARS = 512, 4_000_000
+SLICE_ROWS, SLICE_CHARS = 512, 2_000_000
 
 
 def stored(rows: DataFrame, label: str) -> DataFrame:
@@ -34,12 +34,14 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
-def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[list[str]]:
-    """Nulls as empty texts, in runs of bounded size; a single longer text is a run of its own."""
+def slices(column: pa.Array, chars: int = SLICE_CHARS) -> Iterator[list[str]]:
+    """A column's texts, nulls as empty ones, in runs of bounded size; a single longer text is a run of its own.
+
+    Only a run at a time is held as Python strings beside the batch.
+    """
     part: list[str] = []
     held = 0
-    for text in texts:
-        text = text or ""
+    for text in (v.as_py() or "" for v in column):
         if part and (len(part) == SLICE_ROWS or held + len(text) > chars):
             yield part
             part, held = [], 0
@@ -69,7 +71,7 @@ def per_text(
         make = maker()
         for batch in batches:
             at = 0
-            for part in slices(batch.column(text).to_pylist()):
+            for part in slices(batch.column(text)):
                 made = make(part)
                 old = [batch.column(n).slice(at, len(part)) for n in names]
                 new = [pa.array(made[n], type=kind) for n, kind in kinds]

@@ -26,7 +26,7 @@ SIZES = (2, 3, 4)
 LEAST, PART = 5, 0.6
 #: Slots for each n-gram of the largest filter, hashes of an n-gram, and n-grams of a language, the most frequent first.
 SLOTS, HASHES, GRAMS = 12, 4, 200_000
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 LANE = 40  # bits of a count
 
@@ -106,7 +106,7 @@ def _counts(rows: DataFrame) -> DataFrame:
         schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
         for batch in batches:
             langs, at = batch.column("lang").to_pylist(), 0
-            for part in slices(batch.column("text").to_pylist()):
+            for part in slices(batch.column("text")):
                 for lang, text in zip(langs[at : at + len(part)], part, strict=True):
                     words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
                 at += len(part)

@@ -27,7 +27,7 @@ from jobharbor.llm.graphs import components
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 #: MinHash values of a text at most, members of a block, n-grams of a block.
 HASHES, MEMBERS, BLOCK_GRAMS = 256, 1024, 1_000_000
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 WORD = re.compile(r"\w+")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -176,8 +176,9 @@ def _verified(blocks: DataFrame, n: int, similarity: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(named), pa.array(named[root]), pa.array(links)], names=["node", "root", "links"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("comp", "low", "high", "block", "node", "size", "text")]
-            for comp, low, high, block, node, size, text in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("comp", "low", "high", "block", "node", "size")]
+            texts = (v.as_py() for v in batch.column("text"))  # one at a time
+            for comp, low, high, block, node, size, text in zip(*columns, texts, strict=True):
                 if (comp, low, high) != pair:
                     if held:
                         yield out()
