@@ -31,8 +31,11 @@ from pyspark.sql import DataFrame
 from jobharbor.llm.common import fresh, per_text
 
 #: Entries a worker remembers, and the longest run of characters it remembers.
-REMEMBERED, LONGEST = 400_000, 48
-PAIRS = 2_000_000
+REMEMBERED, LONGEST = 500_000, 48
+PAIRS = 500_000
+#: Punctuation that ends a word and is one token string of its own there.
+STOPS = frozenset(".,;:!?")
+PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 #: Python counts these as white space when it splits, Unicode doesn't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Capitals that Unicode got after the version Python knows, with their small letters: first, last, distance.
@@ -80,19 +83,35 @@ class OffsetTable:
 
 
 class _Runs(dict):
-    """Ids of runs without white space, as little-endian bytes."""
+    """Ids of runs without white space, as little-endian bytes. Half of what is remembered goes when it is full: what
+    was not asked for since the last time."""
 
     def __init__(self, encode):
         self.encode = encode
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, run: str) -> bytes:
-        ids = self.encode(run)
+        ids = self.older.get(run)
+        if ids is None:
+            ids = self.encode(run)
         if len(run) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[run] = ids
+            self.keep(run, ids)
         return ids
 
+    def keep(self, run: str, ids: bytes) -> None:
+        if len(self) >= REMEMBERED // 2:
+            self.older = dict(self)
+            self.clear()
+        self[run] = ids
+
+    def known(self, run: str) -> bytes | None:
+        return self.get(run) or self.older.get(run)
+
+
+class _Anything(dict):
+    def get(self, key, default=None):
+        return True
+
 
 class WordBpe:
     """Symbols are bytes, plus 256 for the last byte of a word; tokens are numbered as they are merged."""
@@ -137,8 +156,10 @@ class WordBpe:
             if self.whole[i]:
                 self.found.add_word(s, (i, len(s) - 1))
         self.found.make_automaton()
-        self.shorter: dict[int, int] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.shorter = [self._next_shorter(s) for s in self.spelt]
+        self.pairs: list[dict[int, bool]] = [{} for _ in self.spelt]  # by the left one of two neighbours
+        self.pairs.append(_Anything())  # the start of a word goes with all
+        self.known_pairs = 0
 
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_first = {t[0] for t in self.added}
@@ -147,7 +168,6 @@ class WordBpe:
         self.words = regex.compile(pattern.replace("\\s", SPACES))
         self.spaces = re.compile(f"[{SPACES}]+")
         self.runs = _Runs(self._run)
-        self.word_ids: dict[str, bytes] = {}
 
         size = max(*self.ids, *self.added.values()) + 1
         shown = [b""] * size
@@ -170,24 +190,29 @@ class WordBpe:
 
     def _piece(self, piece: str) -> bytes:
         # lower case of each character on its own, whatever stands beside it
-        if piece.isascii():
-            return b"".join(map(self._word, self.words.findall(piece.lower())))
-        plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+        ascii_only = piece.isascii()
+        plain = piece.lower() if ascii_only else unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+        if plain.isalpha():
+            return self._word(plain)
+        if plain[-1] in STOPS and plain[:-1].isalpha():
+            return self._word(plain[:-1]) + self._word(plain[-1])
+        if ascii_only:
+            return b"".join(map(self._word, self.words.findall(plain)))
         # the pattern's library knows later versions of Unicode than the tokenizers do
         classed = "".join(UNASSIGNED if unicodedata.category(c) == "Cn" and not _late(ord(c)) else c for c in plain)
         spelt = plain.translate(LATE)
         return b"".join(self._word(spelt[m.start() : m.end()]) for m in self.words.finditer(classed))
 
     def _word(self, word: str) -> bytes:
-        known = self.word_ids.get(word)
+        """A word is a run of its own, so both share one memory."""
+        known = self.runs.known(word)
         if known is None:
             spelt = word if word.isascii() else word.encode().decode("latin-1")
-            tokens = self._tokens(spelt[:-1] + chr(256 + ord(spelt[-1])))
-            known = struct.pack(f"<{len(tokens)}I", *[self.ids[t] for t in tokens])
+            ids = self.ids
+            tokens = [ids[t] for t in self._tokens(spelt[:-1] + chr(256 + ord(spelt[-1])))]
+            known = PACK[len(tokens)](*tokens) if len(tokens) < len(PACK) else struct.pack(f"<{len(tokens)}I", *tokens)
             if len(word) <= LONGEST:
-                if len(self.word_ids) >= REMEMBERED:
-                    self.word_ids.clear()
-                self.word_ids[word] = known
+                self.runs.keep(word, known)
         return known
 
     def _tokens(self, spelt: str) -> list[int]:
@@ -198,44 +223,43 @@ class WordBpe:
         longest = [-1] * n
         for end, (token, before) in self.found.iter(spelt):
             longest[end - before] = token  # ends come in order, so the last is the longest
-        sizes, fits = self.sizes, self.pairs
+        sizes, shorter, pairs = self.sizes, self.shorter, self.pairs
         taken: list[int] = []
         dead = bytearray(n + 1)
-        at, token, last = 0, longest[0], -1
-        while at < n:
+        at, token, fits = 0, longest[0], pairs[-1]
+        while True:
             end = at + sizes[token]
             if not dead[end]:
-                fit = last < 0 or fits.get((last, token))
+                fit = fits.get(token)
                 if fit is None:
-                    fit = self._fit(last, token)
+                    fit = self._fit(taken[-1], token)
                 if fit:
                     taken.append(token)
-                    last, at = token, end
-                    if at < n:
-                        token = longest[at]
+                    if end == n:
+                        return taken
+                    at, fits, token = end, pairs[token], longest[end]
                     continue
-            token = self._next_shorter(token)
+            token = shorter[token]
             while token < 0:
                 # nothing fits here: the last token gives way to a shorter one
                 dead[at] = 1
                 token = taken.pop()
                 at -= sizes[token]
-                last = taken[-1] if taken else -1
-                token = self._next_shorter(token)
-        return taken
+                fits = pairs[taken[-1] if taken else -1]
+                token = shorter[token]
 
-    def _next_shorter(self, token: int) -> int:
+    def _next_shorter(self, spelt: str) -> int:
         """The longest proper prefix that is a token, or -1."""
-        if (known := self.shorter.get(token)) is None:
-            spelt = self.spelt[token]
-            prefixes = (self.by_spelling.get(spelt[:k], -1) for k in range(len(spelt) - 1, 0, -1))
-            known = self.shorter[token] = next((p for p in prefixes if p >= 0 and self.whole[p]), -1)
-        return known
+        prefixes = (self.by_spelling.get(spelt[:k], -1) for k in range(len(spelt) - 1, 0, -1))
+        return next((p for p in prefixes if p >= 0 and self.whole[p]), -1)
 
     def _fit(self, left: int, right: int) -> bool:
-        if len(self.pairs) >= PAIRS:
-            self.pairs.clear()
-        known = self.pairs[left, right] = self._apart(left, right, len(self.parts))
+        if self.known_pairs >= PAIRS:
+            for known in self.pairs[:-1]:
+                known.clear()
+            self.known_pairs = 0
+        self.known_pairs += 1
+        known = self.pairs[left][right] = self._apart(left, right, len(self.parts))
         return known
 
     def _apart(self, left: int, right: int, limit: int) -> bool:
