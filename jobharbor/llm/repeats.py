@@ -105,14 +105,14 @@ def keyed(rows: DataFrame, id: str, text: str) -> tuple[DataFrame, bool]:
 
 
 def _stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """anchor, body, id, sub, first, last, gone: stretches, of which those with an earlier equal in their slice are gone already."""
+    """anchor, body, id, sub, first, last, gone: stretches; those with an earlier equal in their slice are gone already, and joined."""
 
     def run(batches):
         hasher = Hasher()
         for batch in batches:
             ids, subs = (batch.column(c).to_numpy() for c in ("id", "sub"))
             at = 0
-            for part in slices(batch.column("text").to_pylist(), CHUNK):
+            for part in slices(batch.column("text"), CHUNK):
                 raw = [t.encode("utf-8", "surrogatepass") for t in part]
                 owner, found = _of_slice(raw, hasher, length, gram)
                 if len(owner):
@@ -125,9 +125,13 @@ def _stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     same = np.zeros(len(order), dtype=bool)  # the same row once more
                     i, s, f = own_ids[order], own_subs[order], first[order]
                     same[1:] = gone[1:] & (i[1:] == i[:-1]) & (s[1:] == s[:-1]) & (f[1:] == f[:-1])
-                    keep = ~same
-                    columns = [a, b, i, s, f, last[order], gone]
-                    yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=names)
+                    kept, cut = ~same & ~gone, ~same & gone
+                    rest = _joined(i[cut], s[cut], f[cut], last[order][cut])
+                    columns = [a[kept], b[kept], i[kept], s[kept], f[kept], last[order][kept], gone[kept]]
+                    # what is gone already needs no company: any place will do
+                    spread = mix(rest[2].astype(np.uint64) * BASE + rest[0].astype(np.uint64)).view(np.int64)
+                    more = [spread, np.zeros(len(spread), dtype=np.int64), *rest, np.ones(len(spread), dtype=bool)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(columns, more, strict=True)], names=names)
                 at += len(part)
 
     names = ["anchor", "body", "id", "sub", "first", "last", "gone"]
@@ -135,6 +139,16 @@ def _stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("id", "sub", "text").mapInArrow(run, schema)
 
 
+def _joined(ids: np.ndarray, subs: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """Neighbouring stretches of a text as one."""
+    order = np.lexsort((first, subs, ids))
+    ids, subs, first, last = (c[order] for c in (ids, subs, first, last))
+    starts = np.ones(len(ids), dtype=bool)
+    starts[1:] = (ids[1:] != ids[:-1]) | (subs[1:] != subs[:-1]) | (first[1:] > last[:-1] + 1)
+    ends = np.concatenate([starts[1:], [True]]) if len(starts) else starts
+    return [ids[starts], subs[starts], first[starts], last[ends]]
+
+
 def _of_slice(raw: list[bytes], hasher: Hasher, length: int, gram: int):
     """Stretches of some texts together; a long one is gone through in overlapping chunks."""
     sizes = np.array([len(r) for r in raw], dtype=np.int64)
