@@ -4,7 +4,7 @@ A sentence scores p = sigmoid(b + w·x); a document is toxic unless all its sent
 Weights are fitted to document labels alone, yet say which sentences offend. With s = softplus(b + w·x),
 1 - p = exp(-s), so P = 1 - exp(-sum of s): the sum adds up over sentences and the fit needs no products.
 
-Features of a sentence are its words and their first letters, lower-cased, so that inflected forms count too. The fit uses a bounded
+Features of a sentence are its different words and their first letters, lower-cased, so that inflected forms count too. The fit uses a bounded
 sample of labelled rows (``SAMPLE`` of each label, chosen by the hash of the id and weighted back to their true numbers); scoring covers every text in whole.
 """
 
@@ -24,12 +24,12 @@ from jobharbor.llm.common import fresh, per_text, stored
 #: Labelled rows of each label that the fit reads at most, and features it keeps.
 SAMPLE, FEATURES = 4000, 4096
 PREFIXES = (4, 5, 6)
-STEPS, RATE, PENALTY = 400, 0.1, 1e-5
+STEPS, RATE, PENALTY = 1000, 0.1, 1e-6
 #: How far above chance a feature must speak, in units of log-likelihood.
 MARGIN = 1.0
 #: A document is toxic from this score on, a sentence offends from that one on.
 REJECT, OFFENDS = 0.7, 0.5
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"\w+")
 
@@ -116,7 +116,7 @@ def _bags(frames, vocabulary: dict[str, int]):
         for text, y, weight in zip(frame["text"], frame["y"], frame["weight"], strict=True):
             n_empty, lengths, found = 0, [], []
             for sentence in SENTENCE.findall(text) or [""]:
-                hits = [vocabulary[f] for w in WORD.findall(sentence.lower()) for f in features(w) if f in vocabulary]
+                hits = [vocabulary[f] for w in sorted(set(WORD.findall(sentence.lower()))) for f in features(w) if f in vocabulary]
                 if hits:
                     lengths.append(len(hits))
                     found += hits
@@ -183,7 +183,7 @@ def score_toxicity(rows: DataFrame, model: Model, text: str = "text", drop_text:
         def one(body: str):
             total, found = 0.0, []
             for m in SENTENCE.finditer(body):
-                added = sum(map(words.__getitem__, WORD.findall(m[0].lower())))
+                added = sum(map(words.__getitem__, set(WORD.findall(m[0].lower()))))
                 if not added:
                     total += plain
                     continue
