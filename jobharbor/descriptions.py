@@ -57,6 +57,71 @@ SINGLE = {
     "waittime": "Time before the start as text.",
     "pilotversion": "Version of the pilot.",
     "jobmetrics": "Further measurements as text.",
+    "creationhost": "Machine from which the job was created.",
+    "modificationhost": "Machine that changed the record last.",
+    "atlasrelease": "Software release asked for.",
+    "homepackage": "Package and version of the program.",
+    "cmtconfig": "Platform the software was built for.",
+    "cpu_architecture_level": "Instruction set level the job needs.",
+    "prodserieslabel": "Production series.",
+    "prodsourcelabel": "Kind of work the job belongs to.",
+    "grid": "Grid the queue is part of.",
+    "cloud": "Region the queue is part of.",
+    "homecloud": "Region the job came from.",
+    "transfertype": "How input and output are moved.",
+    "eventservice": "Whether single events are handed out, and how.",
+    "job_label": "Label given at submission.",
+    "category": "Category used in reports.",
+    "lockedby": "Process that holds the job.",
+    "relocationflag": "Whether the job may be moved elsewhere; 0 is no.",
+    "jobname": "Name given at submission.",
+    "ipconnectivity": "Network access the job needs.",
+    "processor_type": "Kind of processor, such as CPU or GPU.",
+    "assignedpriority": "Priority at submission.",
+    "currentpriority": "Priority now.",
+    "priorityrange": "Band the priority falls into.",
+    "jobsetrange": "Band the job set falls into.",
+    "commandtopilot": "Order waiting for the pilot.",
+    "proddblock": "Dataset the input comes from.",
+    "dispatchdblock": "Dataset that carries the input to the site.",
+    "destinationdblock": "Dataset the output goes to.",
+    "destinationse": "Storage the output goes to.",
+    "sourcesite": "Site the input comes from.",
+    "destinationsite": "Site the output goes to.",
+    "maxcpucount": "Processor time allowed.",
+    "maxcpuunit": "Unit of the processor time allowed.",
+    "maxdiskcount": "Disk space allowed.",
+    "maxdiskunit": "Unit of the disk space allowed.",
+    "minramcount": "Memory asked for.",
+    "minramunit": "Unit of the memory asked for.",
+    "meancorecount": "Cores in use on average.",
+    "maxwalltime": "Run time allowed.",
+    "cpuconsumptionunit": "Processor model or unit behind the time used.",
+    "cpuconversion": "Factor to normalise processor time.",
+    "hs06": "Benchmark score of the cores.",
+    "hs06sec": "Processor time weighted by the benchmark score.",
+    "totrchar": "Characters read in all.",
+    "totwchar": "Characters written in all.",
+    "totrbytes": "Bytes read from storage in all.",
+    "totwbytes": "Bytes written to storage in all.",
+    "raterchar": "Characters read a second.",
+    "ratewchar": "Characters written a second.",
+    "raterbytes": "Bytes read from storage a second.",
+    "ratewbytes": "Bytes written to storage a second.",
+    "diskio": "Rate of disk traffic.",
+    "memoryleak": "Growth of memory fitted over the run.",
+    "memoryleakx2": "Quality of that fit.",
+    "ninputdatafiles": "Input files.",
+    "inputfiletype": "Type of the input data.",
+    "inputfileproject": "Project of the input data.",
+    "inputfilebytes": "Size of the input in bytes.",
+    "noutputdatafiles": "Output files.",
+    "outputfilebytes": "Size of the output in bytes.",
+    "outputfiletype": "Type of the output data.",
+    "gco2_regional": "Grams of carbon dioxide by the region's power mix.",
+    "gco2_global": "Grams of carbon dioxide by the world's power mix.",
+    "jobinfo": "Further facts about the job as text.",
+    "consumer": "Consumer the events were handed to.",
     "field": "Facet being summarised.",
     "list_json": "Values of the facet with their job counts.",
     "stats_json": "Totals of the facet.",
@@ -74,6 +139,28 @@ SINGLE = {
 }
 
 
+#: Fields of the queue catalogue that most queues carry; others have no description unless a table of them is passed.
+CATALOGUE = {
+    "queue": "Name of the queue; the key of the table.",
+    "status": "Whether the queue takes work.",
+    "cloud": "Region the queue is part of.",
+    "country": "Country of the site.",
+    "corecount": "Cores a job of the queue gets.",
+    "corepower": "Benchmark score of a core.",
+    "maxrss": "Memory a job may use, in MB.",
+    "nodes": "Worker nodes.",
+    "allow_lan": "Whether jobs may read over the local network.",
+    "availablecpu": "Cores available.",
+    "pledgedcpu": "Cores pledged.",
+    "astorages": "Storages by activity, as JSON.",
+    "params": "Further settings, as JSON.",
+    "hc_suite": "Test suites that probe the queue, as JSON.",
+    "queues": "Computing elements behind the queue, as JSON.",
+    "copytools": "Transfer tools and their settings, as JSON.",
+    "data": "An entry that is no object, as it came.",
+}
+
+
 def describe_column(name: str) -> str:
     if name in SINGLE:
         return SINGLE[name]

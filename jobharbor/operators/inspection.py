@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobharbor import schemas
-from jobharbor.descriptions import default_descriptions
+from jobharbor.descriptions import CATALOGUE, default_descriptions
 from jobharbor.functions import json_values as J
 from jobharbor.operators import analytics
 
@@ -79,6 +79,22 @@ def dictionary(spark: SparkSession, descriptions: DataFrame | None = None) -> Da
     )
 
 
+def catalogue_dictionary(fields: DataFrame, descriptions: DataFrame | None = None) -> DataFrame:
+    """The same columns for the wide queue table, whose ``fields`` (field, type) its refresh has published.
+
+    ``descriptions`` (column_name, description) takes the place of our short ones.
+    """
+    spark = fields.sparkSession
+    texts = spark.createDataFrame(list(CATALOGUE.items()), "column_name string, description string") if descriptions is None else descriptions
+    columns = fields.where(F.col("field") != "queue").select(F.col("field").alias("column_name"), F.col("type").alias("column_type"))
+    columns = spark.createDataFrame([("queue", "TEXT")], "column_name string, column_type string").unionByName(columns)
+    # the key first, then by name; a table has few columns
+    order = Window.orderBy(F.col("column_name") != "queue", "column_name")
+    placed = columns.withColumn("position", F.row_number().over(order) - 1).withColumn("table_name", F.lit("queuedata"))
+    described = placed.join(texts, "column_name", "left").withColumn("description", F.coalesce("description", F.lit("")))
+    return described.select("table_name", "column_name", "position", "column_type", "description")
+
+
 def pad(text: Column, width: int) -> Column:
     """Pad on the right; longer text stays whole."""
     return F.when(F.length(text) >= width, text).otherwise(F.rpad(text, width, " "))

@@ -71,3 +71,15 @@ def test_queue_filter_reaches_the_scan(spark, folder):
 def test_snapshots_have_no_queue(spark):
     rows = schemas.empty(spark, schemas.SNAPSHOTS)
     assert analytics.of_queue(rows, "A") is rows
+
+
+def test_every_column_is_described(spark):
+    assert inspection.dictionary(spark).where("description = ''").count() == 0
+
+
+def test_catalogue_dictionary(spark):
+    fields = spark.createDataFrame([("status", "TEXT"), ("corecount", "BIGINT"), ("own", "DOUBLE")], "field string, type string")
+    rows = inspection.catalogue_dictionary(fields).orderBy("position").collect()
+    assert [(r["position"], r["column_name"], r["column_type"]) for r in rows] == [(0, "queue", "TEXT"), (1, "corecount", "BIGINT"), (2, "own", "DOUBLE"), (3, "status", "TEXT")]
+    assert rows[2]["description"] == "" and rows[1]["description"].startswith("Cores")
+    assert inspection.context_lines(inspection.catalogue_dictionary(fields)).count() == 4
