@@ -80,7 +80,8 @@ class VersionedTables:
 
     def has_run(self, run_id: str) -> bool:
         """Whether files that this run appended are in force."""
-        return any(f"/{run_id}-" in (e.location or "") for e in self._entries())
+        own = re.compile(rf"/{re.escape(run_id)}-[0-9a-f]{{8}}/")
+        return any(own.search(e.location or "") for e in self._entries())
 
     def tables(self) -> list[str]:
         """Names of the tables that hold rows."""

@@ -206,6 +206,9 @@ def test_failed_batch_is_noted(spark, folder, monkeypatch):
         query.awaitTermination()
     noted = store.read("runs", ingest.RUNS).collect()
     assert [(r["run_id"], r["ok"]) for r in noted] == [("jobs-0", False)] and "lost" in noted[0]["error"]
+    monkeypatch.undo()
+    ingest.stream_jobs(spark, f"{folder}/landing", store, f"{folder}/c").awaitTermination()  # the batch once more
+    assert set(jobs_of(store)) == {12345, 12346}
 
 
 def test_latest_per_key_prunes_before_the_shuffle(spark, folder):
