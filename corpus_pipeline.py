@@ -41,7 +41,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in sequences."""
-    return packing.best_fit_packing(docs.select("doc_id", "text"), vocabulary())
+    return packing.best_fit_packing(docs.select("doc_id", "text"), vocabulary(), remember=False)
 
 
 STAGES = [

@@ -182,6 +182,14 @@ class WordBpe:
         cut = self.spaces.split(text) if any(c in text for c in SEPARATORS) else text.split()
         return np.frombuffer(b"".join(map(self.runs.__getitem__, cut)), dtype="<u4")
 
+    def forget(self) -> None:
+        """Give back the memory of runs and pairs."""
+        self.runs.clear()
+        self.runs.older = {}
+        for known in self.pairs[:-1]:
+            known.clear()
+        self.known_pairs = 0
+
     def _run(self, run: str) -> bytes:
         if self.special_first.isdisjoint(run):
             return self._piece(run)

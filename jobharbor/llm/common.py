@@ -60,7 +60,7 @@ def per_text(
     """Add columns computed from whole texts in Arrow batches; the other columns pass through untouched.
 
     ``fields`` is the DDL of the new columns, whose names the caller keeps clear of those in ``rows``. ``maker``
-    runs once per task and returns the function from texts to columns.
+    runs once per task and returns the function from texts to columns; a function ``close`` it carries runs at the task's end.
     """
     added = T.StructType.fromDDL(fields)
     kept = [f for f in rows.schema.fields if not (drop_text and f.name == text)]
@@ -69,14 +69,17 @@ def per_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = maker()
-        for batch in batches:
-            at = 0
-            for part in slices(batch.column(text)):
-                made = make(part)
-                old = [batch.column(n).slice(at, len(part)) for n in names]
-                new = [pa.array(made[n], type=kind) for n, kind in kinds]
-                yield pa.RecordBatch.from_arrays(old + new, names=[*names, *(n for n, _ in kinds)])
-                at += len(part)
+        try:
+            for batch in batches:
+                at = 0
+                for part in slices(batch.column(text)):
+                    made = make(part)
+                    old = [batch.column(n).slice(at, len(part)) for n in names]
+                    new = [pa.array(made[n], type=kind) for n, kind in kinds]
+                    yield pa.RecordBatch.from_arrays(old + new, names=[*names, *(n for n, _ in kinds)])
+                    at += len(part)
+        finally:
+            getattr(make, "close", lambda: None)()
 
     return rows.mapInArrow(run, T.StructType([*kept, *added.fields]))
 

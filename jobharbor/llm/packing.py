@@ -29,10 +29,11 @@ from jobharbor.llm.common import fresh, per_text, stored
 CAPACITY = 2048
 
 
-def token_pieces(rows: DataFrame, path: str, capacity: int = CAPACITY, id: str = "doc_id", text: str = "text", end: int = 0) -> DataFrame:
+def token_pieces(rows: DataFrame, path: str, capacity: int = CAPACITY, id: str = "doc_id", text: str = "text", end: int = 0, remember: bool = True) -> DataFrame:
     """Each text's ids and one ``end`` id, cut every ``capacity`` ids: the id, piece, start, length, ids_crc32.
 
     A null text is empty and gives one piece that holds the end alone. Rows that repeat an id give pieces each.
+    Without ``remember`` a worker forgets the words it has encoded at the end of a task, which leaves its memory to other work.
     """
     name = fresh("pieces", [id, text])
 
@@ -44,7 +45,12 @@ def token_pieces(rows: DataFrame, path: str, capacity: int = CAPACITY, id: str =
             spans = [(at, ids[at : at + capacity]) for at in range(0, len(ids), capacity)]
             return [{"piece": i, "start": at, "length": len(p), "ids_crc32": zlib.crc32(p.tobytes())} for i, (at, p) in enumerate(spans)]
 
-        return lambda texts: {name: [cut(t) for t in texts]}
+        def run(texts):
+            return {name: [cut(t) for t in texts]}
+
+        if not remember:
+            run.close = bpe.forget
+        return run
 
     fields = f"`{name}` array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint>>"
     return per_text(rows.select(id, text), text, fields, maker).select(id, F.inline(name))
@@ -133,6 +139,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", or
     return in_order.mapInArrow(run, T.StructType(fields))
 
 
-def best_fit_packing(rows: DataFrame, path: str, capacity: int = CAPACITY, id: str = "doc_id", text: str = "text") -> DataFrame:
+def best_fit_packing(rows: DataFrame, path: str, capacity: int = CAPACITY, id: str = "doc_id", text: str = "text", remember: bool = True) -> DataFrame:
     """Texts to packed pieces: the id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(stored(token_pieces(rows, path, capacity, id, text), "pack-pieces"), capacity, order=(id, "piece"))
+    return pack(stored(token_pieces(rows, path, capacity, id, text, remember=remember), "pack-pieces"), capacity, order=(id, "piece"))
