@@ -88,6 +88,7 @@ class _Runs(dict):
 
     def __init__(self, encode):
         self.encode = encode
+        self.most = REMEMBERED
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, run: str) -> bytes:
@@ -99,7 +100,7 @@ class _Runs(dict):
         return ids
 
     def keep(self, run: str, ids: bytes) -> None:
-        if len(self) >= REMEMBERED // 2:
+        if len(self) >= self.most // 2:
             self.older = dict(self)
             self.clear()
         self[run] = ids
@@ -182,6 +183,10 @@ class WordBpe:
         cut = self.spaces.split(text) if any(c in text for c in SEPARATORS) else text.split()
         return np.frombuffer(b"".join(map(self.runs.__getitem__, cut)), dtype="<u4")
 
+    def remember(self, most: int) -> None:
+        """How many runs to remember from now on."""
+        self.runs.most = most
+
     def forget(self) -> None:
         """Give back the memory of runs and pairs."""
         self.runs.clear()

@@ -53,6 +53,19 @@ def slices(column: pa.Array, chars: int = SLICE_CHARS) -> Iterator[list[str]]:
 
 Columns = dict[str, list]
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(rows: DataFrame) -> DataFrame:
+    """Let the session hand texts to Python 16 MiB at a time, unless it has a limit of its own instead of the default 64 MiB.
+
+    A batch is held by the executor and by the worker, and by two of each where operators follow one another.
+    """
+    conf = rows.sparkSession.conf
+    if conf.get(ARROW_BYTES) == "67108864b":
+        conf.set(ARROW_BYTES, "16m")
+    return rows
+
 
 def per_text(
     rows: DataFrame, text: str, fields: str, maker: Callable[[], Callable[[list[str]], Columns]], drop_text: bool = True
@@ -81,7 +94,7 @@ def per_text(
         finally:
             getattr(make, "close", lambda: None)()
 
-    return rows.mapInArrow(run, T.StructType([*kept, *added.fields]))
+    return small_batches(rows).mapInArrow(run, T.StructType([*kept, *added.fields]))
 
 
 def membership(keys: DataFrame, key: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobharbor.llm.bpe import load
+from jobharbor.llm.bpe import REMEMBERED, load
 from jobharbor.llm.common import fresh, per_text, stored
 
 CAPACITY = 2048
@@ -33,12 +33,13 @@ def token_pieces(rows: DataFrame, path: str, capacity: int = CAPACITY, id: str =
     """Each text's ids and one ``end`` id, cut every ``capacity`` ids: the id, piece, start, length, ids_crc32.
 
     A null text is empty and gives one piece that holds the end alone. Rows that repeat an id give pieces each.
-    Without ``remember`` a worker forgets the words it has encoded at the end of a task, which leaves its memory to other work.
+    Without ``remember`` a worker remembers fewer words and forgets them at the end of a task, which leaves its memory to other work.
     """
     name = fresh("pieces", [id, text])
 
     def maker():
         bpe = load(path)
+        bpe.remember(REMEMBERED if remember else REMEMBERED // 3)
 
         def cut(one: str):
             ids = np.append(bpe.encode(one), np.uint32(end)).astype("<u4")

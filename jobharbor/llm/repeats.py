@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobharbor.llm.common import may_hold, membership, slices, stored
+from jobharbor.llm.common import may_hold, membership, slices, small_batches, stored
 from jobharbor.llm.ngram_join import mix
 
 LENGTH, GRAM = 100, 24
@@ -136,7 +136,7 @@ def _stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     names = ["anchor", "body", "id", "sub", "first", "last", "gone"]
     schema = "anchor bigint, body bigint, id bigint, sub bigint, first bigint, last bigint, gone boolean"
-    return docs.select("id", "sub", "text").mapInArrow(run, schema)
+    return small_batches(docs).select("id", "sub", "text").mapInArrow(run, schema)
 
 
 def _joined(ids: np.ndarray, subs: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:

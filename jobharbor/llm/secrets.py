@@ -19,9 +19,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from jobharbor.llm.common import fresh, per_text
+from jobharbor.llm.common import fresh, per_text, small_batches
 
 #: What the kinds look like.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -171,25 +172,20 @@ def scan_secrets(rows: DataFrame, text: str = "text", into: str = "secrets", dro
 
 def redact(rows: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same columns, with every span of a secret replaced; overlapping spans become one mark. Null stays null."""
-    found = scan_secrets(rows, text)
-    spans, names = found.columns[-1], rows.columns
+    names = rows.columns
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            made = [_redacted(t, s, mark) if s else t for t, s in zip(texts, batch.column(spans).to_pylist(), strict=True)]
-            columns = [pa.array(made, type=pa.string()) if c == text else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            made = pa.array((None if v.as_py() is None else _redacted(v.as_py(), mark) for v in batch.column(text)), type=pa.string())
+            yield pa.RecordBatch.from_arrays([made if c == text else batch.column(c) for c in names], names=names)
 
-    return found.mapInArrow(run, rows.schema)
+    return small_batches(rows).mapInArrow(run, rows.schema)
 
 
-def _redacted(text: str, spans: list[dict], mark: str) -> str:
+def _redacted(text: str, mark: str) -> str:
     parts, at = [], 0
-    for span in spans:
-        if span["start"] >= at:
-            parts += [text[at : span["start"]], mark]
-        at = max(at, span["end"])
+    for _, start, end in find_secrets(text):
+        if start >= at:
+            parts += [text[at:start], mark]
+        at = max(at, end)
     return "".join([*parts, text[at:]])
