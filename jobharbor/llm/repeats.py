@@ -10,9 +10,13 @@ No suffix array over the whole corpus fits anywhere, so it is built where string
 1. Anchors. In every window of ``length`` bytes the smallest hash of ``GRAM`` bytes marks an anchor, so equal windows have equal anchors at
    equal places. Consecutive windows of one anchor are a stretch; about one stretch for 40 bytes is shuffled, by its anchor, as hashes and places.
 2. A stretch equal to an earlier one is removed whole; equal ones in the same slice of texts collapse before the shuffle. An anchor
-   with one stretch left is done: most are.
+   with one stretch left is done: most are. Two different stretches of a slice tell that its anchor has several; the others of that
+   anchor and slice are shuffled by their own bytes, so an anchor brings two rows a slice together at most.
 3. The other stretches, mostly the borders of repeated passages, fetch their bytes. Blocks of whole anchors get their suffix order by
    prefix doubling, and every window that is not the first of its run is removed.
+   An anchor with more bytes than a block is dealt over parts, and what repeats within a part is removed there. The other windows, once a
+   part, are cut by how far ahead of the anchor they start. Those of a piece have bytes around the anchor in common, and only those with
+   the same bytes there meet: pieces that are still too large are cut again, down to single windows.
 4. Spans are put together document by document.
 """
 
@@ -31,6 +35,8 @@ from jobharbor.llm.ngram_join import mix
 LENGTH, GRAM = 100, 24
 #: Bytes hashed at once, and bytes of a block whose suffixes are sorted.
 CHUNK, BLOCK = 1 << 20, 1 << 20
+#: Pieces that the windows of a large group are cut into.
+PIECES = 4
 NULL_ID = (1 << 63) - 1
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -105,7 +111,10 @@ def keyed(rows: DataFrame, id: str, text: str) -> tuple[DataFrame, bool]:
 
 
 def _stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """anchor, body, id, sub, first, last, gone: stretches; those with an earlier equal in their slice are gone already, and joined."""
+    """key, body, id, sub, first, last, gone, apart: stretches; those with an earlier equal in their slice are gone already, and joined.
+
+    The key is the anchor. Beyond two different stretches of an anchor in a slice they stand ``apart``, and the key is anchor xor body.
+    """
 
     def run(batches):
         hasher = Hasher()
@@ -127,15 +136,18 @@ def _stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     same[1:] = gone[1:] & (i[1:] == i[:-1]) & (s[1:] == s[:-1]) & (f[1:] == f[:-1])
                     kept, cut = ~same & ~gone, ~same & gone
                     rest = _joined(i[cut], s[cut], f[cut], last[order][cut])
-                    columns = [a[kept], b[kept], i[kept], s[kept], f[kept], last[order][kept], gone[kept]]
+                    a, b = a[kept], b[kept]
+                    apart = np.zeros(len(a), dtype=bool)
+                    apart[2:] = a[2:] == a[:-2]
+                    columns = [np.where(apart, a ^ b, a), b, i[kept], s[kept], f[kept], last[order][kept], gone[kept], apart]
                     # what is gone already needs no company: any place will do
                     spread = mix(rest[2].astype(np.uint64) * BASE + rest[0].astype(np.uint64)).view(np.int64)
-                    more = [spread, np.zeros(len(spread), dtype=np.int64), *rest, np.ones(len(spread), dtype=bool)]
+                    more = [spread, np.zeros(len(spread), dtype=np.int64), *rest, np.ones(len(spread), dtype=bool), np.zeros(len(spread), dtype=bool)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(columns, more, strict=True)], names=names)
                 at += len(part)
 
-    names = ["anchor", "body", "id", "sub", "first", "last", "gone"]
-    schema = "anchor bigint, body bigint, id bigint, sub bigint, first bigint, last bigint, gone boolean"
+    names = ["key", "body", "id", "sub", "first", "last", "gone", "apart"]
+    schema = "key bigint, body bigint, id bigint, sub bigint, first bigint, last bigint, gone boolean, apart boolean"
     return small_batches(docs).select("id", "sub", "text").mapInArrow(run, schema)
 
 
@@ -191,7 +203,7 @@ def later_windows(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarr
 
 
 def _snippets(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """anchor, id, sub, first, bytes: the stretches asked for, with their bytes."""
+    """anchor, part, id, sub, first, bytes: the stretches asked for, with their bytes. Part is 0 where an anchor's stretches fit a block."""
 
     def run(batches):
         for batch in batches:
@@ -200,7 +212,7 @@ def _snippets(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             for id, sub, text, wanted_ in columns:
                 raw = text.as_buffer().to_pybytes()
                 for w in wanted_.as_py():
-                    out.append((w["anchor"], id, sub, w["first"], raw[w["first"] : w["last"] + length]))
+                    out.append((w["anchor"], w["part"], id, sub, w["first"], raw[w["first"] : w["last"] + length]))
                     held += 1
                 if held >= 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
@@ -208,46 +220,111 @@ def _snippets(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    names, kinds = ["anchor", "id", "sub", "first", "bytes"], [pa.int64()] * 4 + [pa.binary()]
-    by_doc = wanted.groupBy("id", "sub").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("wanted"))  # bounded by the text
+    names, kinds = ["anchor", "part", "id", "sub", "first", "bytes"], [pa.int64()] * 5 + [pa.binary()]
+    sizes = wanted.groupBy("anchor").agg(F.sum(F.col("last") - F.col("first") + length).alias("n")).where(F.col("n") > BLOCK)
+    large = stored(sizes.select("anchor", F.ceil(F.col("n") / BLOCK).alias("parts")), "repeats-large")
+    dealt = F.pmod(F.xxhash64("id", "sub", "first"), "parts") + 1
+    placed = wanted.join(large, "anchor", "left").withColumn("part", F.coalesce(dealt, F.lit(0)))
+    # a set: a row that repeats may bring a stretch by both keys
+    by_doc = placed.groupBy("id", "sub").agg(F.collect_set(F.struct("anchor", "part", "first", "last")).alias("wanted"))  # bounded by the text
     moved = may_hold(docs.select("id", "sub", "text"), F.col("id"), membership(wanted, "id"), "_may").where("_may").drop("_may")
-    return moved.join(by_doc, ["id", "sub"]).mapInArrow(run, "anchor bigint, id bigint, sub bigint, first bigint, bytes binary")
+    return moved.join(by_doc, ["id", "sub"]).mapInArrow(run, "anchor bigint, part bigint, id bigint, sub bigint, first bigint, bytes binary")
+
 
+def _later_in_blocks(snippets: DataFrame, length: int, gram: int) -> DataFrame:
+    """id, sub, start, end, anchor, at, bytes: spans to remove, from blocks of whole anchors or a part of one.
+
+    With ``bytes`` it is no span to remove, but a stretch of a part not found earlier there, with the place of its anchor.
+    """
 
-def _later_in_blocks(snippets: DataFrame, length: int) -> DataFrame:
-    """id, sub, start, end of spans to remove, from blocks of whole anchors."""
+    def anchors_at(rows: list[tuple], data: np.ndarray, base: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Where the anchor of each row first stands in its bytes."""
+        hasher = Hasher(len(data))
+        sums = hasher.sums(data)
+        hashes = mix((sums[gram:] - sums[:-gram]) * hasher.down[: len(data) - gram + 1]).view(np.int64)
+        owner = np.repeat(np.arange(len(rows)), sizes)[: len(hashes)]
+        found = np.flatnonzero(hashes == np.array([r[0] for r in rows], dtype=np.int64)[owner])
+        found = found[found + gram <= (base + sizes)[owner[found]]]
+        owners, which = np.unique(owner[found], return_index=True)
+        at = np.full(len(rows), -1, dtype=np.int64)
+        at[owners] = found[which] - base[owners]
+        return at
 
     def of_block(rows: list[tuple]):
-        sizes = np.array([len(r[4]) for r in rows], dtype=np.int64)
-        data = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8)
+        sizes = np.array([len(r[5]) for r in rows], dtype=np.int64)
+        data = np.frombuffer(b"".join(r[5] for r in rows), dtype=np.uint8)
         counts = sizes - length + 1
         base = np.cumsum(sizes) - sizes
         row = np.repeat(np.arange(len(rows)), counts)
         within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         later = later_windows(data, base[row] + within, length)
         edge = np.concatenate([[True], row[1:] != row[:-1]])
-        begin = np.flatnonzero(later & (edge | ~np.concatenate([[False], later[:-1]])))
-        close = np.flatnonzero(later & (np.concatenate([edge[1:], [True]]) | ~np.concatenate([later[1:], [False]])))
-        ids, subs, firsts = (np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 2, 3))
+
+        def runs(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            begin = np.flatnonzero(of & (edge | ~np.concatenate([[False], of[:-1]])))
+            return begin, np.flatnonzero(of & (np.concatenate([edge[1:], [True]]) | ~np.concatenate([of[1:], [False]])))
+
+        begin, close = runs(later)
+        anchors, parts, ids, subs, firsts = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(5))
+        at, texts = np.full(len(begin), -1, dtype=np.int64), [None] * len(begin)
+        if parts.any():
+            first, last = runs(~later & (parts[row] > 0))
+            at = np.concatenate([at, anchors_at(rows, data, base, sizes)[row[first]] - within[first]])
+            texts += [rows[r][5][f : t + length] for r, f, t in zip(row[first].tolist(), within[first].tolist(), within[last].tolist(), strict=True)]
+            begin, close = np.concatenate([begin, first]), np.concatenate([close, last])
         own = row[begin]
-        columns = [ids[own], subs[own], firsts[own] + within[begin], firsts[own] + within[close] + length]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "sub", "start", "end"])
+        columns = [ids[own], subs[own], firsts[own] + within[begin], firsts[own] + within[close] + length, anchors[own], at]
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(texts, type=pa.binary())], names=names)
 
     def run(batches):
-        held, size, last = [], 0, None
+        held, size, last = [], 0, (None, 0)
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "id", "sub", "first", "bytes")), strict=True):
-                if size >= BLOCK and row[0] != last:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "part", "id", "sub", "first", "bytes")), strict=True):
+                if held and row[:2] != last and (size >= BLOCK or last[1]):  # parts of an anchor stay apart: a block is in order of id
                     yield of_block(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
-                last = row[0]
+                size += len(row[5])
+                last = row[:2]
         if held:
             yield of_block(held)
 
-    ordered = snippets.repartition("anchor").sortWithinPartitions("anchor", "id", "sub", "first")
-    return ordered.mapInArrow(run, "id bigint, sub bigint, start bigint, end bigint")
+    names = ["id", "sub", "start", "end", "anchor", "at", "bytes"]
+    ordered = snippets.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "id", "sub", "first")
+    return ordered.mapInArrow(run, "id bigint, sub bigint, start bigint, end bigint, anchor bigint, at bigint, bytes binary")
+
+
+def _later_in_pieces(rows: DataFrame, length: int, gram: int) -> list[DataFrame]:
+    """Tables of spans to remove (id, sub, start, end) among the stretches that the parts of large anchors left.
+
+    A window that starts o bytes ahead of its anchor has the bytes from -low to length - high around it, where o is low to high. Equal
+    windows have equal anchors at equal places, so they stay together however often the range is cut.
+    """
+    spans, width = [], length - gram + 1
+    now = rows.select("id", "sub", F.col("start").alias("first"), "at", "bytes", F.col("anchor").alias("group"), F.lit(0).cast("bigint").alias("low"), F.lit(width - 1).cast("bigint").alias("high"))
+    while True:
+        width = -(-width // PIECES)
+        least = F.col("at") - F.octet_length("bytes") + length
+        piece = F.explode(F.sequence(F.floor((least - F.col("low")) / width), F.floor((F.col("at") - F.col("low")) / width)))
+        cut = now.select("*", least.alias("least"), piece.alias("piece")).withColumn("low", F.col("low") + F.col("piece") * width)
+        cut = cut.withColumn("high", F.least(F.col("low") + width - 1, "high"))
+        cut = cut.withColumns({"least": F.greatest("least", "low"), "most": F.least("at", "high")})
+        own = F.substring("bytes", (F.col("at") - F.col("most") + 1).cast("int"), (F.col("most") - F.col("least") + length).cast("int"))
+        cut = cut.select("id", "sub", (F.col("first") + F.col("at") - F.col("most")).alias("first"), F.col("most").alias("at"), own.alias("bytes"), "group", "low", "high")
+        shared = F.substring("bytes", (F.col("at") - F.col("low") + 1).cast("int"), (F.col("low") - F.col("high") + length).cast("int"))
+        cut = stored(cut.withColumn("group", F.xxhash64("group", "low", shared)), "repeats-cut")
+        sizes = cut.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.octet_length("bytes")).alias("size")).where("n > 1")
+        met = cut.join(stored(sizes.select("group", (F.col("size") > BLOCK).alias("large")), "repeats-groups"), "group")
+        if width == 1:
+            # a window has no more rows than its anchor has parts
+            nth = F.row_number().over(Window.partitionBy("bytes").orderBy("id", "sub", "first"))
+            gone = met.withColumn("_n", nth).where("_n > 1")
+            return [*spans, gone.select("id", "sub", F.col("first").alias("start"), (F.col("first") + length).alias("end"))]
+        small = met.where("not large").select(F.col("group").alias("anchor"), F.lit(0).cast("bigint").alias("part"), "id", "sub", "first", "bytes")
+        spans.append(_later_in_blocks(small, length, gram).select("id", "sub", "start", "end"))
+        now = stored(met.where("large").drop("large"), "repeats-still-large")
+        if now.isEmpty():
+            return spans
 
 
 def _cut(joined: DataFrame, id: str) -> DataFrame:
@@ -288,20 +365,25 @@ def remove_repeats(rows: DataFrame, id: str = "doc_id", text: str = "text", leng
     """
     docs, repeated = keyed(rows, id, text)
     found = _stretches(docs, length, gram)
-    by_anchor = Window.partitionBy("anchor")
-    in_order = by_anchor.orderBy("body", "id", "sub", "first")
+    by_key = Window.partitionBy("key")
+    in_order = by_key.orderBy("body", "id", "sub", "first")
     before = F.lag(F.struct("body", "id", "sub", "first")).over(in_order)
-    seen = found.withColumns({"_before": before, "_several": F.min("body").over(by_anchor) != F.max("body").over(by_anchor)})
+    seen = found.withColumns({"_before": before, "_several": F.col("apart") | (F.min("body").over(by_key) != F.max("body").over(by_key))})
     place = F.struct("body", "id", "sub", "first")
     seen = seen.where(F.col("_before").isNull() | (F.col("_before") != place))
     seen = seen.withColumn("gone", F.col("gone") | F.coalesce(F.col("_before.body") == F.col("body"), F.lit(False)))
-    seen = seen.where("gone or _several").select("anchor", "id", "sub", "first", "last", "gone")
+    anchor = F.when(F.col("apart"), F.col("key").bitwiseXOR(F.col("body"))).otherwise(F.col("key"))
+    seen = seen.where("gone or _several").select(anchor.alias("anchor"), "id", "sub", "first", "last", "gone")
     seen = stored(seen, "repeats-stretches")
     whole = seen.where("gone").select("id", "sub", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
     once = docs.where("sub = 0").unionByName(docs.where("sub <> 0").dropDuplicates(["id", "sub"])) if repeated else docs
     snippets = _snippets(once, seen.where("not gone"), length)
-    parts = _later_in_blocks(snippets, length)
-    spans = stored(whole.unionByName(parts), "repeats-spans")
+    parts = stored(_later_in_blocks(snippets, length, gram), "repeats-parts")
+    left = parts.where("bytes is not null")
+    spans = whole.unionByName(parts.where("bytes is null").select("id", "sub", "start", "end"))
+    for more in [] if left.isEmpty() else _later_in_pieces(left, length, gram):
+        spans = spans.unionByName(more)
+    spans = stored(spans, "repeats-spans")
     by_doc = spans.groupBy("id", "sub").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # bounded by the text
     flagged = may_hold(docs, F.col("id"), membership(spans, "id"), "_may")
     size = F.octet_length("text").cast("bigint")

@@ -158,6 +158,45 @@ def test_equal_ids_with_different_texts_are_told_apart(spark):
     assert sizes[0] == 0 and sizes[1] >= len(body.encode())
 
 
+def surrounded(n):
+    """A passage with other text around it in each row; some rows come again, as they are."""
+    passage = prose(777, 40)
+    rows = [(k, f"{prose(10_000 + k, 12)} {passage} {prose(50_000 + k, 12)}") for k in range(n)]
+    return rows + [(n + k, rows[k][1] + " end") for k in range(0, n, 9)]
+
+
+def test_one_passage_in_many_surroundings(spark, monkeypatch):
+    limit, whole = 3000, repeats.later_windows
+
+    def bounded(data, starts, length):
+        assert len(data) <= 3 * limit, "a block without bound"
+        return whole(data, starts, length)
+
+    monkeypatch.setattr(repeats, "BLOCK", limit)
+    monkeypatch.setattr(repeats, "later_windows", bounded)
+    rows = surrounded(2000)
+    frame = documents(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(3)
+    assert Counter(tuple(r)[:5] for r in repeats.remove_repeats(frame).collect()) == removed(rows, 100)
+
+
+def test_rows_that_come_again_among_many_surroundings(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK", 3000)
+    rows = surrounded(300)
+    again = rows[100:200]
+    frame = documents(spark, [t for _, t in rows + again], [i for i, _ in rows + again]).repartition(5)
+    got = Counter(tuple(r)[:5] for r in repeats.remove_repeats(frame).collect())
+    gone = Counter((i, len(t.encode()), len(t.encode()), 1, hashlib.sha256(b"").hexdigest()) for i, t in again)
+    # which of the hundred is first of its kind is told by the id, so the others are as without them
+    assert got - gone == removed(rows, 100) and not gone - got
+
+
+def test_few_rows_of_an_anchor_meet(spark):
+    rows = surrounded(3000)
+    frame = documents(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(2)
+    found = repeats._stretches(repeats.keyed(frame, "doc_id", "text")[0], 100, 24)
+    assert found.groupBy(found.columns[0]).count().agg({"count": "max"}).first()[0] <= 100
+
+
 def test_later_windows_are_those_with_a_long_previous_factor():
     r = random.Random(5)
     for length in (16, 20, 100):
