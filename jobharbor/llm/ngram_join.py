@@ -1,7 +1,7 @@
 """N-gram Jaccard join by MinHash banding, verified on full n-gram sets.
 
-1. A text becomes the set of its word n-grams. Texts with the same set form a class; only one row a class goes on, so copies
-   cost no pairs however many there are.
+1. A text becomes the set of its word n-grams. Texts with the same set form a class; only one text a class goes on, found by id and
+   hash of the text, so copies cost no pairs however many there are.
 2. MinHash values are cut into bands; how many of how many rows follows from the similarity and the recall asked for.
    Classes are shuffled on band hashes, never on texts, and classes that share a band are candidates.
 3. Candidates that hang together are brought together with their texts, in blocks of bounded size, and all their pairs are
@@ -18,10 +18,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobharbor.llm.common import may_hold, membership, per_text, stored, without
+from jobharbor.llm.common import fresh, may_hold, membership, per_text, stored, without
 from jobharbor.llm.graphs import components
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
@@ -94,7 +94,7 @@ class MinHash:
 
 
 def signatures(rows: DataFrame, id: str, text: str, n: int, bands: int, depth: int) -> DataFrame:
-    """The id, grams (their number), key (128 bits of the set), bands (hashes). The key of a text without words is null."""
+    """The id, mark (hash of the text), grams (their number), key (128 bits of the set), bands (hashes). The key of a text without words is null."""
 
     def maker():
         words, hashed = _Words(), MinHash(bands, depth)
@@ -109,7 +109,7 @@ def signatures(rows: DataFrame, id: str, text: str, n: int, bands: int, depth: i
 
         return run
 
-    own = rows.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    own = rows.select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     return per_text(own, "text", "grams bigint, key binary, bands array<bigint>", maker)
 
 
@@ -191,46 +191,73 @@ def _verified(blocks: DataFrame, n: int, similarity: float) -> DataFrame:
     return blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "node bigint, root bigint, links bigint")
 
 
-def ngram_jaccard_join(
-    rows: DataFrame, id: str = "doc_id", text: str = "text", n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, members: int = MEMBERS
-) -> DataFrame:
-    """One row per input row: the id, ``class_id``, ``n_links``.
-
-    Two documents are linked if the sets of their word n-grams have this Jaccard similarity or more; found with at least this chance for
-    a pair on the border, more for closer ones. ``class_id`` is the smallest id that a chain of links reaches, ``n_links`` counts the
-    documents linked to directly, copies too. Texts without words (null, empty) have no links and their own id for class.
-    Ids are integers; a row with a null id has no links and a null class; rows that share an id are taken for one document. Other columns are not read.
-    """
+def _verdicts(rows: DataFrame, id: str, text: str, n: int, similarity: float, recall: float, members: int) -> tuple[DataFrame, DataFrame]:
+    """id, mark, class_id, class_mark, n_links of each row (class and links null without a class), and the (id, mark) that repeat."""
     bands, depth = choose_bands(similarity, recall)
     signed = stored(signatures(rows, id, text, n, bands, depth), "join-signatures")
     keyed = signed.where("key is not null and id is not null")
-    classes = stored(
-        keyed.groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("size"), F.first("bands").alias("bands"), F.first("grams").alias("grams")),
-        "join-classes",
-    )
+    again = stored(keyed.groupBy("id", "mark").count().where("count > 1").select("id", "mark"), "join-again")
+    # a class is numbered, since ids may repeat; its text is that of its least (id, mark)
+    classes = keyed.groupBy("key").agg(F.min(F.struct("id", "mark")).alias("least"), F.count("*").alias("size"), F.first("bands").alias("bands"), F.first("grams").alias("grams"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "join-classes")
     banded = classes.select(F.explode("bands").alias("band"), "node")
     buckets = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     candidates = components(banded.join(buckets, "band").where("node <> leader"), "node", "leader")
-    candidates = candidates.withColumnRenamed("root", "comp").join(classes.select("node", "size", "grams"), "node")
+    candidates = candidates.withColumnRenamed("root", "comp").join(classes.select("node", "size", "grams", "least.id", "least.mark"), "node")
     candidates = stored(candidates, "join-candidates")
     sizes = candidates.groupBy("comp").agg(F.count("*").alias("m"), F.sum("grams").alias("g"))
     sizes = sizes.select("comp", F.ceil(F.greatest(F.col("m") / members, F.col("g") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     placed = candidates.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    bits = membership(candidates, "node")
-    texts = may_hold(rows.select(F.col(id).alias("node"), F.col(text).alias("text")), F.col("node"), bits, "_may").where("_may").drop("_may")
+    bits = membership(candidates, "id")
+    texts = may_hold(rows.select(F.col(id).alias("id"), F.col(text).alias("text")), F.col("id"), bits, "_may").where("_may").drop("_may")
+    texts = texts.withColumn("mark", F.xxhash64("text"))
+    if not again.isEmpty():
+        texts = texts.dropDuplicates(["id", "mark"])
     pairs = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    blocks = texts.join(placed, "node").select("comp", "block", "node", "size", "text", pairs)
+    blocks = texts.join(placed, ["id", "mark"]).select("comp", "block", "node", "size", "text", pairs)
     blocks = blocks.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
     found = stored(_verified(blocks, n, similarity), "join-verified")
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = components(found, "node", "root")
-    known = classes.select("key", "node", "size").join(linked, "node", "left").join(roots, "node", "left")
-    known = known.select("key", F.coalesce("root", "node").alias("class_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    joined = signed.select("id", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(known, "key", "left")
+    roots = stored(components(found, "node", "root").join(classes.select("node", "least"), "node"), "join-roots")
+    roots = roots.join(roots.groupBy("root").agg(F.min("least").alias("top")), "root").select("node", "top")
+    known = classes.select("key", "node", "size", "least").join(linked, "node", "left").join(roots, "node", "left")
+    top = F.coalesce("top", "least")
+    known = known.select("key", top["id"].alias("class_id"), top["mark"].alias("class_mark"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    joined = signed.select("id", "mark", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(known, "key", "left")
+    return joined.drop("key"), again
+
+
+def ngram_jaccard_join(
+    rows: DataFrame, id: str = "doc_id", text: str = "text", n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, members: int = MEMBERS
+) -> DataFrame:
+    """One row per input row: the id, ``class_id``, ``n_links``.
+
+    Two documents are linked if the sets of their word n-grams have this Jaccard similarity or more; found with at least this chance for
+    a pair on the border, more for closer ones. ``class_id`` is the smallest id that a chain of links reaches, ``n_links`` counts the
+    documents linked to directly, copies too. Texts without words (null, empty) have no links and their own id for class.
+    Ids are integers; a row with a null id has no links and a null class; rows that share an id are documents of their own. Other columns are not read.
+    """
+    joined, _ = _verdicts(rows, id, text, n, similarity, recall, members)
     return joined.select(F.col("id").alias(id), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
-def keep_one(rows: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows that stay when one document of each class does, the one with the smallest id; rows with a null id stay."""
-    verdict = ngram_jaccard_join(rows, id, text, **how)
-    return without(rows, stored(verdict.where(F.col("class_id") != F.col(id)).select(id), "join-gone"), id)
+def keep_one(
+    rows: DataFrame, id: str = "doc_id", text: str = "text", n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, members: int = MEMBERS
+) -> DataFrame:
+    """The rows that stay when one document of each class does, the one with the smallest id; rows with a null id stay.
+
+    Of rows that share this id the one with the smallest hash of its text stays, of rows alike in both any one.
+    """
+    verdict, again = _verdicts(rows, id, text, n, similarity, recall, members)
+    pick = fresh("_pick", rows.columns)
+
+    def both(a: str, b: Column) -> Column:
+        return F.struct(F.col(a).alias("id"), b.alias("mark")).alias(pick)
+
+    gone = verdict.where((F.col("class_id") != F.col("id")) | (F.col("class_mark") != F.col("mark")))
+    marked = rows.select("*", both(id, F.xxhash64(text)))
+    left = without(marked, stored(gone.select(both("id", F.col("mark"))).distinct(), "join-gone"), pick)
+    if not again.isEmpty():
+        twice = again.select(both("id", F.col("mark")))
+        left = without(left, twice, pick).unionByName(left.join(twice, pick, "left_semi").dropDuplicates([pick]).select(*left.columns))
+    return left.drop(pick)

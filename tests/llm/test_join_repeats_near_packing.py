@@ -91,6 +91,29 @@ def test_one_of_each_class_stays(spark):
     assert left.where("doc_id is null").count() == 1
 
 
+def repeating():
+    """Rows that share an id: alike, near copies and unrelated; a class whose smallest id is also that of another text."""
+    a, b = chain()[:2]
+    other = prose(4321, 70)
+    return [(3, a), (5, b), (5, b), (5, other), (7, other + " end"), (8, a), (9, prose(77, 50)), (9, prose(77, 50)), (9, None), (9, None), (3, prose(78, 50)), (None, a)]
+
+
+@pytest.mark.parametrize("members", [1024, 2])
+def test_rows_that_share_an_id(spark, members):
+    rows = repeating()
+    got = ngram_join.ngram_jaccard_join(documents(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(3), members=members)
+    assert Counter(map(tuple, got.collect())) == linked(rows)
+
+
+def test_nothing_unrelated_goes_with_a_shared_id(spark):
+    rows = repeating()
+    frame = with_clashes(documents(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(3), "_pick", "mark")
+    left = ngram_join.keep_one(frame)
+    assert left.schema == frame.schema
+    want = Counter(rows[k] for k in (0, 3, 6, 8, 9, 10, 11))
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == want
+
+
 def test_bands_reach_the_recall():
     for similarity, recall in [(0.8, 0.999), (0.5, 0.9), (0.9, 0.99)]:
         bands, rows = ngram_join.choose_bands(similarity, recall)
