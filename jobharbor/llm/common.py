@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -51,6 +52,21 @@ def slices(column: pa.Array, chars: int = SLICE_CHARS) -> Iterator[list[str]]:
         yield part
 
 
+#: Bytes of a text that are split into words at once.
+WORD_BYTES = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def word_blocks(raw: bytes, size: int = WORD_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text, split at ASCII white space, in lists of about ``size`` bytes of text; no word is cut."""
+    at = 0
+    while at < len(raw):
+        gap = _SPACE.search(raw, at + size)
+        end = gap.start() if gap else len(raw)
+        yield raw[at:end].split()
+        at = end
+
+
 Columns = dict[str, list]
 
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -119,6 +135,27 @@ def may_hold(rows: DataFrame, key: Column, bits: DataFrame, flag: str) -> DataFr
     return joined.select(*rows.columns, F.coalesce(held, F.lit(False)).alias(flag))
 
 
+#: A key counts as heavy if it has this part of all rows, so there are never more heavy keys than this.
+HEAVY = 1000
+
+
+def join_weighted(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Inner join of ``rows`` with one row a key, where any key may hold a large share of the rows.
+
+    ``weight`` of ``table`` says how many rows have the key; it is dropped. The at most ``HEAVY`` keys that have a thousandth of all rows or more
+    are broadcast, so their rows stay where they are; the others are shuffled in groups below that share. Both sides are read
+    twice, so they should be stored. Keys are not null.
+    """
+    total = table.agg(F.sum(weight)).first()[0]
+    if total is None:
+        return rows.join(table.drop(weight), keys)
+    heavy = F.col(weight) * HEAVY >= F.lit(total)
+    hot, cold = table.where(heavy).drop(weight), table.where(~heavy).drop(weight)
+    near = rows.join(F.broadcast(hot), keys)
+    far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return near.unionByName(far)
+
+
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """The rows whose key is not in ``gone``; rows with a null key stay. Rows the filter clears don't move."""
     name, flag = fresh("_gone", rows.columns), fresh("_may", rows.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobharbor.llm import bpe, exact, language, neighbours, ngram_join, packing, repeats, secrets, sharding, toxicity
+from jobharbor.llm import bpe, conversations, exact, language, neighbours, ngram_join, packing, phrases, repeats, secrets, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -99,3 +99,19 @@ def op5_repeats(spark, sf_dir):
 def op2_neighbours(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query
+def op11_simhash(spark, sf_dir):
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_conversations(spark, sf_dir):
+    damaged = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.repair_conversations(damaged).withColumnRenamed("conv", "conv_id")
+
+
+@query
+def op13_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
