@@ -3,8 +3,9 @@
 The texts are dealt to ``SHARDS`` shards, however many there are, so the support a phrase needs within a shard stays a fixed part of the support it
 needs over all: of a language's words a shard holds the share w / W, and a phrase with f occurrences there is locally frequent if
 f >= support * w / W. What is frequent over all is so in at least one shard. A shard is mined completely, length by length, by the
-tasks that hold its texts: a phrase can be frequent only if what is left without its first or its last word is. Then the union of the
-shards' phrases is counted exactly over all texts.
+tasks that hold its texts: a phrase can be frequent only if what is left without its first or its last word is. The shards' phrases are united; those whose
+counts, with the most that the shards that don't report them can have, are below the support go. Then the candidates are
+counted exactly over all texts.
 
 While candidates are sought, phrases are told apart by 64-bit hashes, whose collisions add candidates and lose none; the sets that tasks look them up in are
 filters of fixed size, of which the same holds. The last count is of the words themselves, and the scores are exact
@@ -19,6 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ from jobharbor.llm.common import FILTER_BITS, join_weighted, membership, small_b
 
 LONGEST, SUPPORT, TOP, SCALE = 5, 100, 2000, 1000
 #: Shards; words that a task holds at once; different words that it remembers; bytes of a text that are split at once; places of a language's ranking.
-SHARDS, RUN, REMEMBERED, BLOCK, SALTS = 8, 2_000_000, 500_000, 1 << 20, 64
+SHARDS, RUN, REMEMBERED, BLOCK, SALTS = 8, 1_000_000, 500_000, 1 << 20, 64
 
 BREAK = b"\xff"  # no byte of UTF-8
 _BREAKS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -53,7 +55,7 @@ def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """Numbers of words, 0 for a break, with the words and their hashes by number."""
+    """Numbers of words, 0 for a break, with the words and their hashes by number. The hashes have 32 bits; 0 is kept for breaks."""
 
     def __init__(self):
         super().__init__()
@@ -69,7 +71,7 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = n = next(self.number)
         self.words.append(word)
-        self.hashes.append(xxhash.xxh64_intdigest(word))
+        self.hashes.append((xxhash.xxh64_intdigest(word) & 0xFFFFFFFF) or 1)
         return n
 
 
@@ -79,27 +81,10 @@ class Run:
 
     def __init__(self, words: Words, numbers: np.ndarray, old: int):
         self.words, self.numbers, self.old = words, numbers, old
-        self.hashes = np.array(words.hashes, dtype=np.uint64)[numbers]
-
-    def keys(self, length: int, seed: int) -> np.ndarray:
-        """Hashes of the phrases of this length at all places."""
-        n = max(0, len(self.numbers) - length + 1)
-        value = np.full(n, seed, dtype=np.uint64)
-        for k in range(length):
-            value = _mixed(value, self.hashes[k : k + n])
-        return value
-
-    def whole(self, length: int) -> np.ndarray:
-        """Where phrases of this length lie within a piece and end behind the old words."""
-        n = max(0, len(self.numbers) - length + 1)
-        here = np.ones(n, dtype=bool)
-        for k in range(length):
-            here &= self.numbers[k : k + n] != 0
-        here[: max(0, self.old - length + 1)] = False
-        return here
-
-
-def runs(texts: Iterable[tuple[tuple, str | None]], longest: int = LONGEST, size: int = RUN, remembered: int = REMEMBERED) -> Iterator[tuple[tuple, Run]]:
+        self.hashes = np.array(words.hashes, dtype=np.uint32)[numbers]
+
+
+def runs(texts: Iterable[tuple[object, str | None]], longest: int = LONGEST, size: int = RUN, remembered: int = REMEMBERED) -> Iterator[tuple[object, Run]]:
     """Texts with their group to runs of a group, which together hold about ``size`` words at a time; long texts are cut."""
     words, held = Words(), {}  # group -> [arrays, words, old words]
 
@@ -135,13 +120,6 @@ def _seed(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
 
 
-def _texts(batches) -> Iterator[tuple[tuple, str | None]]:
-    for batch in batches:
-        shard, lang = batch.column("shard").to_pylist(), batch.column("lang").to_pylist()
-        for i, text in enumerate(batch.column("text")):
-            yield (shard[i], lang[i]), text.as_py()
-
-
 def _bits(spark, keys: DataFrame):
     """The fixed-size filter of the column ``key``, broadcast to the workers: 8 MiB."""
     table = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
@@ -160,34 +138,64 @@ def _held(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 OF_SHARD = 0x2545F491  # tells the shards apart within one filter
 
 
-def _local(texts: DataFrame, length: int, below, longest: int, size: int) -> DataFrame:
-    """shard, lang, key, n: phrases of one length, counted in each shard; ``below`` is the filter of the shards' frequent ones of one word less."""
+def _dealt(rows: DataFrame, shards: int, longest: int, size: int) -> DataFrame:
+    """shard, lang, old, hashes: runs of words as hashes of 32 bits, which the shards are mined from."""
+
+    def run(batches):
+        schema = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("old", pa.int32()), ("hashes", pa.binary())])
+        shard = TaskContext.get().partitionId() % shards
+
+        def texts():
+            for batch in batches:
+                yield from zip(batch.column("lang").to_pylist(), (t.as_py() for t in batch.column("text")), strict=True)
+
+        for lang, part in runs(texts(), longest, size):
+            columns = [pa.array([shard], type=pa.int32()), pa.array([lang]), pa.array([part.old], type=pa.int32()), pa.array([part.hashes.tobytes()])]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return rows.mapInArrow(run, "shard int, lang string, old int, hashes binary")
+
+
+def _local(words: DataFrame, length: int, below) -> DataFrame:
+    """shard, lang, key, n: phrases of one length, counted in each shard; ``below`` is the filter of the shards' phrases of one word less."""
 
     def run(batches):
         schema = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
-        for (shard, lang), part in runs(_texts(batches), longest, size):
-            here = part.whole(length)
-            if length == 1:
-                keys = part.keys(1, _seed(lang))[here]
-            else:
-                short = part.keys(length - 1, _seed(lang))
-                known = _held(below.value, short ^ np.uint64(shard * OF_SHARD))
-                at = np.flatnonzero(here & known[:-1] & known[1:])
-                keys = _mixed(short[at], part.hashes[at + length - 1])
-            keys, n = np.unique(keys, return_counts=True)
-            columns = [pa.array([shard] * len(keys), type=pa.int32()), pa.array([lang] * len(keys), type=pa.string())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(keys.view(np.int64)), pa.array(n)], schema=schema)
-
-    made = texts.mapInArrow(run, "shard int, lang string, key bigint, n bigint")
+        for batch in batches:
+            for shard, lang, old, raw in zip(*(batch.column(c) for c in ("shard", "lang", "old", "hashes")), strict=True):
+                shard, lang, old = shard.as_py(), lang.as_py(), old.as_py()
+                hashes = np.frombuffer(raw.as_buffer(), dtype=np.uint32)
+                n = max(0, len(hashes) - length + 1)
+                here = np.ones(n, dtype=bool)
+                for k in range(length):
+                    here &= hashes[k : k + n] != 0
+                here[: max(0, old - length + 1)] = False
+                short = np.full(max(0, len(hashes) - length + 2), _seed(lang), dtype=np.uint64)
+                for k in range(length - 1):
+                    short = _mixed(short, hashes[k : k + len(short)].astype(np.uint64))
+                if length > 1:
+                    known = _held(below.value, short ^ np.uint64(shard * OF_SHARD))
+                    here &= known[:n] & known[1 : n + 1]
+                at = np.flatnonzero(here)
+                keys, counts = np.unique(_mixed(short[at], hashes[at + length - 1].astype(np.uint64)), return_counts=True)
+                columns = [pa.array([shard] * len(keys), type=pa.int32()), pa.array([lang] * len(keys), type=pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(keys.view(np.int64)), pa.array(counts)], schema=schema)
+
+    made = words.mapInArrow(run, "shard int, lang string, key bigint, n bigint")
     return made.groupBy("shard", "lang", "key").agg(F.sum("n").alias("n"))
 
 
-def _exact(texts: DataFrame, wanted, longest: int, size: int) -> DataFrame:
+def _exact(rows: DataFrame, wanted, longest: int, size: int) -> DataFrame:
     """lang, phrase, words, n: every phrase whose hash passes the filter, counted over all texts by its words."""
 
     def run(batches):
         schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
-        for (_, lang), part in runs(_texts(batches), longest, size):
+
+        def texts():
+            for batch in batches:
+                yield from zip(batch.column("lang").to_pylist(), (t.as_py() for t in batch.column("text")), strict=True)
+
+        for lang, part in runs(texts(), longest, size):
             words, numbers = part.words.words, part.numbers
             value = np.full(len(numbers), _seed(lang), dtype=np.uint64)
             dense = np.zeros(len(numbers), dtype=np.int64)  # number of the phrase that begins here among those of its length
@@ -195,7 +203,7 @@ def _exact(texts: DataFrame, wanted, longest: int, size: int) -> DataFrame:
             for length in range(1, longest + 1):
                 at = at[at + length <= len(numbers)]
                 at = at[numbers[at + length - 1] != 0]
-                value[at] = _mixed(value[at], part.hashes[at + length - 1])
+                value[at] = _mixed(value[at], part.hashes[at + length - 1].astype(np.uint64))
                 at = at[_held(wanted.value, value[at])]
                 # the same beginning and the same last word: no hash decides what is counted together
                 pair = dense[at] * len(words) + numbers[at + length - 1]
@@ -208,10 +216,16 @@ def _exact(texts: DataFrame, wanted, longest: int, size: int) -> DataFrame:
                 columns += [pa.array([length] * len(some), type=pa.int32()), pa.array(n[some].astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    made = texts.mapInArrow(run, "lang string, phrase string, words int, n bigint")
+    made = rows.mapInArrow(run, "lang string, phrase string, words int, n bigint")
     return made.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
 
 
+def _possible(local: DataFrame, slack: DataFrame, support: int) -> DataFrame:
+    """lang, key of phrases that may have ``support`` in all: in a shard that doesn't report a phrase it has less than the local support."""
+    told = local.groupBy("lang", "key").agg(F.sum("n").alias("n"), F.sum("slack").alias("own"))
+    return told.join(slack, "lang").where(F.col("n") + F.col("all_slack") - F.col("own") >= support).select("lang", "key")
+
+
 def frequent_phrases(
     rows: DataFrame,
     text: str = "text",
@@ -226,27 +240,30 @@ def frequent_phrases(
     A null language is ``und``. See ``collocations`` for the rest.
     """
     spark = rows.sparkSession
-    dealt = rows.select(
-        (F.spark_partition_id() % shards).alias("shard"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text")
-    )
-    texts = small_batches(stored(dealt.where(F.length("text") > 0), "phrase-texts"))
-    below = totals = shares = union = None
+    own = rows.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text")).where(F.length("text") > 0)
+    words = stored(_dealt(small_batches(own), shards, longest, size), "phrase-words")
+    below = totals = shares = slack = union = None
     for length in range(1, longest + 1):
-        counted = _local(texts, length, below, longest, size)
+        counted = _local(words, length, below)
         if length == 1:
-            counted = stored(counted, "phrase-words")
+            counted = stored(counted, "phrase-single")
             held = counted.groupBy("shard", "lang").agg(F.sum("n").alias("held"))
             totals = stored(held.groupBy("lang").agg(F.sum("held").alias("total")), "phrase-totals")
-            shares = stored(held.join(totals, "lang"), "phrase-shares")
-        enough = F.expr(f"cast(n AS decimal(19,0)) * cast(total AS decimal(19,0)) >= cast({support} AS decimal(19,0)) * cast(held AS decimal(19,0))")
-        local = stored(counted.join(shares, ["shard", "lang"]).where(enough).select("shard", "key"), f"phrase-local-{length}")
-        union = local if union is None else union.unionByName(local)
+            # the most a phrase can have in a shard that does not report it
+            least = F.expr(f"(cast({support} AS decimal(19,0)) * cast(held AS decimal(19,0)) + cast(total AS decimal(19,0)) - 1) div cast(total AS decimal(19,0))")
+            shares = stored(held.join(totals, "lang").select("shard", "lang", (least - 1).alias("slack")), "phrase-shares")
+            slack = shares.groupBy("lang").agg(F.sum("slack").alias("all_slack"))
+        local = counted.join(shares, ["shard", "lang"]).where(F.col("n") > F.col("slack"))
+        local = stored(local, f"phrase-local-{length}")
+        possible = stored(_possible(local, slack, support), f"phrase-possible-{length}")
+        union = possible if union is None else union.unionByName(possible)
         if below is not None:
             below.destroy()
-        below = _bits(spark, local.select(F.col("key").bitwiseXOR(F.col("shard").cast("bigint") * F.lit(OF_SHARD)).alias("key")))
-    below.destroy()
+        if length < longest:
+            known = local.join(possible, ["lang", "key"], "left_semi")
+            below = _bits(spark, known.select(F.col("key").bitwiseXOR(F.col("shard").cast("bigint") * F.lit(OF_SHARD)).alias("key")))
     wanted = _bits(spark, union.select("key"))
-    return stored(_exact(texts, wanted, longest, size).where(F.col("n") >= support), "phrase-frequent"), totals
+    return stored(_exact(small_batches(own), wanted, longest, size).where(F.col("n") >= support), "phrase-frequent"), totals
 
 
 def _parts(words: str, first: int | str, last: int | str):
