@@ -241,10 +241,10 @@ PHRASES = {
 def test_collocations(spark, name, size):
     rows, support = PHRASES[name]
     frame = with_clashes(spark.createDataFrame(rows, "lang string, text string"), "doc_id", "shard", "phrase", "n", "total").repartition(5)
-    got = phrases.collocations(frame, support=support, top=10**6, shards=3, size=size).collect()
+    got = phrases.collocations(frame, support=support, top=10**6, size=size).collect()
     assert sorted(map(tuple, got)) == sorted(plain_phrases(rows, support))
     if name == "speech":
-        few = phrases.collocations(frame, support=support, top=4, shards=3, size=size).collect()
+        few = phrases.collocations(frame, support=support, top=4, size=size).collect()
         assert sorted(map(tuple, few)) == sorted(x for x in plain_phrases(rows, support) if x[1] <= 4)
 
 
