@@ -129,9 +129,11 @@ def may_hold(rows: DataFrame, key: Column, bits: DataFrame, flag: str) -> DataFr
     """
     place = F.pmod(key, F.lit(FILTER_BITS)) + 1
     bit = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bucket, words = fresh("_bucket", rows.columns), fresh("_bits", rows.columns)
+    bits = bits.select(F.col("_bucket").alias(bucket), F.col("_bits").alias(words))
+    byte = F.conv(F.hex(F.substring(F.col(words), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     held = (F.floor(byte / F.pow(F.lit(2.0), bit % 8)) % 2) == 1
-    joined = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("_bucket"), "left")
+    joined = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col(bucket), "left")
     return joined.select(*rows.columns, F.coalesce(held, F.lit(False)).alias(flag))
 
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import re
 import zlib
+import sys
+import unicodedata
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -24,10 +26,13 @@ from jobharbor.llm.common import fresh, per_text, slices, stored
 SIZES = (2, 3, 4)
 #: n-grams rarer than this, and those of which the language has less than its part of an even share, are not its own.
 LEAST, PART = 5, 0.6
-#: Slots for each n-gram of the largest filter, hashes of an n-gram, and n-grams of a language, the most frequent first.
-SLOTS, HASHES, GRAMS = 12, 4, 200_000
+#: Slots for each n-gram of the largest filter and hashes of an n-gram; slots at most. Beyond that the filters fill up, for which the shares are corrected;
+#: every n-gram is in its filters at any size.
+SLOTS, HASHES, MOST = 12, 4, 1 << 22
 REMEMBERED = 200_000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters: what counts as a word character but is no digit, no underscore and no number of another kind.
+NUMBERS = "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
 LANE = 40  # bits of a count
 
 
@@ -59,22 +64,40 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     rates = counted.join(F.broadcast(counted.groupBy("lang").agg(F.sum("n").alias("total"))), "lang").withColumn("rate", F.col("n") / F.col("total"))
     even = rates.groupBy("gram").agg(F.sum("rate").alias("all"))
     own = rates.where(F.col("n") >= LEAST).join(even, "gram").where(F.col("rate") / F.col("all") >= PART / len(languages))
-    from pyspark.sql import Window
+    own = stored(own.select("lang", "gram"), "language-own")
+    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}  # one row a language
+    slots = min(MOST, 1 << (SLOTS * max(sizes.values(), default=1) - 1).bit_length())
+    return _model(languages, slots, _bits(own, languages, slots))
 
-    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")))
-    kept = ranked.where(F.col("rank") <= GRAMS).select("lang", "gram").collect()  # at most GRAMS for a language
-    return _model(languages, [(r["lang"], r["gram"]) for r in kept])
 
-
-def _model(languages: list[str], kept: list[tuple[str, str]]) -> Model:
-    most = max(Counter(lang for lang, _ in kept).values(), default=1)
-    slots = 1 << (SLOTS * most - 1).bit_length()
+def _bits(own: DataFrame, languages: list[str], slots: int) -> DataFrame:
+    """The filters one behind the other as rows (_bucket, _bits) of 32,768 slots: as many as the filters have, whatever the number of n-grams."""
     number = {lang: i for i, lang in enumerate(languages)}
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            base = [number[lang] * slots for lang in batch.column("lang").to_pylist()]
+            made = [b + p + 1 for b, gram in zip(base, batch.column("gram").to_pylist(), strict=True) for p in places(gram, slots)]
+            yield pa.RecordBatch.from_arrays([pa.array(made, type=pa.int64())], names=["place"])
+
+    placed = own.mapInArrow(run, "place bigint")
+    return placed.groupBy(F.bitmap_bucket_number("place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("_bits"))
+
+
+def _model(languages: list[str], slots: int, bits: DataFrame) -> Model:
+    filters = np.zeros((len(languages) * slots + 32_767) // 32_768 * 4096, dtype=np.uint8)
+    for row in bits.collect():  # bounded by the filters' size
+        at = (row["_bucket"] - 1) * 4096
+        filters[at : at + 4096] = np.frombuffer(row["_bits"], dtype=np.uint8)
     table = np.zeros((slots, -(-len(languages) // 64)), dtype=np.uint64)
-    for lang, gram in kept:
-        i = number[lang]
-        table[places(gram, slots), i // 64] |= np.uint64(1 << (i % 64))
-    fills = [float(((table[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) for i in range(len(languages))]
+    flags = np.unpackbits(filters, bitorder="little")
+    fills = []
+    for i in range(len(languages)):
+        held = flags[i * slots : (i + 1) * slots]
+        table[:, i // 64] |= held.astype(np.uint64) << np.uint64(i % 64)
+        fills.append(float(held.mean()))
     return Model(languages, table, [fill**HASHES for fill in fills])
 
 
@@ -162,7 +185,8 @@ def predict_language(rows: DataFrame, model: Model, text: str = "text", drop_tex
     """Add the language and the corrected share of n-grams that speak for it (0 to 1).
 
     ``und`` with score 0 where the text is null, has no letter, or the model knows no language. Equal shares: the first by name.
-    Other columns pass through; new names that are taken get a trailing underscore.
+    Other columns pass through; new names that are taken get a trailing underscore. Repeated rows get the same answer each, an empty table gives
+    an empty result, and very long texts are read whole.
     """
     taken = [c for c in rows.columns if not (drop_text and c == text)]
     pred, score = (fresh(n, taken) for n in names)

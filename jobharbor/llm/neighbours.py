@@ -25,8 +25,9 @@ from jobharbor.llm.common import stored
 
 DIRECTIONS, SEED = 8, 20240229
 CONFIDENCE = 0.99
-#: Points that fit the upper splits, rows of a leaf, leaves at most (beyond that leaves grow), points of a bucket.
-SAMPLE, LEAF_ROWS, LEAVES, BUCKET = 20_000, 20_000, 1024, 32
+#: Points that fit the upper splits; rows of a leaf; leaves of the upper tree at most; points of a bucket; requests searched for at once. A leaf with more
+#: rows is searched in parts of that many, each with a kd-tree of its own, so no group grows with the table.
+SAMPLE, LEAF_ROWS, LEAVES, BUCKET, REQUESTS = 20_000, 20_000, 1024, 32, 5_000
 
 
 def chi_square_quantile(chance: float, degrees: int) -> float:
@@ -161,8 +162,25 @@ def _with_leaf(rows: DataFrame, splits: Splits) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("leaf", T.LongType())]))
 
 
-def _search(requests: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """query, id, distance: the nearest of each request within its leaf."""
+def _cut(rows: DataFrame, name: str, own: dict[int, int], other: str, others: dict[int, int], key: str) -> DataFrame:
+    """Deal the rows of each leaf over its ``name`` by hash, and repeat them for each of ``other``."""
+    counts = lambda of: F.create_map(*[F.lit(x) for leaf, n in sorted(of.items()) for x in (leaf, n)])[F.col("leaf")]
+    dealt = rows.withColumn(name, F.pmod(F.xxhash64(key), counts(own).cast("bigint")))
+    return dealt.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), counts(others).cast("bigint") - 1)))
+
+
+def _search(requests: DataFrame, index: DataFrame, k: int, leaf_rows: int, asked: int = REQUESTS) -> DataFrame:
+    """query, id, distance: the nearest of each request within each part of its leaf."""
+    requests = stored(requests, "near-requests")
+    sizes = lambda rows, most: {r["leaf"]: -(-r["count"] // most) for r in rows.groupBy("leaf").count().collect()}  # noqa: E731  # one row a leaf
+    blocks = sizes(requests, asked)
+    parts = {leaf: n for leaf, n in sizes(index, leaf_rows).items() if leaf in blocks}
+    blocks = {leaf: n for leaf, n in blocks.items() if leaf in parts}
+    if not parts:
+        return requests.limit(0).select("query", F.col("query").alias("id"), F.lit(0.0).alias("distance"))
+    met = F.col("leaf").isin(list(parts))
+    requests = _cut(requests.where(met), "block", blocks, "part", parts, "query")
+    index = _cut(index.where(met), "part", parts, "block", blocks, "id")
     limit = chi_square_quantile(CONFIDENCE, DIRECTIONS)
 
     def of_leaf(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -174,16 +192,18 @@ def _search(requests: DataFrame, index: DataFrame, k: int) -> DataFrame:
                 out.append(pd.DataFrame({"query": query, "id": ids, "distance": found}))
         return pd.concat(out) if out else pd.DataFrame({"query": [], "id": [], "distance": []})
 
-    return requests.groupBy("leaf").cogroup(index.groupBy("leaf")).applyInPandas(of_leaf, "query bigint, id bigint, distance double")
+    keys = ["leaf", "part", "block"]
+    return requests.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(of_leaf, "query bigint, id bigint, distance double")
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", leaf_rows: int | None = None) -> DataFrame:
     """query_id, rank (from 1), the id, score: the k nearest found of each row of ``queries`` among the other rows.
 
     Nearness is Euclidean distance in double precision; ties go to the smaller id. A query with fewer candidates gets all. What takes no part:
     see ``usable``; such a query has no rows. Equal vectors are searched for once, and of each vector only the k + 1 smallest ids can be among
     anybody's nearest, so copies cost nothing. An empty table gives an empty result.
     """
+    leaf_rows = leaf_rows or LEAF_ROWS
     own = usable(rows, id, vector)
     asked = usable(queries, id, vector).withColumnRenamed("id", "query_id")
     first = own.select("vector").first()
@@ -194,7 +214,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id"
     copies = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
     index = stored(_with_points(own.withColumn("_n", copies).where(F.col("_n") <= k + 1).drop("_n"), size), "near-points")
     n = index.count()
-    depth = max(0, min(LEAVES, -(-n // LEAF_ROWS)) - 1).bit_length()
+    depth = max(0, min(LEAVES, -(-n // leaf_rows)) - 1).bit_length()
     sample = index.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("point").collect()
     splits = Splits(np.array([r["point"] for r in sample]), depth)
     index = stored(_with_leaf(index, splits), "near-leaves")
@@ -206,10 +226,12 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id"
     # equal queries ask once, under the smallest of their ids
     distinct = stored(_with_leaf(_with_points(asked.groupBy("vector").agg(F.min("query_id").alias("query")), size), splits), "near-queries")
     start = distinct.withColumn("bound", F.lit(float("inf")))
-    home = stored(_search(start, index, k + 1), "near-home")
-    bounds = home.groupBy("query").agg(F.when(F.count("*") == k + 1, F.max("distance")).otherwise(F.lit(float("inf"))).alias("bound"))
+    home = stored(_search(start, index, k + 1, leaf_rows), "near-home")
+    # a home leaf in parts gives up to k + 1 of each
+    nearest_home = F.sort_array(F.collect_list("distance"))
+    bounds = home.groupBy("query").agg(F.coalesce(F.get(nearest_home, F.lit(k)), F.lit(float("inf"))).alias("bound"))
     further = _others(distinct.join(bounds, "query", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))), leaves, low, high)
-    found = stored(home.unionByName(_search(further, index, k + 1)), "near-found")
+    found = stored(home.unionByName(_search(further, index, k + 1, leaf_rows)), "near-found")
 
     by_query = Window.partitionBy("query").orderBy("distance", "id")
     best = found.withColumn("_n", F.row_number().over(by_query)).where(F.col("_n") <= k + 1).drop("_n")

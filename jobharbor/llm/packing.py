@@ -27,6 +27,8 @@ from jobharbor.llm.bpe import REMEMBERED, load
 from jobharbor.llm.common import fresh, per_text, stored
 
 CAPACITY = 2048
+#: Words and runs a worker remembers: on prose with many rare words most of the time goes into those that it has to encode again.
+MEMORY = 3 * REMEMBERED
 
 
 def token_pieces(rows: DataFrame, path: str, capacity: int = CAPACITY, id: str = "doc_id", text: str = "text", end: int = 0, remember: bool = True) -> DataFrame:
@@ -39,7 +41,7 @@ def token_pieces(rows: DataFrame, path: str, capacity: int = CAPACITY, id: str =
 
     def maker():
         bpe = load(path)
-        bpe.remember(REMEMBERED if remember else REMEMBERED // 3)
+        bpe.remember(MEMORY if remember else REMEMBERED // 3)
 
         def cut(one: str):
             ids = np.append(bpe.encode(one), np.uint32(end)).astype("<u4")

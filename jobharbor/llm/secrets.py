@@ -79,6 +79,8 @@ class Kind:
     #: what a match must hold beyond the pattern
     holds: Callable[[re.Match], bool]
     any_case: bool = False
+    #: characters whose run decides: where one start in it fails, all do
+    run: re.Pattern | None = None
 
 
 KINDS = (
@@ -87,7 +89,7 @@ KINDS = (
     Kind("hex", (), re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= LEAST_HEX),
     Kind("host_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(r"gh[pousr]_([0-9A-Za-z]{36})(?![0-9A-Za-z])"), _base62_crc),
     Kind("package_token", ("npm_",), re.compile(r"npm_([0-9A-Za-z]{36})(?![0-9A-Za-z])"), _base62_crc),
-    Kind("signed_token", ("eyJ",), re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), _signed_token),
+    Kind("signed_token", ("eyJ",), re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), _signed_token, run=re.compile("[A-Za-z0-9_-]+")),
     Kind(
         "private_key",
         ("-----BEGIN ",),
@@ -147,17 +149,22 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     for number, places in starts.items():
         kind, end = KINDS[number], -1
         for at in sorted(set(places)):
-            if at >= end and (match := kind.pattern.match(text, at)):
+            if at < end:
+                continue
+            if match := kind.pattern.match(text, at):
                 end = match.end()
                 if kind.holds(match):
                     found.append((at, number, end))
+            elif kind.run:
+                end = kind.run.match(text, at).end()
     return [(KINDS[number].name, first, end) for first, number, end in sorted(found)]
 
 
 def scan_secrets(rows: DataFrame, text: str = "text", into: str = "secrets", drop_text: bool = False) -> DataFrame:
     """Add array<struct<kind, start, end>>; null and empty texts have none. Other columns pass through.
 
-    A column named ``into`` is kept, the new one then gets a trailing underscore.
+    A column named ``into`` is kept, the new one then gets a trailing underscore. Repeated rows are scanned each; an empty table gives an empty
+    result. The work is in proportion to the text, however long and whatever it repeats.
     """
     name = fresh(into, [c for c in rows.columns if not (drop_text and c == text)])
 

@@ -11,6 +11,7 @@ import __spark_entry__
 from jobharbor.llm import secrets
 from jobharbor.llm.common import stored
 from tests.compare import connect, difference
+from tests.llm.frames import documents, prose, with_clashes
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -95,7 +96,7 @@ def test_stages_on_awkward_and_empty_documents(spark):
 
 def test_queries_are_registered_once_each():
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries()
 
 
@@ -118,3 +119,14 @@ def test_query_columns(spark):
     assert set(flags) <= {(True, True), (False, True)} and sum(flags.values()) == len(docs)
     assert queries["op10_language"](spark, SF).count() == len(docs)
     assert queries["op9_sharding"](spark, SF).where("shard_bytes > 1048576").count() == 0
+
+
+def test_stages_with_columns_named_like_their_own(spark):
+    names = ("_bits", "_bucket", "_may", "_row", "_gone", "_own", "_sha", "_key")
+    docs = with_clashes(documents(spark, [prose(k, 50) for k in (1, 1, 2, 3)] + ["token=abcdefgh12345"]), *names)
+    from jobharbor.llm import exact, ngram_join, secrets
+
+    for stage in (lambda d: exact.keep_first(d, keep="max"), ngram_join.keep_one, secrets.redact):
+        left = stage(docs)
+        assert left.columns == docs.columns
+        assert sorted(r["doc_id"] for r in left.collect()) in ([0, 2, 3, 4], [1, 2, 3, 4], [0, 1, 2, 3, 4])

@@ -7,6 +7,7 @@ import random
 import re
 import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -201,10 +202,12 @@ def test_held_out_languages(spark):
     assert got.where("lang_pred = lang and score between 0 and 1").count() == got.count() > 50
 
 
-def test_filters_hold_every_gram_and_mistakes_are_counted():
+def test_filters_hold_every_gram_and_mistakes_are_counted(spark):
     words = [prose(k, 30) for k in range(60)]
     kept = [(f"l{k:02}", g) for k, text in enumerate(words) for w in text.split() for g in language.grams(w)]
-    model = language._model(sorted({lang for lang, _ in kept}), kept)
+    languages = sorted({lang for lang, _ in kept})
+    own = spark.createDataFrame(sorted(set(kept)), "lang string, gram string")
+    model = language._model(languages, 1 << 14, language._bits(own, languages, 1 << 14))
     table = language._Grams(model.table, len(model.languages))
     for lang, gram in kept:
         lane = language.LANE * (model.languages.index(lang) + 1)
@@ -231,3 +234,40 @@ def test_language_on_awkward_rows(spark):
     nothing = language.fit(spark.createDataFrame([], DOCUMENTS))
     assert language.predict_language(documents(spark, ["abc"]), nothing).first()["lang_pred"] == "und"
     assert language.predict_language(spark.createDataFrame([], DOCUMENTS), model).count() == 0
+
+
+def test_letters_are_the_letters_of_unicode():
+    import sys
+    import unicodedata
+
+    for c in map(chr, range(sys.maxunicode + 1)):
+        # what has a category of letters, and nothing else, is found
+        assert bool(language.LETTERS.fullmatch(c)) == unicodedata.category(c).startswith("L"), hex(ord(c))
+
+
+def test_language_against_plain_counts(spark):
+    """The filters' answer is that of the n-grams themselves where these are few enough for hardly any mistake."""
+    texts = [(k, t, lang) for lang, seeds in (("aa", range(5)), ("bb", range(100, 105))) for k, t in ((s, prose(s, 120)) for s in seeds)]
+    texts = [(k, t.replace("a", "o") if lang == "aa" else t.replace("o", "a"), lang) for k, t, lang in texts]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string, lang string")
+    counts = {lang: Counter(g for _, t, own in texts if own == lang for w in language.LETTERS.findall(t.lower()) for g in language.grams(w)) for lang in ("aa", "bb")}
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    held = {
+        lang: {g for g, n in c.items() if n >= language.LEAST and rate[lang][g] / sum(r.get(g, 0) for r in rate.values()) >= language.PART / 2} for lang, c in counts.items()
+    }
+    asked = [(k, prose(k, 60).replace(*("ao" if k % 2 else "oa")), "") for k in range(200, 220)]
+    got = {r["doc_id"]: r for r in language.predict_language(spark.createDataFrame(asked, "doc_id bigint, text string, lang string"), language.fit(frame)).collect()}
+    for k, text, _ in asked:
+        found = [g for w in language.LETTERS.findall(text.lower()) for g in language.grams(w)]
+        shares = {lang: sum(g in held[lang] for g in found) / len(found) for lang in ("aa", "bb")}
+        best = min(shares, key=lambda lang: (-shares[lang], lang))
+        assert got[k]["lang_pred"] == best and got[k]["score"] == pytest.approx(shares[best], abs=0.02)
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "eyJa.", "AKIA", "token=", "password ", "-----BEGIN ", "-----BEGIN RSA PRIVATE KEY-----", "ghp_", "card ", "deadbeef", "QUJD"])
+def test_work_is_in_proportion_to_the_text(unit):
+    import time
+
+    start = time.perf_counter()
+    secrets.find_secrets(unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - start < 20
