@@ -1,15 +1,13 @@
 """Phrases of words that occur together, mined by SON partitioning.
 
-A shard is what a task reads of a language, ``RUN`` words at most, kept as hashes of the words. Of a language's words a shard holds the share
-w / W, and a phrase with f occurrences there is locally frequent if f >= support * w / W; what is frequent over all is so in at least one shard. Every shard is
-mined completely, length by length. The shards' phrases are united, and those go whose counts, with the most that the shards that don't
-report them can have, are below the support; only phrases whose parts of one word less are left are sought at the next length. Then all
-candidates are counted exactly over all texts.
-
-With many shards the local support falls to one occurrence. Then nothing is kept back, the sums are exact from the start, and what is
-shuffled is one row for each phrase of a shard whose parts are both frequent over all: about one a word for two words, fewer for longer phrases.
-
-While candidates are sought, phrases are told apart by hashes, whose collisions add candidates and lose none; the sets that tasks look them up in are
+The texts are dealt to ``SHARDS`` shards, however many there are, so the support a phrase needs within a shard stays a fixed part of the support it
+needs over all: of a language's words a shard holds the share w / W, and a phrase with f occurrences there is locally frequent if
+f >= support * w / W. What is frequent over all is so in at least one shard. A shard is mined completely, length by length, by the
+tasks that hold its texts: a phrase can be frequent only if what is left without its first or its last word is. The shards' phrases are united; those whose
+counts, with the most that the shards that don't report them can have, are below the support go. Then the candidates are
+counted exactly over all texts.
+
+While candidates are sought, phrases are told apart by 64-bit hashes, whose collisions add candidates and lose none; the sets that tasks look them up in are
 filters of fixed size, of which the same holds. The last count is of the words themselves, and the scores are exact
 whole numbers.
 """
@@ -22,14 +20,17 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobharbor.llm.common import FILTER_BITS, join_weighted, membership, small_batches, stored
 
 LONGEST, SUPPORT, TOP, SCALE = 5, 100, 2000, 1000
-#: Words that a task holds at once; different words that it remembers; bytes of a text that are split at once; places of a language's ranking.
-RUN, REMEMBERED, BLOCK, SALTS = 3_000_000, 300_000, 1 << 20, 64
+#: Shards; words that a task holds at once; different words that it remembers; bytes of a text that are split at once; places of a language's ranking.
+SHARDS, RUN, REMEMBERED, BLOCK, SALTS = 8, 1_000_000, 300_000, 1 << 20, 64
+#: Bits of the hash that tells phrases of a shard apart, and phrases that a task counts before it hands them on.
+KEY_BITS, TALLY = 40, 300_000
 
 BREAK = b"\xff"  # no byte of UTF-8
 _BREAKS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -136,33 +137,36 @@ def _held(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _shards(rows: DataFrame, longest: int, size: int) -> DataFrame:
-    """lang, old, held, hashes: a row is a shard, a run of words as hashes of 32 bits, of which ``held`` are words not counted before."""
+OF_SHARD = 0x2545F491  # tells the shards apart within one filter
+
+
+def _dealt(rows: DataFrame, shards: int, longest: int, size: int) -> DataFrame:
+    """shard, lang, old, hashes: runs of words as hashes of 32 bits, which the shards are mined from."""
 
     def run(batches):
-        schema = pa.schema([("lang", pa.string()), ("old", pa.int32()), ("held", pa.int64()), ("hashes", pa.binary())])
-        for lang, part in runs(_texts(batches), longest, size):
-            held = int(np.count_nonzero(part.hashes[part.old :]))
-            columns = [pa.array([lang]), pa.array([part.old], type=pa.int32()), pa.array([held]), pa.array([part.hashes.tobytes()])]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        schema = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("old", pa.int32()), ("hashes", pa.binary())])
+        shard = TaskContext.get().partitionId() % shards
 
-    return rows.mapInArrow(run, "lang string, old int, held bigint, hashes binary")
+        def texts():
+            for batch in batches:
+                yield from zip(batch.column("lang").to_pylist(), (t.as_py() for t in batch.column("text")), strict=True)
 
+        for lang, part in runs(texts(), longest, size):
+            columns = [pa.array([shard], type=pa.int32()), pa.array([lang]), pa.array([part.old], type=pa.int32()), pa.array([part.hashes.tobytes()])]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-def _texts(batches) -> Iterator[tuple[str, str | None]]:
-    for batch in batches:
-        yield from zip(batch.column("lang").to_pylist(), (t.as_py() for t in batch.column("text")), strict=True)
+    return rows.mapInArrow(run, "shard int, lang string, old int, hashes binary")
 
 
-def _local(shards: DataFrame, length: int, below) -> DataFrame:
-    """lang, key, n, slack: phrases of one length that occur more than ``slack`` times in a shard; ``below`` is the filter of
-    those of one word less that may be frequent over all."""
+def _local(words: DataFrame, length: int, below) -> DataFrame:
+    """shard, lang, key, n: phrases of one length, counted in each shard; ``below`` is the filter of the shards' phrases of one word less."""
 
     def run(batches):
-        schema = pa.schema([("lang", pa.string()), ("key", pa.int64()), ("n", pa.int64()), ("slack", pa.int64())])
+        schema = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
         for batch in batches:
-            for lang, old, raw, slack in zip(*(batch.column(c) for c in ("lang", "old", "hashes", "slack")), strict=True):
-                lang, old, slack = lang.as_py(), old.as_py(), slack.as_py()
+            found: dict[tuple[int, str], list[np.ndarray]] = {}
+            for shard, lang, old, raw in zip(*(batch.column(c) for c in ("shard", "lang", "old", "hashes")), strict=True):
+                shard, lang, old = shard.as_py(), lang.as_py(), old.as_py()
                 hashes = np.frombuffer(raw.as_buffer(), dtype=np.uint32)
                 n = max(0, len(hashes) - length + 1)
                 here = np.ones(n, dtype=bool)
@@ -173,16 +177,18 @@ def _local(shards: DataFrame, length: int, below) -> DataFrame:
                 for k in range(length - 1):
                     short = _mixed(short, hashes[k : k + n + 1].astype(np.uint64))
                 if length > 1:
-                    known = _held(below.value, short)
+                    known = _held(below.value, short ^ np.uint64(shard * OF_SHARD))
                     here &= known[:n] & known[1:]
                 at = np.flatnonzero(here)
-                keys, counts = np.unique(_mixed(short[at], hashes[at + length - 1].astype(np.uint64)), return_counts=True)
-                told = counts > slack
-                keys, counts = keys[told], counts[told]
-                columns = [pa.array([lang] * len(keys), type=pa.string()), pa.array(keys.view(np.int64)), pa.array(counts)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([slack] * len(keys), type=pa.int64())], schema=schema)
+                keys = _mixed(short[at], hashes[at + length - 1].astype(np.uint64)) & np.uint64((1 << KEY_BITS) - 1)
+                found.setdefault((shard, lang), []).append(keys)
+            for (shard, lang), parts in found.items():
+                keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+                columns = [pa.array([shard] * len(keys), type=pa.int32()), pa.array([lang] * len(keys), type=pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(keys.view(np.int64)), pa.array(counts)], schema=schema)
 
-    return shards.mapInArrow(run, "lang string, key bigint, n bigint, slack bigint")
+    made = words.mapInArrow(run, "shard int, lang string, key bigint, n bigint")
+    return made.groupBy("shard", "lang", "key").agg(F.sum("n").alias("n"))
 
 
 def _exact(rows: DataFrame, wanted, longest: int, size: int) -> DataFrame:
@@ -191,8 +197,21 @@ def _exact(rows: DataFrame, wanted, longest: int, size: int) -> DataFrame:
     def run(batches):
         schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
 
-        for lang, part in runs(_texts(batches), longest, size):
-            words, numbers = part.words.words, part.numbers
+        def texts():
+            for batch in batches:
+                yield from zip(batch.column("lang").to_pylist(), (t.as_py() for t in batch.column("text")), strict=True)
+
+        tallies: dict[str, dict[bytes, int]] = {}
+
+        def out():
+            for lang, tally in tallies.items():
+                columns = [pa.array([lang] * len(tally), type=pa.string()), pa.array([p.decode("utf-8", "surrogatepass") for p in tally], type=pa.string())]
+                columns += [pa.array([p.count(b" ") + 1 for p in tally], type=pa.int32()), pa.array(list(tally.values()), type=pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            tallies.clear()
+
+        for lang, part in runs(texts(), longest, size):
+            words, numbers, tally = part.words.words, part.numbers, tallies.setdefault(lang, {})
             value = np.full(len(numbers), _seed(lang), dtype=np.uint64)
             dense = np.zeros(len(numbers), dtype=np.int64)  # number of the phrase that begins here among those of its length
             at = np.arange(len(numbers))
@@ -207,17 +226,31 @@ def _exact(rows: DataFrame, wanted, longest: int, size: int) -> DataFrame:
                 dense[at] = number
                 n = np.bincount(number[at + length > part.old], minlength=len(first))
                 some = np.flatnonzero(n)
-                phrases = [b" ".join([words[w] for w in numbers[p : p + length].tolist()]).decode("utf-8", "surrogatepass") for p in at[first[some]].tolist()]
-                columns = [pa.array([lang] * len(some), type=pa.string()), pa.array(phrases, type=pa.string())]
-                columns += [pa.array([length] * len(some), type=pa.int32()), pa.array(n[some].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                for p, more in zip(at[first[some]].tolist(), n[some].tolist(), strict=True):
+                    phrase = b" ".join([words[w] for w in numbers[p : p + length].tolist()])
+                    tally[phrase] = tally.get(phrase, 0) + more
+            if sum(map(len, tallies.values())) > TALLY:
+                yield from out()
+        yield from out()
 
     made = rows.mapInArrow(run, "lang string, phrase string, words int, n bigint")
     return made.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
 
 
+def _possible(local: DataFrame, slack: DataFrame, support: int) -> DataFrame:
+    """lang, key of phrases that may have ``support`` in all: in a shard that doesn't report a phrase it has less than the local support."""
+    told = local.groupBy("lang", "key").agg(F.sum("n").alias("n"), F.sum("slack").alias("own"))
+    return told.join(slack, "lang").where(F.col("n") + F.col("all_slack") - F.col("own") >= support).select("lang", "key")
+
+
 def frequent_phrases(
-    rows: DataFrame, text: str = "text", lang: str = "lang", support: int = SUPPORT, longest: int = LONGEST, size: int = RUN
+    rows: DataFrame,
+    text: str = "text",
+    lang: str = "lang",
+    support: int = SUPPORT,
+    longest: int = LONGEST,
+    shards: int = SHARDS,
+    size: int = RUN,
 ) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, n) of all phrases of 1 to ``longest`` words with n >= ``support``, and (lang, total): all words of a language.
 
@@ -225,22 +258,29 @@ def frequent_phrases(
     """
     spark = rows.sparkSession
     own = rows.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text")).where(F.length("text") > 0)
-    shards = small_batches(stored(_shards(small_batches(own), longest, size), "phrase-shards"))
-    totals = stored(shards.groupBy("lang").agg(F.sum("held").alias("total")), "phrase-totals")
-    # the most that a phrase can have in a shard that does not report it: what is below support * held / total
-    least = F.expr(f"(cast({support} AS decimal(19,0)) * cast(held AS decimal(19,0)) + cast(total AS decimal(19,0)) - 1) div cast(total AS decimal(19,0))")
-    shards = shards.join(totals, "lang").withColumn("slack", F.greatest(least - 1, F.lit(0)))
-    slack = stored(shards.groupBy("lang").agg(F.sum("slack").alias("all_slack")), "phrase-slack")
-    below = union = None
+    words = stored(_dealt(small_batches(own), shards, longest, size), "phrase-words")
+    below = totals = shares = slack = union = None
     for length in range(1, longest + 1):
-        told = _local(shards, length, below).groupBy("lang", "key").agg(F.sum("n").alias("n"), F.sum("slack").alias("own"))
-        possible = told.join(slack, "lang").where(F.col("n") + F.col("all_slack") - F.col("own") >= support)
-        possible = stored(possible.select("key"), f"phrase-possible-{length}")
+        counted = _local(words, length, below)
+        if length == 1:
+            counted = stored(counted, "phrase-single")
+            held = counted.groupBy("shard", "lang").agg(F.sum("n").alias("held"))
+            totals = stored(held.groupBy("lang").agg(F.sum("held").alias("total")), "phrase-totals")
+            # the most a phrase can have in a shard that does not report it
+            least = F.expr(f"(cast({support} AS decimal(19,0)) * cast(held AS decimal(19,0)) + cast(total AS decimal(19,0)) - 1) div cast(total AS decimal(19,0))")
+            shares = stored(held.join(totals, "lang").select("shard", "lang", (least - 1).alias("slack")), "phrase-shares")
+            slack = shares.groupBy("lang").agg(F.sum("slack").alias("all_slack"))
+        local = counted.join(shares, ["shard", "lang"]).where(F.col("n") > F.col("slack"))
+        local = stored(local, f"phrase-local-{length}")
+        possible = stored(_possible(local, slack, support), f"phrase-possible-{length}")
         union = possible if union is None else union.unionByName(possible)
         if below is not None:
             below.destroy()
-        below = _bits(spark, possible if length < longest else union)
-    return stored(_exact(small_batches(own), below, longest, size).where(F.col("n") >= support), "phrase-frequent"), totals
+        if length < longest:
+            known = local.join(possible, ["lang", "key"], "left_semi")
+            below = _bits(spark, known.select(F.col("key").bitwiseXOR(F.col("shard").cast("bigint") * F.lit(OF_SHARD)).alias("key")))
+    wanted = _bits(spark, union.select("key"))
+    return stored(_exact(small_batches(own), wanted, longest, size).where(F.col("n") >= support), "phrase-frequent"), totals
 
 
 def _parts(words: str, first: int | str, last: int | str):
@@ -255,6 +295,7 @@ def collocations(
     support: int = SUPPORT,
     longest: int = LONGEST,
     top: int = TOP,
+    shards: int = SHARDS,
     size: int = RUN,
 ) -> DataFrame:
     """lang, rank (from 1), phrase, a, l, r, n, score: each language's first ``top`` phrases of two words or more.
@@ -267,7 +308,7 @@ def collocations(
     Null and empty texts have no words; a null language is ``und``. Repeated rows count as often as they are there. Very long texts are read in blocks and
     cut into overlapping runs. Only text and language are read, so other columns may have any name. An empty table gives an empty result.
     """
-    frequent, totals = frequent_phrases(rows, text, lang, support, longest, size)
+    frequent, totals = frequent_phrases(rows, text, lang, support, longest, shards, size)
     several = frequent.where("words > 1").select("lang", "phrase", "words", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
     cuts = several.select("*", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "a", "k", _parts("w", "1", "k").alias("first"), _parts("w", "k + 1", "words").alias("rest"))
