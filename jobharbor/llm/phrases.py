@@ -29,8 +29,8 @@ from jobharbor.llm.common import FILTER_BITS, join_weighted, membership, small_b
 LONGEST, SUPPORT, TOP, SCALE = 5, 100, 2000, 1000
 #: Shards; words that a task holds at once; different words that it remembers; bytes of a text that are split at once; places of a language's ranking.
 SHARDS, RUN, REMEMBERED, BLOCK, SALTS = 8, 1_000_000, 300_000, 1 << 20, 64
-#: Bits of the hash that tells phrases of a shard apart, and phrases that a task counts before it hands them on.
-KEY_BITS, TALLY = 40, 300_000
+#: Bits of the hash that tells phrases of a shard apart, and phrases that a task counts before it hands them on, and occurrences.
+KEY_BITS, TALLY, MERGED = 40, 300_000, 1_000_000
 
 BREAK = b"\xff"  # no byte of UTF-8
 _BREAKS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -165,6 +165,12 @@ def _local(words: DataFrame, length: int, below) -> DataFrame:
         schema = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
         for batch in batches:
             found: dict[tuple[int, str], list[np.ndarray]] = {}
+
+            def out(shard, lang):
+                keys, counts = np.unique(np.concatenate(found.pop((shard, lang))), return_counts=True)
+                columns = [pa.array([shard] * len(keys), type=pa.int32()), pa.array([lang] * len(keys), type=pa.string())]
+                return pa.RecordBatch.from_arrays([*columns, pa.array(keys.view(np.int64)), pa.array(counts)], schema=schema)
+
             for shard, lang, old, raw in zip(*(batch.column(c) for c in ("shard", "lang", "old", "hashes")), strict=True):
                 shard, lang, old = shard.as_py(), lang.as_py(), old.as_py()
                 hashes = np.frombuffer(raw.as_buffer(), dtype=np.uint32)
@@ -181,11 +187,12 @@ def _local(words: DataFrame, length: int, below) -> DataFrame:
                     here &= known[:n] & known[1:]
                 at = np.flatnonzero(here)
                 keys = _mixed(short[at], hashes[at + length - 1].astype(np.uint64)) & np.uint64((1 << KEY_BITS) - 1)
-                found.setdefault((shard, lang), []).append(keys)
-            for (shard, lang), parts in found.items():
-                keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-                columns = [pa.array([shard] * len(keys), type=pa.int32()), pa.array([lang] * len(keys), type=pa.string())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(keys.view(np.int64)), pa.array(counts)], schema=schema)
+                parts = found.setdefault((shard, lang), [])
+                parts.append(keys)
+                if sum(map(len, parts)) > MERGED:
+                    yield out(shard, lang)
+            for group in list(found):
+                yield out(*group)
 
     made = words.mapInArrow(run, "shard int, lang string, key bigint, n bigint")
     return made.groupBy("shard", "lang", "key").agg(F.sum("n").alias("n"))
