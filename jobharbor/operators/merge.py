@@ -55,13 +55,13 @@ def batch_statement(
     return with_flags.select(key, *groups, "row", "listed")
 
 
-def fold_statements(
-    rows: DataFrame, key: str, columns: Sequence[str], order: Sequence[str]
-) -> DataFrame:
-    """Several statements on one key reduced to one with the same effect, oldest first.
+def fold_statements(rows: DataFrame, key: str, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Several statements on one key reduced to one with the same effect: key, ``order`` of the last, row, listed, stamps.
 
-    Of statements on a key that list the same columns only the last has an effect, so a key gathers no more rows
-    than there are different sets of columns, however often it was fetched.
+    Of every column the value of the last statement that lists it counts, so the result doesn't depend on how statements are batched or in which order
+    they come. Of statements on a key that list the same columns only the last has an effect, so a key gathers no more rows than there are different sets
+    of columns, however often it was fetched. ``stamps`` has one entry for each statement that still decides a column: its
+    ``order`` and the flags of those columns.
     """
     rows = latest_per_key(rows, [key, "listed"], [F.desc(c) for c in order])
 
@@ -79,30 +79,39 @@ def fold_statements(
     folded = F.expr(
         f"if(size(_steps) = 1, _steps[0], aggregate(slice(_steps, 2, size(_steps)), _steps[0], {then}))"
     )
-    return steps.select(key, folded.alias("_s")).select(key, "_s.*")
+    # a statement decides the columns it lists and no later one does
+    taken = "aggregate(slice(_steps, i + 2, size(_steps)), transform(x.listed, w -> 0L), (a, y) -> zip_with(a, y.listed, (p, q) -> p | q))"
+    own = f"if(i + 1 = size(_steps), x.listed, zip_with(x.listed, {taken}, (p, q) -> p & ~q))"
+    place = ", ".join(f"'{c}', x.`{c}`" for c in order)
+    stamps = F.expr(f"filter(transform(_steps, (x, i) -> named_struct({place}, 'listed', {own})), s -> exists(s.listed, w -> w <> 0))")
+    return steps.select(key, folded.alias("_s"), stamps.alias("stamps")).select(key, "_s.*", "stamps")
+
+
+def upsert_stamped(target: DataFrame, statements: DataFrame, key: str, columns: Sequence[str], order: Sequence[str], stamps: str) -> DataFrame:
+    """Keyed partial upsert whose result doesn't depend on the order in which statements arrive: like ``fold_statements``.
+
+    ``target`` has key, columns and, in the column ``stamps``, which statement decided which columns; it is taken as the statements that made it. A
+    column that no statement listed is null; a listed one takes the last value even if that is null.
+    """
+    row = F.struct(*[F.col(c) for c in columns]).alias("row")
+    earlier = target.select(key, row, F.explode(stamps).alias("_s")).select(key, *[F.col(f"_s.`{c}`") for c in order], "row", "_s.listed")
+    new = statements.select(key, *order, F.struct(*[F.col(f"row.`{c}`") for c in columns]).alias("row"), "listed")
+    return fold_statements(earlier.unionByName(new), key, columns, order)
 
 
 def upsert_partial(
-    target: DataFrame,
-    statement: DataFrame,
-    key: str,
-    columns: Sequence[str],
-    always: Sequence[str],
-    newer: str | None = None,
+    target: DataFrame, statement: DataFrame, key: str, columns: Sequence[str], always: Sequence[str]
 ) -> DataFrame:
-    """Insert new keys; on existing ones replace the listed columns and ``always``.
+    """Insert new keys; on existing ones replace the listed columns and ``always``. For targets without stamps: statements must come in order.
 
     ``statement`` has one row per key with its record in ``row`` and its column flags in
     ``listed``. A column the batch did not list keeps its old value; a listed one takes the new
-    value even if that is null. With ``newer``, one of ``always``, a stored row changes only if the statement's value
-    is not smaller.
+    value even if that is null.
     """
     merged = target.alias("old").join(
         statement.alias("new"), F.col(f"old.{key}") == F.col(f"new.{key}"), "full_outer"
     )
     matched = f"new.`{key}` IS NOT NULL"
-    if newer:
-        matched = f"({matched} AND (old.`{newer}` IS NULL OR new.`{newer}` >= old.`{newer}`))"
     picks = {
         c: f"if({matched} AND {is_listed('new.listed', i)}, new.row.`{c}`, old.`{c}`)"
         for i, c in enumerate(columns)

@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table dealt over tasks by its key, as landed files would be: what is made of a row costs far more than to move it."""
+    return table(spark, sf_dir, name).repartition(key)
+
+
 def seconds(column: str) -> Column:
     return F.date_trunc("second", column).cast("timestamp_ntz")
 
@@ -75,7 +80,7 @@ def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(facet).alias("selectionsummary"),
         F.when(kind == "error", F.array(error)).alias("errsByCount"),
     )
-    return table(spark, sf_dir, "events").select(
+    return dealt(spark, sf_dir, "events", "event_id").select(
         F.concat(F.lit("site_"), "user_id").alias("queue"),
         F.col("ts").alias("fetched_utc"),
         # purchases answer with something that is no payload
@@ -88,7 +93,7 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     job = F.struct(F.col("event_id").alias("pandaid"), kind.alias("jobstatus"))
     body = F.to_json(F.struct(F.array(job).alias("jobs")))
-    return table(spark, sf_dir, "events").select(
+    return dealt(spark, sf_dir, "events", "event_id").select(
         F.when(kind != "signup", F.concat(F.lit("site_"), "user_id")).alias("queue"),
         F.when(kind != "click", F.col("ts")).alias("fetched_utc"),
         F.when(kind == "purchase", F.to_json(F.array("event_id"))).otherwise(body).alias("payload"),
@@ -106,7 +111,7 @@ def two_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The second one lists the status only, so the other columns must keep their values.
     """
-    events = table(spark, sf_dir, "events")
+    events = dealt(spark, sf_dir, "events", "event_id")
     code = F.get_json_object("props", "$.k").cast("int")
     full = F.struct(
         F.col("event_id").alias("pandaid"),
@@ -163,7 +168,7 @@ def customer_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     A balance that is whole in some rows and not in others, an explicit null, an absent field, a
     nested list and object, a dropped field and, for one segment, an entry that is no object.
     """
-    customer = table(spark, sf_dir, "customer")
+    customer = dealt(spark, sf_dir, "customer", "c_custkey")
     fields = F.struct(
         F.col("c_nationkey").alias("corecount"),
         F.col("c_acctbal").alias("corepower"),
@@ -230,7 +235,7 @@ def with_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source"), F.lit(".run() (pkg."), F.col("lang"), F.lit(" method), "), F.col("n_chars"), F.lit("\n")
     )
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    return table(spark, sf_dir, "documents").select(
+    return dealt(spark, sf_dir, "documents", "doc_id").select(
         "doc_id",
         F.concat("text", F.lit("\n"), F.repeat(entry, breaks), F.lit("end")).alias("text"),
     )
@@ -244,4 +249,4 @@ def rst_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         replace(text, '\n', '\n   '), '\n\nSee `', source, ' <', lang, '>`_ and :ref:`', lang,
         ' <', source, '>`.\n\n', text, '\n\nEnd\n---\nshort\n--\n.. TIP:: done')"""
     )
-    return table(spark, sf_dir, "documents").select("doc_id", body.alias("text"))
+    return dealt(spark, sf_dir, "documents", "doc_id").select("doc_id", body.alias("text"))

@@ -19,20 +19,28 @@ COLUMNS = [f.name for f in schemas.JOB_PAYLOAD]
 FETCH = ["_queue", "_fetched_utc"]
 
 
-def job_order():
-    """Which of several rows with one id counts: the latest change, then the first position."""
-    return [F.desc_nulls_last("row.modificationtime"), F.asc("position")]
+RESPONSE = [*FETCH, "_response"]
+# Which of several values counts: the later fetch; within a response the latest change, then the first position.
+ORDER = schemas.STAMP.names
 
 
-def job_statement(rows: DataFrame) -> DataFrame:
-    """A batch of job rows reduced to one row per id with its listed columns."""
-    per_fetch = merge.batch_statement(rows, "pandaid", FETCH, COLUMNS, job_order())
-    return merge.fold_statements(per_fetch, "pandaid", COLUMNS, ["_fetched_utc", "_queue"])
+def job_statements(rows: DataFrame) -> DataFrame:
+    """Job rows as statements: each with the columns that its response listed and its place in the order."""
+    flags = merge.listed_columns(rows, RESPONSE, COLUMNS)
+    placed = rows.select(*rows.columns, F.col("row.modificationtime").alias("_changed"), (-F.col("position")).alias("_place"))
+    return placed.join(flags, RESPONSE).select("pandaid", *ORDER, "row", "listed")
 
 
 def upsert_jobs(target: DataFrame, rows: DataFrame) -> DataFrame:
-    """An older fetch that lands late changes no job that a newer one has written."""
-    return merge.upsert_partial(target, job_statement(rows), "pandaid", COLUMNS, FETCH, newer="_fetched_utc")
+    """``target`` (STAMPED_JOBS) after these job rows. Responses may come in any order and any batches: of each column the value
+    of the last response that listed it counts. Rows without stamps count as listing all columns at their fetch."""
+    whole = [(1 << min(merge.WORD, len(COLUMNS) - at)) - 1 for at in range(0, len(COLUMNS), merge.WORD)]
+    listed = F.array(*[F.lit(w - (1 << 64) if w >> 63 else w) for w in whole])
+    unknown = [F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.STAMP.fields[2:]]
+    one = F.array(F.struct("_fetched_utc", "_queue", *unknown, listed.alias("listed")))
+    known = target.withColumn("_stamps", F.coalesce("_stamps", one))
+    merged = merge.upsert_stamped(known, job_statements(rows), "pandaid", COLUMNS, ORDER, "_stamps")
+    return merged.select(*[F.col(f"row.`{c}`") for c in COLUMNS], *FETCH, F.col("stamps").alias("_stamps"))
 
 
 def newest_fetch(parsed: DataFrame) -> DataFrame:
@@ -88,7 +96,7 @@ def run_cycle(
         ranges = [r[0] for r in rows.select(part).distinct().collect()]
         queues = [r[0] for r in newest.select(group_part(F.col("_queue"))).collect()]
         by_queue = group_part(F.col("_queue"))
-        jobs = store.read("jobs", schemas.JOBS, ranges)
+        jobs = store.read("jobs", schemas.STAMPED_JOBS, ranges)
         audit = parsed.groupBy("_queue").agg(
             F.max("_fetched_utc").alias("fetched_utc"),
             F.max(F.when(~F.expr(landing.READABLE), landing.fault())).alias("error"),

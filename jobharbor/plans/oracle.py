@@ -74,10 +74,6 @@ ORACLE: dict[str, str] = {
         max(CASE event_type WHEN 'signup' THEN 'no queue' WHEN 'click' THEN 'no fetch time'
             WHEN 'purchase' THEN 'payload is not an object of lists' END) AS error
         FROM events GROUP BY ALL""",
-    "late_landing": """SELECT event_id AS pandaid, CASE event_type WHEN 'purchase' THEN 'closed' ELSE event_type END AS jobstatus,
-        CASE WHEN event_type <> 'purchase' THEN value END AS durationsec, 'site_' || user_id AS _queue,
-        CAST(epoch_us(date_trunc('second', ts) + CASE WHEN event_type = 'purchase' THEN INTERVAL 31 DAYS ELSE INTERVAL 0 DAYS END) AS BIGINT) AS fetched
-        FROM events""",
     "catalogue_refresh": """SELECT c_name AS queue, CASE WHEN c_acctbal >= 0 THEN 'rich' WHEN c_nationkey < 5 THEN 'gone' ELSE 'poor' END AS status,
         CAST(c_custkey AS BIGINT) AS nodes FROM customer
         UNION ALL SELECT DISTINCT 'nation/7/' || (c_custkey // 10000), 'not JSON', CAST(-1 AS BIGINT) FROM customer WHERE c_nationkey = 7""",
@@ -285,3 +281,7 @@ ORACLE: dict[str, str] = {
         FROM e""",
 }
 ORACLE["job_upsert"] = ORACLE["stream_ingest"]
+ORACLE["late_landing"] = f"SELECT pandaid, jobstatus, durationsec, _queue, fetched FROM ({ORACLE['stream_ingest']})"
+ORACLE["many_batches"] = f"""SELECT pandaid, '{{"pandaid":' || pandaid || ',"jobstatus":"' || jobstatus || '"' ||
+    CASE WHEN piloterrorcode IS NULL THEN '' ELSE ',"piloterrorcode":' || piloterrorcode END || '}}' AS record,
+    durationsec, _queue, fetched FROM ({ORACLE['stream_ingest']})"""

@@ -433,7 +433,7 @@ def bad_envelopes(spark, sf):
 
 @query
 def late_landing(spark, sf):
-    """Two published cycles, the older fetches landing second: they change no job that newer ones have written."""
+    """Two published cycles, the older fetches landing second: they fill the columns that the newer ones have not listed, and no others."""
     store = VersionedTables(spark, shared_dir(spark, "late"))
     for number, landed in enumerate(D.late_cycles(spark, sf)):
         jobs_plan.run_cycle(store, landed, f"r{number}", jobs_per_part=20_000)
@@ -441,11 +441,23 @@ def late_landing(spark, sf):
     return jobs.select("pandaid", "jobstatus", "durationsec", "_queue", micros("_fetched_utc").alias("fetched"))
 
 
+@query
+def many_batches(spark, sf):
+    """Two responses per job in files of no order, one file a micro-batch: every column as if all had come at once."""
+    base = shared_dir(spark, "batches")
+    D.two_cycles(spark, sf).repartition(3, F.xxhash64("payload")).write.json(f"{base}/landing")
+    store = VersionedTables(spark, f"{base}/store")
+    ingest.stream_jobs(spark, f"{base}/landing", store, f"{base}/progress", jobs_per_part=20_000, files_per_batch=1).awaitTermination()
+    jobs = store.read("jobs", schemas.JOBS)
+    record = F.to_json(F.struct(*[c for c in jobs_plan.COLUMNS if c != "durationsec"]))
+    return jobs.select("pandaid", record.alias("record"), "durationsec", "_queue", micros("_fetched_utc").alias("fetched"))
+
+
 @query
 def job_upsert(spark, sf):
     """The jobs part of a cycle alone: parse, type, fold and merge, without publishing."""
     typed = landing.type_jobs(landing.parse_payloads(D.two_cycles(spark, sf)))
-    jobs = jobs_plan.upsert_jobs(schemas.empty(spark, schemas.JOBS), landing.job_rows(typed))
+    jobs = jobs_plan.upsert_jobs(schemas.empty(spark, schemas.STAMPED_JOBS), landing.job_rows(typed))
     return jobs.select(
         "pandaid", "jobstatus", "durationsec", "piloterrorcode", "_queue", micros("_fetched_utc").alias("fetched")
     )

@@ -69,6 +69,10 @@ ERROR_COMPONENTS = ("pilot", "exe", "sup", "ddm", "brokerage", "jobdispatcher",
 
 JOB_PAYLOAD = layout(JOB_COLUMNS)
 JOBS = layout(f"{JOB_COLUMNS}, {BOOKKEEPING}")
+# Which response decided which columns of a job: what orders responses, and flags of columns, 64 to a number.
+STAMP = layout("_fetched_utc TIMESTAMP_NTZ, _queue STRING, _response BIGINT, _changed TIMESTAMP_NTZ, _place INT")
+STAMPS = T.ArrayType(T.StructType([*STAMP.fields, T.StructField("listed", T.ArrayType(T.LongType()))]))
+STAMPED_JOBS = T.StructType([*JOBS.fields, T.StructField("_stamps", STAMPS)])
 SELECTION_SUMMARY = layout(
     f"id INT NOT NULL, field STRING NOT NULL, list_json STRING NOT NULL, stats_json STRING, {BOOKKEEPING}"
 )

@@ -117,10 +117,10 @@ def bad_payloads(parsed: DataFrame) -> DataFrame:
     )
 
 
-def _items(parsed: DataFrame, name: str) -> DataFrame:
+def _items(parsed: DataFrame, name: str, *more: Column) -> DataFrame:
     """One row per array element with its 0-based position; a missing array is empty."""
     return parsed.where(READABLE).select(
-        "_queue", "_fetched_utc", F.posexplode(f"body.{name}").alias("position", "item")
+        "_queue", "_fetched_utc", *more, F.posexplode(f"body.{name}").alias("position", "item")
     )
 
 
@@ -160,15 +160,16 @@ def type_jobs(parsed: DataFrame) -> DataFrame:
     carried = F.array_sort(
         F.filter(F.json_object_keys("item"), lambda k: k.isin(*schemas.JOB_PAYLOAD.names))
     )
-    items = once(_items(parsed, "jobs"), raw=F.from_json("item", raw_schema), fields=carried)
+    response = F.xxhash64("payload").alias("_response")
+    items = once(_items(parsed, "jobs", response), raw=F.from_json("item", raw_schema), fields=carried)
     columns = list(schemas.JOB_PAYLOAD)
     return once(items, row=typed_row(columns), misfits=misfits(columns)).drop("raw")
 
 
 def job_rows(typed_jobs: DataFrame) -> DataFrame:
-    """Loadable records: id, bookkeeping, position, carried field names, and the record itself."""
+    """Loadable records: id, bookkeeping, response, position, carried field names, and the record itself."""
     return typed_jobs.where("size(misfits) = 0 and row.pandaid is not null").select(
-        "row.pandaid", "_queue", "_fetched_utc", "position", "fields", "row"
+        "row.pandaid", "_queue", "_fetched_utc", "_response", "position", "fields", "row"
     )
 
 

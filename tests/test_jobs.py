@@ -275,15 +275,15 @@ def test_unreadable_envelopes_are_kept_and_stop_nothing(spark, folder):
     assert store.version() == version
 
 
-def test_an_older_fetch_that_lands_late_changes_nothing(spark, folder):
+def test_an_older_fetch_that_lands_late_fills_only_what_newer_ones_have_not_listed(spark, folder):
     store = VersionedTables(spark, folder)
     older, newer = {"jobs": [{"pandaid": 1, "jobstatus": "running", "taskid": 5}], "selectionsummary": [{"field": "old"}]}, {"jobs": [{"pandaid": 1, "jobstatus": "finished"}]}
     jobs.run_cycle(store, landed(spark, ("A", T2, newer)), "r1")
     jobs.run_cycle(store, landed(spark, ("A", T1, older)), "r2")
     row = jobs_of(store)[1]
-    assert row["jobstatus"] == "finished" and row["taskid"] is None
+    assert row["jobstatus"] == "finished" and row["taskid"] == 5 and row["_fetched_utc"] == T2
     assert store.read("selectionsummary", schemas.SELECTION_SUMMARY).count() == 0
-    jobs.run_cycle(store, landed(spark, ("A", T2, older)), "r3")  # the same moment again
+    jobs.run_cycle(store, landed(spark, ("A", T2 + dt.timedelta(seconds=1), older)), "r3")
     assert jobs_of(store)[1]["jobstatus"] == "running" and store.read("selectionsummary", schemas.SELECTION_SUMMARY).count() == 1
 
 
@@ -295,3 +295,57 @@ def test_rows_without_a_part_are_refused(spark, folder):
     with pytest.raises(ValueError):
         store.publish("r1", [Change("t", rows, F.col("p"))])
     assert store.version() == 0
+
+
+def test_any_batching_gives_the_same_table(spark, folder):
+    """Responses with random lists of columns, equal times, repeated ids and nulls, in random batches and orders."""
+    import random
+
+    r = random.Random(5)
+    names = ["jobstatus", "durationsec", "taskid", "cloud", "jobinfo", "piloterrorcode", "consumer"]
+    value = {"jobstatus": "s{}", "cloud": "c{}", "jobinfo": "i{}", "consumer": "k{}"}
+    landed_rows, plain = [], {}
+    for n in range(40):
+        queue, at = r.choice("AB"), dt.datetime(2026, 1, 1, 10, 0, r.randrange(12))
+        items = []
+        for _ in range(r.randrange(1, 4)):
+            item = {"pandaid": r.randrange(6)}
+            for c in r.sample(names, r.randrange(0, 5)):
+                item[c] = r.choice([None, value[c].format(n) if c in value else n])
+            if r.random() < 0.5:
+                item["modificationtime"] = f"2026-01-01 0{r.randrange(3)}:00:00"
+            items.append(item)
+        payload = {"jobs": items}
+        landed_rows.append((queue, at, payload))
+    # the plain answer: of each column the value of the last response that listed it, told by time, queue and then the response itself
+    text = {n: json.dumps(p) for n, (_, _, p) in enumerate(landed_rows)}
+    order = spark.createDataFrame(list(text.items()), "n int, t string").select("n", F.xxhash64("t").alias("h")).collect()
+    hashes = {x["n"]: x["h"] for x in order}
+    for n in sorted(text, key=lambda n: (landed_rows[n][1], landed_rows[n][0], hashes[n])):
+        queue, at, payload = landed_rows[n]
+        listed = {c for item in payload["jobs"] for c in item}
+        best = {}
+        for place, item in enumerate(payload["jobs"]):
+            rank = (item.get("modificationtime") or "", -place)
+            if item["pandaid"] not in best or rank > best[item["pandaid"]][0]:
+                best[item["pandaid"]] = (rank, item)
+        for key, (_, item) in best.items():
+            row = plain.setdefault(key, {})
+            row.update({c: item.get(c) for c in listed}, _queue=queue, _fetched_utc=at)
+    want = {k: {c: row.get(c) for c in [*names, "_queue", "_fetched_utc"]} for k, row in plain.items()}
+    for trial, sizes in enumerate(([40], [13, 27], [1, 9, 10, 20])):
+        store, mixed = VersionedTables(spark, f"{folder}/{trial}"), landed_rows[:]
+        r.shuffle(mixed)
+        for run, size in enumerate(sizes):
+            jobs.run_cycle(store, landed(spark, *mixed[:size]), f"r{run}")
+            mixed = mixed[size:]
+        got = {k: {c: row[c] for c in [*names, "_queue", "_fetched_utc"]} for k, row in jobs_of(store).items()}
+        assert got == want
+
+
+def test_stamps_tell_who_decided(spark):
+    rows = spark.createDataFrame([(1, "a", 1, [3]), (1, "b", 1, [2]), (1, "c", 3, [0]), (1, "d", 0, [7]), (1, "e", 2, [7])], "k int, v string, at int, listed array<bigint>")
+    folded = merge.fold_statements(rows.select("k", "at", "listed", F.struct("v", F.col("v").alias("w"), F.col("v").alias("x")).alias("row")), "k", ["v", "w", "x"], ["at"])
+    got = folded.select("k", "at", "row", "listed", "stamps").collect()
+    assert [(r["at"], tuple(r["row"]), r["listed"]) for r in got] == [(3, ("e", "e", "e"), [7])]
+    assert sorted((s["at"], s["listed"][0]) for s in got[0]["stamps"]) == [(2, 7)]
