@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobharbor.functions import text as X
+from jobharbor.functions.members import maybe_in
 
 CONFIG = (
     "repo string, include_re string, exclude_re string, within_hours int, normalize_for_rag boolean"
@@ -139,9 +140,14 @@ def document_changes(documents: DataFrame, checkpoint: DataFrame) -> DataFrame:
 
 
 def to_process(changes: DataFrame, documents: DataFrame) -> DataFrame:
-    """The documents (path, text) that are new or changed, with their hash."""
+    """The documents (path, text) that are new or changed, with their hash. Texts that a filter of the wanted paths rules out don't move."""
     wanted = changes.where("status <> 'unchanged'").select("path", "content_hash")
-    return with_text(documents).select("path", "text").join(wanted, "path")
+    return maybe_in(with_text(documents).select("path", "text"), wanted, "path").join(wanted, "path")
+
+
+def stale_files(listing: DataFrame, known: DataFrame) -> DataFrame:
+    """Files (path, length, modified) that are not known with this length and time: new, edited, or put back."""
+    return listing.join(known.select("path", "length", "modified"), ["path", "length", "modified"], "left_anti")
 
 
 def is_processed(documents: DataFrame, checkpoint: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -43,10 +43,11 @@ def run_cycle(
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
     buckets: int = BUCKETS,
+    beside: Iterable[Change] = (),
 ) -> dict[str, int]:
     """Bring chunks and checkpoints up to date with ``documents`` (path, text).
 
-    New chunks, the removal of old ones and the checkpoint become visible together. Files that
+    New chunks, the removal of old ones, the checkpoint and the changes ``beside`` them become visible together. Files that
     are gone keep their chunks. ``embed`` turns the chunk column into vectors.
     """
     X.check_chunking(size, overlap)
@@ -54,7 +55,10 @@ def run_cycle(
     changes = gates.document_changes(documents, checkpoint).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stats = run_stats(changes).first().asDict()
+        beside = list(beside)
         if not stats["processed"]:
+            if beside:
+                store.publish(run_id, beside)
             return stats
         todo = gates.to_process(changes, documents)
         paths = changes.where("status <> 'unchanged'").select("path")
@@ -69,6 +73,7 @@ def run_cycle(
             [
                 Change("chunks", merge.replace_chunks(live, paths, new), bucket(F.col("source_file"), buckets), parts),
                 Change("checkpoint", merge.merge_by_key(known, marks, "path"), bucket(F.col("path"), buckets), parts),
+                *beside,
             ],
         )
         return stats

@@ -285,3 +285,10 @@ ORACLE["late_landing"] = f"SELECT pandaid, jobstatus, durationsec, _queue, fetch
 ORACLE["many_batches"] = f"""SELECT pandaid, '{{"pandaid":' || pandaid || ',"jobstatus":"' || jobstatus || '"' ||
     CASE WHEN piloterrorcode IS NULL THEN '' ELSE ',"piloterrorcode":' || piloterrorcode END || '}}' AS record,
     durationsec, _queue, fetched FROM ({ORACLE['stream_ingest']})"""
+PASSES = f"""(SELECT lang, source, CAST(doc_id // 1000 AS VARCHAR) AS block, stamp,
+    string_agg(doc_id || '|' || replace(text, {NL}, ' ') || more || {NL}, '' ORDER BY doc_id) AS text
+    FROM documents, (VALUES ('earlier', ''), ('now', '|again')) v(stamp, more) WHERE stamp = 'earlier' OR lang = 'en' GROUP BY ALL)"""
+ORACLE["edited_directory"] = f"""SELECT lang, source, block, CAST(s // 2700 AS INT) AS chunk_index, stamp AS processed_ts, substr(text, s + 1, 3000) AS chunk
+    FROM (SELECT *, unnest(range(0, length(text), 2700)) AS s FROM {PASSES})"""
+ORACLE["refused_documents"] = f"""SELECT lang, source, block, 'chunks' AS place FROM {PASSES}
+    UNION ALL SELECT DISTINCT lang, 'none', '0', 'no text from pdf' FROM documents"""

@@ -299,6 +299,49 @@ def landed_documents(spark, sf):
     )
 
 
+def _two_passes(spark, sf):
+    """A directory seen twice; in between English files come in anew, and a file that gives no text for every language."""
+    base = shared_dir(spark, "directory")
+    documents = D.table(spark, sf, "documents").select("lang", "source", F.floor(F.col("doc_id") / 1000).alias("block"), "doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+    keys = ["lang", "source", "block"]
+
+    def land(rows, folder):
+        ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "doc_id")
+        ordered.select(*keys, "line").write.partitionBy(*keys).mode("append").text(f"{base}/files/{folder}")
+
+    store = VersionedTables(spark, f"{base}/store")
+    tick = lambda run: ingest.tick_documents(spark, f"{base}/files", store, lambda chunk: V.dummy_vector(), run, run, buckets=8)
+    land(documents.withColumn("line", F.concat_ws("|", "doc_id", "text")), "first")
+    tick("earlier")
+    land(documents.where("lang = 'en'").withColumn("line", F.concat_ws("|", "doc_id", "text", F.lit("again"))), "second")
+    for (lang,) in documents.select("lang").distinct().collect():  # a handful; no writer of Spark makes such files
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/files/paper/lang={lang}/source=none/block=0/none.pdf")
+        file = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+        file.writeBytes("%PDF")
+        file.close()
+    tick("now")
+    return store
+
+
+@query
+def edited_directory(spark, sf):
+    """Two passes over landed files: only what is new or edited is read again, the chunks of the others stay."""
+    store = _two_passes(spark, sf)
+    rows = store.read("chunks", schemas.CHUNKS)
+    return rows.select(*[_folder("source_file", k).alias(k) for k in ("lang", "source", "block")], "chunk_index", "processed_ts", "chunk")
+
+
+@query
+def refused_documents(spark, sf):
+    """Every landed file of those passes is either in chunks or, without text, in quarantine."""
+    store = _two_passes(spark, sf)
+    listed = store.read("listing", schemas.LISTING).select("path")
+    good = store.read("chunks", schemas.CHUNKS).select(F.col("source_file").alias("path"), F.lit("chunks").alias("place")).distinct()
+    bad = store.read("quarantine", schemas.QUARANTINE).select(F.col("content").alias("path"), F.col("reason").alias("place"))
+    where = listed.join(good.unionByName(bad), "path", "left")
+    return where.select(*[_folder("path", k).alias(k) for k in ("lang", "source", "block")], "place")
+
+
 @query
 def landed_repositories(spark, sf):
     """The same folders as repository trees joined to their commits; those without a commit are left out."""

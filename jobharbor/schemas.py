@@ -93,6 +93,8 @@ CHUNKS = layout(
     "id STRING, source_file STRING, chunk_index INT, content_hash STRING, processed_ts STRING, "
     "chunk STRING, embedding ARRAY<FLOAT>"
 )
+# What a pass over a directory has seen, one row per file.
+LISTING = layout("path STRING, length BIGINT, modified TIMESTAMP_NTZ")
 REPO_STATE = layout(
     "repo STRING, last_commit_sha STRING, last_sync_time STRING, files_downloaded INT"
 )

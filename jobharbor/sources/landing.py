@@ -17,6 +17,7 @@ from jobharbor import schemas
 from jobharbor.functions import text as X
 from jobharbor.functions.frames import once
 from jobharbor.functions.json_values import is_json, is_json_object
+from jobharbor.functions.members import maybe_in
 
 SUMMARY_ITEM = "struct<field string, list string, stats string>"
 ERROR_ITEM = (
@@ -324,6 +325,35 @@ def list_files(spark: SparkSession, directory: str) -> DataFrame:
     return files.select("path", "content")
 
 
+def list_metadata(spark: SparkSession, directory: str) -> DataFrame:
+    """path, length, modified of every file below a directory; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
+    return files.select("path", "length", F.col("modificationTime").cast("timestamp_ntz").alias("modified"))
+
+
+def read_stale(spark: SparkSession, directory: str, stale: DataFrame) -> DataFrame:
+    """path, content of the ``stale`` files.
+
+    The source skips files older than the oldest of them without opening them; of the others those that a filter of the wanted paths rules out go no
+    further.
+    """
+    since = stale.agg(F.min("modified")).first()[0]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
+    if since is not None:
+        files = files.where(F.col("modificationTime") >= F.lit(since).cast("timestamp"))
+    return maybe_in(files.select("path", "content"), stale, "path")
+
+
+def refusals(texts: DataFrame, kind: str, at: Column) -> DataFrame:
+    """Quarantine rows of the files (path, text) that give no text, each with its reason; the others are processed."""
+    suffix = X.suffix(F.col("path"))
+    reason = F.when(suffix.isin("pdf", "docx"), F.concat(F.lit("no text from "), suffix)).otherwise("no text")
+    return texts.where("text is null or text = ''").select(
+        F.lit(kind).alias("kind"), F.lit(None).cast("int").alias("position"), reason.alias("reason"), F.col("path").alias("content"),
+        F.lit(None).cast("string").alias("_queue"), at.cast("timestamp_ntz").alias("_fetched_utc"),
+    )
+
+
 def extract_text(
     files: DataFrame,
     extractors: dict[str, Callable[[bytes], str]] | None = None,

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from jobharbor import schemas
+from jobharbor.operators import gates, merge
 from jobharbor.plans import documents, jobs
 from jobharbor.sources import landing
 from jobharbor.sources.versions import Change, VersionedTables
@@ -80,8 +82,26 @@ def tick_documents(
 ) -> dict[str, int]:
     """One pass over a document directory.
 
-    The directory is listed again on every pass: a file stream would not notice a file edited in
-    place, whereas the content hash does.
+    The directory is listed again on every pass, for a file stream would not notice a file edited in place. Only files whose length or time differs from
+    the last pass are read; of these the content hash decides. What gives no text goes to quarantine, once until it is edited, and stops nothing.
+    The listing is published with the chunks, so a pass that dies is made again.
     """
-    texts = landing.extract_text(landing.list_files(spark, directory))
-    return documents.run_cycle(store, texts, embed, run_id, processed_ts, **cycle)
+    known = store.read("listing", schemas.LISTING)
+    listing = landing.list_metadata(spark, directory)
+    stale = gates.stale_files(listing, known).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        # what has chunks and was left unread counts as skipped
+        unread = listing.join(stale.select("path"), "path", "left_anti").select("path")
+        unread = unread.join(store.read("checkpoint", schemas.CHECKPOINT).select("path"), "path", "left_semi").count()
+        if stale.isEmpty():
+            return {"processed": 0, "skipped": unread, "new": 0, "changed": 0}
+        texts = landing.extract_text(landing.read_stale(spark, directory, stale)).persist(StorageLevel.MEMORY_AND_DISK)
+        refused = landing.refusals(texts, "document", F.current_timestamp())
+        beside = [Change("listing", merge.merge_by_key(known, stale, "path")), Change("quarantine", refused, append=True)]
+        try:
+            stats = documents.run_cycle(store, texts, embed, run_id, processed_ts, beside=beside, **cycle)
+            return {**stats, "skipped": stats["skipped"] + unread}
+        finally:
+            texts.unpersist()
+    finally:
+        stale.unpersist()

@@ -234,3 +234,57 @@ def test_lenient_decoding_equals_python(spark):
     rows = spark.createDataFrame([(k, None if c is None else bytearray(c)) for k, c in enumerate(cells)], "k int, c binary")
     got = {x["k"]: x["t"] for x in rows.select("k", landing.decode_lenient(F.col("c")).alias("t")).collect()}
     assert got == {k: None if c is None else c.decode("utf-8", errors="ignore") for k, c in enumerate(cells)}
+
+
+def test_second_pass_reads_only_what_is_new_or_edited(spark, folder, monkeypatch):
+    import os
+    import time
+
+    from jobharbor.functions import vectors as V
+    from jobharbor.sources import landing
+    from jobharbor.streaming import ingest
+
+    os.makedirs(f"{folder}/in")
+    for n in range(6):
+        with open(f"{folder}/in/f{n}.txt", "w") as file:
+            file.write(f"text {n}" if n else "")
+    with open(f"{folder}/in/paper.pdf", "wb") as file:
+        file.write(b"%PDF")
+    read, keep = [], landing.extract_text
+
+    def noted(files, *more):
+        read.append(sorted(os.path.basename(r["path"]) for r in files.select("path").collect()))
+        return keep(files, *more)
+
+    monkeypatch.setattr(landing, "extract_text", noted)
+    store = VersionedTables(spark, f"{folder}/store")
+    tick = lambda run: ingest.tick_documents(spark, f"{folder}/in", store, lambda chunk: V.dummy_vector(), run, run, buckets=2)
+    assert tick("r1")["new"] == 5
+    bad = lambda: sorted((os.path.basename(r["content"]), r["reason"]) for r in store.read("quarantine", schemas.QUARANTINE).collect())
+    assert bad() == [("paper.pdf", "no text from pdf")]  # files without bytes are not listed at all
+    time.sleep(0.05)
+    with open(f"{folder}/in/f3.txt", "w") as file:
+        file.write("another text")
+    os.utime(f"{folder}/in/f4.txt")  # touched, not changed
+    os.remove(f"{folder}/in/f5.txt")
+    assert tick("r2") == {"processed": 1, "skipped": 3, "new": 0, "changed": 1}
+    assert read[1] == ["f3.txt", "f4.txt"] and len(bad()) == 1
+    assert tick("r3")["processed"] == 0 and len(read) == 2
+    chunks = {os.path.basename(r["source_file"]): r["chunk"] for r in store.read("chunks", schemas.CHUNKS).collect()}
+    assert chunks == {"f1.txt": "text 1", "f2.txt": "text 2", "f3.txt": "another text", "f4.txt": "text 4", "f5.txt": "text 5"}
+
+
+def test_unchanged_texts_do_not_move_without_broadcast_joins(spark):
+    """With broadcast joins off, what goes into an exchange has passed the filter of wanted paths, which has a fixed size."""
+    rows = spark.createDataFrame([(f"p{n}", f"text {n}") for n in range(200)], "path string, text string")
+    wanted = spark.createDataFrame([("p7", "h", "new"), ("p8", "h", "unchanged")], "path string, content_hash string, status string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        todo = gates.to_process(wanted, rows)
+        assert [tuple(r) for r in todo.collect()] == [("p7", "text 7", "h")]
+        plan = todo._jdf.queryExecution().executedPlan().toString()
+        exchanged = plan[plan.index("SortMergeJoin") :]
+        assert exchanged.index("Exchange hashpartitioning(path") < exchanged.index("BroadcastHashJoin")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
