@@ -28,9 +28,9 @@ from jobharbor.llm.common import FILTER_BITS, join_weighted, membership, small_b
 
 LONGEST, SUPPORT, TOP, SCALE = 5, 100, 2000, 1000
 #: Shards; words that a task holds at once; different words that it remembers; bytes of a text that are split at once; places of a language's ranking.
-SHARDS, RUN, REMEMBERED, BLOCK, SALTS = 8, 1_000_000, 300_000, 1 << 20, 64
+SHARDS, RUN, REMEMBERED, BLOCK, SALTS = 8, 600_000, 120_000, 1 << 20, 64
 #: Bits of the hash that tells phrases of a shard apart, and phrases that a task counts before it hands them on, and occurrences.
-KEY_BITS, TALLY, MERGED = 40, 300_000, 1_000_000
+KEY_BITS, TALLY, MERGED = 40, 150_000, 600_000
 
 BREAK = b"\xff"  # no byte of UTF-8
 _BREAKS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
