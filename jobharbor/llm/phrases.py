@@ -7,7 +7,7 @@ tasks that hold its texts: a phrase can be frequent only if what is left without
 counts, with the most that the shards that don't report them can have, are below the support go. Then the candidates are
 counted exactly over all texts.
 
-While candidates are sought, phrases are told apart by 64-bit hashes, whose collisions add candidates and lose none; the sets that tasks look them up in are
+While candidates are sought, phrases are told apart by hashes of 40 bits or more, as many as the shards' sizes ask for, whose collisions add candidates and lose none; the sets that tasks look them up in are
 filters of fixed size, of which the same holds. The last count is of the words themselves, and the scores are exact
 whole numbers.
 """
@@ -29,8 +29,8 @@ from jobharbor.llm.common import FILTER_BITS, join_weighted, membership, small_b
 LONGEST, SUPPORT, TOP, SCALE = 5, 100, 2000, 1000
 #: Shards; words that a task holds at once; different words that it remembers; bytes of a text that are split at once; places of a language's ranking.
 SHARDS, RUN, REMEMBERED, BLOCK, SALTS = 8, 600_000, 120_000, 1 << 20, 64
-#: Bits of the hash that tells phrases of a shard apart, and phrases that a task counts before it hands them on, and occurrences.
-KEY_BITS, TALLY, MERGED = 40, 150_000, 600_000
+#: Phrases that a task counts before it hands them on, and occurrences; words of a shard's bucket of keys; the least number of bits that tell buckets apart.
+TALLY, MERGED, BUCKET, LEAST_FAN = 150_000, 600_000, 500_000, 8
 
 BREAK = b"\xff"  # no byte of UTF-8
 _BREAKS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -141,10 +141,10 @@ OF_SHARD = 0x2545F491  # tells the shards apart within one filter
 
 
 def _dealt(rows: DataFrame, shards: int, longest: int, size: int) -> DataFrame:
-    """shard, lang, old, hashes: runs of words as hashes of 32 bits, which the shards are mined from."""
+    """shard, lang, old, n, hashes: runs of words as hashes of 32 bits, which the shards are mined from, and the number of words not counted before."""
 
     def run(batches):
-        schema = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("old", pa.int32()), ("hashes", pa.binary())])
+        schema = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("old", pa.int32()), ("n", pa.int64()), ("hashes", pa.binary())])
         shard = TaskContext.get().partitionId() % shards
 
         def texts():
@@ -152,27 +152,56 @@ def _dealt(rows: DataFrame, shards: int, longest: int, size: int) -> DataFrame:
                 yield from zip(batch.column("lang").to_pylist(), (t.as_py() for t in batch.column("text")), strict=True)
 
         for lang, part in runs(texts(), longest, size):
-            columns = [pa.array([shard], type=pa.int32()), pa.array([lang]), pa.array([part.old], type=pa.int32()), pa.array([part.hashes.tobytes()])]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            n = int(np.count_nonzero(part.hashes[part.old :]))
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "lang": [lang], "old": [part.old], "n": [n], "hashes": [part.hashes.tobytes()]}, schema=schema)
 
-    return rows.mapInArrow(run, "shard int, lang string, old int, hashes binary")
+    return rows.mapInArrow(run, "shard int, lang string, old int, n bigint, hashes binary")
 
 
-def _local(words: DataFrame, length: int, below) -> DataFrame:
-    """shard, lang, key, n: phrases of one length, counted in each shard; ``below`` is the filter of the shards' phrases of one word less."""
+def _cut(keys: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The low halves of sorted keys, as one binary value between two edges each."""
+    low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return _binary(low, np.searchsorted(keys >> np.uint64(32), edges))
 
-    def run(batches):
-        schema = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
-        for batch in batches:
-            found: dict[tuple[int, str], list[np.ndarray]] = {}
 
-            def out(shard, lang):
-                keys, counts = np.unique(np.concatenate(found.pop((shard, lang))), return_counts=True)
-                columns = [pa.array([shard] * len(keys), type=pa.int32()), pa.array([lang] * len(keys), type=pa.string())]
-                return pa.RecordBatch.from_arrays([*columns, pa.array(keys.view(np.int64)), pa.array(counts)], schema=schema)
+def _binary(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    offsets = (at * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, with the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([np.ones(1, dtype=bool), keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts[order], first)
+
 
-            for shard, lang, old, raw in zip(*(batch.column(c) for c in ("shard", "lang", "old", "hashes")), strict=True):
-                shard, lang, old = shard.as_py(), lang.as_py(), old.as_py()
+def _counted(words: DataFrame, length: int, below, fan: int) -> DataFrame:
+    """shard, lang, slack, bucket, once, keys, counts: phrases of one length, counted in a task and packed by the first ``fan`` bits of their keys.
+
+    A key has 32 bits more, which are all that is written of it: apart for phrases that occur once, with counts for the others.
+    """
+    names = ["shard", "lang", "slack", "bucket", "once", "keys", "counts"]
+    mask = np.uint64((1 << (32 + fan)) - 1)
+
+    def run(batches):
+        for batch in batches:
+            found: dict[tuple[int, str, int], list[np.ndarray]] = {}
+
+            def out(shard, lang, slack):
+                keys, counts = np.unique(np.concatenate(found.pop((shard, lang, slack))), return_counts=True)
+                buckets = np.unique(keys >> np.uint64(32))
+                edges = np.append(buckets, np.uint64(1 << fan))
+                several = counts > 1
+                many, n = keys[several], len(buckets)
+                columns = [pa.array([shard] * n, type=pa.int32()), pa.array([lang] * n, type=pa.string()), pa.array([slack] * n, type=pa.int64())]
+                columns += [pa.array(buckets.astype(np.int64)), _cut(keys[~several], edges), _cut(many, edges)]
+                columns.append(_binary(counts[several].astype(np.uint32), np.searchsorted(many >> np.uint64(32), edges)))
+                return pa.RecordBatch.from_arrays(columns, names=names)
+
+            for shard, lang, slack, old, raw in zip(*(batch.column(c) for c in ("shard", "lang", "slack", "old", "hashes")), strict=True):
+                shard, lang, slack, old = shard.as_py(), lang.as_py(), slack.as_py(), old.as_py()
                 hashes = np.frombuffer(raw.as_buffer(), dtype=np.uint32)
                 n = max(0, len(hashes) - length + 1)
                 here = np.ones(n, dtype=bool)
@@ -186,16 +215,65 @@ def _local(words: DataFrame, length: int, below) -> DataFrame:
                     known = _held(below.value, short ^ np.uint64(shard * OF_SHARD))
                     here &= known[:n] & known[1:]
                 at = np.flatnonzero(here)
-                keys = _mixed(short[at], hashes[at + length - 1].astype(np.uint64)) & np.uint64((1 << KEY_BITS) - 1)
-                parts = found.setdefault((shard, lang), [])
-                parts.append(keys)
+                if not len(at):
+                    continue
+                parts = found.setdefault((shard, lang, slack), [])
+                parts.append(_mixed(short[at], hashes[at + length - 1].astype(np.uint64)) & mask)
                 if sum(map(len, parts)) > MERGED:
-                    yield out(shard, lang)
+                    yield out(shard, lang, slack)
             for group in list(found):
                 yield out(*group)
 
-    made = words.mapInArrow(run, "shard int, lang string, key bigint, n bigint")
-    return made.groupBy("shard", "lang", "key").agg(F.sum("n").alias("n"))
+    return words.mapInArrow(run, "shard int, lang string, slack bigint, bucket bigint, once binary, keys binary, counts binary")
+
+
+def _local(words: DataFrame, length: int, below, fan: int) -> DataFrame:
+    """shard, lang, key, n, slack: phrases of one length that are frequent in a shard; ``below`` is the filter of the shards' phrases of one word less.
+
+    The packed counts of a bucket meet in one task. Buckets are so many that one holds about ``BUCKET`` words, however frequent some phrases are.
+    """
+
+    def run(batches):
+        schema = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("key", pa.int64()), ("n", pa.int64()), ("slack", pa.int64())])
+        group, keys, counts, waiting = None, [], [], 0
+        done, ready = [], 0
+
+        def close():
+            nonlocal ready
+            shard, lang, slack, bucket = group
+            low, n = _summed(np.concatenate(keys), np.concatenate(counts))
+            some = n > slack
+            if some.any():
+                high = np.int64(bucket << 32) | low[some].astype(np.int64)
+                k = len(high)
+                columns = [pa.array([shard] * k, type=pa.int32()), pa.array([lang] * k, type=pa.string()), pa.array(high), pa.array(n[some])]
+                done.append(pa.RecordBatch.from_arrays([*columns, pa.array([slack] * k, type=pa.int64())], schema=schema))
+                ready += k
+
+        for batch in batches:
+            places = zip(*(batch.column(c).to_pylist() for c in ("shard", "lang", "slack", "bucket")), strict=True)
+            for place, *raw in zip(places, *(batch.column(c) for c in ("once", "keys", "counts")), strict=True):
+                if place != group:
+                    if keys:
+                        close()
+                    group, keys, counts, waiting = place, [], [], 0
+                    if ready > MERGED // 8:
+                        yield from done
+                        done, ready = [], 0
+                single, many, n = (np.frombuffer(v.as_buffer(), dtype=np.uint32) if len(v.as_buffer()) else np.zeros(0, dtype=np.uint32) for v in raw)
+                keys += [single, many]
+                counts += [np.ones(len(single), dtype=np.int64), n.astype(np.int64)]
+                waiting += len(single) + len(many)
+                if waiting > 2 * BUCKET:
+                    low, n = _summed(np.concatenate(keys), np.concatenate(counts))
+                    keys, counts, waiting = [low], [n], 0
+        if keys:
+            close()
+        yield from done
+
+    by = ["shard", "lang", "bucket"]
+    packed = _counted(words, length, below, fan).repartition(*by).sortWithinPartitions(*by)
+    return packed.mapInArrow(run, "shard int, lang string, key bigint, n bigint, slack bigint")
 
 
 def _exact(rows: DataFrame, wanted, longest: int, size: int) -> DataFrame:
@@ -266,19 +344,17 @@ def frequent_phrases(
     spark = rows.sparkSession
     own = rows.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text")).where(F.length("text") > 0)
     words = stored(_dealt(small_batches(own), shards, longest, size), "phrase-words")
-    below = totals = shares = slack = union = None
+    held = stored(words.groupBy("shard", "lang").agg(F.sum("n").alias("held")).where("held > 0"), "phrase-held")
+    totals = stored(held.groupBy("lang").agg(F.sum("held").alias("total")), "phrase-totals")
+    # the most a phrase can have in a shard that does not report it
+    least = F.expr(f"(cast({support} AS decimal(19,0)) * cast(held AS decimal(19,0)) + cast(total AS decimal(19,0)) - 1) div cast(total AS decimal(19,0))")
+    shares = stored(held.join(totals, "lang").select("shard", "lang", (least - 1).alias("slack")), "phrase-shares")
+    slack = shares.groupBy("lang").agg(F.sum("slack").alias("all_slack"))
+    most = held.agg(F.max("held")).first()[0] or 0
+    fan = min(30, max(LEAST_FAN, (most // BUCKET).bit_length()))
+    below = union = None
     for length in range(1, longest + 1):
-        counted = _local(words, length, below)
-        if length == 1:
-            counted = stored(counted, "phrase-single")
-            held = counted.groupBy("shard", "lang").agg(F.sum("n").alias("held"))
-            totals = stored(held.groupBy("lang").agg(F.sum("held").alias("total")), "phrase-totals")
-            # the most a phrase can have in a shard that does not report it
-            least = F.expr(f"(cast({support} AS decimal(19,0)) * cast(held AS decimal(19,0)) + cast(total AS decimal(19,0)) - 1) div cast(total AS decimal(19,0))")
-            shares = stored(held.join(totals, "lang").select("shard", "lang", (least - 1).alias("slack")), "phrase-shares")
-            slack = shares.groupBy("lang").agg(F.sum("slack").alias("all_slack"))
-        local = counted.join(shares, ["shard", "lang"]).where(F.col("n") > F.col("slack"))
-        local = stored(local, f"phrase-local-{length}")
+        local = stored(_local(words.join(shares, ["shard", "lang"]), length, below, fan), f"phrase-local-{length}")
         possible = stored(_possible(local, slack, support), f"phrase-possible-{length}")
         union = possible if union is None else union.unionByName(possible)
         if below is not None:
