@@ -15,6 +15,7 @@ whole numbers.
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -276,12 +277,13 @@ def _local(words: DataFrame, length: int, below, fan: int) -> DataFrame:
     return packed.mapInArrow(run, "shard int, lang string, key bigint, n bigint, slack bigint")
 
 
-def _exact(rows: DataFrame, wanted, longest: int, size: int) -> DataFrame:
-    """lang, phrase, words, n: every phrase whose hash passes the filter, counted over all texts by its words."""
+def _tallied(rows: DataFrame, wanted, longest: int, size: int, fan: int) -> DataFrame:
+    """lang, bucket, phrases, counts: every phrase whose hash passes the filter, counted by its words in a task.
 
-    def run(batches):
-        schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
+    Phrases are packed by ``fan`` bits of a checksum, one a line: words hold no line ends.
+    """
 
+    def run(batches):
         def texts():
             for batch in batches:
                 yield from zip(batch.column("lang").to_pylist(), (t.as_py() for t in batch.column("text")), strict=True)
@@ -290,9 +292,14 @@ def _exact(rows: DataFrame, wanted, longest: int, size: int) -> DataFrame:
 
         def out():
             for lang, tally in tallies.items():
-                columns = [pa.array([lang] * len(tally), type=pa.string()), pa.array([p.decode("utf-8", "surrogatepass") for p in tally], type=pa.string())]
-                columns += [pa.array([p.count(b" ") + 1 for p in tally], type=pa.int32()), pa.array(list(tally.values()), type=pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                phrases, counts = list(tally), np.fromiter(tally.values(), dtype=np.int64, count=len(tally))
+                buckets = np.fromiter((zlib.crc32(p) >> (32 - fan) for p in phrases), dtype=np.int64, count=len(tally))
+                order = np.argsort(buckets, kind="stable")
+                different, first = np.unique(buckets[order], return_index=True)
+                edges = np.append(first, len(order))
+                packed = [b"\n".join([phrases[i] for i in order[x:y].tolist()]) for x, y in itertools.pairwise(edges.tolist())]
+                columns = [pa.array([lang] * len(different), type=pa.string()), pa.array(different), pa.array(packed, type=pa.binary()), _binary(counts[order], edges)]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "phrases", "counts"])
             tallies.clear()
 
         for lang, part in runs(texts(), longest, size):
@@ -318,8 +325,37 @@ def _exact(rows: DataFrame, wanted, longest: int, size: int) -> DataFrame:
                 yield from out()
         yield from out()
 
-    made = rows.mapInArrow(run, "lang string, phrase string, words int, n bigint")
-    return made.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "lang string, bucket bigint, phrases binary, counts binary")
+
+
+def _exact(rows: DataFrame, wanted, longest: int, size: int, fan: int, support: int) -> DataFrame:
+    """lang, phrase, words, n: every phrase whose hash passes the filter and that has ``support``, counted over all texts by its words."""
+
+    def run(batches):
+        schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
+        group, tally = None, {}
+
+        def close():
+            found = [(p, n) for p, n in tally.items() if n >= support]
+            names = [p.decode("utf-8", "surrogatepass") for p, _ in found]
+            columns = [pa.array([group[0]] * len(found), type=pa.string()), pa.array(names, type=pa.string())]
+            columns += [pa.array([p.count(b" ") + 1 for p, _ in found], type=pa.int32()), pa.array([n for _, n in found], type=pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        for batch in batches:
+            places = zip(batch.column("lang").to_pylist(), batch.column("bucket").to_pylist(), strict=True)
+            for place, phrases, counts in zip(places, batch.column("phrases"), batch.column("counts"), strict=True):
+                if place != group:
+                    if tally:
+                        yield close()
+                    group, tally = place, {}
+                for p, n in zip(phrases.as_py().split(b"\n"), np.frombuffer(counts.as_buffer(), dtype=np.int64).tolist(), strict=True):
+                    tally[p] = tally.get(p, 0) + n
+        if tally:
+            yield close()
+
+    packed = _tallied(rows, wanted, longest, size, fan).repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
+    return packed.mapInArrow(run, "lang string, phrase string, words int, n bigint")
 
 
 def _possible(local: DataFrame, slack: DataFrame, support: int) -> DataFrame:
@@ -350,8 +386,10 @@ def frequent_phrases(
     least = F.expr(f"(cast({support} AS decimal(19,0)) * cast(held AS decimal(19,0)) + cast(total AS decimal(19,0)) - 1) div cast(total AS decimal(19,0))")
     shares = stored(held.join(totals, "lang").select("shard", "lang", (least - 1).alias("slack")), "phrase-shares")
     slack = shares.groupBy("lang").agg(F.sum("slack").alias("all_slack"))
-    most = held.agg(F.max("held")).first()[0] or 0
-    fan = min(30, max(LEAST_FAN, (most // BUCKET).bit_length()))
+    fan, whole = (
+        min(30, max(LEAST_FAN, ((most or 0) // BUCKET).bit_length()))
+        for most in (held.agg(F.max("held")).first()[0], totals.agg(F.max("total")).first()[0])
+    )
     below = union = None
     for length in range(1, longest + 1):
         local = stored(_local(words.join(shares, ["shard", "lang"]), length, below, fan), f"phrase-local-{length}")
@@ -363,7 +401,7 @@ def frequent_phrases(
             known = local.join(possible, ["lang", "key"], "left_semi")
             below = _bits(spark, known.select(F.col("key").bitwiseXOR(F.col("shard").cast("bigint") * F.lit(OF_SHARD)).alias("key")))
     wanted = _bits(spark, union.select("key"))
-    return stored(_exact(small_batches(own), wanted, longest, size).where(F.col("n") >= support), "phrase-frequent"), totals
+    return stored(_exact(small_batches(own), wanted, longest, size, whole, support), "phrase-frequent"), totals
 
 
 def _parts(words: str, first: int | str, last: int | str):
