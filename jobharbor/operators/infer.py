@@ -24,11 +24,15 @@ def catalogue_entries(snapshots: DataFrame, *keep: str) -> DataFrame:
     opened = snapshots.select(*keep, F.from_json("content", "map<string, variant>").alias("_map"))
     entries = once(opened, _keys=F.map_keys("_map"))
     repeats = F.size(F.array_distinct("_keys")) < F.size("_keys")
-    single = entries.where(~repeats).select(*keep, F.explode("_map").alias("name", "payload"))
-    tagged = entries.where(repeats).select("*", F.xxhash64("_keys", *keep).alias("_file"))
-    placed = tagged.select("_file", *keep, F.posexplode("_map").alias("_at", "name", "payload"))
-    last = placed.groupBy("_file", *keep, "name").agg(F.max_by("payload", "_at").alias("payload"))
-    return single.unionByName(last.drop("_file")).hint("rebalance")
+    sorted_keys = F.array_sort(F.transform("_keys", lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+    entries = once(entries, _sorted=F.when(repeats, sorted_keys))
+    places = F.expr(
+        "CASE WHEN _sorted IS NOT NULL THEN transform(filter(_sorted, (e, i) -> i + 1 = size(_sorted) OR _sorted[i + 1].k <> e.k), e -> e.i) "
+        "WHEN size(_keys) > 0 THEN sequence(0, size(_keys) - 1) END"
+    )
+    entries = once(entries, _values=F.map_values("_map"), _places=places)
+    placed = entries.select(*keep, "_keys", "_values", F.explode("_places").alias("_at"))
+    return placed.select(*keep, F.col("_keys")[F.col("_at")].alias("name"), F.col("_values")[F.col("_at")].alias("payload")).hint("rebalance")
 
 
 def fields_of(payload: Column) -> Column:
@@ -44,13 +48,24 @@ def catalogue_cells(entries: DataFrame, *keep: str) -> DataFrame:
     return entries.select(*keep, "name", F.explode(fields_of(F.col("payload"))).alias("field", "value"))
 
 
-def infer_types(cells: DataFrame) -> DataFrame:
-    """Field and type: the widest type of any value. One row per field and task is shuffled."""
-    ranked = cells.groupBy("field").agg(F.max(J.type_rank(F.col("value"))).alias("rank"))
+def type_state(cells: DataFrame, *keep: str) -> DataFrame:
+    """The types of each field as counts: ``keep``, field, rank, cells. States of different rows add up; one row per group and task is shuffled."""
+    ranked = cells.select(*keep, "field", J.type_rank(F.col("value")).alias("rank"))
+    return ranked.groupBy(*keep, "field", "rank").agg(F.count("*").alias("cells"))
+
+
+def widest_types(state: DataFrame) -> DataFrame:
+    """Field and type from counts: the widest type that any value has."""
+    ranked = state.where("cells > 0").groupBy("field").agg(F.max("rank").alias("rank"))
     widest = F.when(F.col("field") == ID_COLUMN, len(J.TYPE_ORDER) - 1).otherwise(F.col("rank"))
     return ranked.select("field", J.type_name(widest).alias("type"))
 
 
+def infer_types(cells: DataFrame) -> DataFrame:
+    """Field and type: the widest type of any value."""
+    return widest_types(type_state(cells))
+
+
 def field_list(types: DataFrame) -> list[tuple[str, str]]:
     """The inferred columns: the layout of the wide table, which the driver must plan with."""
     return sorted((r["field"], r["type"]) for r in types.collect())

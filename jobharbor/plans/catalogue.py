@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,13 +13,33 @@ from jobharbor.sources import landing
 from jobharbor.sources.versions import Change, VersionedTables
 
 FIELDS = schemas.layout("field STRING, type STRING")
+# Folders of the tables that are kept by source; a refresh rewrites those of the changed sources only.
+SOURCE_PARTS = 64
+
+
+def source_part(source: Column) -> Column:
+    return F.pmod(F.xxhash64(source), F.lit(SOURCE_PARTS)).cast("string")
+
+
+def source_column(fields: list[tuple[str, str]]) -> str:
+    """Name under which ``queuedata`` keeps the source of a row, apart from all fields."""
+    name, taken = "_source", {f.lower() for f, _ in fields}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _known_fields(store: VersionedTables) -> list[tuple[str, str]]:
+    return sorted((r["field"], r["type"]) for r in store.read("queuedata_fields", FIELDS).collect())
 
 
 def refresh(store: VersionedTables, snapshots: DataFrame, run_id: str, fetched) -> int | None:
     """Bring ``queuedata`` up to date with the sources whose content has changed; the version, or None.
 
-    The entries of a changed source replace its own; other sources keep theirs. Unchanged content, a top level that is no
-    object, and an empty object leave the table as it is. What is refused goes to quarantine and audit, once.
+    The entries of a changed source replace its own; other sources keep theirs. Types follow from counts kept for each source, so
+    only the changed ones are parsed, unless a field gets another type or goes: then the rows of all sources are made anew. Unchanged
+    content, a top level that is no object, and an empty object leave the table as it is. What is refused goes to quarantine and
+    audit, once.
     """
     loads = store.read("catalogue_loads", schemas.SNAPSHOTS)
     unseen = gates.unseen_snapshots(snapshots, loads).persist(StorageLevel.MEMORY_AND_DISK)
@@ -27,6 +47,7 @@ def refresh(store: VersionedTables, snapshots: DataFrame, run_id: str, fetched)
     refused = refused.join(loads.where("not ok").select("source", "content_hash"), ["source", "content_hash"], "left_anti")
     new = infer.catalogue_entries(good, "source").select("source", "name", F.to_json("payload").alias("payload"))
     new = new.persist(StorageLevel.MEMORY_AND_DISK)
+    state = None
     try:
         moment = fetched.cast("timestamp_ntz")
         changed = new.select("source").distinct()
@@ -53,26 +74,51 @@ def refresh(store: VersionedTables, snapshots: DataFrame, run_id: str, fetched)
             if not refused.isEmpty():
                 store.publish(run_id, changes)
             return None
-        known = store.read("catalogue_entries", schemas.CATALOGUE_ENTRIES)
-        entries = known.join(changed, "source", "left_anti").unionByName(new)
-        parsed = entries.select("source", "name", F.parse_json("payload").alias("payload"))
-        fields = infer.field_list(infer.infer_types(infer.catalogue_cells(parsed)))
+        part = source_part(F.col("source"))
+        parts = [r[0] for r in changed.select(part).distinct().collect()]  # at most SOURCE_PARTS
+
+        def others(table: str, schema: T.StructType, among: list[str] | None) -> DataFrame:
+            """Published rows of the sources that have not changed."""
+            return store.read(table, schema, among).join(changed, "source", "left_anti").select(*schema.names)
+
+        parsed = new.select("source", "name", F.parse_json("payload").alias("payload"))
+        state = infer.type_state(infer.catalogue_cells(parsed, "source"), "source").persist(StorageLevel.MEMORY_AND_DISK)
+        before = _known_fields(store)
+        fields = infer.field_list(infer.widest_types(others("catalogue_types", schemas.CATALOGUE_TYPES, None).unionByName(state)))
         if not fields:
             return None
+        source = source_column(fields)
+        if before and set(before) <= set(fields) and source_column(before) == source:
+            layout = infer.wide_schema(fields).add(source, "string")
+            kept = store.read("queuedata", layout, parts).join(changed.withColumnRenamed("source", source), source, "left_anti")
+            rewritten = parts
+        else:
+            entries = others("catalogue_entries", schemas.CATALOGUE_ENTRIES, None)
+            kept = _rows_with_source(entries.withColumn("payload", F.parse_json("payload")), fields, source)
+            rewritten = None
+        rows = kept.unionByName(_rows_with_source(parsed, fields, source))
         tables = [
-            Change("queuedata", infer.wide_rows(parsed, fields)),
+            Change("queuedata", rows, source_part(F.col(f"`{source}`")), rewritten),
             Change("queuedata_fields", store.spark.createDataFrame(fields, FIELDS)),
-            Change("catalogue_entries", entries),
+            Change("catalogue_entries", others("catalogue_entries", schemas.CATALOGUE_ENTRIES, parts).unionByName(new), part, parts),
+            Change("catalogue_types", others("catalogue_types", schemas.CATALOGUE_TYPES, parts).unionByName(state), part, parts),
         ]
         return store.publish(run_id, [*tables, *changes])
     finally:
+        if state is not None:
+            state.unpersist()
         new.unpersist()
         unseen.unpersist()
 
 
+def _rows_with_source(entries: DataFrame, fields: list[tuple[str, str]], source: str) -> DataFrame:
+    """Wide rows and where they come from."""
+    return infer.wide_rows(entries.withColumnRenamed("source", source), fields, source)
+
+
 def queuedata(store: VersionedTables) -> DataFrame:
-    fields = [(r["field"], r["type"]) for r in store.read("queuedata_fields", FIELDS).collect()]
-    return store.read("queuedata", infer.wide_schema(sorted(fields)) if fields else T.StructType())
+    fields = _known_fields(store)
+    return store.read("queuedata", infer.wide_schema(fields) if fields else T.StructType())
 
 
 def ingest_source(

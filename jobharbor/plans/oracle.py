@@ -77,6 +77,16 @@ ORACLE: dict[str, str] = {
     "catalogue_refresh": """SELECT c_name AS queue, CASE WHEN c_acctbal >= 0 THEN 'rich' WHEN c_nationkey < 5 THEN 'gone' ELSE 'poor' END AS status,
         CAST(c_custkey AS BIGINT) AS nodes FROM customer
         UNION ALL SELECT DISTINCT 'nation/7/' || (c_custkey // 10000), 'not JSON', CAST(-1 AS BIGINT) FROM customer WHERE c_nationkey = 7""",
+    "catalogue_types": """WITH f AS (SELECT 'nation/' || c_nationkey || '/' || (c_custkey // 10000) AS source, count(*) AS cells FROM customer GROUP BY 1)
+        SELECT source, 'status' AS field, CAST(2 AS INT) AS rank, cells FROM f UNION ALL SELECT source, 'nodes', CAST(0 AS INT), cells FROM f""",
+    "catalogue_context": """WITH c AS (SELECT *, c_mktsegment <> 'MACHINERY' AS opened FROM customer), t AS (
+        SELECT 'queue' AS column_name, 'TEXT' AS column_type, count(*) AS filled FROM c
+        UNION ALL SELECT 'data', 'TEXT', count(*) FILTER (NOT opened) FROM c
+        UNION ALL SELECT 'nodes', 'TEXT', count(*) FILTER (opened AND c_acctbal >= 0) FROM c
+        UNION ALL SELECT unnest(['copytools', 'hc_suite', 'is_cvmfs', 'queues', 'status']), 'TEXT', n FROM (SELECT count(*) FILTER (opened) AS n FROM c)
+        UNION ALL SELECT 'corecount', 'BIGINT', count(*) FILTER (opened) FROM c
+        UNION ALL SELECT 'corepower', 'DOUBLE', count(*) FILTER (opened) FROM c)
+        SELECT CAST(row_number() OVER (ORDER BY column_name <> 'queue', column_name) - 1 AS INT) AS position, column_name, column_type, filled FROM t""",
     # --- documents
     "content_hashes": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
     "chunks": chunk_rows(DOCS),

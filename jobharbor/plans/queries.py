@@ -611,6 +611,27 @@ def catalogue_refresh(spark, sf):
     return rows.unionByName(refused.select(F.col("_queue").alias("queue"), F.col("reason").alias("status"), F.lit(-1).cast("bigint").alias("nodes")))
 
 
+@query
+def catalogue_types(spark, sf):
+    """How many values of each type the fields of every source have after two refreshes, the second of which parses changed files only."""
+    store = VersionedTables(spark, shared_dir(spark, "types"))
+    for run, later in (("r1", False), ("r2", True)):
+        files = D.nation_catalogue(spark, sf, later).transform(landing.as_snapshots)
+        catalogue_plan.refresh(store, files, run, F.lit(f"2024-02-0{run[1]}T00:00:00"))
+    return store.read("catalogue_types", schemas.CATALOGUE_TYPES)
+
+
+@query
+def catalogue_context(spark, sf):
+    """The data dictionary of the wide table as a refresh has published it, with the rows that fill each column."""
+    store = VersionedTables(spark, shared_dir(spark, "context"))
+    catalogue_plan.refresh(store, _snapshots(spark, sf), "r1", F.lit("2024-02-01T00:00:00"))
+    entries = inspection.catalogue_dictionary(store.read("queuedata_fields", catalogue_plan.FIELDS))
+    wide = catalogue_plan.queuedata(store)
+    filled = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").isNotNull().cast("bigint").alias("filled")) for c in wide.columns])))
+    return entries.join(filled.groupBy("column_name").agg(F.sum("filled").alias("filled")), "column_name").select("position", "column_name", "column_type", "filled")
+
+
 @query
 def shape_check(spark, sf):
     customer = D.customer_catalogue(spark, sf)

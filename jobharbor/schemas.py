@@ -115,6 +115,8 @@ LANDED = layout("queue STRING, fetched_utc TIMESTAMP_NTZ, payload STRING, broken
 # The newest fetch loaded, one row per queue.
 QUEUE_STATE = layout("_queue STRING, _fetched_utc TIMESTAMP_NTZ")
 CATALOGUE_ENTRIES = layout("source STRING, name STRING, payload STRING")
+# How many values of a type rank each field has in each source.
+CATALOGUE_TYPES = layout("source STRING, field STRING, rank INT, cells BIGINT")
 
 TABLES = {"jobs": JOBS, "selectionsummary": SELECTION_SUMMARY, "errors_by_count": ERRORS_BY_COUNT}
 INSPECTED = ("jobs", "selectionsummary", "errors_by_count", "snapshots")

@@ -1,7 +1,9 @@
 import datetime as dt
 import json
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobharbor import schemas
@@ -148,6 +150,46 @@ def test_sources_are_replaced_one_by_one_and_refusals_are_noted(spark, folder):
     assert store.read("catalogue_loads", schemas.SNAPSHOTS).where("not ok").count() == 2
 
 
+def test_only_changed_sources_are_parsed_unless_a_type_changes(spark, folder, monkeypatch):
+    store, opened = VersionedTables(spark, folder), []
+    plain = infer.wide_rows
+    monkeypatch.setattr(infer, "wide_rows", lambda entries, fields, *keep: opened.append(entries.count()) or plain(entries, fields, *keep))
+    files = {s: {f"{s}{k}": {"x": k} for k in range(3)} for s in "abcdef"}
+
+    def refresh(run, **edits):
+        files.update(edits)
+        frames = [snapshots(spark, content, source=s) for s, content in files.items()]
+        del opened[:]
+        moment = F.lit(f"2026-01-0{run[1]}").cast("timestamp_ntz")
+        catalogue.refresh(store, reduce(DataFrame.unionByName, frames), run, moment)
+        rows = catalogue.queuedata(store)
+        return rows.schema, {r["queue"]: r.asDict() for r in rows.collect()}
+
+    schema, rows = refresh("r1")
+    assert len(rows) == 18 and schema["x"].dataType.simpleString() == "bigint"
+    # a new value, a new field whose name is that of the source column, and a key less
+    schema, rows = refresh("r2", a={"a0": {"x": 7}, "a1": {"x": 8, "y": 1.5}})
+    assert opened == [2] and len(rows) == 17
+    assert rows["a1"] == {"queue": "a1", "x": 8, "y": 1.5} and rows["b2"] == {"queue": "b2", "x": 2, "y": None}
+    # another type: all rows are made anew
+    schema, rows = refresh("r3", b={"b0": {"x": "text"}})
+    assert sorted(opened) == [1, 14] and len(rows) == 15
+    assert rows["a1"]["x"] == "8" and rows["b0"]["x"] == "text"
+    # the only text goes again, and with it a field
+    schema, rows = refresh("r4", b={"b0": {"x": 3}}, a={"a0": {"x": 1}})
+    assert schema.names == ["queue", "x"] and schema["x"].dataType.simpleString() == "bigint" and len(rows) == 14
+    # a field named like the column of sources
+    schema, rows = refresh("r5", c={"c0": {"x": 1, "_source": "s"}})
+    assert rows["c0"]["_source"] == "s" and len(rows) == 12
+    state = {tuple(r) for r in store.read("catalogue_types", schemas.CATALOGUE_TYPES).collect()}
+    assert state == {("a", "x", 0, 1), ("b", "x", 0, 1), ("c", "x", 0, 1), ("c", "_source", 2, 1), ("d", "x", 0, 3), ("e", "x", 0, 3), ("f", "x", 0, 3)}
+
+
+def test_a_catalogue_is_parsed_once(spark):
+    plan = infer.catalogue_entries(snapshots(spark, {"A": 1}))._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() == 1
+
+
 def test_repeated_keys_and_odd_entries(spark):
     text = '{"A": {"x": 1}, "B": "s", "A": {"x": 2}, "C": null, "D": [1, 2]}'
     rows = infer.catalogue_entries(snapshots(spark, text, '{"A": 5}')).select("name", F.to_json("payload").alias("p")).collect()
