@@ -280,7 +280,7 @@ def _local(words: DataFrame, length: int, below, fan: int) -> DataFrame:
 def _tallied(rows: DataFrame, wanted, longest: int, size: int, fan: int) -> DataFrame:
     """lang, bucket, phrases, counts: every phrase whose hash passes the filter, counted by its words in a task.
 
-    Phrases are packed by ``fan`` bits of a checksum, one a line: words hold no line ends.
+    Phrases are packed by ``fan`` bits of a checksum, in order and one a line, as words hold no line ends, and compressed.
     """
 
     def run(batches):
@@ -292,13 +292,13 @@ def _tallied(rows: DataFrame, wanted, longest: int, size: int, fan: int) -> Data
 
         def out():
             for lang, tally in tallies.items():
-                phrases, counts = list(tally), np.fromiter(tally.values(), dtype=np.int64, count=len(tally))
-                buckets = np.fromiter((zlib.crc32(p) >> (32 - fan) for p in phrases), dtype=np.int64, count=len(tally))
-                order = np.argsort(buckets, kind="stable")
-                different, first = np.unique(buckets[order], return_index=True)
-                edges = np.append(first, len(order))
-                packed = [b"\n".join([phrases[i] for i in order[x:y].tolist()]) for x, y in itertools.pairwise(edges.tolist())]
-                columns = [pa.array([lang] * len(different), type=pa.string()), pa.array(different), pa.array(packed, type=pa.binary()), _binary(counts[order], edges)]
+                buckets: dict[int, list[bytes]] = {}
+                for p in sorted(tally):
+                    buckets.setdefault(zlib.crc32(p) >> (32 - fan), []).append(p)
+                counts = [np.array([tally[p] for p in some], dtype=np.int64) for some in buckets.values()]
+                packed = [zlib.compress(b"\n".join(some), 1) for some in buckets.values()]
+                columns = [pa.array([lang] * len(buckets), type=pa.string()), pa.array(list(buckets), type=pa.int64()), pa.array(packed, type=pa.binary())]
+                columns.append(pa.array([zlib.compress(n.tobytes(), 1) for n in counts], type=pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "phrases", "counts"])
             tallies.clear()
 
@@ -349,7 +349,7 @@ def _exact(rows: DataFrame, wanted, longest: int, size: int, fan: int, support:
                     if tally:
                         yield close()
                     group, tally = place, {}
-                for p, n in zip(phrases.as_py().split(b"\n"), np.frombuffer(counts.as_buffer(), dtype=np.int64).tolist(), strict=True):
+                for p, n in zip(zlib.decompress(phrases.as_py()).split(b"\n"), np.frombuffer(zlib.decompress(counts.as_py()), dtype=np.int64).tolist(), strict=True):
                     tally[p] = tally.get(p, 0) + n
         if tally:
             yield close()
@@ -387,9 +387,9 @@ def frequent_phrases(
     shares = stored(held.join(totals, "lang").select("shard", "lang", (least - 1).alias("slack")), "phrase-shares")
     slack = shares.groupBy("lang").agg(F.sum("slack").alias("all_slack"))
     fan, whole = (
-        min(30, max(LEAST_FAN, ((most or 0) // BUCKET).bit_length()))
-        for most in (held.agg(F.max("held")).first()[0], totals.agg(F.max("total")).first()[0])
+        min(30, ((most or 0) // BUCKET).bit_length()) for most in (held.agg(F.max("held")).first()[0], totals.agg(F.max("total")).first()[0])
     )
+    fan = max(LEAST_FAN, fan)
     below = union = None
     for length in range(1, longest + 1):
         local = stored(_local(words.join(shares, ["shard", "lang"]), length, below, fan), f"phrase-local-{length}")
