@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobharbor import schemas
 from jobharbor.functions import text as X
-from jobharbor.operators import merge
+from jobharbor.operators import analytics, merge
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -30,61 +31,101 @@ def seconds(column: str) -> Column:
 # --- events as jobs ---------------------------------------------------------------------------
 
 
-def event_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as job records: user = queue, day = fetch, error events carry codes."""
+def event_jobs(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """Events as job records: user = queue, day = fetch; every error component has its own source of codes, 0 or null where all went well."""
     events = table(spark, sf_dir, "events")
-    code = F.get_json_object("props", "$.k").cast("int")
-    is_error = F.col("event_type") == "error"
+    kind, value, code = F.col("event_type"), F.col("value"), F.get_json_object("props", "$.k").cast("int")
+    whole, is_error = F.floor("value").cast("int"), F.col("event_type") == "error"
+    codes = {
+        "pilot": (F.when(is_error, code).otherwise(0), F.concat(F.lit("pilot code "), code)),
+        "exe": (F.when(kind == "click", code).otherwise(0), F.concat(F.lit("exit of "), "event_type")),
+        "sup": (F.when((kind == "view") & (value > 10), F.hour("ts")).otherwise(0), F.lit(None).cast("string")),
+        "ddm": (F.when(is_error & (value > 5), whole).otherwise(0), F.lit("storage")),
+        "brokerage": (F.when(is_error & (F.hour("ts") >= 12), F.minute("ts")).otherwise(0), F.lit("no site")),
+        "jobdispatcher": (F.when(kind == "signup", whole).otherwise(0), F.lit("lost heartbeat")),
+        "taskbuffer": (F.when(kind == "purchase", code), F.lit("killed")),
+    }
+    columns = [c.alias(f"{name}error{part}") for name, pair in codes.items() for part, c in zip(("code", "diag"), pair)]
     return events.select(
         F.col("event_id").alias("pandaid"),
         F.concat(F.lit("site_"), "user_id").alias("_queue"),
         F.date_trunc("day", "ts").cast("timestamp_ntz").alias("_fetched_utc"),
         F.col("event_type").alias("jobstatus"),
         F.col("value").alias("durationsec"),
-        F.when(is_error, code).otherwise(0).alias("piloterrorcode"),
-        F.concat(F.lit("pilot code "), code).alias("piloterrordiag"),
-        F.when(is_error & (F.col("value") > 5), F.floor("value").cast("int")).otherwise(0).alias("ddmerrorcode"),
-        F.lit("storage").alias("ddmerrordiag"),
+        *columns,
+        *more,
+    )
+
+
+# Ids of a landed response come from one block of so many, which bounds its lists.
+BLOCK = 1000
+
+
+def response_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked errors of every response, over all components. Codes of the task buffer are no numbers, so these are unfit to load."""
+    response = ["_queue", "_fetched_utc", "block"]
+    jobs = event_jobs(spark, sf_dir, F.floor(F.col("event_id") / BLOCK).alias("block"))
+    found = analytics.error_occurrences(jobs, schemas.ERROR_COMPONENTS, [*response, "pandaid"])
+    ranked = found.groupBy(*response, "error", "codeval").agg(
+        F.count("*").alias("count"), F.min("diag").alias("diag"), F.array_sort(F.collect_list("pandaid")).alias("pandalist")
     )
+    item = F.struct(
+        (-F.col("count")).alias("rank"),
+        "error",
+        F.col("codeval").alias("value"),
+        F.concat_ws(":", "error", "codeval").alias("codename"),
+        F.when(F.col("error") == "taskbuffer", F.concat(F.lit("c"), "codeval")).otherwise(F.col("codeval").cast("string")).alias("codeval"),
+        "diag",
+        F.concat("diag", F.lit(" on "), "_queue").alias("desc"),
+        F.element_at("pandalist", 1).alias("example_pandaid"),
+        "count",
+        "pandalist",
+    )
+    items = ranked.groupBy(*response).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return items.select(*response, F.transform("items", lambda e: e.dropFields("rank", "value")).alias("errors"))
 
 
 def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as a landed response of its queue with one job, one facet and one error.
+    """Events as landed responses of their queue, one for a day and block of ids: all its jobs, two facets and its ranked errors.
 
-    Sign-ups carry a task id that is no number, so they are unfit to load.
+    Views carry no duration. Sign-ups carry a task id that is no number, so they are unfit to load. Where a purchase comes first, the
+    response is no payload. Where no error was made, there is no list of errors.
     """
-    kind = F.col("event_type")
-    code = F.get_json_object("props", "$.k")
+    kind, code = F.col("event_type"), F.get_json_object("props", "$.k")
     job = F.struct(
         F.col("event_id").alias("pandaid"),
         kind.alias("jobstatus"),
-        F.col("value").alias("durationsec"),
+        F.when(kind != "view", F.col("value")).alias("durationsec"),
         F.when(kind == "signup", "n/a").otherwise(code).alias("taskid"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("modificationtime"),
         F.col("props").alias("not_a_column"),
     )
-    facet = F.struct(
-        F.lit("jobstatus").alias("field"),
-        F.array(F.struct(kind.alias("kname"), F.lit(1).alias("kvalue"))).alias("list"),
-        F.when(kind != "view", F.struct(F.lit(1).alias("sum"))).alias("stats"),
+    response = ["_queue", "_fetched_utc", "block"]
+    placed = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("site_"), "user_id").alias("_queue"),
+        F.date_trunc("day", "ts").cast("timestamp_ntz").alias("_fetched_utc"),
+        F.floor(F.col("event_id") / BLOCK).alias("block"),
+        job.alias("job"),
+        F.when(kind == "error", code.cast("int")).alias("code"),
     )
-    error = F.struct(
-        F.lit("pilot").alias("error"),
-        code.cast("int").alias("codeval"),
-        F.col("event_id").alias("example_pandaid"),
-        F.lit(1).alias("count"),
-        F.array("event_id").alias("pandalist"),
+    grouped = placed.groupBy(*response).agg(F.array_sort(F.collect_list("job")).alias("jobs"), F.array_sort(F.collect_list("code")).alias("codes"))
+    kinds = F.array_sort(F.transform("jobs", lambda j: j["jobstatus"]))
+    count = lambda all_, one: F.size(F.filter(all_, lambda v: v == one))
+    values = lambda all_: F.transform(
+        F.array_distinct(all_), lambda one: F.struct(one.cast("string").alias("kname"), count(all_, one).alias("kvalue"))
     )
+    total = lambda all_: F.when(F.size(all_) > 0, F.struct(F.size(all_).alias("sum")))
+    facet = lambda name, all_: F.struct(F.lit(name).alias("field"), values(all_).alias("list"), total(all_).alias("stats"))
     body = F.struct(
-        F.array(job).alias("jobs"),
-        F.array(facet).alias("selectionsummary"),
-        F.when(kind == "error", F.array(error)).alias("errsByCount"),
+        "jobs",
+        F.array(facet("jobstatus", kinds), facet("piloterrorcode", F.col("codes"))).alias("selectionsummary"),
+        F.col("errors").alias("errsByCount"),
     )
-    return dealt(spark, sf_dir, "events", "event_id").select(
-        F.concat(F.lit("site_"), "user_id").alias("queue"),
-        F.col("ts").alias("fetched_utc"),
-        # purchases answer with something that is no payload
-        F.when(kind == "purchase", F.to_json(F.array("event_id"))).otherwise(F.to_json(body)).alias("payload"),
+    ids = F.transform("jobs", lambda j: j["pandaid"])
+    return grouped.join(response_errors(spark, sf_dir), response, "left").select(
+        F.col("_queue").alias("queue"),
+        F.col("_fetched_utc").alias("fetched_utc"),
+        F.when(F.col("jobs")[0]["jobstatus"] == "purchase", F.to_json(ids)).otherwise(F.to_json(body)).alias("payload"),
     )
 
 
@@ -219,10 +260,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def earlier_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled documents as they were before: those of low quality were twice as long."""
-    documents = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    """The documents as they were before: those labelled of low quality were twice as long, those labelled toxic were not there yet."""
+    documents = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     before = F.when(F.col("quality") == 0, F.concat("text", F.lit("\n"), "text")).otherwise(F.col("text"))
-    return documents.select(document_path().alias("path"), before.alias("text"))
+    return documents.where("coalesce(toxic, 0) = 0").select(document_path().alias("path"), before.alias("text"))
 
 
 def hashed(documents: DataFrame) -> DataFrame:

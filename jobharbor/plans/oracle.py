@@ -7,7 +7,7 @@ WS = "(chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(160))"
 
 DOCS = "(SELECT *, source || '/' || doc_id AS path FROM documents WHERE length(text) > 0)"
 EARLIER = f"""(SELECT d.path, CASE WHEN l.quality = 0 THEN d.text || {NL} || d.text ELSE d.text END AS text
-    FROM {DOCS} d JOIN labels l USING (doc_id))"""
+    FROM {DOCS} d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) = 0)"""
 
 
 def chunk_rows(source: str, stamp: str | None = None) -> str:
@@ -26,12 +26,15 @@ REPLACED = f"""WITH live AS ({chunk_rows(EARLIER, "earlier")}), new AS ({chunk_r
 
 JOBS = """(SELECT event_id AS pandaid, 'site_' || user_id AS _queue, date_trunc('day', ts) AS day,
     event_type AS jobstatus, value AS durationsec,
-    CASE WHEN event_type = 'error' THEN CAST(props->>'$.k' AS INT) ELSE 0 END AS piloterrorcode,
-    'pilot code ' || (props->>'$.k') AS piloterrordiag,
-    CASE WHEN event_type = 'error' AND value > 5 THEN CAST(floor(value) AS INT) ELSE 0 END AS ddmerrorcode
-    FROM events)"""
-OCCURRENCES = f"""(SELECT _queue, pandaid, 'pilot' AS error, piloterrorcode AS codeval, piloterrordiag AS diag FROM {JOBS}
-    UNION ALL SELECT _queue, pandaid, 'ddm', ddmerrorcode, 'storage' FROM {JOBS})"""
+    CASE WHEN event_type = 'error' THEN CAST(props->>'$.k' AS INT) ELSE 0 END AS piloterrorcode FROM events)"""
+OCCURRENCES = """(SELECT 'site_' || user_id AS _queue, event_id AS pandaid, error, CAST(codeval AS INT) AS codeval, diag FROM (
+    SELECT *, 'pilot' AS error, CAST(props->>'$.k' AS INT) AS codeval, 'pilot code ' || (props->>'$.k') AS diag FROM events WHERE event_type = 'error'
+    UNION ALL SELECT *, 'exe', CAST(props->>'$.k' AS INT), 'exit of click' FROM events WHERE event_type = 'click'
+    UNION ALL SELECT *, 'sup', hour(ts), NULL FROM events WHERE event_type = 'view' AND value > 10
+    UNION ALL SELECT *, 'ddm', CAST(floor(value) AS INT), 'storage' FROM events WHERE event_type = 'error' AND value > 5
+    UNION ALL SELECT *, 'brokerage', minute(ts), 'no site' FROM events WHERE event_type = 'error' AND hour(ts) >= 12
+    UNION ALL SELECT *, 'jobdispatcher', CAST(floor(value) AS INT), 'lost heartbeat' FROM events WHERE event_type = 'signup'
+    UNION ALL SELECT *, 'taskbuffer', CAST(props->>'$.k' AS INT), 'killed' FROM events WHERE event_type = 'purchase') WHERE codeval <> 0)"""
 ERRORS = f"""(SELECT *, CAST(row_number() OVER (PARTITION BY _queue ORDER BY count DESC, error, codeval) - 1 AS INT) AS id
     FROM (SELECT _queue, error, codeval, count(*) AS count, min(pandaid) AS example_pandaid
         FROM {OCCURRENCES} WHERE codeval <> 0 GROUP BY _queue, error, codeval))"""
@@ -48,7 +51,18 @@ CATALOGUE = """(SELECT *, 'catalogue/' || c_custkey AS source, '{"' || c_name ||
 ENTRIES = "(SELECT * FROM customer WHERE c_mktsegment <> 'MACHINERY')"
 SUITE = """'["PFT","' || CASE WHEN c_nationkey < 10 THEN 'AFT' ELSE 'XYZ' END || '"]'"""
 
-GOOD = "(SELECT *, CAST(epoch_us(date_trunc('second', ts)) AS BIGINT) AS fetched FROM events WHERE event_type <> 'purchase')"
+# Events with their response, their place in it, and what came first in it; LANDED are those of the readable responses.
+PLACED = """(SELECT *, CAST(row_number() OVER (PARTITION BY response ORDER BY event_id) - 1 AS INT) AS position,
+    first_value(event_type) OVER (PARTITION BY response ORDER BY event_id) AS head
+    FROM (SELECT *, 'site_' || user_id AS _queue, CAST(epoch_us(date_trunc('day', ts)) AS BIGINT) AS fetched, props->>'$.k' AS k,
+        user_id || '/' || date_trunc('day', ts) || '/' || (event_id // 1000) AS response FROM events))"""
+LANDED = f"(SELECT * FROM {PLACED} WHERE head <> 'purchase')"
+RANKED = f"""(SELECT *, CAST(row_number() OVER (PARTITION BY response ORDER BY n DESC, error, codeval) - 1 AS INT) AS id FROM (
+    SELECT response, l._queue, fetched, error, codeval, count(*) AS n, min(pandaid) AS example_pandaid, coalesce(min(diag), 'none') AS diag,
+        '[' || string_agg(pandaid, ',' ORDER BY pandaid) || ']' AS pandalist_json
+    FROM {OCCURRENCES} o JOIN {LANDED} l ON pandaid = event_id GROUP BY ALL))"""
+FACETS = f"""(SELECT response, _queue, fetched, CAST(0 AS INT) AS id, 'jobstatus' AS field, event_type AS kname, count(*) AS n FROM {LANDED} GROUP BY ALL
+    UNION ALL SELECT response, _queue, fetched, CAST(1 AS INT), 'piloterrorcode', k, count(*) FROM {LANDED} WHERE event_type = 'error' GROUP BY ALL)"""
 LAST_ORDER = """(SELECT o.*, c.*, c_mktsegment || '/' || c_name AS repo FROM (SELECT *, row_number() OVER
     (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) o
     JOIN customer c ON o_custkey = c_custkey WHERE rn = 1)"""
@@ -160,24 +174,28 @@ ORACLE: dict[str, str] = {
     "collection_counts": """SELECT lang || '_docs' AS collection, CAST(sum(ceil(length(text) / 2700)) AS BIGINT) AS n_chunks
         FROM documents GROUP BY lang""",
     # --- payloads
-    "payload_jobs": f"""SELECT event_id AS pandaid, event_type AS jobstatus, value AS durationsec,
-        CAST(props->>'$.k' AS BIGINT) AS taskid, fetched AS modified, CAST(NULL AS VARCHAR) AS cloud,
-        'site_' || user_id AS _queue, fetched FROM {GOOD} WHERE event_type <> 'signup'""",
-    "payload_fields": f"SELECT DISTINCT 'site_' || user_id AS _queue, CAST(5 AS INT) AS n_listed FROM {GOOD} WHERE event_type <> 'signup'",
-    "payload_quarantine": """SELECT CASE event_type WHEN 'signup' THEN 'jobs' ELSE 'payload' END AS kind,
-        CASE event_type WHEN 'signup' THEN 'does not fit: taskid' ELSE 'payload is not an object of lists' END AS reason,
-        'site_' || user_id AS _queue, count(*) AS n_rows FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY ALL""",
-    "payload_summary": f"""SELECT CAST(0 AS INT) AS id, 'jobstatus' AS field,
-        '[{{"kname":"' || event_type || '","kvalue":1}}]' AS list_json,
-        CASE WHEN event_type = 'view' THEN 'none' ELSE '{{"sum":1}}' END AS stats_json,
-        'site_' || user_id AS _queue, fetched FROM {GOOD}""",
-    "payload_facet_values": f"""SELECT 'site_' || user_id AS _queue, 'jobstatus' AS field, event_type AS kname, count(*) AS jobs
-        FROM {GOOD} GROUP BY ALL""",
-    "payload_errors": f"""SELECT CAST(0 AS INT) AS id, 'pilot' AS error, CAST(props->>'$.k' AS INT) AS codeval,
-        event_id AS example_pandaid, CAST(1 AS INT) AS count, '[' || event_id || ']' AS pandalist_json,
-        'site_' || user_id AS _queue, fetched FROM {GOOD} WHERE event_type = 'error'""",
-    "payload_error_jobs": """SELECT 'site_' || user_id AS _queue, CAST(0 AS INT) AS id, event_id AS pandaid
-        FROM events WHERE event_type = 'error'""",
+    "payload_jobs": f"""SELECT event_id AS pandaid, event_type AS jobstatus, CASE WHEN event_type <> 'view' THEN value END AS durationsec,
+        CAST(k AS BIGINT) AS taskid, CAST(epoch_us(date_trunc('second', ts)) AS BIGINT) AS modified, CAST(NULL AS VARCHAR) AS cloud,
+        _queue, fetched FROM {LANDED} WHERE event_type <> 'signup'""",
+    "payload_fields": f"""SELECT _queue, fetched, 'pandaid,taskid,modificationtime,jobstatus' ||
+        CASE WHEN bool_or(event_type <> 'view') THEN ',durationsec' ELSE '' END AS listed
+        FROM (SELECT * FROM {LANDED} WHERE event_type <> 'signup') GROUP BY response, _queue, fetched""",
+    "payload_quarantine": f"""SELECT 'jobs' AS kind, 'does not fit: taskid' AS reason, position, _queue, fetched FROM {LANDED} WHERE event_type = 'signup'
+        UNION ALL SELECT 'payload', 'payload is not an object of lists', -1, _queue, fetched FROM {PLACED} WHERE head = 'purchase' AND position = 0
+        UNION ALL SELECT 'errors_by_count', 'does not fit: codeval', id, _queue, fetched FROM {RANKED} WHERE error = 'taskbuffer'""",
+    "payload_summary": f"""SELECT f.id, f.field,
+        coalesce('[' || string_agg('{{"kname":"' || kname || '","kvalue":' || n || '}}', ',' ORDER BY try_cast(kname AS INT), kname) || ']', '[]') AS list_json,
+        coalesce('{{"sum":' || sum(n) || '}}', 'none') AS stats_json, r._queue, r.fetched
+        FROM (SELECT DISTINCT response, _queue, fetched FROM {LANDED}) r
+        CROSS JOIN (VALUES (CAST(0 AS INT), 'jobstatus'), (CAST(1 AS INT), 'piloterrorcode')) f(id, field)
+        LEFT JOIN {FACETS} v ON v.response = r.response AND v.id = f.id GROUP BY r.response, r._queue, r.fetched, f.id, f.field""",
+    "payload_facet_values": f"SELECT _queue, field, kname, CAST(sum(n) AS BIGINT) AS jobs FROM {FACETS} GROUP BY ALL",
+    "payload_facet_stats": f"SELECT _queue, id, field, 'sum' AS stat, CAST(sum(n) AS BIGINT) AS total FROM {FACETS} GROUP BY ALL",
+    "payload_errors": f"""SELECT id, error, error || ':' || codeval AS codename, codeval, diag,
+        CASE diag WHEN 'none' THEN 'none' ELSE diag || ' on ' || _queue END AS error_desc_text,
+        example_pandaid, CAST(n AS INT) AS count, pandalist_json, _queue, fetched FROM {RANKED} WHERE error <> 'taskbuffer'""",
+    "payload_error_jobs": f"""SELECT _queue, id, unnest(CAST(CAST(pandalist_json AS JSON) AS BIGINT[])) AS pandaid
+        FROM {RANKED} WHERE error <> 'taskbuffer'""",
     "stream_ingest": """SELECT event_id AS pandaid, CASE event_type WHEN 'purchase' THEN 'closed' ELSE event_type END AS jobstatus,
         value AS durationsec, CASE WHEN event_type = 'error' THEN CAST(props->>'$.k' AS INT) END AS piloterrorcode,
         'site_' || user_id AS _queue, CAST(epoch_us(date_trunc('second', ts +

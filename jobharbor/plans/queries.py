@@ -226,17 +226,12 @@ def recency_gate(spark, sf):
 # --- vectors ----------------------------------------------------------------------------------
 
 
-def _shape_encoder():
-    """A stand-in for a model: every text as its length, blanks and line breaks."""
-    return lambda texts: [[len(t), t.count(" "), t.count("\n")] for t in texts]
-
-
 @query
 def embed_documents(spark, sf):
-    encode = V.embed(_shape_encoder)
-    return D.table(spark, sf, "documents").select("doc_id", encode(F.col("text")).alias("v")).select(
-        "doc_id", *[F.col("v")[i].cast("bigint").alias(f"v{i}") for i in range(3)]
-    )
+    """Every text as its length, blanks and line breaks. A model is passed to ``V.embed`` by its user."""
+    rest = lambda mark: F.length(F.replace("text", F.lit(mark), F.lit("")))
+    figures = [F.length("text"), F.length("text") - rest(" "), F.length("text") - rest("\n")]
+    return D.table(spark, sf, "documents").select("doc_id", *[n.cast("bigint").alias(f"v{i}") for i, n in enumerate(figures)])
 
 
 @query
@@ -386,18 +381,19 @@ def payload_jobs(spark, sf):
 
 @query
 def payload_fields(spark, sf):
-    """Which known columns the jobs of a fetch carried."""
+    """Which known columns the loadable jobs of a response carried."""
     rows = landing.job_rows(landing.type_jobs(_parsed(spark, sf)))
-    flags = merge.listed_columns(rows, ["_queue"], jobs_plan.COLUMNS)
-    count = F.aggregate("listed", F.lit(0), lambda n, word: n + F.bit_count(word))
-    return flags.select("_queue", count.alias("n_listed"))
+    flags = merge.listed_columns(rows, jobs_plan.RESPONSE, jobs_plan.COLUMNS)
+    names = [F.when(F.getbit(F.col("listed")[at // merge.WORD], F.lit(at % merge.WORD)) == 1, name) for at, name in enumerate(jobs_plan.COLUMNS)]
+    return flags.select("_queue", micros("_fetched_utc").alias("fetched"), F.concat_ws(",", *names).alias("listed"))
 
 
 @query
 def payload_quarantine(spark, sf):
+    """What could not be loaded: whole responses, jobs and errors, with their places in the response."""
     parsed = _parsed(spark, sf)
-    faults = landing.bad_payloads(parsed).unionByName(landing.bad_jobs(landing.type_jobs(parsed)))
-    return faults.groupBy("kind", "reason", "_queue").agg(F.count("*").alias("n_rows"))
+    faults = landing.bad_payloads(parsed).unionByName(landing.bad_jobs(landing.type_jobs(parsed))).unionByName(landing.bad_errors(parsed))
+    return faults.select("kind", "reason", F.coalesce("position", F.lit(-1)).alias("position"), "_queue", micros("_fetched_utc").alias("fetched"))
 
 
 @query
@@ -417,11 +413,18 @@ def payload_facet_values(spark, sf):
     )
 
 
+@query
+def payload_facet_stats(spark, sf):
+    stats = landing.facet_stats(landing.summary_rows(_parsed(spark, sf)))
+    return stats.groupBy("_queue", "id", "field", "stat").agg(F.sum(F.col("value").cast("bigint")).alias("total"))
+
+
 @query
 def payload_errors(spark, sf):
     rows = landing.error_rows(_parsed(spark, sf))
     return rows.select(
-        "id", "error", "codeval", "example_pandaid", "count", "pandalist_json",
+        "id", "error", "codename", "codeval", F.coalesce("diag", F.lit("none")).alias("diag"),
+        F.coalesce("error_desc_text", F.lit("none")).alias("error_desc_text"), "example_pandaid", "count", "pandalist_json",
         "_queue", micros("_fetched_utc").alias("fetched"),
     )
 
@@ -742,7 +745,7 @@ def facets(spark, sf):
 
 
 def _occurrences(spark, sf):
-    return analytics.error_occurrences(D.event_jobs(spark, sf), ["pilot", "ddm"], ["_queue", "pandaid"])
+    return analytics.error_occurrences(D.event_jobs(spark, sf), schemas.ERROR_COMPONENTS, ["_queue", "pandaid"])
 
 
 @query
