@@ -13,6 +13,7 @@ from jobharbor import schemas
 from jobharbor.descriptions import CATALOGUE, default_descriptions
 from jobharbor.functions import json_values as J
 from jobharbor.operators import analytics
+from jobharbor.sources.versions import VersionedTables
 
 # Order in which each known table is shown.
 ORDER = {
@@ -34,6 +35,24 @@ def known_tables(spark: SparkSession) -> list[str]:
     return [t for t in schemas.INSPECTED if t in existing]
 
 
+def published_tables(store: VersionedTables) -> list[str]:
+    """The same of what cycles have published."""
+    existing = set(store.tables())
+    return [t for t in schemas.INSPECTED if t in existing]
+
+
+def published_layout(store: VersionedTables) -> DataFrame:
+    """table_name, n_rows and the layout of every published table of interest, one row per column."""
+    layouts = schemas.empty(store.spark, schemas.layout("table_name STRING, position INT, column_name STRING, column_type STRING"))
+    names = published_tables(store)
+    for name in names:
+        layouts = layouts.unionByName(describe(store.spark, schemas.INSPECTED[name]).withColumn("table_name", F.lit(name)))
+    if not names:
+        return layouts.withColumn("n_rows", F.lit(0).cast("bigint"))
+    counts = analytics.row_counts({name: store.read(name, schemas.INSPECTED[name]) for name in names})
+    return layouts.join(counts, "table_name")
+
+
 def select_rows(table: str, rows: DataFrame, queue: str | None = None, limit: int = 10) -> DataFrame:
     """Rows of a table in its display order; a limit of 0 gives all of them."""
     ordered = analytics.of_queue(rows, queue)

@@ -69,7 +69,8 @@ def refresh(store: VersionedTables, snapshots: DataFrame, run_id: str, fetched)
             F.col("source").alias("_queue"),
             moment.alias("_fetched_utc"),
         )
-        changes = [Change("catalogue_loads", log, append=True), Change("quarantine", faults, append=True)]
+        loaded = {"loaded": F.count_if("ok"), "refused": F.count_if(~F.col("ok"))}
+        changes = [Change("catalogue_loads", log, append=True, measures=loaded), Change("quarantine", faults, append=True)]
         if new.isEmpty():
             if not refused.isEmpty():
                 store.publish(run_id, changes)
@@ -98,10 +99,10 @@ def refresh(store: VersionedTables, snapshots: DataFrame, run_id: str, fetched)
             rewritten = None
         rows = kept.unionByName(_rows_with_source(parsed, fields, source))
         tables = [
-            Change("queuedata", rows, source_part(F.col(f"`{source}`")), rewritten),
+            Change("queuedata", rows, source_part(F.col(f"`{source}`")), rewritten, measures={"rows": F.count("*")}),
             Change("queuedata_fields", store.spark.createDataFrame(fields, FIELDS)),
-            Change("catalogue_entries", others("catalogue_entries", schemas.CATALOGUE_ENTRIES, parts).unionByName(new), part, parts),
-            Change("catalogue_types", others("catalogue_types", schemas.CATALOGUE_TYPES, parts).unionByName(state), part, parts),
+            Change("catalogue_entries", others("catalogue_entries", schemas.CATALOGUE_ENTRIES, parts).unionByName(new), part, parts, measures={"entries": F.count("*")}),
+            Change("catalogue_types", others("catalogue_types", schemas.CATALOGUE_TYPES, parts).unionByName(state), part, parts, measures={"cells": F.sum("cells")}),
         ]
         return store.publish(run_id, [*tables, *changes])
     finally:

@@ -68,11 +68,14 @@ def run_cycle(
         live = store.read("chunks", schemas.CHUNKS, parts)
         marks = merge.checkpoint_rows(todo, size, overlap, at)
         known = store.read("checkpoint", schemas.CHECKPOINT, parts)
+        written = merge.replace_chunks(live.withColumn("_new", F.lit(False)), paths, new.withColumn("_new", F.lit(True)))
+        marked = merge.merge_by_key(known.withColumn("_new", F.lit(False)), marks.withColumn("_new", F.lit(True)), "path")
+        both = {"new": F.count_if("_new"), "kept": F.count_if(~F.col("_new"))}
         store.publish(
             run_id,
             [
-                Change("chunks", merge.replace_chunks(live, paths, new), bucket(F.col("source_file"), buckets), parts),
-                Change("checkpoint", merge.merge_by_key(known, marks, "path"), bucket(F.col("path"), buckets), parts),
+                Change("chunks", written, bucket(F.col("source_file"), buckets), parts, measures=both, hidden=("_new",)),
+                Change("checkpoint", marked, bucket(F.col("path"), buckets), parts, measures=both, hidden=("_new",)),
                 *beside,
             ],
         )
@@ -129,11 +132,15 @@ def sync_repos(
             F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("last_sync_time"),
             F.coalesce("files_downloaded", F.lit(0)).alias("files_downloaded"),
         )
+        files = kept.withColumn("_new", F.lit(False)).unionByName(docs.withColumn("_new", F.lit(True)))
+        normalized = F.count_if(F.col("_new") & F.col("normalized").isNotNull())
+        measures = {"saved": F.count_if("_new"), "normalized": normalized, "kept": F.count_if(~F.col("_new"))}
+        states = merge.merge_by_key(state.withColumn("_new", F.lit(False)), renewed.withColumn("_new", F.lit(True)), "repo")
         store.publish(
             run_id,
             [
-                Change("repo_docs", kept.unionByName(docs), group_part(F.col("repo")), repos),
-                Change("repo_state", merge.merge_by_key(state, renewed, "repo")),
+                Change("repo_docs", files, group_part(F.col("repo")), repos, measures=measures, hidden=("_new",)),
+                Change("repo_state", states, measures={"synced": F.count_if("_new")}, hidden=("_new",)),
             ],
         )
     return decided

@@ -96,6 +96,7 @@ def run_cycle(
         ranges = [r[0] for r in rows.select(part).distinct().collect()]
         queues = [r[0] for r in newest.select(group_part(F.col("_queue"))).collect()]
         by_queue = group_part(F.col("_queue"))
+        count = {"rows": F.count("*")}
         jobs = store.read("jobs", schemas.STAMPED_JOBS, ranges)
         audit = parsed.groupBy("_queue").agg(
             F.max("_fetched_utc").alias("fetched_utc"),
@@ -111,12 +112,12 @@ def run_cycle(
             "error",
         )
         changes = [
-            Change("jobs", upsert_jobs(jobs, rows) if ranges else None, part, ranges),
-            Change("selectionsummary", landing.summary_rows(newest), by_queue, queues),
-            Change("errors_by_count", landing.error_rows(newest), by_queue, queues),
+            Change("jobs", upsert_jobs(jobs, rows) if ranges else None, part, ranges, measures=count),
+            Change("selectionsummary", landing.summary_rows(newest), by_queue, queues, measures=count),
+            Change("errors_by_count", landing.error_rows(newest), by_queue, queues, measures=count),
             Change("queue_state", merge.merge_by_key(state, newest.select(*FETCH), "_queue")),
-            Change("quarantine", faults, append=True),
-            Change("snapshots", audit, append=True),
+            Change("quarantine", faults, append=True, measures=count),
+            Change("snapshots", audit, append=True, measures={"ok": F.count_if("ok"), "failed": F.count_if(~F.col("ok"))}),
         ]
         return store.publish(run_id, changes)
     finally:

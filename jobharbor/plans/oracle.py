@@ -144,7 +144,7 @@ ORACLE: dict[str, str] = {
     "decode_lenient": "SELECT doc_id, text || 'z' AS text, true AS refused FROM documents",
     "universal_newlines": f"SELECT doc_id, text || {NL} || source AS text FROM documents",
     "repo_documents": f"""SELECT 'org/' || source AS repo, 'docs/' || lang || '/' || doc_id || '.md' AS source_path,
-        sha256('org/' || source) AS commit_sha, CAST(strlen(text) AS INT) AS n_bytes,
+        sha256('org/' || source) AS commit_sha, CAST(strlen(text) AS INT) AS n_bytes, sha256(text) AS content_hash,
         '---' || {NL} || 'source_repo: org/' || source || {NL} || 'source_path: docs/' || lang || '/' || doc_id || '.md' ||
         {NL} || 'source_type: md' || {NL} || 'source_commit_sha: ' || sha256('org/' || source) || {NL} || '---' || {NL} ||
         {NL} || trim(text, {WS}) || {NL} AS normalized FROM documents WHERE lang <> 'de'""",
@@ -320,3 +320,31 @@ ORACLE["edited_directory"] = f"""SELECT lang, source, block, CAST(s // 2700 AS I
     FROM (SELECT *, unnest(range(0, length(text), 2700)) AS s FROM {PASSES})"""
 ORACLE["refused_documents"] = f"""SELECT lang, source, block, 'chunks' AS place FROM {PASSES}
     UNION ALL SELECT DISTINCT lang, 'none', '0', 'no text from pdf' FROM documents"""
+# --- what cycles count while they write
+ORACLE["job_statistics"] = f"""WITH m(table_name, measure, n) AS (
+    SELECT 'jobs', 'rows', count(*) FROM ({ORACLE['payload_jobs']})
+    UNION ALL SELECT 'selectionsummary', 'rows', 2 * count(DISTINCT _queue) FROM {LANDED}
+    UNION ALL SELECT 'quarantine', 'rows', count(*) FROM ({ORACLE['payload_quarantine']})
+    UNION ALL SELECT 'snapshots', CASE WHEN bad THEN 'failed' ELSE 'ok' END, count(*) FROM (SELECT bool_or(head = 'purchase') AS bad FROM {PLACED} GROUP BY _queue) GROUP BY bad)
+    SELECT 'r1' AS run_id, t AS table_name, s AS measure, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (VALUES ('jobs', 'rows'), ('selectionsummary', 'rows'),
+        ('quarantine', 'rows'), ('snapshots', 'ok'), ('snapshots', 'failed')) v(t, s) LEFT JOIN m ON t = table_name AND s = measure"""
+ORACLE["published_tables"] = """SELECT t AS table_name, CAST(n AS BIGINT) AS n_columns, c AS last_column, true AS accounted FROM (VALUES ('jobs', 135, '_fetched_utc'),
+    ('selectionsummary', 6, '_fetched_utc'), ('errors_by_count', 11, '_fetched_utc'), ('snapshots', 6, 'error')) v(t, n, c), (SELECT count(*) AS k FROM events) WHERE k > 0"""
+ORACLE["document_statistics"] = f"""WITH r AS ({REPLACED}) SELECT run_id, table_name, measure, CAST(n AS BIGINT) AS n FROM (
+    SELECT 'r1' AS run_id, 'chunks' AS table_name, 'new' AS measure, count(*) AS n FROM ({chunk_rows(EARLIER)})
+    UNION ALL SELECT 'r1', 'chunks', 'kept', 0 UNION ALL SELECT 'r1', 'checkpoint', 'kept', 0
+    UNION ALL SELECT 'r1', 'checkpoint', 'new', count(*) FROM {EARLIER}
+    UNION ALL SELECT 'r2', 'chunks', 'new', count(*) FILTER (processed_ts = 'now') FROM r
+    UNION ALL SELECT 'r2', 'chunks', 'kept', count(*) FILTER (processed_ts = 'earlier') FROM r
+    UNION ALL SELECT 'r2', 'checkpoint', 'new', count(*) FROM {CHANGED}
+    UNION ALL SELECT 'r2', 'checkpoint', 'kept', count(*) FROM {EARLIER} WHERE path NOT IN (SELECT path FROM {CHANGED}))"""
+ORACLE["repository_statistics"] = """SELECT 'r1' AS run_id, table_name, measure, CAST(n AS BIGINT) AS n FROM (
+    SELECT 'repo_docs' AS table_name, unnest(['saved', 'normalized']) AS measure, n FROM (SELECT count(*) AS n FROM documents WHERE lang <> 'de')
+    UNION ALL SELECT 'repo_docs', 'kept', 0 UNION ALL SELECT 'repo_state', 'synced', count(DISTINCT source) FROM documents)"""
+ORACLE["catalogue_statistics"] = """WITH f AS (SELECT c_nationkey AS k, count(*) AS n, bool_or(c_acctbal < 0) AS poor FROM customer GROUP BY c_nationkey, c_custkey // 10000)
+    SELECT run_id, table_name, measure, CAST(n AS BIGINT) AS n FROM (
+    SELECT 'r1' AS run_id, 'queuedata' AS table_name, 'rows' AS measure, sum(n) AS n FROM f UNION ALL SELECT 'r1', 'catalogue_entries', 'entries', sum(n) FROM f
+    UNION ALL SELECT 'r1', 'catalogue_types', 'cells', 2 * sum(n) FROM f
+    UNION ALL SELECT 'r1', 'catalogue_loads', 'loaded', count(*) FROM f UNION ALL SELECT 'r1', 'catalogue_loads', 'refused', 0
+    UNION ALL SELECT 'r2', 'catalogue_loads', 'loaded', count(*) FILTER (k < 5 AND poor) FROM f
+    UNION ALL SELECT 'r2', 'catalogue_loads', 'refused', count(*) FILTER (k = 7) FROM f)"""

@@ -117,6 +117,16 @@ def document_cycle(spark, sf):
     )
 
 
+@query
+def document_statistics(spark, sf):
+    """What those two cycles counted while they wrote."""
+    store = VersionedTables(spark, shared_dir(spark, "document-statistics"))
+    embed = lambda chunk: V.dummy_vector()
+    documents_plan.run_cycle(store, D.earlier_corpus(spark, sf), embed, "r1", "earlier", buckets=1)
+    documents_plan.run_cycle(store, D.corpus(spark, sf), embed, "r2", "now", buckets=1)
+    return store.read("statistics", schemas.STATISTICS)
+
+
 @query
 def strip_index(spark, sf):
     return D.with_index(spark, sf).select("doc_id", X.strip_index(F.col("text")).alias("text"))
@@ -156,8 +166,7 @@ def universal_newlines(spark, sf):
     return D.table(spark, sf, "documents").select("doc_id", X.universal_newlines(mixed).alias("text"))
 
 
-@query
-def repo_documents(spark, sf):
+def _synced(spark, sf):
     """Documents as repository files: gated, selected by pattern, normalised, published."""
     commit = F.sha2("repo", 256)
     repo = F.concat(F.lit("org/"), "source")
@@ -179,11 +188,21 @@ def repo_documents(spark, sf):
     )
     store = VersionedTables(spark, shared_dir(spark, "repos"))
     documents_plan.sync_repos(store, files, commits, config, "r1", F.lit("2024-02-01").cast("timestamp"))
-    return store.read("repo_docs", schemas.REPO_DOCS).select(
-        "repo", "source_path", "commit_sha", F.octet_length("content").alias("n_bytes"), "normalized"
+    return store
+
+
+@query
+def repo_documents(spark, sf):
+    return _synced(spark, sf).read("repo_docs", schemas.REPO_DOCS).select(
+        "repo", "source_path", "commit_sha", F.octet_length("content").alias("n_bytes"), F.sha2("content", 256).alias("content_hash"), "normalized"
     )
 
 
+@query
+def repository_statistics(spark, sf):
+    return _synced(spark, sf).read("statistics", schemas.STATISTICS)
+
+
 @query
 def glob_filter(spark, sf):
     chosen = gates.matches_patterns(F.col("url"), ["*/en/*", "*.org/*"], ["*page=[0-9]*", "*[!a-z0-9]"])
@@ -434,6 +453,28 @@ def payload_error_jobs(spark, sf):
     return analytics.listed_jobs(landing.error_rows(_parsed(spark, sf)))
 
 
+def _cycled(spark, sf):
+    """One published cycle of responses with many items."""
+    store = VersionedTables(spark, shared_dir(spark, "cycle"))
+    jobs_plan.run_cycle(store, D.event_payloads(spark, sf), "r1", jobs_per_part=20_000)
+    return store
+
+
+@query
+def job_statistics(spark, sf):
+    """What the cycle counted while it wrote. Of several responses of one queue and day the hash decides whose errors are kept, so these are left out."""
+    return _cycled(spark, sf).read("statistics", schemas.STATISTICS).where("table_name <> 'errors_by_count'")
+
+
+@query
+def published_tables(spark, sf):
+    """The published tables of interest with their number of columns and whether the cycle counted their rows right."""
+    store = _cycled(spark, sf)
+    layout = inspection.published_layout(store).groupBy("table_name", "n_rows").agg(F.count("*").alias("n_columns"), F.max_by("column_name", "position").alias("last_column"))
+    counted = store.read("statistics", schemas.STATISTICS).groupBy("table_name").agg(F.sum("n").alias("counted"))
+    return layout.join(counted, "table_name").select("table_name", "n_columns", "last_column", (F.col("n_rows") == F.col("counted")).alias("accounted"))
+
+
 def _loaded(spark, sf):
     """Two responses per job landed as JSON lines and streamed into published tables."""
     base = shared_dir(spark, "stream")
@@ -614,6 +655,16 @@ def catalogue_refresh(spark, sf):
     return rows.unionByName(refused.select(F.col("_queue").alias("queue"), F.col("reason").alias("status"), F.lit(-1).cast("bigint").alias("nodes")))
 
 
+@query
+def catalogue_statistics(spark, sf):
+    """What two refreshes counted: the first in all tables, the second of its files."""
+    store = VersionedTables(spark, shared_dir(spark, "catalogue-statistics"))
+    for run, later in (("r1", False), ("r2", True)):
+        files = D.nation_catalogue(spark, sf, later).transform(landing.as_snapshots)
+        catalogue_plan.refresh(store, files, run, F.lit(f"2024-02-0{run[1]}T00:00:00"))
+    return store.read("statistics", schemas.STATISTICS).where("run_id = 'r1' or table_name = 'catalogue_loads'")
+
+
 @query
 def catalogue_types(spark, sf):
     """How many values of each type the fields of every source have after two refreshes, the second of which parses changed files only."""

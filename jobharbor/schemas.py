@@ -114,12 +114,14 @@ PAYLOADS = layout("queue STRING, fetched_utc TIMESTAMP_NTZ, payload STRING")
 LANDED = layout("queue STRING, fetched_utc TIMESTAMP_NTZ, payload STRING, broken STRING")
 # The newest fetch loaded, one row per queue.
 QUEUE_STATE = layout("_queue STRING, _fetched_utc TIMESTAMP_NTZ")
+# What the cycles counted while they wrote.
+STATISTICS = layout("run_id STRING, table_name STRING, measure STRING, n BIGINT")
 CATALOGUE_ENTRIES = layout("source STRING, name STRING, payload STRING")
 # How many values of a type rank each field has in each source.
 CATALOGUE_TYPES = layout("source STRING, field STRING, rank INT, cells BIGINT")
 
 TABLES = {"jobs": JOBS, "selectionsummary": SELECTION_SUMMARY, "errors_by_count": ERRORS_BY_COUNT}
-INSPECTED = ("jobs", "selectionsummary", "errors_by_count", "snapshots")
+INSPECTED = {**TABLES, "snapshots": SNAPSHOTS}
 
 
 def table_names() -> list[str]:
@@ -132,7 +134,7 @@ def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
 
 def create_tables(spark: SparkSession, database: str | None = None) -> None:
     """Create the catalogue tables that are missing; existing ones are left alone."""
-    for name, schema in TABLES.items():
+    for name, schema in INSPECTED.items():
         target = f"{database}.{name}" if database else name
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
         spark.sql(f"CREATE TABLE IF NOT EXISTS {target} ({columns}) USING parquet")

@@ -17,10 +17,12 @@ from dataclasses import dataclass, field
 
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobharbor import schemas
+
 MANIFEST = "version LONG, run_id STRING, table_name STRING, part STRING, location STRING"
 WHOLE = "all"
 
@@ -30,7 +32,8 @@ class Change:
     """New content for some parts of a table.
 
     ``rows`` holds the complete new content of every part in ``parts``; a listed part without
-    rows is thereby emptied. ``parts=None`` replaces the whole table.
+    rows is thereby emptied. ``parts=None`` replaces the whole table. ``measures`` are aggregates over the rows, counted while
+    they are written and published as ``statistics`` of the run; columns that only these need are ``hidden`` from the table.
     """
 
     table: str
@@ -38,6 +41,8 @@ class Change:
     part: Column = field(default_factory=lambda: F.lit(WHOLE))
     parts: Iterable[str] | None = None
     append: bool = False
+    measures: dict[str, Column] = field(default_factory=dict)
+    hidden: tuple[str, ...] = ()
 
 
 def group_part(group: Column) -> Column:
@@ -107,13 +112,19 @@ class VersionedTables:
         attempt = f"{run_id}-{uuid.uuid4().hex[:8]}"  # a retried run starts in folders of its own
         version = max((e.version for e in entries), default=0) + 1
         state = {(e.table_name, e.part, e.location) for e in entries if e.location}
-        for change, written in self._write_all(list(changes), attempt):
+        statistics = []
+        for change, (written, counts) in self._write_all(list(changes), attempt):
+            statistics += [(run_id, change.table, measure, n) for measure, n in counts.items()]
             if not change.append:
                 gone = None if change.parts is None else set(change.parts)
                 state = {
                     s for s in state if s[0] != change.table or (gone is not None and s[1] not in gone)
                 }
             state |= {(change.table, part, place) for part, place in written}
+        if statistics:
+            rows = self.spark.createDataFrame(statistics, schemas.STATISTICS)
+            written, _ = self._write(Change("statistics", rows, append=True), f"{self.base}/data/statistics/{attempt}")
+            state |= {("statistics", part, place) for part, place in written}
         self._commit(version, run_id, state)
         return version
 
@@ -125,18 +136,22 @@ class VersionedTables:
         with ThreadPoolExecutor(max_workers=4) as pool:
             return list(zip(changes, pool.map(write, changes)))
 
-    def _write(self, change: Change, place: str) -> list[tuple[str, str]]:
+    def _write(self, change: Change, place: str) -> tuple[list[tuple[str, str]], dict[str, int]]:
         if change.rows is None:
-            return []
+            return [], {}
         # rebalance gathers a part into few files and splits a part that is too large for one task
-        rows = change.rows.withColumn("_part", change.part).hint("rebalance", "_part")
-        rows.write.partitionBy("_part").mode("error").parquet(place)
+        rows, seen = change.rows.withColumn("_part", change.part).hint("rebalance", "_part"), None
+        if change.measures:
+            # observed by the tasks that write, each of which counts once, however often earlier stages run again
+            seen = Observation()
+            rows = rows.observe(seen, *[F.coalesce(m, F.lit(0)).cast("bigint").alias(n) for n, m in change.measures.items()])
+        rows.drop(*change.hidden).write.partitionBy("_part").mode("error").parquet(place)
         schema = T.StructType([T.StructField("_part", T.StringType())])
         # a write without rows leaves an empty folder, which reads as no parts; any failure to read is one
         made = [r[0] for r in self.spark.read.schema(schema).parquet(place).select("_part").distinct().collect()]
         if None in made or "__HIVE_DEFAULT_PARTITION__" in made:
             raise ValueError(f"{change.table}: rows without a part")
-        return [(part, f"{place}/_part={part}") for part in made]
+        return [(part, f"{place}/_part={part}") for part in made], dict(seen.get) if seen else {}
 
     def _commit(self, version: int, run_id: str, state: set[tuple[str, str, str]]) -> None:
         rows = [(version, run_id, *s) for s in sorted(state)] or [(version, run_id, "", "", "")]

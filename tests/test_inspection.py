@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from jobharbor import schemas
 from jobharbor.operators import analytics, inspection, merge
+from jobharbor.sources.versions import Change, VersionedTables
 
 
 def test_layouts(spark):
@@ -17,9 +18,9 @@ def test_create_tables_twice(spark):
     schemas.create_tables(spark)
     spark.sql("INSERT INTO selectionsummary VALUES (0, 'f', '[]', NULL, 'A', TIMESTAMP_NTZ'2026-01-01')")
     schemas.create_tables(spark)
-    assert inspection.known_tables(spark) == ["jobs", "selectionsummary", "errors_by_count"]
+    assert inspection.known_tables(spark) == ["jobs", "selectionsummary", "errors_by_count", "snapshots"]
     assert spark.table("selectionsummary").count() == 1
-    for name in schemas.table_names():
+    for name in schemas.INSPECTED:
         spark.sql(f"DROP TABLE {name}")
 
 
@@ -83,3 +84,31 @@ def test_catalogue_dictionary(spark):
     assert [(r["position"], r["column_name"], r["column_type"]) for r in rows] == [(0, "queue", "TEXT"), (1, "corecount", "BIGINT"), (2, "own", "DOUBLE"), (3, "status", "TEXT")]
     assert rows[2]["description"] == "" and rows[1]["description"].startswith("Cores")
     assert inspection.context_lines(inspection.catalogue_dictionary(fields)).count() == 4
+
+
+def test_statistics_are_counted_in_the_write(spark, tmp_path):
+    store = VersionedTables(spark, str(tmp_path))
+    audit = schemas.empty(spark, schemas.SNAPSHOTS).withColumn("_new", F.lit(True))
+    rows = spark.range(7).select(F.col("id").cast("string").alias("snapshot_id"), F.lit("s").alias("source"), (F.col("id") < 3).alias("_new"))
+    measures = {"new": F.count_if("_new"), "all": F.count("*"), "longest": F.max(F.length("snapshot_id"))}
+    store.publish("r0", [Change("empty", audit, measures=measures, hidden=("_new",)), Change("plain", rows.drop("_new"))])
+    store.publish("r1", [Change("snapshots", rows, measures=measures, hidden=("_new",)), Change("gone", None, measures=measures)])
+    told = {(r["run_id"], r["table_name"], r["measure"]): r["n"] for r in store.read("statistics", schemas.STATISTICS).collect()}
+    assert told == {
+        ("r0", "empty", "new"): 0, ("r0", "empty", "all"): 0, ("r0", "empty", "longest"): 0,
+        ("r1", "snapshots", "new"): 3, ("r1", "snapshots", "all"): 7, ("r1", "snapshots", "longest"): 1,
+    }
+    place = [e.location for e in store._entries() if e.table_name == "snapshots"]
+    assert spark.read.parquet(*place).columns == ["snapshot_id", "source"]
+
+
+def test_published_layout(spark, tmp_path):
+    store = VersionedTables(spark, str(tmp_path))
+    assert inspection.published_tables(store) == [] and inspection.published_layout(store).collect() == []
+    rows = spark.createDataFrame([("a", "s", None, None, True, None)] * 2, schemas.SNAPSHOTS)
+    store.publish("r1", [Change("snapshots", rows), Change("errors_by_count", schemas.empty(spark, schemas.ERRORS_BY_COUNT)), Change("other", rows)])
+    assert inspection.published_tables(store) == ["snapshots"]
+    layout = inspection.published_layout(store).orderBy("position").collect()
+    assert [(r["column_name"], r["column_type"], r["n_rows"]) for r in layout][2:5] == [
+        ("fetched_utc", "TIMESTAMP", 2), ("content_hash", "VARCHAR", 2), ("ok", "BOOLEAN", 2),
+    ]
