@@ -319,29 +319,53 @@ def decode_strict(content: Column) -> Column:
     return F.when(F.is_valid_utf8(text), text)
 
 
+#: Bytes of files that one task reads.
+TASK_BYTES = 64 << 20
+
+
+def directory_files(spark: SparkSession, directory: str) -> DataFrame:
+    """path, modificationTime, length and content of every file below a directory: listed once, now, and read when they are used.
+
+    Spark lists with a task for every folder, each of which reports to the driver. A few tasks a core list the same folders.
+    """
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(before), _few_tasks(spark))))
+    try:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
+    finally:
+        spark.conf.set(setting, before)
+
+
+def _few_tasks(spark: SparkSession) -> int:
+    return 2 * spark.sparkContext.defaultParallelism
+
+
 def list_files(spark: SparkSession, directory: str) -> DataFrame:
     """Every file below a directory with its content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
-    return files.select("path", "content")
+    return directory_files(spark, directory).select("path", "content")
 
 
-def list_metadata(spark: SparkSession, directory: str) -> DataFrame:
-    """path, length, modified of every file below a directory; no content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
-    return files.select("path", "length", F.col("modificationTime").cast("timestamp_ntz").alias("modified"))
+def list_metadata(files: DataFrame) -> DataFrame:
+    """path, length, modified of ``directory_files``; no content is read. To be persisted, for a pass asks it more than once.
+
+    Spark plans small files as if each were some megabytes, which makes a task of a few dozen. Their rows here are short, so a few tasks a core take them.
+    """
+    rows = files.select("path", "length", F.col("modificationTime").cast("timestamp_ntz").alias("modified"))
+    return rows.coalesce(_few_tasks(files.sparkSession))
 
 
-def read_stale(spark: SparkSession, directory: str, stale: DataFrame) -> DataFrame:
-    """path, content of the ``stale`` files.
+def read_stale(files: DataFrame, stale: DataFrame) -> DataFrame:
+    """path, content of the ``stale`` ones of ``directory_files``.
 
     The source skips files older than the oldest of them without opening them; of the others those that a filter of the wanted paths rules out go no
-    further.
+    further. Tasks follow the bytes to read, a few a core at least.
     """
-    since = stale.agg(F.min("modified")).first()[0]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
+    since, wanted = stale.agg(F.min("modified"), F.sum("length")).first()
     if since is not None:
         files = files.where(F.col("modificationTime") >= F.lit(since).cast("timestamp"))
-    return maybe_in(files.select("path", "content"), stale, "path")
+    tasks = max(_few_tasks(files.sparkSession), -(-(wanted or 0) // TASK_BYTES))
+    return maybe_in(files.select("path", "content").coalesce(tasks), stale, "path")
 
 
 def refusals(texts: DataFrame, kind: str, at: Column) -> DataFrame:

@@ -87,7 +87,8 @@ def tick_documents(
     The listing is published with the chunks, so a pass that dies is made again.
     """
     known = store.read("listing", schemas.LISTING)
-    listing = landing.list_metadata(spark, directory)
+    files = landing.directory_files(spark, directory)
+    listing = landing.list_metadata(files).persist(StorageLevel.MEMORY_AND_DISK)
     stale = gates.stale_files(listing, known).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # what has chunks and was left unread counts as skipped
@@ -95,7 +96,7 @@ def tick_documents(
         unread = unread.join(store.read("checkpoint", schemas.CHECKPOINT).select("path"), "path", "left_semi").count()
         if stale.isEmpty():
             return {"processed": 0, "skipped": unread, "new": 0, "changed": 0}
-        texts = landing.extract_text(landing.read_stale(spark, directory, stale)).persist(StorageLevel.MEMORY_AND_DISK)
+        texts = landing.extract_text(landing.read_stale(files, stale)).persist(StorageLevel.MEMORY_AND_DISK)
         refused = landing.refusals(texts, "document", F.current_timestamp())
         beside = [Change("listing", merge.merge_by_key(known, stale, "path")), Change("quarantine", refused, append=True)]
         try:
@@ -105,3 +106,4 @@ def tick_documents(
             texts.unpersist()
     finally:
         stale.unpersist()
+        listing.unpersist()

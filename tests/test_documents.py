@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from jobharbor import schemas
@@ -288,3 +289,23 @@ def test_unchanged_texts_do_not_move_without_broadcast_joins(spark):
         assert exchanged.index("Exchange hashpartitioning(path") < exchanged.index("BroadcastHashJoin")
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_pass_lists_a_directory_once_with_few_tasks(spark, folder):
+    """Every task reports to the driver: their number must not follow the number of folders or of small files."""
+    for n in range(120):
+        write(f"{folder}/in/d{n}", "a.txt", f"text {n}")
+    started = lambda: max(spark.range(1, numPartitions=1).rdd.mapPartitions(lambda rows: [TaskContext.get().taskAttemptId()]).collect())
+    before = started()
+    files = landing.directory_files(spark, f"{folder}/in")
+    listing = landing.list_metadata(files)
+    assert listing.count() == 120 and listing.rdd.getNumPartitions() <= 8
+    stale = listing.where("path like '%d7/%' or path like '%d8/%'")
+    assert sorted(bytes(r["content"]) for r in landing.read_stale(files, stale).collect()) == [b"text 7", b"text 8"]
+    assert started() - before < 120
+    store, passes, load = VersionedTables(spark, f"{folder}/store"), [], landing.directory_files
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(landing, "directory_files", lambda *at: passes.append(at) or load(*at))
+        done = ingest.tick_documents(spark, f"{folder}/in", store, lambda chunk: V.dummy_vector(), "r1", "r1", buckets=2)
+    assert done["new"] == 120 and len(passes) == 1
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
