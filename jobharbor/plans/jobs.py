@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobharbor import schemas
 from jobharbor.operators import merge
 from jobharbor.sources import landing
-from jobharbor.sources.versions import Change, VersionedTables, group_part, range_part
+from jobharbor.sources.versions import Change, VersionedTables, range_part
 
 # Ids per folder of the jobs table. Ids grow with time, so a cycle rewrites the newest folders
 # only, and a folder never holds more rows than this.
 JOBS_PER_PART = 10_000_000
+# Folders of the companion tables, by hash of the queue: as many, however many queues there are.
+QUEUE_PARTS = 64
 
 COLUMNS = [f.name for f in schemas.JOB_PAYLOAD]
 FETCH = ["_queue", "_fetched_utc"]
@@ -55,6 +58,20 @@ def newest_fetch(parsed: DataFrame) -> DataFrame:
     return landing.open_payloads(found.drop("_hash"))
 
 
+def queue_part(queue: Column, parts: int) -> Column:
+    """Folder name of a queue; it tells the number of folders, so that tables laid out otherwise are recognised."""
+    return F.concat(F.pmod(F.xxhash64(queue), F.lit(parts)).cast("string"), F.lit(f"-of-{parts}"))
+
+
+def replace_queues(store: VersionedTables, table: str, schema: T.StructType, rows: DataFrame, newest: DataFrame, touched: list[str], queue_parts: int) -> Change:
+    """``rows`` in place of what the queues of ``newest`` had; the other queues in the ``touched`` folders are kept. New rows are counted."""
+    # a table in folders of another layout is laid out anew
+    parts = touched if not touched or all(p.endswith(f"-of-{queue_parts}") for p in store.parts(table)) else None
+    kept = store.read(table, schema, parts).join(newest.select("_queue"), "_queue", "left_anti")
+    both = kept.withColumn("_new", F.lit(False)).unionByName(rows.withColumn("_new", F.lit(True))).select(*schema.names, "_new")
+    return Change(table, both, queue_part(F.col("_queue"), queue_parts), parts, measures={"rows": F.count_if("_new")}, hidden=("_new",))
+
+
 def drop_faulty_fetches(rows: DataFrame, quarantine: DataFrame) -> DataFrame:
     return rows.join(quarantine.select(*FETCH).distinct(), FETCH, "left_anti")
 
@@ -65,6 +82,7 @@ def run_cycle(
     run_id: str,
     strict: bool = False,
     jobs_per_part: int = JOBS_PER_PART,
+    queue_parts: int = QUEUE_PARTS,
 ) -> int:
     """Load landed responses; all tables change together or not at all.
 
@@ -94,8 +112,7 @@ def run_cycle(
         newest = newest.persist(StorageLevel.MEMORY_AND_DISK)
         part = range_part(F.col("pandaid"), jobs_per_part)
         ranges = [r[0] for r in rows.select(part).distinct().collect()]
-        queues = [r[0] for r in newest.select(group_part(F.col("_queue"))).collect()]
-        by_queue = group_part(F.col("_queue"))
+        queues = [r[0] for r in newest.select(queue_part(F.col("_queue"), queue_parts)).distinct().collect()]
         count = {"rows": F.count("*")}
         jobs = store.read("jobs", schemas.STAMPED_JOBS, ranges)
         audit = parsed.groupBy("_queue").agg(
@@ -113,8 +130,8 @@ def run_cycle(
         )
         changes = [
             Change("jobs", upsert_jobs(jobs, rows) if ranges else None, part, ranges, measures=count),
-            Change("selectionsummary", landing.summary_rows(newest), by_queue, queues, measures=count),
-            Change("errors_by_count", landing.error_rows(newest), by_queue, queues, measures=count),
+            replace_queues(store, "selectionsummary", schemas.SELECTION_SUMMARY, landing.summary_rows(newest), newest, queues, queue_parts),
+            replace_queues(store, "errors_by_count", schemas.ERRORS_BY_COUNT, landing.error_rows(newest), newest, queues, queue_parts),
             Change("queue_state", merge.merge_by_key(state, newest.select(*FETCH), "_queue")),
             Change("quarantine", faults, append=True, measures=count),
             Change("snapshots", audit, append=True, measures={"ok": F.count_if("ok"), "failed": F.count_if(~F.col("ok"))}),

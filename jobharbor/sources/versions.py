@@ -92,6 +92,10 @@ class VersionedTables:
         """Names of the tables that hold rows."""
         return sorted({e.table_name for e in self._entries() if e.location})
 
+    def parts(self, table: str) -> list[str]:
+        """Names of the parts of a table that hold rows."""
+        return sorted({e.part for e in self._entries() if e.table_name == table and e.location})
+
     def read(
         self, table: str, schema: T.StructType, parts: Iterable[str] | None = None
     ) -> DataFrame:

@@ -349,3 +349,20 @@ def test_stamps_tell_who_decided(spark):
     got = folded.select("k", "at", "row", "listed", "stamps").collect()
     assert [(r["at"], tuple(r["row"]), r["listed"]) for r in got] == [(3, ("e", "e", "e"), [7])]
     assert sorted((s["at"], s["listed"][0]) for s in got[0]["stamps"]) == [(2, 7)]
+
+
+def test_folders_of_companions_do_not_follow_the_queues(spark, folder):
+    """Many queues share a few folders; a cycle replaces its own queues there and keeps the others, whatever the layout was before."""
+    summary = lambda *fields: {"jobs": [{"pandaid": 1}], "selectionsummary": [{"field": f} for f in fields]}
+    store, names = VersionedTables(spark, folder), [f"q{n}" for n in range(40)]
+    fields = lambda: {(r["_queue"], r["field"]) for r in store.read("selectionsummary", schemas.SELECTION_SUMMARY).collect()}
+    told = lambda run: {r["n"] for r in store.read("statistics", schemas.STATISTICS).where("table_name = 'selectionsummary'").collect() if r["run_id"] == run}
+    jobs.run_cycle(store, landed(spark, *[(q, T1, summary("a", "b")) for q in names]), "r1", queue_parts=4)
+    assert len(store.parts("selectionsummary")) <= 4 and told("r1") == {80}
+    jobs.run_cycle(store, landed(spark, ("q3", T2, summary("c")), ("q4", T2, summary())), "r2", queue_parts=4)
+    expected = {(q, f) for q in names if q not in ("q3", "q4") for f in "ab"} | {("q3", "c")}
+    assert fields() == expected and told("r2") == {1}
+    assert store.read("selectionsummary", schemas.SELECTION_SUMMARY).count() == len(expected)
+    jobs.run_cycle(store, landed(spark, ("q5", T2, summary("d"))), "r3", queue_parts=3)
+    assert fields() == expected - {("q5", "a"), ("q5", "b")} | {("q5", "d")}
+    assert all(p.endswith("-of-3") for p in store.parts("selectionsummary")) and told("r3") == {1}
