@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobharbor.functions import text as X
 
@@ -55,13 +56,33 @@ def batch_statement(
     return with_flags.select(key, *groups, "row", "listed")
 
 
-def fold_statements(rows: DataFrame, key: str, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+def pack_row(record: str, columns: Sequence[str]) -> Column:
+    """A record (a struct of numbers, texts and times) as JSON text of the columns that are not null.
+
+    Rows of a wide table have few values. Sorted or grouped as structs they take the room of all columns in memory, however well they compress.
+    """
+    return F.expr("to_json(named_struct(" + ", ".join(f"'{c}', cast({record}.`{c}` AS string)" for c in columns) + "))")
+
+
+def packed_schema(columns: Sequence[str]) -> str:
+    return ", ".join(f"`{c}` string" for c in columns)
+
+
+def unpack_row(rows: DataFrame, packed: str, columns: Sequence[T.StructField]) -> DataFrame:
+    """The columns of a packed record in place of it; one parse a row, and no shuffle, so the rows keep their order."""
+    opened = rows.withColumn("_raw", F.from_json(packed, packed_schema([f.name for f in columns])))
+    values = [F.col(f"_raw.`{f.name}`").cast(f.dataType).alias(f.name) for f in columns]
+    names = {f.name for f in columns}
+    return opened.select(*values, *[F.col(f"`{c}`") for c in rows.columns if c != packed and c not in names])
+
+
+def fold_statements(rows: DataFrame, key: str, columns: Sequence[str], order: Sequence[str], packed: bool = False) -> DataFrame:
     """Several statements on one key reduced to one with the same effect: key, ``order`` of the last, row, listed, stamps.
 
     Of every column the value of the last statement that lists it counts, so the result doesn't depend on how statements are batched or in which order
     they come. Of statements on a key that list the same columns only the last has an effect, so a key gathers no more rows than there are different sets
     of columns, however often it was fetched. ``stamps`` has one entry for each statement that still decides a column: its
-    ``order`` and the flags of those columns.
+    ``order`` and the flags of those columns. With ``packed`` the records are, and stay, texts made by ``pack_row``.
     """
     rows = latest_per_key(rows, [key, "listed"], [F.desc(c) for c in order])
 
@@ -76,9 +97,13 @@ def fold_statements(rows: DataFrame, key: str, columns: Sequence[str], order: Se
     steps = rows.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct(*order, "row", "listed"))).alias("_steps")
     )
-    folded = F.expr(
-        f"if(size(_steps) = 1, _steps[0], aggregate(slice(_steps, 2, size(_steps)), _steps[0], {then}))"
-    )
+    rest, first, made = "slice(_steps, 2, size(_steps))", "_steps[0]", "acc -> acc"
+    if packed:
+        place = lambda s: ", ".join(f"'{c}', {s}.`{c}`" for c in order)
+        opened = lambda s: f"named_struct({place(s)}, 'row', from_json({s}.row, '{packed_schema(columns)}'), 'listed', {s}.listed)"
+        rest, first = f"transform({rest}, s -> {opened('s')})", opened(first)
+        made = f"acc -> named_struct({place('acc')}, 'row', to_json(acc.row), 'listed', acc.listed)"
+    folded = F.expr(f"if(size(_steps) = 1, _steps[0], aggregate({rest}, {first}, {then}, {made}))")
     # a statement decides the columns it lists and no later one does
     taken = "aggregate(slice(_steps, i + 2, size(_steps)), transform(x.listed, w -> 0L), (a, y) -> zip_with(a, y.listed, (p, q) -> p | q))"
     own = f"if(i + 1 = size(_steps), x.listed, zip_with(x.listed, {taken}, (p, q) -> p & ~q))"
@@ -88,15 +113,14 @@ def fold_statements(rows: DataFrame, key: str, columns: Sequence[str], order: Se
 
 
 def upsert_stamped(target: DataFrame, statements: DataFrame, key: str, columns: Sequence[str], order: Sequence[str], stamps: str) -> DataFrame:
-    """Keyed partial upsert whose result doesn't depend on the order in which statements arrive: like ``fold_statements``.
+    """Keyed partial upsert of packed records whose result doesn't depend on the order in which statements arrive: like ``fold_statements``.
 
     ``target`` has key, columns and, in the column ``stamps``, which statement decided which columns; it is taken as the statements that made it. A
-    column that no statement listed is null; a listed one takes the last value even if that is null.
+    column that no statement listed is null; a listed one takes the last value even if that is null. Statements, and the result, have their records packed.
     """
-    row = F.struct(*[F.col(c) for c in columns]).alias("row")
-    earlier = target.select(key, row, F.explode(stamps).alias("_s")).select(key, *[F.col(f"_s.`{c}`") for c in order], "row", "_s.listed")
-    new = statements.select(key, *order, F.struct(*[F.col(f"row.`{c}`") for c in columns]).alias("row"), "listed")
-    return fold_statements(earlier.unionByName(new), key, columns, order)
+    earlier = target.select(key, F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_record"), F.explode(stamps).alias("_s"))
+    earlier = earlier.select(key, *[F.col(f"_s.`{c}`") for c in order], pack_row("_record", columns).alias("row"), "_s.listed")
+    return fold_statements(earlier.unionByName(statements.select(*earlier.columns)), key, columns, order, packed=True)
 
 
 def upsert_partial(

@@ -28,22 +28,32 @@ ORDER = schemas.STAMP.names
 
 
 def job_statements(rows: DataFrame) -> DataFrame:
-    """Job rows as statements: each with the columns that its response listed and its place in the order."""
+    """Job rows as statements: each with its record packed, the columns that its response listed and its place in the order."""
     flags = merge.listed_columns(rows, RESPONSE, COLUMNS)
-    placed = rows.select(*rows.columns, F.col("row.modificationtime").alias("_changed"), (-F.col("position")).alias("_place"))
+    changed, place = F.col("row.modificationtime").alias("_changed"), (-F.col("position")).alias("_place")
+    placed = rows.select("pandaid", *RESPONSE, changed, place, merge.pack_row("row", COLUMNS).alias("row"))
     return placed.join(flags, RESPONSE).select("pandaid", *ORDER, "row", "listed")
 
 
-def upsert_jobs(target: DataFrame, rows: DataFrame) -> DataFrame:
-    """``target`` (STAMPED_JOBS) after these job rows. Responses may come in any order and any batches: of each column the value
-    of the last response that listed it counts. Rows without stamps count as listing all columns at their fetch."""
+def merge_jobs(target: DataFrame, rows: DataFrame) -> DataFrame:
+    """``target`` (STAMPED_JOBS) after these job rows, each with its record packed. Responses may come in any order and any batches: of each column the
+    value of the last response that listed it counts. Rows without stamps count as listing all columns at their fetch."""
     whole = [(1 << min(merge.WORD, len(COLUMNS) - at)) - 1 for at in range(0, len(COLUMNS), merge.WORD)]
     listed = F.array(*[F.lit(w - (1 << 64) if w >> 63 else w) for w in whole])
     unknown = [F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.STAMP.fields[2:]]
     one = F.array(F.struct("_fetched_utc", "_queue", *unknown, listed.alias("listed")))
     known = target.withColumn("_stamps", F.coalesce("_stamps", one))
     merged = merge.upsert_stamped(known, job_statements(rows), "pandaid", COLUMNS, ORDER, "_stamps")
-    return merged.select(*[F.col(f"row.`{c}`") for c in COLUMNS], *FETCH, F.col("stamps").alias("_stamps"))
+    return merged.select("pandaid", F.col("row").alias("_packed"), *FETCH, F.col("stamps").alias("_stamps"))
+
+
+def open_jobs(merged: DataFrame) -> DataFrame:
+    """Merged jobs in the layout of the table."""
+    return merge.unpack_row(merged, "_packed", schemas.JOB_PAYLOAD.fields)
+
+
+def upsert_jobs(target: DataFrame, rows: DataFrame) -> DataFrame:
+    return open_jobs(merge_jobs(target, rows))
 
 
 def newest_fetch(parsed: DataFrame) -> DataFrame:
@@ -129,7 +139,7 @@ def run_cycle(
             "error",
         )
         changes = [
-            Change("jobs", upsert_jobs(jobs, rows) if ranges else None, part, ranges, measures=count),
+            Change("jobs", merge_jobs(jobs, rows) if ranges else None, part, ranges, measures=count, finish=open_jobs),
             replace_queues(store, "selectionsummary", schemas.SELECTION_SUMMARY, landing.summary_rows(newest), newest, queues, queue_parts),
             replace_queues(store, "errors_by_count", schemas.ERRORS_BY_COUNT, landing.error_rows(newest), newest, queues, queue_parts),
             Change("queue_state", merge.merge_by_key(state, newest.select(*FETCH), "_queue")),

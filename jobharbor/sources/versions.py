@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -34,6 +34,7 @@ class Change:
     ``rows`` holds the complete new content of every part in ``parts``; a listed part without
     rows is thereby emptied. ``parts=None`` replaces the whole table. ``measures`` are aggregates over the rows, counted while
     they are written and published as ``statistics`` of the run; columns that only these need are ``hidden`` from the table.
+    ``finish`` makes the columns of the table out of rows that travel in a shorter form; it keeps the other columns and the order of the rows.
     """
 
     table: str
@@ -43,6 +44,7 @@ class Change:
     append: bool = False
     measures: dict[str, Column] = field(default_factory=dict)
     hidden: tuple[str, ...] = ()
+    finish: Callable[[DataFrame], DataFrame] | None = None
 
 
 def group_part(group: Column) -> Column:
@@ -149,6 +151,10 @@ class VersionedTables:
             # observed by the tasks that write, each of which counts once, however often earlier stages run again
             seen = Observation()
             rows = rows.observe(seen, *[F.coalesce(m, F.lit(0)).cast("bigint").alias(n) for n, m in change.measures.items()])
+        if change.finish:
+            # the writer needs a task's rows by part: sorted while they are short, with a part that can't be null or empty, they aren't sorted again
+            part = F.coalesce(F.nullif("_part", F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+            rows = change.finish(rows.withColumn("_part", part).sortWithinPartitions("_part"))
         rows.drop(*change.hidden).write.partitionBy("_part").mode("error").parquet(place)
         schema = T.StructType([T.StructField("_part", T.StringType())])
         # a write without rows leaves an empty folder, which reads as no parts; any failure to read is one

@@ -366,3 +366,28 @@ def test_folders_of_companions_do_not_follow_the_queues(spark, folder):
     jobs.run_cycle(store, landed(spark, ("q5", T2, summary("d"))), "r3", queue_parts=3)
     assert fields() == expected - {("q5", "a"), ("q5", "b")} | {("q5", "d")}
     assert all(p.endswith("-of-3") for p in store.parts("selectionsummary")) and told("r3") == {1}
+
+
+def test_records_travel_packed_and_come_back_whole(spark, folder):
+    """A merge sorts and groups short texts, not structs of all columns; every value survives being merged, stored and merged again."""
+    values = {
+        "pandaid": 1, "taskid": -(2**63), "jeditaskid": 2**63 - 1, "workqueue_id": -(2**31), "durationsec": -0.0, "waittimesec": 1.7976931348623157e308,
+        "cpuefficiency": 5e-324, "hs06": 0, "creationtime": "2026-01-01 09:00:00.123456", "starttime": "0001-01-01 00:00:00",
+        "jobname": "", "jobinfo": {"a": [1, None, "x"]}, "errorinfo": "null", "error_desc": "quote \" back \\ line\n tab\t nul\u0000 \u2028 \U0001f600 é", "consumer": None,
+    }
+    rows = landing.job_rows(landing.type_jobs(landing.parse_payloads(landed(spark, ("A", T1, {"jobs": [values]})))))
+    merged = jobs.merge_jobs(schemas.empty(spark, schemas.STAMPED_JOBS), rows)
+    assert merged.schema["_packed"].dataType.simpleString() == "string"
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():
+        if "Window" in line or "Join" in line:
+            assert "struct<" not in line
+    want = landing.job_table(rows).first().asDict()
+    assert want["durationsec"] == 0 and want["error_desc"] == values["error_desc"] and want["creationtime"].microsecond == 123456
+    store = VersionedTables(spark, folder)
+    jobs.run_cycle(store, landed(spark, ("A", T1, {"jobs": [values]})), "r1")
+    assert repr(jobs_of(store)[1]) == repr(want)
+    jobs.run_cycle(store, landed(spark, ("A", T2, {"jobs": [{"pandaid": 1, "jobstatus": "closed"}]})), "r2")
+    jobs.run_cycle(store, landed(spark, ("A", T1, {"jobs": [{"pandaid": 2}]})), "r3")
+    got = jobs_of(store)
+    assert repr({**got[1], "jobstatus": None, "_fetched_utc": want["_fetched_utc"]}) == repr(want) and got[1]["jobstatus"] == "closed" and 2 in got
