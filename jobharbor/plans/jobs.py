@@ -59,13 +59,12 @@ def upsert_jobs(target: DataFrame, rows: DataFrame) -> DataFrame:
 def newest_fetch(parsed: DataFrame) -> DataFrame:
     """The last response of each queue in the batch.
 
-    Found from narrow rows, ties by the hash of the payload; the few that remain join their payload and are
-    opened again, which is cheaper than sorting opened ones.
+    Ties by the hash of the payload. Each task keeps one candidate a queue before anything moves; what remains is opened again, which is cheaper than
+    sorting opened ones.
     """
     good = parsed.where(landing.READABLE).select(*FETCH, "payload", "broken", F.sha2("payload", 256).alias("_hash"))
-    last = merge.latest_per_key(good.select(*FETCH, "_hash"), ["_queue"], [F.desc("_fetched_utc"), F.desc("_hash")])
-    found = good.join(last, [*FETCH, "_hash"]).dropDuplicates([*FETCH, "_hash"])
-    return landing.open_payloads(found.drop("_hash"))
+    last = merge.latest_per_key(good, ["_queue"], [F.desc("_fetched_utc"), F.desc("_hash")])
+    return landing.open_payloads(last.drop("_hash"))
 
 
 def queue_part(queue: Column, parts: int) -> Column:

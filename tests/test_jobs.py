@@ -391,3 +391,16 @@ def test_records_travel_packed_and_come_back_whole(spark, folder):
     jobs.run_cycle(store, landed(spark, ("A", T1, {"jobs": [{"pandaid": 2}]})), "r3")
     got = jobs_of(store)
     assert repr({**got[1], "jobstatus": None, "_fetched_utc": want["_fetched_utc"]}) == repr(want) and got[1]["jobstatus"] == "closed" and 2 in got
+
+
+def test_only_candidates_for_the_newest_response_move(spark):
+    """Of many responses of a queue a task sends one: no payload is shuffled for a join."""
+    rows = spark.range(3000, numPartitions=3).select(
+        F.concat(F.lit("q"), F.col("id") % 2).alias("queue"),
+        F.timestamp_seconds(F.col("id")).cast("timestamp_ntz").alias("fetched_utc"),
+        F.concat(F.lit('{"jobs":[{"pandaid":'), "id", F.lit("}]}")).alias("payload"),
+    )
+    newest = jobs.newest_fetch(landing.parse_payloads(rows.unionByName(rows)))
+    assert sorted((r["_queue"], r["payload"]) for r in newest.collect()) == [("q0", '{"jobs":[{"pandaid":2998}]}'), ("q1", '{"jobs":[{"pandaid":2999}]}')]
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
