@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobharbor.functions import text as X
-from jobharbor.functions.members import maybe_in
+from jobharbor.functions.members import maybe_in, surely_out
 
 CONFIG = (
     "repo string, include_re string, exclude_re string, within_hours int, normalize_for_rag boolean"
@@ -119,13 +119,13 @@ def with_text(documents: DataFrame) -> DataFrame:
     return documents.where(F.length("text") > 0)
 
 
-def document_changes(documents: DataFrame, checkpoint: DataFrame) -> DataFrame:
-    """path, content_hash, status, previous_hash and previous_chunks of documents (path, text).
+def document_changes(documents: DataFrame, checkpoint: DataFrame, *more: Column) -> DataFrame:
+    """path, content_hash, status, previous_hash and previous_chunks of documents (path, text), and ``more`` columns made of these.
 
-    Texts are hashed where they are read; only paths and hashes are joined. Files without text are left out. Files that
+    Texts are hashed where they are read; only paths and hashes, and what more is asked for, are joined. Files without text are left out. Files that
     disappeared are not visited, so they keep their chunks.
     """
-    hashed = with_text(documents).select("path", X.content_hash(F.col("text")).alias("content_hash"))
+    hashed = with_text(documents).select("path", X.content_hash(F.col("text")).alias("content_hash"), *more)
     before = checkpoint.select(
         "path",
         F.col("content_hash").alias("previous_hash"),
@@ -139,10 +139,20 @@ def document_changes(documents: DataFrame, checkpoint: DataFrame) -> DataFrame:
     return hashed.join(before, "path", "left").withColumn("status", status)
 
 
-def to_process(changes: DataFrame, documents: DataFrame) -> DataFrame:
-    """The documents (path, text) that are new or changed, with their hash. Texts that a filter of the wanted paths rules out don't move."""
+def to_process(changes: DataFrame, documents: DataFrame, own: bool = False) -> DataFrame:
+    """The documents (path, text) that are new or changed, with their hash. Texts that a filter of the wanted paths rules out don't move.
+
+    With ``own``, ``changes`` must be those of just these documents. A path that a filter of the unchanged ones rules out is wanted then, so its
+    text is hashed anew and stays where it is, however many are wanted; only what neither filter decides is joined.
+    """
     wanted = changes.where("status <> 'unchanged'").select("path", "content_hash")
-    return maybe_in(with_text(documents).select("path", "text"), wanted, "path").join(wanted, "path")
+    texts = with_text(documents).select("path", "text")
+    if not own:
+        return maybe_in(texts, wanted, "path").join(wanted, "path")
+    known = changes.where("status = 'unchanged'").select("path")
+    texts = texts.where("path IS NOT NULL")
+    open_ = maybe_in(maybe_in(texts, known, "path"), wanted, "path").join(wanted.select("path"), "path", "left_semi")
+    return surely_out(texts, known, "path").unionByName(open_).withColumn("content_hash", X.content_hash(F.col("text")))
 
 
 def stale_files(listing: DataFrame, known: DataFrame) -> DataFrame:

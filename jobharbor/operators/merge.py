@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobharbor.functions import text as X
+from jobharbor.functions.members import without
 
 
 def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -187,19 +188,19 @@ def build_chunks(documents: DataFrame, size: int, overlap: int, processed_ts: Co
 
 
 def replace_chunks(live: DataFrame, changed: DataFrame, new: DataFrame) -> DataFrame:
-    """Remove the chunks of the files in ``changed`` (path), then add the new ones."""
+    """Remove the chunks of the files in ``changed`` (path), then add the new ones. Live chunks of files that a filter clears don't move."""
     stale = changed.select(F.col("path").alias("source_file")).distinct()
-    return live.join(stale, "source_file", "left_anti").select(*live.columns).unionByName(new.select(*live.columns))
+    return without(live, stale, "source_file").unionByName(new.select(*live.columns))
 
 
-def chunk_count(text: Column, size: int, overlap: int) -> Column:
+def chunk_count(length: Column, size: int, overlap: int) -> Column:
     step = X.check_chunking(size, overlap)
-    return F.ceil(F.length(text) / step).cast("int")
+    return F.ceil(length / step).cast("int")
 
 
-def checkpoint_rows(documents: DataFrame, size: int, overlap: int, processed_ts: Column) -> DataFrame:
-    """Checkpoint entries computed from the texts, without gathering the chunk rows again."""
-    count = chunk_count(F.col("text"), size, overlap)
+def checkpoint_rows(documents: DataFrame, size: int, overlap: int, processed_ts: Column, length: str | None = None) -> DataFrame:
+    """Checkpoint entries computed from the texts, or from the column that has their ``length``, without gathering the chunk rows again."""
+    count = chunk_count(F.length("text") if length is None else F.col(length), size, overlap)
     path = F.col("path")
     ids = F.transform(F.sequence(F.lit(0), count - 1), lambda i: X.chunk_id(path, i))
     return documents.select(

@@ -52,7 +52,7 @@ def run_cycle(
     """
     X.check_chunking(size, overlap)
     checkpoint = store.read("checkpoint", schemas.CHECKPOINT)
-    changes = gates.document_changes(documents, checkpoint).persist(StorageLevel.MEMORY_AND_DISK)
+    changes = gates.document_changes(documents, checkpoint, F.length("text").alias("length")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stats = run_stats(changes).first().asDict()
         beside = list(beside)
@@ -60,13 +60,13 @@ def run_cycle(
             if beside:
                 store.publish(run_id, beside)
             return stats
-        todo = gates.to_process(changes, documents)
+        todo = gates.to_process(changes, documents, own=True)
         paths = changes.where("status <> 'unchanged'").select("path")
         at = F.lit(processed_ts)
         parts = [r[0] for r in paths.select(bucket(F.col("path"), buckets)).distinct().collect()]
         new = merge.build_chunks(todo, size, overlap, at).withColumn("embedding", embed(F.col("chunk")))
         live = store.read("chunks", schemas.CHUNKS, parts)
-        marks = merge.checkpoint_rows(todo, size, overlap, at)
+        marks = merge.checkpoint_rows(changes.where("status <> 'unchanged' AND path IS NOT NULL"), size, overlap, at, "length")
         known = store.read("checkpoint", schemas.CHECKPOINT, parts)
         written = merge.replace_chunks(live.withColumn("_new", F.lit(False)), paths, new.withColumn("_new", F.lit(True)))
         marked = merge.merge_by_key(known.withColumn("_new", F.lit(False)), marks.withColumn("_new", F.lit(True)), "path")

@@ -1,4 +1,6 @@
 import datetime as dt
+import hashlib
+import re
 
 import pytest
 from pyspark import TaskContext
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 
 from jobharbor import schemas
 from jobharbor.functions import vectors as V
-from jobharbor.operators import gates
+from jobharbor.operators import gates, merge
 from jobharbor.plans import catalogue, documents
 from jobharbor.sources import landing
 from jobharbor.sources.versions import VersionedTables
@@ -291,6 +293,34 @@ def test_unchanged_texts_do_not_move_without_broadcast_joins(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_wanted_texts_and_kept_chunks_do_not_move(spark):
+    """However many files are new, a text moves only if two filters of fixed size leave it open, and a live chunk only if one does."""
+    texts = [(f"p{n}", f"text {n}") for n in range(300)]
+    rows = spark.createDataFrame([*texts, (None, "no path"), ("empty", "")], "path string, text string").repartition(3)
+    seen = spark.createDataFrame([(f"p{n}", f"text {n}", "h") for n in range(20)], "path string, text string, processed_ts string")
+    checkpoint = merge.checkpoint_rows(seen.withColumn("content_hash", F.sha2("text", 256)), 100, 10, F.lit("t"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = gates.document_changes(rows, checkpoint)
+        changes = spark.createDataFrame(found.collect(), found.schema)
+        todo = gates.to_process(changes, rows, own=True)
+        live = merge.build_chunks(seen.withColumn("content_hash", F.sha2("text", 256)), 100, 10, F.lit("t")).cache()
+        kept = merge.replace_chunks(live, spark.createDataFrame([("p3",), ("p9",), ("p250",)], "path string"), live.limit(0))
+        expected = {(p, t, hashlib.sha256(t.encode()).hexdigest()) for p, t in texts[20:]}
+        assert {tuple(r) for r in todo.collect()} == expected and todo.count() == len(expected)
+        assert sorted(r["source_file"] for r in kept.collect()) == sorted(f"p{n}" for n in range(20) if n not in (3, 9))
+        for frame in (todo, kept):
+            plan = frame.select("*")._jdf.queryExecution().executedPlan().toString().splitlines()
+            top = next(n for n, line in enumerate(plan) if "Union" in line)
+            margin = plan[top].index("Union")
+            sure = plan[top + 1 : next(n for n in range(top + 2, len(plan)) if plan[n][margin : margin + 1] in (":", "+") and plan[n][margin + 1] == "-")]
+            # all that half of the rows meets is a filter; with broadcast joins off, any other join would move it
+            assert set(re.findall(r"\w+Join\b", "".join(sure))) == {"BroadcastHashJoin"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_a_pass_lists_a_directory_once_with_few_tasks(spark, folder):
     """Every task reports to the driver: their number must not follow the number of folders or of small files."""
     for n in range(120):
