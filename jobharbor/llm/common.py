@@ -19,11 +19,25 @@ FILTER_BITS = 1 << 26
 SLICE_ROWS, SLICE_CHARS = 512, 2_000_000
 
 
+#: Setting that lets Spark remove the shuffle files of a query when it has ended, and not when the driver happens to collect its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(rows: DataFrame, label: str) -> DataFrame:
-    """Write rows to the cluster's shared folder and read them back: cuts lineage, survives lost executors."""
+    """Write rows to the cluster's shared folder and read them back: cuts lineage, survives lost executors.
+
+    Nothing needs the shuffle files of the write any more then, so they go at once.
+    """
     spark = rows.sparkSession
-    folder = shared_dir(spark, label)
-    rows.write.parquet(folder)
+    folder, before = shared_dir(spark, label), spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        rows.write.parquet(folder)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(rows.schema).parquet(folder)
 
 

@@ -138,11 +138,32 @@ def _held(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def _packed(hashes: np.ndarray) -> bytes:
+    """Hashes of 32 bits as their different values and each one's rank by frequency, in planes of bytes, compressed: on the tables here 0.7 of what Parquet makes of the hashes.
+
+    Hashes don't compress as they are. Ranks do: all but the lowest byte are mostly zero, and common words have one of a few lowest bytes.
+    """
+    values, places, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(order), dtype="<u4")
+    rank[order] = np.arange(len(order))
+    planes = np.ascontiguousarray(rank[places].view(np.uint8).reshape(-1, 4).T)
+    return np.array([len(values), len(hashes)], dtype="<u4").tobytes() + zlib.compress(values[order].astype("<u4").tobytes() + planes.tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    n, size = np.frombuffer(raw, dtype="<u4", count=2).tolist()
+    held = zlib.decompress(memoryview(raw)[8:])
+    planes = np.frombuffer(held, dtype=np.uint8, offset=4 * n).reshape(4, size)
+    rank = np.ascontiguousarray(planes.T).view("<u4").reshape(size)
+    return np.frombuffer(held, dtype="<u4", count=n)[rank]
+
+
 OF_SHARD = 0x2545F491  # tells the shards apart within one filter
 
 
 def _dealt(rows: DataFrame, shards: int, longest: int, size: int) -> DataFrame:
-    """shard, lang, old, n, hashes: runs of words as hashes of 32 bits, which the shards are mined from, and the number of words not counted before."""
+    """shard, lang, old, n, hashes: runs of words as packed hashes of 32 bits, which the shards are mined from, and the number of words not counted before."""
 
     def run(batches):
         schema = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("old", pa.int32()), ("n", pa.int64()), ("hashes", pa.binary())])
@@ -154,7 +175,7 @@ def _dealt(rows: DataFrame, shards: int, longest: int, size: int) -> DataFrame:
 
         for lang, part in runs(texts(), longest, size):
             n = int(np.count_nonzero(part.hashes[part.old :]))
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "lang": [lang], "old": [part.old], "n": [n], "hashes": [part.hashes.tobytes()]}, schema=schema)
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "lang": [lang], "old": [part.old], "n": [n], "hashes": [_packed(part.hashes)]}, schema=schema)
 
     return rows.mapInArrow(run, "shard int, lang string, old int, n bigint, hashes binary")
 
@@ -203,7 +224,7 @@ def _counted(words: DataFrame, length: int, below, fan: int) -> DataFrame:
 
             for shard, lang, slack, old, raw in zip(*(batch.column(c) for c in ("shard", "lang", "slack", "old", "hashes")), strict=True):
                 shard, lang, slack, old = shard.as_py(), lang.as_py(), slack.as_py(), old.as_py()
-                hashes = np.frombuffer(raw.as_buffer(), dtype=np.uint32)
+                hashes = _unpacked(raw.as_py())
                 n = max(0, len(hashes) - length + 1)
                 here = np.ones(n, dtype=bool)
                 for k in range(length):

@@ -1,9 +1,11 @@
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from jobharbor.llm.common import CLEAN_UP, stored
 from jobharbor.llm.exact import exact_dedup, keep_first
 from jobharbor.llm.sharding import extendible_shards
 from tests.llm.frames import DOCUMENTS, awkward_texts, documents, with_clashes
@@ -96,3 +98,13 @@ def test_rows_alike_and_one_hot_id_still_split(spark):
 
 def test_no_rows(spark):
     assert extendible_shards(spark.createDataFrame([], DOCUMENTS)).collect() == []
+
+
+def test_stored_rows_leave_no_shuffle_files(spark):
+    """Shuffle files of a step would fill the disk until the driver collects its garbage, which may be after the last step."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+", disk.getAllBlocks().mkString(" ")))
+    before, setting = files(), spark.conf.get(CLEAN_UP, None)
+    kept = stored(spark.range(1000).repartition("id").groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    assert not files() - before and spark.conf.get(CLEAN_UP, None) == setting
+    assert {r["k"]: r["count"] for r in kept.collect()} == {k: 143 if k < 6 else 142 for k in range(7)}

@@ -264,3 +264,13 @@ def test_long_texts_in_blocks(monkeypatch):
     whole = b" ".join(w for part in phrases.tokens(text) for w in part)
     monkeypatch.undo()
     assert whole == b" ".join(w for part in phrases.tokens(text) for w in part)
+
+
+def test_runs_of_words_are_packed():
+    """What every length reads again is written once: as plain hashes it took 4 bytes a word, which Parquet can't compress."""
+    rng = np.random.default_rng(7)
+    words = rng.integers(1, 1 << 32, 5000, dtype=np.uint32)
+    run = words[np.minimum(rng.zipf(1.3, 100_000) - 1, 4999)]
+    for hashes in (run, run[:1], run[:0], words, np.zeros(3, dtype=np.uint32)):
+        assert np.array_equal(phrases._unpacked(phrases._packed(hashes)), hashes)
+    assert len(phrases._packed(run)) < 4 * len(run) / 2
