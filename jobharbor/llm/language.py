@@ -15,9 +15,11 @@ import zlib
 import sys
 import unicodedata
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,10 @@ LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
 #: The same, but for numbers that are no digits: a small class of characters, which is searched many times faster.
 RUNS = re.compile(r"[^\W\d_]+")
 LANE = 40  # bits of a count
+#: ASCII characters that are no letters end a piece of a text; all other bytes of UTF-8 stay.
+_ENDS = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
+#: Letters whose n-grams are made at once, and letters of a word whose sum is remembered.
+AT_ONCE, SHORT = 1 << 18, 64
 
 
 def letter_runs(text: str) -> list[str]:
@@ -51,6 +57,71 @@ def grams(word: str) -> list[str]:
     return [padded[i : i + n] for n in SIZES for i in range(len(padded) - n + 1)]
 
 
+def pieces(text: str) -> list[bytes]:
+    """A text in lower case, cut where an ASCII character is no letter. No run of letters is cut; a piece that isn't ASCII may hold several or none."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_ENDS).split()
+
+
+def opened(found: list[bytes]) -> tuple[list[str], np.ndarray]:
+    """The runs of letters in pieces, and for each run the place of its piece."""
+    runs: list[str] = []
+    of: list[int] = []
+    for at, piece in enumerate(found):
+        if piece.isascii():
+            runs.append(piece.decode("ascii"))
+            of.append(at)
+        else:
+            own = letter_runs(piece.decode("utf-8", "surrogatepass"))
+            runs += own
+            of += [at] * len(own)
+    return runs, np.array(of, dtype=np.int64)
+
+
+def all_grams(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different n-grams of words and, for every use of one, its place among them and the place of its word; what ``grams`` finds, for many words at once.
+
+    Letters are numbered, so an n-gram is a number of 16 bits a letter.
+    """
+    points = np.frombuffer((" " + "  ".join(words) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    numbered = pa.array(points).dictionary_encode()
+    letters = numbered.dictionary.to_numpy()
+    if len(letters) > 0xFFFF:
+        found = [grams(word) for word in words]
+        numbered = pa.array([gram for own in found for gram in own], type=pa.string()).dictionary_encode()
+        return numbered.dictionary.to_pylist(), numbered.indices.to_numpy(), np.repeat(np.arange(len(words)), [len(own) for own in found])
+    ids = numbered.indices.to_numpy().astype(np.uint64) + np.uint64(1)
+    word = np.repeat(np.arange(len(words)), lengths)
+    left = np.cumsum(lengths)[word] - np.arange(len(word))
+    keys, owners, key = [], [], ids
+    for n in range(2, max(SIZES) + 1):
+        key = (key[:-1] << np.uint64(16)) | ids[n - 1 :]
+        if n in SIZES:
+            whole = left[: len(key)] >= n
+            keys.append(key[whole])
+            owners.append(word[: len(key)][whole])
+    numbered = pa.array(np.concatenate(keys)).dictionary_encode()
+    different = numbered.dictionary.to_numpy()
+    text = np.zeros((len(different), max(SIZES)), dtype="<u4")
+    for n in SIZES:
+        own = np.flatnonzero((different >> np.uint64(16 * (n - 1)) != 0) & (different >> np.uint64(16 * (n - 1)) <= 0xFFFF))
+        for k in range(n):
+            text[own, k] = letters[((different[own] >> np.uint64(16 * (n - 1 - k))) & np.uint64(0xFFFF)).astype(np.int64) - 1]
+    return text.view(f"<U{max(SIZES)}").ravel().tolist(), numbered.indices.to_numpy(), np.concatenate(owners)
+
+
+def in_parts(words: list[str]) -> Iterator[slice]:
+    """Stretches of a list of words with about ``AT_ONCE`` letters; a longer word is one of its own."""
+    first = held = 0
+    for at, word in enumerate(words):
+        if held and held + len(word) > AT_ONCE:
+            yield slice(first, at)
+            first, held = at, 0
+        held += len(word)
+    if words:
+        yield slice(first, len(words))
+
+
 def places(gram: str, slots: int) -> list[int]:
     raw = gram.encode("utf-8", "surrogatepass")
     first, step = zlib.crc32(raw), zlib.crc32(raw, 0x9E3779B9) | 1
@@ -85,8 +156,6 @@ def _bits(own: DataFrame, languages: list[str], slots: int) -> DataFrame:
     number = {lang: i for i, lang in enumerate(languages)}
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             base = [number[lang] * slots for lang in batch.column("lang").to_pylist()]
             made = [b + p + 1 for b, gram in zip(base, batch.column("gram").to_pylist(), strict=True) for p in places(gram, slots)]
@@ -115,17 +184,18 @@ def _counts(rows: DataFrame) -> DataFrame:
     """lang, gram, n. Words are counted first, then the n-grams of different words; memory of a task is bounded."""
 
     def run(batches):
-        import pyarrow as pa
-
         words: dict[str, Counter] = {}
         tallies: dict[str, dict[str, int]] = {}
 
         def fold():
             for lang, counts in words.items():
                 tally = tallies.setdefault(lang, defaultdict(int))
-                for word, n in counts.items():
-                    for gram in grams(word):
-                        tally[gram] += n
+                runs, of = opened(list(counts))
+                times = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))[of]
+                for part in in_parts(runs):
+                    found, which, word = all_grams(runs[part])
+                    for gram, n in zip(found, np.bincount(which, times[part][word], len(found)).tolist(), strict=True):
+                        tally[gram] += int(n)
             words.clear()
 
         def out():
@@ -141,7 +211,7 @@ def _counts(rows: DataFrame) -> DataFrame:
             langs, at = batch.column("lang").to_pylist(), 0
             for part in slices(batch.column("text")):
                 for lang, text in zip(langs[at : at + len(part)], part, strict=True):
-                    words.setdefault(lang, Counter()).update(letter_runs(text.lower()))
+                    words.setdefault(lang, Counter()).update(pieces(text))
                 at += len(part)
                 if sum(map(len, words.values())) > REMEMBERED:
                     fold()
@@ -177,18 +247,34 @@ class _Grams(dict):
 
 
 class _Words(dict):
-    """The sum over a word's n-grams."""
+    """The sum over the n-grams of a piece of text, as numbers like those of ``_Grams``."""
 
     def __init__(self, table: np.ndarray, languages: int):
-        self.grams = _Grams(table, languages)
-
-    def __missing__(self, word: str) -> int:
-        value = sum(map(self.grams.__getitem__, grams(word)))
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = value
-        return value
+        self.grams, self.lanes = _Grams(table, languages), languages + 1
+        self.long: list[bytes] = []
+
+    def learn(self, found: set[bytes]) -> None:
+        """Have the sums of these pieces. Others may be forgotten, and long ones are, so memory follows what is asked for at once."""
+        for piece in self.long:
+            self.pop(piece, None)
+        new = [piece for piece in found if piece not in self]
+        if len(self) + len(new) > REMEMBERED:
+            self.clear()
+            new = list(found)
+        self.long = [piece for piece in new if len(piece) > SHORT]
+        sums = np.zeros((len(new), self.lanes), dtype="<i8")
+        runs, of = opened(new)
+        for part in in_parts(runs):
+            different, which, word = all_grams(runs[part])
+            values = b"".join(self.grams[gram].to_bytes(self.lanes * LANE // 8, "little") for gram in different)
+            flags = np.frombuffer(values, dtype=np.uint8).reshape(len(different), self.lanes, LANE // 8)[:, :, 0]
+            at = of[part]
+            first, count, owner = at[0], at[-1] - at[0] + 1, (at - at[0])[word]
+            for lane in range(self.lanes):
+                sums[first : first + count, lane] += np.bincount(owner[flags[:, lane].astype(bool)[which]], minlength=count)
+        raw, width = sums.view(np.uint8).reshape(len(new), self.lanes, 8)[:, :, : LANE // 8].tobytes(), self.lanes * LANE // 8
+        for at, piece in enumerate(new):
+            self[piece] = int.from_bytes(raw[at * width : (at + 1) * width], "little")
 
 
 def predict_language(rows: DataFrame, model: Model, text: str = "text", drop_text: bool = True, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -206,19 +292,20 @@ def predict_language(rows: DataFrame, model: Model, text: str = "text", drop_tex
         words = _Words(table, len(languages))
         low = (1 << LANE) - 1
 
-        def one(body: str):
-            found = letter_runs(body.lower())
-            if not found or not languages:
-                return "und", 0.0
+        def one(found: list[bytes]):
             counts = sum(map(words.__getitem__, found))
             n = counts & low
+            if not n or not languages:
+                return "und", 0.0
             hits = [(counts >> (LANE * (i + 1))) & low for i in range(len(languages))]
             shares = [max(0.0, (h / n - e) / (1 - e)) if e < 1 else 0.0 for h, e in zip(hits, mistakes, strict=True)]
             best = max(range(len(languages)), key=lambda i: (shares[i], -i))
             return languages[best], min(1.0, shares[best])
 
         def run(texts):
-            made = [one(t) for t in texts]
+            found = [pieces(t) for t in texts]
+            words.learn(set().union(*found))
+            made = [one(f) for f in found]
             return {pred: [a for a, _ in made], score: [b for _, b in made]}
 
         return run

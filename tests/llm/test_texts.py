@@ -244,6 +244,59 @@ def test_runs_of_letters_are_found_fast():
     assert seconds[language.letter_runs] * 3 < seconds[language.LETTERS.findall]
 
 
+def test_ngrams_of_many_words_are_made_at_once(monkeypatch):
+    """The same n-grams and sums as word by word, in a fraction of the time."""
+    every = "".join(f"a{chr(c)}b{chr(c)} " for c in range(0x20000) if not 0xD800 <= c < 0xE000)
+    texts = ["", "1 2", "x1y²z½ Ⅳb a_c 十二", "plain words, only plain words", "İstanbul ĞÜŞ É" + "é" * 100, *(every[i : i + 50_000] for i in range(0, len(every), 50_000))]
+    r = random.Random(3)
+    texts += [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyzäöüß", k=r.randrange(1, 16))) for _ in range(20_000)) for _ in range(3)]
+
+    def plain(text):
+        return sum((table[g] for w in language.LETTERS.findall(text.lower()) for g in language.grams(w)), 0)
+
+    wide = "".join(chr(c) for c in range(0x10000, 0x31350) if chr(c).isalpha()) + " b"
+    table = language._Grams(np.random.default_rng(5).integers(0, 8, (1 << 12, 1), dtype=np.uint64) | np.uint64(4), 3)
+    for at_once, remembered in ((1 << 18, 200_000), (1000, 300)):
+        monkeypatch.setattr(language, "AT_ONCE", at_once)
+        monkeypatch.setattr(language, "REMEMBERED", remembered)
+        words = language._Words(np.array([[m] for m in (0,)], dtype=np.uint64), 3)
+        words.grams = table
+        for text in [*texts[:8], texts[-1], wide]:
+            found = language.pieces(text)
+            words.learn(set(found))
+            assert sum(map(words.__getitem__, found)) == plain(text)
+            assert len(words) <= max(remembered, len(set(found)))
+        words.learn(set())
+        assert all(len(piece) <= language.SHORT for piece in words)
+    monkeypatch.undo()
+    runs = language.LETTERS.findall(texts[-1])
+    counts = Counter(g for w in runs for g in language.grams(w))
+    different, which, owner = language.all_grams(runs)
+    assert dict(zip(different, np.bincount(which).tolist(), strict=True)) == counts
+    assert np.bincount(owner).tolist() == [len(language.grams(w)) for w in runs]
+
+    def seconds(run):
+        tries = []
+        for _ in range(3):
+            began = time.process_time()
+            run()
+            tries.append(time.process_time() - began)
+        return min(tries)
+
+    for text in texts[-3:]:
+        plain(text)
+    fresh = language._Words(np.zeros((1, 1), dtype=np.uint64), 3)
+    fresh.grams = table
+
+    def quick():
+        fresh.clear()
+        found = language.pieces(texts[-1])
+        fresh.learn(set(found))
+        sum(map(fresh.__getitem__, found))
+
+    assert seconds(quick) * 1.25 < seconds(lambda: plain(texts[-1]))
+
+
 def test_language_on_awkward_rows(spark):
     rows = with_clashes(documents(spark, awkward_texts()), "lang_pred", "score")
     model = language.fit(rows.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise(F.lit(None))))
