@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobharbor.llm.common import fresh, may_hold, membership, per_text, stored, without
+from jobharbor.llm.common import fresh, give_back, may_hold, membership, per_text, stored, without
 from jobharbor.llm.graphs import components
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
@@ -186,6 +186,8 @@ def _verified(blocks: DataFrame, n: int, similarity: float) -> DataFrame:
                 held.append((node, size, block, ngram_set(text or "", words, n)))
         if held:
             yield out()
+        words = held = batch = columns = texts = text = None
+        give_back()
 
     keys = ["comp", "low", "high"]
     return blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "node bigint, root bigint, links bigint")

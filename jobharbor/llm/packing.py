@@ -35,7 +35,7 @@ def token_pieces(rows: DataFrame, path: str, capacity: int = CAPACITY, id: str =
     """Each text's ids and one ``end`` id, cut every ``capacity`` ids: the id, piece, start, length, ids_crc32.
 
     A null text is empty and gives one piece that holds the end alone. Rows that repeat an id give pieces each.
-    Without ``remember`` a worker remembers fewer words and forgets them at the end of a task, which leaves its memory to other work.
+    Without ``remember`` a worker remembers fewer words and forgets them, and the vocabulary, at the end of a task, which leaves its memory to other work.
     """
     name = fresh("pieces", [id, text])
 
@@ -51,8 +51,12 @@ def token_pieces(rows: DataFrame, path: str, capacity: int = CAPACITY, id: str =
         def run(texts):
             return {name: [cut(t) for t in texts]}
 
+        def close():
+            bpe.forget()
+            load.cache_clear()
+
         if not remember:
-            run.close = bpe.forget
+            run.close = close
         return run
 
     fields = f"`{name}` array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint>>"

@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from jobharbor.llm import bpe, language, secrets, toxicity
+from jobharbor.llm import bpe, common, language, secrets, toxicity
 from tests.llm.frames import DOCUMENTS, awkward_texts, documents, prose, with_clashes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -101,6 +101,20 @@ def test_encoding_and_decoding_equal_the_library():
         assert own.decode(np.array(ids, dtype=np.uint32)).decode() == library.decode(ids, skip_special_tokens=False)
 
 
+def test_free_memory_is_given_back():
+    """What a task leaves free below something that is still in use goes back to the system."""
+
+    def held():
+        return int(re.findall(r"\nRssAnon:\s+(\d+)", open("/proc/self/status").read())[0]) / 1024
+
+    many = [bytes(1000) for _ in range(200_000)]
+    last = many[-1]
+    del many
+    before = held()
+    common.give_back()
+    assert held() < before - 100 and len(last) == 1000
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 3)
     monkeypatch.setattr(bpe, "PAIRS", 3)
