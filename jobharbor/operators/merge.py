@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobharbor.functions import text as X
+from jobharbor.functions.frames import once
 from jobharbor.functions.members import without
 
 
@@ -33,19 +34,17 @@ def is_listed(flags: str, position: int) -> str:
 def listed_columns(rows: DataFrame, groups: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Which of ``columns`` any row of a group carried, as bits in the array ``listed``.
 
-    ``rows`` has the carried names in ``fields``. Equal name lists collapse before the shuffle, so
-    the cost follows the number of distinct record shapes; the union of a group is a bitwise or.
+    ``rows`` has the carried names in ``fields``. The places of a row's names are looked up once. The union of a
+    group is a bitwise or, begun before the shuffle: of a group a task sends one row of a few numbers and no names.
     """
     known = ", ".join(f"'{c}'" for c in columns)
+    numbers = range(-(-len(columns) // WORD))
+    none = ", ".join(f"'_w{w}', 0L" for w in numbers)
+    bit = ", ".join(f"'_w{w}', m._w{w} | if(p >= 0 AND p div {WORD} = {w}, shiftleft(1L, p % {WORD}), 0L)" for w in numbers)
     at = f"transform(fields, n -> int(array_position(array({known}), n) - 1))"
-    words = [
-        F.expr(f"aggregate({at}, 0L, (m, p) -> m | if(p >= 0 AND p div {WORD} = {w}, shiftleft(1L, p % {WORD}), 0L))")
-        for w in range(-(-len(columns) // WORD))
-    ]
-    shapes = rows.select(*groups, "fields").distinct()
-    bits = shapes.select(*groups, *[word.alias(f"_w{i}") for i, word in enumerate(words)])
-    union = bits.groupBy(*groups).agg(*[F.bit_or(f"_w{i}").alias(f"_w{i}") for i in range(len(words))])
-    return union.select(*groups, F.array(*[f"_w{i}" for i in range(len(words))]).alias("listed"))
+    bits = once(rows.select(*groups, "fields"), bits=F.expr(f"aggregate({at}, named_struct({none}), (m, p) -> named_struct({bit}))"))
+    union = bits.groupBy(*groups).agg(*[F.bit_or(f"bits._w{w}").alias(f"_w{w}") for w in numbers])
+    return union.select(*groups, F.array(*[f"_w{w}" for w in numbers]).alias("listed"))
 
 
 def batch_statement(

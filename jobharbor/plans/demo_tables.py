@@ -31,10 +31,15 @@ def seconds(column: str) -> Column:
 # --- events as jobs ---------------------------------------------------------------------------
 
 
+def _with_code(events: DataFrame) -> DataFrame:
+    """Events with their code as a text, opened once for all columns that are made of it."""
+    return events.withColumn("_k", F.get_json_object("props", "$.k"))
+
+
 def event_jobs(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     """Events as job records: user = queue, day = fetch; every error component has its own source of codes, 0 or null where all went well."""
-    events = table(spark, sf_dir, "events")
-    kind, value, code = F.col("event_type"), F.col("value"), F.get_json_object("props", "$.k").cast("int")
+    events = _with_code(table(spark, sf_dir, "events"))
+    kind, value, code = F.col("event_type"), F.col("value"), F.col("_k").cast("int")
     whole, is_error = F.floor("value").cast("int"), F.col("event_type") == "error"
     codes = {
         "pilot": (F.when(is_error, code).otherwise(0), F.concat(F.lit("pilot code "), code)),
@@ -61,37 +66,43 @@ def event_jobs(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
 BLOCK = 1000
 
 
-def response_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ranked errors of every response, over all components. Codes of the task buffer are no numbers, so these are unfit to load."""
-    response = ["_queue", "_fetched_utc", "block"]
-    jobs = event_jobs(spark, sf_dir, F.floor(F.col("event_id") / BLOCK).alias("block"))
-    found = analytics.error_occurrences(jobs, schemas.ERROR_COMPONENTS, [*response, "pandaid"])
-    ranked = found.groupBy(*response, "error", "codeval").agg(
-        F.count("*").alias("count"), F.min("diag").alias("diag"), F.array_sort(F.collect_list("pandaid")).alias("pandalist")
+def _ranked_errors(found: str) -> Column:
+    """The occurrences of a response by error and code, the most frequent first."""
+    code = F.array_distinct(F.transform(found, lambda o: F.struct(o["error"], o["codeval"])))
+    members = F.transform(code, lambda c: F.filter(found, lambda o: (o["error"] == c["error"]) & (o["codeval"] == c["codeval"])))
+    counted = F.transform(
+        members,
+        lambda all_: F.struct(
+            all_[0]["error"].alias("error"),
+            all_[0]["codeval"].alias("value"),
+            F.size(all_).cast("bigint").alias("count"),
+            F.array_min(F.transform(all_, lambda o: o["diag"])).alias("diag"),
+            F.array_sort(F.transform(all_, lambda o: o["pandaid"])).alias("pandalist"),
+        ),
     )
-    item = F.struct(
-        (-F.col("count")).alias("rank"),
-        "error",
-        F.col("codeval").alias("value"),
-        F.concat_ws(":", "error", "codeval").alias("codename"),
-        F.when(F.col("error") == "taskbuffer", F.concat(F.lit("c"), "codeval")).otherwise(F.col("codeval").cast("string")).alias("codeval"),
-        "diag",
-        F.concat("diag", F.lit(" on "), "_queue").alias("desc"),
-        F.element_at("pandalist", 1).alias("example_pandaid"),
-        "count",
-        "pandalist",
+    item = lambda e: F.struct(
+        (-e["count"]).alias("rank"),
+        e["error"].alias("error"),
+        e["value"].alias("value"),
+        F.concat_ws(":", e["error"], e["value"].cast("string")).alias("codename"),
+        F.when(e["error"] == "taskbuffer", F.concat(F.lit("c"), e["value"])).otherwise(e["value"].cast("string")).alias("codeval"),
+        e["diag"].alias("diag"),
+        F.concat(e["diag"], F.lit(" on "), "_queue").alias("desc"),
+        F.element_at(e["pandalist"], 1).alias("example_pandaid"),
+        e["count"].alias("count"),
+        e["pandalist"].alias("pandalist"),
     )
-    items = ranked.groupBy(*response).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return items.select(*response, F.transform("items", lambda e: e.dropFields("rank", "value")).alias("errors"))
+    return F.transform(F.array_sort(F.transform(counted, item)), lambda e: e.dropFields("rank", "value"))
 
 
 def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as landed responses of their queue, one for a day and block of ids: all its jobs, two facets and its ranked errors.
 
     Views carry no duration. Sign-ups carry a task id that is no number, so they are unfit to load. Where a purchase comes first, the
-    response is no payload. Where no error was made, there is no list of errors.
+    response is no payload. Where no error was made, there is no list of errors. Codes of the task buffer are no numbers, so these errors
+    are unfit to load. Jobs and errors, over all components, of a response meet in one shuffle; its ids come from one block, which bounds both.
     """
-    kind, code = F.col("event_type"), F.get_json_object("props", "$.k")
+    kind, code = F.col("event_type"), F.col("_k")
     job = F.struct(
         F.col("event_id").alias("pandaid"),
         kind.alias("jobstatus"),
@@ -100,15 +111,19 @@ def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("modificationtime"),
         F.col("props").alias("not_a_column"),
     )
-    response = ["_queue", "_fetched_utc", "block"]
-    placed = table(spark, sf_dir, "events").select(
+    response, block = ["_queue", "_fetched_utc", "block"], F.floor(F.col("event_id") / BLOCK).alias("block")
+    placed = _with_code(table(spark, sf_dir, "events")).select(
         F.concat(F.lit("site_"), "user_id").alias("_queue"),
         F.date_trunc("day", "ts").cast("timestamp_ntz").alias("_fetched_utc"),
-        F.floor(F.col("event_id") / BLOCK).alias("block"),
+        block,
         job.alias("job"),
         F.when(kind == "error", code.cast("int")).alias("code"),
     )
-    grouped = placed.groupBy(*response).agg(F.array_sort(F.collect_list("job")).alias("jobs"), F.array_sort(F.collect_list("code")).alias("codes"))
+    found = analytics.error_occurrences(event_jobs(spark, sf_dir, block), schemas.ERROR_COMPONENTS, [*response, "pandaid"])
+    found = found.select(*response, F.struct("error", "codeval", "diag", "pandaid").alias("found"))
+    grouped = placed.unionByName(found, allowMissingColumns=True).groupBy(*response).agg(
+        F.array_sort(F.collect_list("job")).alias("jobs"), F.array_sort(F.collect_list("code")).alias("codes"), F.collect_list("found").alias("found")
+    )
     kinds = F.array_sort(F.transform("jobs", lambda j: j["jobstatus"]))
     count = lambda all_, one: F.size(F.filter(all_, lambda v: v == one))
     values = lambda all_: F.transform(
@@ -116,13 +131,15 @@ def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     total = lambda all_: F.when(F.size(all_) > 0, F.struct(F.size(all_).alias("sum")))
     facet = lambda name, all_: F.struct(F.lit(name).alias("field"), values(all_).alias("list"), total(all_).alias("stats"))
+    # a response without queue, time or ids lists no errors
+    known = F.col("_queue").isNotNull() & F.col("_fetched_utc").isNotNull() & F.col("block").isNotNull()
     body = F.struct(
         "jobs",
         F.array(facet("jobstatus", kinds), facet("piloterrorcode", F.col("codes"))).alias("selectionsummary"),
-        F.col("errors").alias("errsByCount"),
+        F.when(known & (F.size("found") > 0), _ranked_errors("found")).alias("errsByCount"),
     )
     ids = F.transform("jobs", lambda j: j["pandaid"])
-    return grouped.join(response_errors(spark, sf_dir), response, "left").select(
+    return grouped.select(
         F.col("_queue").alias("queue"),
         F.col("_fetched_utc").alias("fetched_utc"),
         F.when(F.col("jobs")[0]["jobstatus"] == "purchase", F.to_json(ids)).otherwise(F.to_json(body)).alias("payload"),

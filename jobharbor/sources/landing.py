@@ -152,7 +152,9 @@ def misfits(columns: list[T.StructField]) -> Column:
             text = f"raw.`{f.name}`"
             bad = f"{text} IS NOT NULL AND {typed(text, f.dataType)} IS NULL"
             checks.append(f"if({bad}, '{f.name}', NULL)")
-    return F.expr(f"array_compact(array({', '.join(checks)}))")
+    # a compiled join of the names; array_compact would evaluate every check uncompiled
+    names = f"concat_ws(',', {', '.join(checks)})"
+    return F.expr(f"if({names} = '', cast(array() AS array<string>), split({names}, ','))")
 
 
 def type_jobs(parsed: DataFrame) -> DataFrame:
@@ -163,8 +165,9 @@ def type_jobs(parsed: DataFrame) -> DataFrame:
     )
     response = F.xxhash64("payload").alias("_response")
     items = once(_items(parsed, "jobs", response), raw=F.from_json("item", raw_schema), fields=carried)
+    # ordinary columns: a generator would evaluate these thousand expressions uncompiled; to type a value twice is cheap
     columns = list(schemas.JOB_PAYLOAD)
-    return once(items, row=typed_row(columns), misfits=misfits(columns)).drop("raw")
+    return items.select("*", typed_row(columns).alias("row"), misfits(columns).alias("misfits")).drop("raw")
 
 
 def job_rows(typed_jobs: DataFrame) -> DataFrame:

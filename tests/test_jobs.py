@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobharbor import schemas
+from jobharbor.functions.json_values import is_json
 from jobharbor.operators import analytics, merge
-from jobharbor.plans import jobs
+from jobharbor.plans import demo_tables, jobs
 from jobharbor.sources import landing
 from jobharbor.sources.versions import VersionedTables
 from jobharbor.streaming import ingest
@@ -404,3 +405,41 @@ def test_only_candidates_for_the_newest_response_move(spark):
     assert sorted((r["_queue"], r["payload"]) for r in newest.collect()) == [("q0", '{"jobs":[{"pandaid":2998}]}'), ("q1", '{"jobs":[{"pandaid":2999}]}')]
     plan = newest._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
+
+
+def test_names_met_by_the_json_parser_are_few(spark):
+    """The parser shared by a session keeps every name; a name of its own for each text slows down all later ones."""
+    names = [r[0] for r in spark.range(2000).select(is_json(F.format_string('{"a":%d}', "id"))).distinct().collect()]
+    assert names == [True]
+    plan = spark.range(1).select(is_json(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert "substring(lpad(hex(xxhash64(" in plan
+
+
+@pytest.mark.parametrize("text", ['{"a":1} {}', '1,"x":2', '1}, {"v":1', '1,"0":0', "", "{", '{"a":1},'])
+def test_left_over_text_is_no_json(spark, text):
+    assert spark.createDataFrame([(text,)], "t string").select(is_json(F.col("t"))).first()[0] is False
+
+
+def test_job_values_are_typed_by_compiled_code(spark):
+    """A generator, or a filter of an array, would evaluate the thousand expressions of a record uncompiled."""
+    typed = landing.type_jobs(landing.parse_payloads(landed(spark, ("A", T1, PAYLOAD))))
+    plan = landing.job_rows(typed)._jdf.queryExecution().optimizedPlan().toString()
+    generated = [line for line in plan.splitlines() if "Generate" in line]
+    assert not [line for line in generated if "misfits" in line]
+    assert not [line for line in plan.splitlines() if "misfits" not in line and "filter(array(CASE" in line]
+
+
+def test_landed_responses_take_one_shuffle(spark):
+    plan = demo_tables.event_payloads(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_an_event_without_user_lists_no_errors(spark, folder):
+    rows = [(1, dt.datetime(2024, 1, 1, 13), 5, "error", 20.5, '{"k": 7}'), (2, dt.datetime(2024, 1, 1, 13), None, "error", 20.5, '{"k": 7}')]
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/events.parquet")
+    found = {r.queue: json.loads(r.payload) for r in demo_tables.event_payloads(spark, folder).collect()}
+    assert [(e["error"], e["codeval"], e["count"], e["pandalist"]) for e in found["site_5"]["errsByCount"]] == [
+        ("ddm", "20", 1, [1]), ("pilot", "7", 1, [1])
+    ]
+    assert "errsByCount" not in found[None]
